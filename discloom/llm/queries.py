@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from discloom.llm import mixing, neardup, quality, sharding
+from discloom.llm import mixing, neardup, quality, sharding, substrings
 from discloom.llm.support import table
 
 
@@ -18,6 +18,10 @@ def op3_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op6_count_min_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"), width=35, with_text=False)
+
+
 def op7_super_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
@@ -29,6 +33,7 @@ def op8_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_karmarkar_karp_shards": op2_karmarkar_karp_shards,
     "op3_pfair_mix": op3_pfair_mix,
+    "op6_count_min_substrings": op6_count_min_substrings,
     "op7_super_minhash": op7_super_minhash,
     "op8_quality_discriminant": op8_quality_discriminant,
 }
