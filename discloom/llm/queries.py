@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from discloom.llm import mixing, neardup, quality, sharding, substrings
+from discloom.llm import decontaminate, mixing, neardup, quality, sharding, substrings
 from discloom.llm.support import table
 
 
+def op1_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_karmarkar_karp_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"), k=16)
 
@@ -31,6 +35,7 @@ def op8_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pigeonhole_decontamination": op1_pigeonhole_decontamination,
     "op2_karmarkar_karp_shards": op2_karmarkar_karp_shards,
     "op3_pfair_mix": op3_pfair_mix,
     "op6_count_min_substrings": op6_count_min_substrings,

@@ -139,6 +139,10 @@ def _text_prints(data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.frombuffer(prints, np.int64)
 
 
+def _fingerprint(texts: pa.Array) -> pa.Array:
+    return pa.array(_text_prints(*flat(texts)))
+
+
 def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
@@ -245,11 +249,10 @@ def remove_repeats(docs: DataFrame, width: int = 35, text: str = "text", id_col:
     alarms = cut(single.groupBy("text").agg(F.collect_list("at").alias("alarms")))
     # The same bytes that the fingerprint in tasks is made of.
     keyed = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
-    fingerprint = F.arrow_udf(lambda t: pa.array(_text_prints(*flat(t))), "long")
     if alarms.isEmpty():
         judged = keyed.withColumn("alarms", F.lit(None).cast("array<int>"))
     else:
-        keyed = keyed.withColumn("print", fingerprint("text"))
+        keyed = keyed.withColumn("print", F.arrow_udf(_fingerprint, "long")("text"))
         judged = keyed.join(alarms.select(F.col("text").alias("print"), "alarms").hint("shuffle_hash"), "print", "left").select("id", "text", "alarms")
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
