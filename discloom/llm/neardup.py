@@ -32,7 +32,7 @@ CODER = Coder(23)
 #: band with probability (1 - 0.8 ** 5) ** 40, about one in eight million.
 SLOTS, BAND = 200, 5
 #: Members compared with a centre, or dealt into one block, in one task's turn.
-BLOCK = 96
+BLOCK = 192
 #: Bits of the filter that keeps most uninvolved documents out of the set table.
 FILTER_BITS = 1 << 25
 
@@ -297,7 +297,9 @@ def links(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text"
     comps = components(edges)
     placed = shared.filter("members > 2").join(comps, F.col("rep") == F.col("node"), "left")
     placed = placed.select("key", "rep", F.coalesce("root", "rep").alias("comp"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("main"), F.max("comp").alias("other")).filter("main <> other").select("key", "main")
+    held = placed.groupBy("key", "comp").agg(F.count("*").alias("size"))
+    mixed = held.groupBy("key").agg(F.count("*").alias("comps"), F.max(F.struct("size", "comp"))["comp"].alias("main"))
+    mixed = mixed.filter("comps > 1").select("key", "main")
     placed = placed.join(mixed, "key").withColumn("out", F.col("comp") != F.col("main"))
     sizes = placed.groupBy("key").agg(*(F.greatest(F.lit(1), F.ceil(F.count_if(c) / BLOCK)).alias(n) for n, c in (("outs", F.col("out")), ("ins", ~F.col("out")))))
     dealt = placed.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.when(F.col("out"), F.col("outs")).otherwise(F.col("ins"))))
