@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from discloom.llm import decontaminate, mixing, neardup, neighbours, quality, sharding, substrings
+from discloom.llm import decontaminate, mixing, neardup, neighbours, pages, quality, sharding, substrings
 from discloom.llm.support import table
 
 
@@ -35,6 +35,10 @@ def op8_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_host_path_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.main_text(table(spark, sf_dir, "pages"))
+
+
 def op10_block_matrix_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_count_min_substrings": op6_count_min_substrings,
     "op7_super_minhash": op7_super_minhash,
     "op8_quality_discriminant": op8_quality_discriminant,
+    "op9_host_path_text": op9_host_path_text,
     "op10_block_matrix_neighbours": op10_block_matrix_neighbours,
 }
 
