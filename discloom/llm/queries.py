@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from discloom.llm import decontaminate, mixing, neardup, neighbours, pages, quality, sharding, substrings
+from discloom.llm import decontaminate, langid, mixing, neardup, neighbours, pages, quality, sharding, substrings
 from discloom.llm.support import table
 
 
@@ -23,6 +23,10 @@ def op3_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op4_random_field_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op6_count_min_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"), width=35, with_text=False)
 
@@ -47,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pigeonhole_decontamination": op1_pigeonhole_decontamination,
     "op2_karmarkar_karp_shards": op2_karmarkar_karp_shards,
     "op3_pfair_mix": op3_pfair_mix,
+    "op4_random_field_language": op4_random_field_language,
     "op6_count_min_substrings": op6_count_min_substrings,
     "op7_super_minhash": op7_super_minhash,
     "op8_quality_discriminant": op8_quality_discriminant,
