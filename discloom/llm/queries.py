@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from discloom.llm import decontaminate, langid, mixing, neardup, neighbours, pages, quality, sharding, substrings
+from discloom.llm import decontaminate, langid, mixing, neardup, neighbours, pages, quality, sharding, substrings, toxicity
 from discloom.llm.support import table
 
 
@@ -27,6 +27,10 @@ def op4_random_field_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op5_noisy_channel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_count_min_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, sf_dir, "documents"), width=35, with_text=False)
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_karmarkar_karp_shards": op2_karmarkar_karp_shards,
     "op3_pfair_mix": op3_pfair_mix,
     "op4_random_field_language": op4_random_field_language,
+    "op5_noisy_channel_toxicity": op5_noisy_channel_toxicity,
     "op6_count_min_substrings": op6_count_min_substrings,
     "op7_super_minhash": op7_super_minhash,
     "op8_quality_discriminant": op8_quality_discriminant,
