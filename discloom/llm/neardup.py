@@ -31,6 +31,8 @@ CODER = Coder(23)
 #: Signature slots, and slots in each band.  A pair at similarity 0.8 shares no
 #: band with probability (1 - 0.8 ** 5) ** 40, about one in eight million.
 SLOTS, BAND = 200, 5
+#: Steps after which the few sets that are still open get explicit permutations.
+IMPLICIT_STEPS = 9
 #: Members compared with a centre, or dealt into one block, in one task's turn.
 BLOCK = 192
 #: Bits of the filter that keeps most uninvolved documents out of the set table.
@@ -43,7 +45,7 @@ def shingle_sets(texts: pa.Array, width: int) -> Iterator[tuple[int, int, np.nda
     A text with fewer words than ``width`` has its whole sequence as one
     shingle; a text without words has none.
     """
-    for low, high, data, bounds in pieces(texts):
+    for low, high, data, bounds in pieces(texts, 1 << 19):
         data = LOWER_ASCII[data]
         w = split_words(data, bounds)
         codes = CODER.words(data, w.start, w.end)
@@ -107,8 +109,8 @@ def super_minhash(code: np.ndarray, first: np.ndarray, slots: int = SLOTS) -> np
         swaps = [s[keep] for s in swaps]
         if order is not None:
             order = order[keep]
-        elif j == 6:
-            order = np.tile(np.arange(slots, dtype=np.int16), (len(code), 1))
+        elif j == IMPLICIT_STEPS - 1:
+            order = np.tile(np.arange(slots, dtype=np.uint8 if slots <= 256 else np.int32), (len(code), 1))
             rows = np.arange(len(code))
             for i, was in enumerate(swaps):
                 moved = order[rows, was].copy()
