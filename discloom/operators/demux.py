@@ -17,14 +17,13 @@ SECTOR_BYTES = 2048
 AUDIO, SUPPLEMENTARY, PADDING = 2, 3, 7
 
 
-def decode_headers(sectors: DataFrame, data: str = "data", strict: bool = True) -> DataFrame:
+def decode_headers(sectors: DataFrame, data: str = "data") -> DataFrame:
     """Sectors with their header fields and ``packets``, an array of structs.
 
     A packet has ``pno, frame_start, data_type, length, offset``, its number
     ``k`` among the sector's audio frame starts so far, and the frame info that
     this number points at (null if there is none).  A sector that is too short
-    or whose parts reach over its end is an error, or with ``strict`` off has
-    ``corrupt`` true and no packets.
+    or whose parts reach over its end has ``corrupt`` true and no packets.
     """
     d = F.col(data)
     head = be_uint(d, 0, 1)
@@ -56,10 +55,6 @@ def decode_headers(sectors: DataFrame, data: str = "data", strict: bool = True)
     end = F.col("_body") + F.aggregate("_raw", F.lit(0), lambda a, p: a + p["length"])
     corrupt = (F.length(d) < SECTOR_BYTES) | d.isNull() | (end > F.length(d))
     out = out.withColumn("corrupt", F.coalesce(corrupt, F.lit(True)))
-    if strict:
-        message = F.concat(F.lit("malformed audio sector, "), F.coalesce(F.length(d).cast("string"), F.lit("no")), F.lit(" bytes"))
-        out = out.withColumn("corrupt", F.when(F.col("corrupt"), F.raise_error(message).cast("boolean")).otherwise(False))
-
     def placed(p: Column, i: Column) -> Column:
         before = F.slice("_raw", F.lit(1), i)
         starts = F.size(F.filter(F.slice("_raw", F.lit(1), i + 1), lambda x: x["frame_start"] & (x["data_type"] == AUDIO)))
@@ -79,10 +74,19 @@ def decode_headers(sectors: DataFrame, data: str = "data", strict: bool = True)
 
 
 def packets(sectors: DataFrame, keys: list[str], data: str = "data", strict: bool = True) -> DataFrame:
-    """One row for each packet: ``keys, lsn, pno, frame_start, data_type, length, k, info, payload``."""
-    decoded = decode_headers(sectors, data, strict)
-    rows = decoded.select(*keys, "lsn", F.col(data).alias("_d"), "dst_encoded", F.explode("packets").alias("p"))
-    return rows.select(*keys, "lsn", "dst_encoded", "p.pno", "p.frame_start", "p.data_type", "p.length", "p.k", "p.info", F.expr("substring(_d, p.offset + 1, p.length)").alias("payload"))
+    """One row for each packet: ``keys, lsn, pno, frame_start, data_type, length, k, info, payload``.
+
+    A corrupt sector is an error, or with ``strict`` off has no rows.  The error
+    hangs on ``data_type``, which is known only after the packets are taken
+    apart: there, no optimisation can move it before filters on sectors.
+    """
+    decoded = decode_headers(sectors, data).select(*keys, "lsn", F.col(data).alias("_d"), "dst_encoded", "corrupt", F.explode_outer("packets").alias("p"))
+    kind = F.col("p.data_type")
+    if strict:
+        message = F.concat(F.lit("malformed audio sector "), F.col("lsn").cast("string"))
+        kind = F.when(F.col("corrupt"), F.raise_error(message).cast("int")).otherwise(kind)
+    rows = decoded.select(*keys, "lsn", "dst_encoded", "p.pno", "p.frame_start", kind.alias("data_type"), "p.length", "p.k", "p.info", F.expr("substring(_d, p.offset + 1, p.length)").alias("payload"))
+    return rows.filter("data_type IS NOT NULL")
 
 
 def assemble(packs: DataFrame, keys: list[str], start: str | None = None, end: str | None = None) -> DataFrame:

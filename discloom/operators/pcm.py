@@ -40,7 +40,7 @@ def decode(frames: DataFrame, decoder: DecoderFactory | None = None, raw: str =
                 out.append(None if x is None else made[n](x))
             yield pa.array(out, pa.binary())
 
-    return frames.withColumn(raw, F.arrow_udf(run, "binary", "SCALAR_ARROW_ITER")(F.col(raw), F.col(channels)))
+    return frames.withColumn(raw, F.arrow_udf(run, "binary")(F.col(raw), F.col(channels)))
 
 
 def blocks(samples: DataFrame, keys: list[str], order: str, raw: str = "raw", channels: str = "channels", start: str | None = None) -> DataFrame:
