@@ -65,6 +65,72 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_pfair_mix": """
+        WITH RECURSIVE counts AS (
+            SELECT source, count(*) AS n, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS idx FROM documents GROUP BY source
+        ), exact AS (
+            SELECT *, greatest(1000 - count(*) OVER (), 0) AS spare, round(sqrt(n) / sum(sqrt(n)) OVER () * greatest(1000 - count(*) OVER (), 0), 9) AS x FROM counts
+        ), shares AS (
+            SELECT source, n, idx, CAST(floor(x) AS BIGINT) + 1 + CASE WHEN row_number() OVER (ORDER BY x - floor(x) DESC, idx) <= spare - sum(floor(x)) OVER () THEN 1 ELSE 0 END AS e FROM exact
+        ), every AS (
+            SELECT list(e ORDER BY idx) AS es, CAST(sum(e) AS BIGINT) AS cycle FROM shares
+        ), run AS (
+            SELECT CAST(0 AS BIGINT) AS t, list_transform(es, lambda x: CAST(0 AS BIGINT)) AS ran, CAST(NULL AS BIGINT) AS chosen, CAST(NULL AS BIGINT) AS nth FROM every
+            UNION ALL
+            SELECT t + 1, list_transform(ran, lambda x, i: CASE WHEN i = c THEN x + 1 ELSE x END), c, ran[c] FROM (
+                SELECT t, ran, list_sort(list_filter(list_transform(range(1, len(es) + 1), lambda i:
+                    CASE WHEN ran[i] < es[i] AND ran[i] * cycle // es[i] <= t THEN {'due': ((ran[i] + 1) * cycle + es[i] - 1) // es[i], 'i': i} END), lambda x: x IS NOT NULL))[1].i AS c
+                FROM run, every WHERE t < cycle)
+        ), plan AS (
+            SELECT chosen - 1 AS idx, nth, t - 1 AS place FROM run WHERE chosen IS NOT NULL
+        ), horizon AS (
+            SELECT min(n // 32 // e * cycle + place) AS h FROM shares JOIN plan ON plan.idx = shares.idx AND nth = n // 32 % e, every
+        ), numbered AS (
+            SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST) - 1 AS k FROM documents
+        )
+        SELECT d.doc_id, d.source, k // 32 AS block, CAST(k % 32 AS INTEGER) AS in_block, k // 32 * cycle // e AS release, ((k // 32 + 1) * cycle + e - 1) // e AS deadline,
+            k // 32 // e * cycle + place AS slot, k // 32 // e * cycle + place < h AS on_target
+        FROM numbered d JOIN shares s ON d.source IS NOT DISTINCT FROM s.source JOIN plan ON plan.idx = s.idx AND nth = k // 32 % e, every, horizon
+    """,
+    "op6_count_min_substrings": """
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+        ), windows AS (
+            SELECT r, i, array_to_string(w[i:i + 34], ' ') AS k FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d)
+        ), starts AS (
+            SELECT r, i FROM windows SEMI JOIN (SELECT k FROM windows GROUP BY k HAVING count(*) > 1) USING (k)
+        ), covered AS (
+            SELECT DISTINCT r, unnest(range(i, i + 35)) AS p FROM starts
+        ), words AS (
+            SELECT r, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM d
+        ), kept AS (
+            SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS text FROM words ANTI JOIN covered USING (r, p) GROUP BY r
+        )
+        SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
+    """,
+    "op7_super_minhash": """
+        WITH RECURSIVE d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+        ), sets AS (
+            SELECT doc_id, CASE WHEN len(w) < 2 THEN w ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM d
+        ), sized AS (
+            SELECT doc_id, CAST(len(s) AS BIGINT) AS n, s FROM sets
+        ), shingles AS (
+            SELECT doc_id, n, hash(x) AS h, x FROM (SELECT doc_id, n, unnest(s) AS x FROM sized)
+        ), pairs AS (
+            SELECT a.doc_id AS u, b.doc_id AS v, any_value(a.n) AS m, any_value(b.n) AS n, count(*) AS common_n
+            FROM shingles a JOIN shingles b ON a.x = b.x AND a.doc_id < b.doc_id AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n GROUP BY 1, 2
+        ), links AS (
+            SELECT u, v FROM pairs WHERE 100 * common_n >= 80 * (m + n - common_n)
+        ), edges AS (
+            SELECT u, v FROM links UNION SELECT v, u FROM links
+        ), reached AS (
+            SELECT doc_id AS u, doc_id AS v FROM d UNION SELECT reached.u, edges.v FROM reached JOIN edges ON reached.v = edges.u
+        ), roots AS (
+            SELECT u, min(v) AS component_id FROM reached GROUP BY u
+        )
+        SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM sized JOIN roots ON doc_id = u
+    """,
     "op10_block_matrix_neighbours": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
