@@ -1,0 +1,89 @@
+from collections import defaultdict
+from math import ceil, floor
+
+import pytest
+from pyspark.sql import functions as F
+
+from discloom.llm import mixing
+
+SCHEMA = "doc_id long, source string"
+
+
+def corpus():
+    rows = [(i, "hot") for i in range(900)] + [(1000 + i, "mid") for i in range(300)] + [(2000 + i, f"s{i % 5}") for i in range(500)]
+    rows += [(3000 + i, None) for i in range(70)] + [(None, "mid"), (None, None), (5, "hot"), (5, "hot"), (9000, "one")]
+    return rows
+
+
+def earliest_deadline_first(shares):
+    """Slots of a cycle by simulation: source number in each."""
+    cycle, ran, order = sum(shares), [0] * len(shares), []
+    for t in range(cycle):
+        ready = [(ceil((ran[i] + 1) * cycle / e), i) for i, e in enumerate(shares) if ran[i] < e and floor(ran[i] * cycle / e) <= t]
+        due, i = min(ready)
+        assert due > t  # every deadline is met
+        ran[i] += 1
+        order.append(i)
+    return order
+
+
+@pytest.mark.parametrize("weights", [None, {"hot": 0.5, "mid": 0.2, None: 0.3, "absent": 1.0}])
+def test_every_row_has_its_place(spark, weights):
+    rows = corpus()
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    got = mixing.mix(df, weights, cycle=60, block_rows=8).collect()
+    assert sorted(((r.doc_id, r.source) for r in got), key=str) == sorted(rows, key=str)
+    places = sorted((r.slot, r.in_block, r.source or "") for r in got)
+    assert len(set(places)) == len(rows)
+    counts = df.groupBy("source").agg(F.count("*").alias("rows"))
+    shares = {r.source: (r.idx, r.share) for r in mixing.target_slots(counts, weights, 60).collect()}
+    names = sorted(shares, key=lambda s: shares[s][0])
+    cycle = sum(e for _, e in shares.values())
+    assert cycle == 60 and names[0] is None
+    order = earliest_deadline_first([shares[s][1] for s in names])
+    nth, slot_of = defaultdict(int), {}
+    for c in range(1000):
+        for at, i in enumerate(order):
+            slot_of[names[i], nth[names[i]]] = c * cycle + at
+            nth[names[i]] += 1
+    for r in got:
+        assert r.slot == slot_of[r.source, r.block] and r.release <= r.slot < r.deadline
+    # Blocks hold consecutive ids of their source, in order, nulls first.
+    for s in names:
+        own = sorted((r.block, r.in_block, -1 if r.doc_id is None else r.doc_id) for r in got if r.source == s)
+        assert [b * 8 + i for b, i, _ in own] == list(range(len(own))) and [x for *_, x in own] == sorted(x for *_, x in own)
+
+
+def test_deviation_is_below_one_block(spark):
+    rows = [(i, "a") for i in range(6000)] + [(10_000 + i, "b") for i in range(2500)] + [(20_000 + i, "c") for i in range(700)]
+    got = mixing.mix(spark.createDataFrame(rows, SCHEMA), {"a": 0.55, "b": 0.35, "c": 0.1}, cycle=100, block_rows=10).collect()
+    shares = {r.source: r.share for r in mixing.target_slots(spark.createDataFrame([("a", 1), ("b", 1), ("c", 1)], "source string, rows long"), {"a": 0.55, "b": 0.35, "c": 0.1}, 100).collect()}
+    end = max(r.slot for r in got if r.on_target) + 1
+    used = {(r.slot, r.source) for r in got if r.on_target}
+    assert end > 300
+    held = defaultdict(int)
+    source_at = dict(used)
+    for t in range(end):
+        held[source_at[t]] += 1
+        assert all(abs(held[s] - (t + 1) * shares[s] / 100) < 1 for s in shares)
+
+
+def test_the_mixture_is_written_in_order(spark, tmp_path):
+    rows = [(*r, f"text {n}") for n, r in enumerate(corpus())]
+    df = spark.createDataFrame(rows, "doc_id long, source string, mix_slot string").repartition(4)
+    mixing.mixed(df, cycle=60, block_rows=8).write.parquet(str(tmp_path / "out"))
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.columns == df.columns and sorted(map(tuple, got.collect()), key=str) == sorted(rows, key=str)
+    slots = {(r.source, r.doc_id): r.slot for r in mixing.mix(df, cycle=60, block_rows=8).collect() if r.doc_id is not None and r.doc_id != 5}
+    files = [spark.read.parquet(str(p)).collect() for p in sorted((tmp_path / "out").glob("part-*.parquet"))]
+    placed = [slots[r.source, r.doc_id] for f in files for r in f if (r.source, r.doc_id) in slots]
+    assert placed == sorted(placed)
+
+
+def test_more_sources_than_slots_no_rows_and_clashing_columns(spark):
+    rows = [(i, f"s{i % 30}", 1, 2) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, part int, slot int")
+    got = mixing.mix(df, cycle=10, block_rows=2)
+    assert got.count() == 300 and got.columns[:2] == ["doc_id", "source"]
+    assert got.filter("release > slot OR slot >= deadline").count() == 0
+    assert mixing.mix(df.limit(0)).count() == 0 == mixing.mixed(df.limit(0)).count()
