@@ -1,8 +1,9 @@
 """Audio sectors to packets, and packets to timecoded frames.
 
 All packets of a sector are decoded from its own row, without a shuffle.
-Frames are assembled by window functions over one exchange on the stream's
-key: both windows and the final grouping are dealt by it.
+Frames are numbered by window functions in blocks of a stream's sectors and
+assembled by their numbers, so that a task holds a block or a few frames,
+however long the stream is.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from discloom.functions.timecode import frame_count, in_range
 
 SECTOR_BYTES = 2048
 AUDIO, SUPPLEMENTARY, PADDING = 2, 3, 7
+#: Sectors of a stream (8 MiB) in which frames are numbered at once.
+BLOCK_SECTORS = 4096
 
 
 def decode_headers(sectors: DataFrame, data: str = "data") -> DataFrame:
@@ -102,9 +105,16 @@ def assemble(packs: DataFrame, keys: list[str], start: str | None = None, end: s
     passed over.
     """
     audio = packs.filter(F.col("data_type") == AUDIO)
-    audio = audio.withColumn("_st", F.col("frame_start") & F.col("info").isNotNull())
-    stream = Window.partitionBy(*keys).orderBy("lsn", "pno")
-    audio = audio.withColumn("_fid", F.sum(F.col("_st").cast("long")).over(stream)).filter("_fid > 0")
+    # A struct of the keys is equal to itself even where they are null.
+    audio = audio.withColumns({"_st": F.col("frame_start") & F.col("info").isNotNull(), "_part": F.struct(*keys, F.expr(f"lsn div {BLOCK_SECTORS}").alias("_block"))})
+    # Frames are numbered within blocks of sectors, after what the blocks before hold: no task gets a whole stream.
+    held = audio.groupBy("_part").agg(F.count_if("_st").alias("_held"))
+    stream = Window.partitionBy(*(F.col("_part")[k] for k in keys))
+    before = F.sum("_held").over(stream.orderBy(F.col("_part")["_block"])) - F.col("_held")
+    blocks = held.select(F.col("_part").alias("_of"), before.alias("_before"), F.sum("_held").over(stream).alias("_last"))
+    audio = audio.join(blocks, F.col("_part") == F.col("_of")).drop("_of")
+    nth = F.sum(F.col("_st").cast("long")).over(Window.partitionBy("_part").orderBy("lsn", "pno"))
+    audio = audio.withColumn("_fid", F.col("_before") + nth).filter("_fid > 0")
     frame = Window.partitionBy(*keys, "_fid").orderBy("lsn", "pno")
     whole = Window.partitionBy(*keys, "_fid")
     # A start without an info counts as a packet, but its bytes belong to no frame.
@@ -119,7 +129,7 @@ def assemble(packs: DataFrame, keys: list[str], start: str | None = None, end: s
         }
     )
     done = F.when((F.col("_n") >= F.coalesce("_sc", F.lit(0))) & (F.col("_bytes") > 0), F.col("lsn"))
-    audio = audio.withColumns({"_done": F.min(done).over(whole), "_last": F.max("_fid").over(Window.partitionBy(*keys))})
+    audio = audio.withColumn("_done", F.min(done).over(whole))
     own = audio.filter(F.col("_member") & (F.col("_done").isNull() | (F.col("lsn") <= F.col("_done"))))
     extra = [c for c in (start, end) if c]
     frames = own.groupBy(*keys, "_fid").agg(

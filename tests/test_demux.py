@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -94,6 +96,20 @@ def test_assembly_is_that_of_a_state_machine(spark, streams):
             assert got.get(str(n), []) == machine(s), s
 
 
+def test_blocks_of_a_stream_join_up(spark, monkeypatch):
+    monkeypatch.setattr(demux, "BLOCK_SECTORS", 3)
+    rng = random.Random(4)
+    streams = {}
+    for name in ("a", "b", None):
+        own = []
+        for _ in range(60):
+            packs = [(rng.randrange(2), rng.choice([2, 2, 3]), bytes(rng.randrange(1, 30))) for _ in range(rng.randrange(8))]
+            own.append((packs, [(0, rng.randrange(4), rng.randrange(75), rng.randrange(5)) for _ in range(rng.randrange(5))]))
+        streams[name] = own
+    got = frames(spark, [(name, i, sector(*x)) for name, own in streams.items() for i, x in enumerate(own)])
+    assert got == {name: machine(own) for name, own in streams.items()}
+
+
 def test_timecode_filter_and_counters(spark):
     rows = [("x", lsn, data) for lsn, data in audio_sectors([(t, bytes([t]) * 900) for t in range(10)])]
     packs = demux.packets(spark.createDataFrame(rows, SCHEMA), ["image"]).selectExpr("*", "3 AS a", "6 AS b")
