@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 from discloom.sources.remote import Session
 
@@ -71,30 +71,55 @@ class _Pruned(DataSourceReader):
         return [Span(image, a, min(a + step, high)) for a in range(max(self.low, 0), high, step)]
 
 
-class FileReader(_Pruned):
-    def paths(self) -> list[str]:
-        out = []
-        for p in (self.options.get("path") or "").split(","):
-            p = p.strip().removeprefix("file://")
-            out += sorted(os.path.join(p, x) for x in os.listdir(p) if x.endswith(".iso")) if os.path.isdir(p) else [p]
-        return out
+def _image_files(options: dict) -> dict[str, int]:
+    """Whole sectors of each image file that ``path`` names."""
+    out = []
+    for p in (options.get("path") or "").split(","):
+        p = p.strip().removeprefix("file://")
+        out += sorted(os.path.join(p, x) for x in os.listdir(p) if x.endswith(".iso")) if os.path.isdir(p) else [p]
+    return {p: os.stat(p).st_size // SECTOR for p in out}
+
+
+def _read_file(partition: Span) -> Iterator[pa.RecordBatch]:
+    if partition.high <= partition.low:
+        return
+    with open(partition.image, "rb") as f:
+        f.seek(partition.low * SECTOR)
+        for low in range(partition.low, partition.high, BATCH_SECTORS):
+            want = (min(low + BATCH_SECTORS, partition.high) - low) * SECTOR
+            data = f.read(want)
+            if len(data) < want:
+                raise OSError(f"{partition.image} ends in sector {low + len(data) // SECTOR}")
+            yield _batch(partition.image, low, data)
 
+
+class FileReader(_Pruned):
     def partitions(self) -> list[Span]:
         step = int(self.options.get("partitionSectors", PARTITION_SECTORS))
-        spans = [s for p in self.paths() for s in self.spans(p, os.stat(p).st_size // SECTOR, step)]
-        return spans or [Span("", 0, 0)]
+        return [s for p, n in _image_files(self.options).items() for s in self.spans(p, n, step)] or [Span("", 0, 0)]
 
     def read(self, partition: Span) -> Iterator[pa.RecordBatch]:
-        if partition.high <= partition.low:
-            return
-        with open(partition.image, "rb") as f:
-            f.seek(partition.low * SECTOR)
-            for low in range(partition.low, partition.high, BATCH_SECTORS):
-                want = (min(low + BATCH_SECTORS, partition.high) - low) * SECTOR
-                data = f.read(want)
-                if len(data) < want:
-                    raise OSError(f"{partition.image} ends in sector {low + len(data) // SECTOR}")
-                yield _batch(partition.image, low, data)
+        yield from _read_file(partition)
+
+
+class GrowingReader(DataSourceStreamReader):
+    """Follows files that grow and folders that get more; an offset is the number of sectors of each file."""
+
+    def __init__(self, options: dict) -> None:
+        self.options = options
+
+    def initialOffset(self) -> dict:
+        return {}
+
+    def latestOffset(self) -> dict:
+        return _image_files(self.options)
+
+    def partitions(self, start: dict, end: dict) -> list[Span]:
+        step = int(self.options.get("partitionSectors", PARTITION_SECTORS))
+        return [Span(p, a, min(a + step, n)) for p, n in end.items() for a in range(start.get(p, 0), n, step)] or [Span("", 0, 0)]
+
+    def read(self, partition: Span) -> Iterator[pa.RecordBatch]:
+        yield from _read_file(partition)
 
 
 class DiscSectors(DataSource):
@@ -110,6 +135,9 @@ class DiscSectors(DataSource):
     def reader(self, schema) -> FileReader:
         return FileReader(self.options)
 
+    def streamReader(self, schema) -> GrowingReader:
+        return GrowingReader(self.options)
+
 
 def server_address(text: str) -> tuple[str, int]:
     """``host:port``, of exactly two parts."""
