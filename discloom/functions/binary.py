@@ -28,7 +28,8 @@ def be_uint(data: Column, offset, size: int) -> Column:
 
 def be_bytes(value: Column, size: int) -> Column:
     """An integer in big-endian bytes, cut to ``size`` bytes."""
-    return F.unhex(F.right(F.lpad(F.hex(value.cast("long")), size * 2, "0"), F.lit(size * 2)))
+    digits = F.lpad(F.hex(value.cast("long")), max(16, size * 2), "0")
+    return F.unhex(F.right(digits, F.lit(size * 2)))
 
 
 def le_bytes(value: Column, size: int) -> Column:

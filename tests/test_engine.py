@@ -144,6 +144,9 @@ def test_missing_master_table_is_an_error(spark):
     with pytest.raises(Exception, match="no master table"):
         toc.discs(bad).collect()
     assert toc.discs(bad, strict=False).count() == 0
+    short = spark.createDataFrame([("disc", 3, b"x" * 2048)], SCHEMA)  # the sector itself is missing
+    with pytest.raises(Exception, match="no master table"):
+        toc.discs(short).collect()
 
 
 def test_missing_lists_are_null(spark):
