@@ -10,7 +10,6 @@ training rows in Spark; the driver sees one small matrix for each class.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,6 +38,8 @@ for _i, _bytes in enumerate(BYTE_CLASSES.values(), 1):
     CLASS_OF[list(_bytes)] = _i
 FEATURES = ["n_words", "word_len", "word_len_sd", *BYTE_CLASSES, "distinct", "stutter", "top_word", "marked_words"]
 SHRINK_POOLED, SHRINK_DIAGONAL = 0.15, 0.05
+#: Statistics are summed in units of one by this.
+FRACTION = float(1 << 20)
 
 
 def features(texts: pa.Array) -> np.ndarray:
@@ -121,34 +122,29 @@ def discriminant(n: np.ndarray, total: np.ndarray, outer: np.ndarray) -> Discrim
 def fit(docs: DataFrame, labels: DataFrame, training: Column, text: str = "text", id_col: str = "doc_id", label: str = "quality") -> Discriminant:
     """Fit on all labelled rows of ``docs`` that ``training`` (on the id) allows."""
     d = len(FEATURES)
-    size = 1 + d + d * d
 
     def vectors(texts: pa.Array) -> pa.Array:
         flat_values = features(texts)
         offsets = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * d)
         return pa.ListArray.from_arrays(offsets, pa.array(flat_values.ravel()))
 
-    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, size))
-        for b in batches:
-            y = b.column(0).to_numpy(zero_copy_only=False)
-            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(y), d)
-            for c in (0, 1):
-                own = x[y == c]
-                sums[c] += np.concatenate([[len(own)], own.sum(0), (own.T @ own).ravel()])
-        where = np.arange(2 * size, dtype=np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(where), pa.array(sums.ravel())], ["at", "value"])
-
     vector = F.arrow_udf(vectors, "array<double>")
     train = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).filter(training)
     known = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y")).filter(F.col("y").isin(0, 1))
     rows = train.select("id", vector("text").alias("x")).join(known, "id").select("y", "x")
-    sums = rows.mapInArrow(moments, "at int, value double").groupBy("at").agg(F.sum("value").alias("value"))
-    flat_sums = np.zeros(2 * size)
-    for r in sums.collect():  # one value for each entry of the two matrices
-        flat_sums[r["at"]] = r["value"]
-    s = flat_sums.reshape(2, size)
-    return discriminant(s[:, 0], s[:, 1 : 1 + d], s[:, 1 + d :].reshape(2, d, d))
+    x = [F.col("x")[i] for i in range(d)]
+    pairs = [(i, j) for i in range(d) for j in range(i, d)]
+    # Sums of entries and of products of two, in Spark: no second Python worker beside the one that makes the vectors.
+    # Whole numbers add up to the same whatever the order in which tasks end.
+    whole = lambda v: F.sum(F.round(v * FRACTION).cast("long"))
+    sums = rows.groupBy("y").agg(F.count("*"), *(whole(v) for v in x), *(whole(x[i] * x[j]) for i, j in pairs))
+    n, total, outer = np.zeros(2), np.zeros((2, d)), np.zeros((2, d, d))
+    for y, count, *values in sums.collect():  # one row for each class
+        values = np.array(values, float) / FRACTION
+        n[y], total[y] = count, values[:d]
+        for (i, j), value in zip(pairs, values[d:], strict=True):
+            outer[y, i, j] = outer[y, j, i] = value
+    return discriminant(n, total, outer)
 
 
 def scorer(model: Discriminant):
