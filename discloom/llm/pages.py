@@ -36,7 +36,7 @@ ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 #: Where the search for an element to end stops.
 SCOPES = frozenset("ul ol dl table select body html".split())
 BOILERPLATE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|advertising|adbox|banner|breadcrumbs?|byline-share|comments?|commentlist|respond|replies|disqus|cookies?|consent|"
+    r"(?:^|[\s_-])(?:ad|ads|adsbygoogle|adslot|adunit|advert|adverts|advertisement|advertising|adbox|banner|breadcrumbs?|byline-share|comments?|commentlist|respond|replies|reactions|feedback|disqus|cookies?|cookiebar|cookiebanner|consent|"
     r"disclaimer|footer|footnav|gdpr|header|masthead|menu|menubar|modal|nav|navbar|navigation|newsletter|notice|notices|notification|pagination|pager|popup|promo|promoted|"
     r"related|recommended|share|sharing|sidebar|side|skip|social|sponsor|sponsored|subscribe|toolbar|topbar|widget)(?:$|[\s_-])",
     re.I,
@@ -44,8 +44,10 @@ BOILERPLATE = re.compile(
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*'|[\"'])*)(?:>|$)", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-NAMING = re.compile(r"class|id|role|hidden", re.I)
+ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+NAMING = re.compile(r"class|id|role|hidden|style", re.I)
+UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 PARAGRAPH, NOT_INLINE = frozenset({"p"}), lambda tag: tag not in INLINE
 ENDS_RAW = {tag: re.compile(rf"</{tag}(?=[\s/>]|$)", re.I) for tag in RAW}
 
@@ -66,8 +68,9 @@ def _named(tag: str, attributes: str) -> tuple[str, bool]:
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         value, name = a or b or c, name.lower()
         hide |= name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "role" and value.lower() in ROLES
+        hide |= name == "style" and UNSEEN.search(value) is not None
         if name in ("class", "id"):
-            hide |= BOILERPLATE.search(value) is not None and tag not in ("body", "html", "main", "article")
+            hide |= BOILERPLATE.search(HUMP.sub("-", value)) is not None and tag not in ("body", "html", "main", "article")
         if name == "class":
             names = ".".join(sorted(re.sub(r"\d+", "#", value).lower().split()))
     return names, hide

@@ -25,6 +25,14 @@ def test_article_without_what_surrounds_it(spark):
     assert got[1] == " ".join(f"A & B One two three four €<p> {LONG}".split())
 
 
+def test_attributes_are_read_as_such(spark):
+    body = (
+        f"<article title='the hidden sidebar' data-class=\"ad\"><p title=\"a > b\">{LONG}</p><div class='readerComments'>No</div><p style=\"display: none\">No</p>"
+        '<section id=sideBar>No</section><p hidden>No</p><div class="addition shadow">Yes</div></article>'
+    )
+    assert texts(spark, [(1, "http://x.org/1", page(body))])[1] == " ".join(f"{LONG} Yes".split())
+
+
 def test_blocks_are_joined_and_unclosed_elements_end(spark):
     body = f"<main><p>One<p>Two<ul><li>a<li>b</ul><table><tr><td>c<td>d</table>{LONG}<!-- no --><![CDATA[kept]]></main>"
     assert texts(spark, [(1, "http://x.org/1", page(body))])[1] == " ".join(f"One Two a b c d {LONG} kept".split())
