@@ -300,11 +300,12 @@ def links(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text"
     placed = shared.filter("members > 2").join(comps, F.col("rep") == F.col("node"), "left")
     placed = placed.select("key", "rep", F.coalesce("root", "rep").alias("comp"))
     held = placed.groupBy("key", "comp").agg(F.count("*").alias("size"))
-    mixed = held.groupBy("key").agg(F.count("*").alias("comps"), F.max(F.struct("size", "comp"))["comp"].alias("main"))
-    mixed = mixed.filter("comps > 1").select("key", "main")
-    placed = placed.join(mixed, "key").withColumn("out", F.col("comp") != F.col("main"))
-    sizes = placed.groupBy("key").agg(*(F.greatest(F.lit(1), F.ceil(F.count_if(c) / BLOCK)).alias(n) for n, c in (("outs", F.col("out")), ("ins", ~F.col("out")))))
-    dealt = placed.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("rep"), F.when(F.col("out"), F.col("outs")).otherwise(F.col("ins"))))
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK))
+    most = F.max("size")
+    mixed = held.groupBy("key").agg(F.count("*").alias("comps"), F.max(F.struct("size", "comp"))["comp"].alias("main"), blocks(F.sum("size") - most).alias("outs"), blocks(most).alias("ins"))
+    # One plain join, of which Spark can split the hot keys.
+    placed = placed.join(mixed.filter("comps > 1"), "key").withColumn("out", F.col("comp") != F.col("main"))
+    dealt = placed.withColumn("block", F.pmod(F.xxhash64("rep"), F.when(F.col("out"), F.col("outs")).otherwise(F.col("ins"))))
     # Members of the main component meet all others; blocks of others meet each other and themselves.
     zero = F.lit(0).cast("long")
     meet_outs = F.transform(F.sequence(zero, F.col("outs") - 1), lambda y: F.struct((-F.col("block") - 1).alias("x"), y.alias("y"), F.lit(0).alias("side")))
