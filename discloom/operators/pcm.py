@@ -49,8 +49,8 @@ def blocks(samples: DataFrame, keys: list[str], order: str, raw: str = "raw", ch
     The bytes of a stream (what shares ``keys``, by ``order``) go round the
     channels.  ``start`` names a column with the bytes of each channel that come
     before the stream, which is where a gapless album's track begins; the first
-    and last block may then be parts.  Only sizes pass the window; bytes move
-    once, to their block.
+    and last block may then be parts.  Bytes move twice: to their stream (a
+    track, whose size a disc bounds) and to their block.
     """
     w = Window.partitionBy(*keys).orderBy(order)
     size = F.length(raw).cast("long")

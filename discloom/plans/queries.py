@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from discloom.functions import binary as B
 from discloom.functions import timecode as T
-from discloom.operators import demux, report, tag, toc, tracks
+from discloom.operators import demux, pcm, report, tag, toc, tracks
 from discloom.plans import synthesis
 from discloom.plans.extract import Tables, read_tables
 
@@ -146,6 +146,15 @@ def deinterleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", *(F.md5(F.hex(F.col("c")[i]).cast("binary")).alias(f"channel_{i}") for i in (0, 1)))
 
 
+def channel_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as samples of two channels, in pieces of 999 bytes: the padded blocks of their files."""
+    texts = _table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("d")).filter("length(d) > 0")
+    piece = F.explode(F.expr("sequence(0, (length(d) - 1) div 999)"))
+    samples = texts.select("doc_id", "d", piece.alias("n")).select("doc_id", "n", F.expr("substring(d, n * 999 + 1, 999)").alias("raw"), F.lit(2).alias("channels"))
+    found = pcm.padded(pcm.blocks(samples, ["doc_id"], "n"))
+    return found.select("doc_id", "block_no", "channel", F.md5(F.hex("bytes").cast("binary")).alias("digest"))
+
+
 def sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page addresses as file names."""
     return _table(spark, sf_dir, "pages").select("page_id", B.sanitized(F.col("url")).alias("name"))
@@ -199,7 +208,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         frame_roundtrip, frame_counters, disc_tracks, disc_heads, id3_fields, report_lines, audio_names, track_ranges, timecode_range_join, sector_range_join,
-        gapless_carry, toc_resolution, bit_reverse, deinterleave, sanitize, timecode_encode, bitfield_decode, byte_orders, dimensions, track_select, image_sizes,
+        gapless_carry, toc_resolution, bit_reverse, deinterleave, channel_blocks, sanitize, timecode_encode, bitfield_decode, byte_orders, dimensions, track_select, image_sizes,
     )
 }
 
@@ -259,6 +268,11 @@ ORACLE_SQL: dict[str, str] = {
     "bit_reverse": f"""SELECT conv_id, turn, md5(regexp_replace(translate(hex(encode(text)), '0123456789ABCDEF', '{B.REVERSED_DIGITS}'), '(.)(.)', '\\2\\1', 'g')) AS digest FROM conversations""",
     "deinterleave": """SELECT conv_id, turn, md5(regexp_replace(hex(encode(text)), '(..)(..)?', '\\1', 'g')) AS channel_0,
         md5(regexp_replace(hex(encode(text)), '(..)(..)?', '\\2', 'g')) AS channel_1 FROM conversations""",
+    "channel_blocks": f"""WITH h AS (SELECT doc_id, translate(regexp_replace(hex(encode(text)), '(.)(.)', '\\2\\1', 'g'), '0123456789ABCDEF', '{B.REVERSED_DIGITS}') AS x
+            FROM documents WHERE octet_length(encode(text)) > 0),
+        c AS (SELECT doc_id, 0 AS channel, regexp_replace(x, '(..)(..)?', '\\1', 'g') AS y FROM h UNION ALL SELECT doc_id, 1, regexp_replace(x, '(..)(..)?', '\\2', 'g') FROM h),
+        b AS (SELECT doc_id, channel, y, unnest(range(0, (length(y) + 8191) // 8192)) AS block_no FROM c)
+        SELECT doc_id, block_no, channel, md5(rpad(substr(y, block_no * 8192 + 1, 8192), 8192, '0')) AS digest FROM b""",
     "sanitize": r"""SELECT page_id, trim(regexp_replace(url, '[/\\:*?"<>|[:cntrl:]]', '_', 'g')) AS name FROM pages""",
     "timecode_encode": """WITH t AS (SELECT l_orderkey, l_linenumber, CAST(l_partkey % 80 * 4500 + l_suppkey % 60 * 75 + l_orderkey % 75 AS INTEGER) AS tc FROM lineitem)
         SELECT l_orderkey, l_linenumber, tc, lpad(CAST(tc // 4500 AS VARCHAR), 2, '0') || ':' || lpad(CAST(tc // 75 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(tc % 75 AS VARCHAR), 2, '0') AS clock
