@@ -147,11 +147,11 @@ def mixed(docs: DataFrame, source: str = "source", id_col: str = "doc_id", **opt
     from the result and read one after another give the mixture.  Rows with a
     null or repeated id keep their own place among the rows of their source.
     """
-    key, nth, slot, place = (fresh(docs, c) for c in ("mix_key", "mix_nth", "mix_slot", "mix_place"))
+    key, nth, slot, place, k, n = (fresh(docs, c) for c in ("mix_key", "mix_nth", "mix_slot", "mix_place", "plan_key", "plan_nth"))
     plan = mix(docs, None, source, id_col, **options)
     plan = plan.select(
-        F.xxhash64(id_col, source).alias("k"),
-        F.row_number().over(Window.partitionBy(F.xxhash64(id_col, source)).orderBy(id_col, source, "slot", "in_block")).alias("n"),
+        F.xxhash64(id_col, source).alias(k),
+        F.row_number().over(Window.partitionBy(F.xxhash64(id_col, source)).orderBy(id_col, source, "slot", "in_block")).alias(n),
         F.col("slot").alias(slot),
         F.col("in_block").alias(place),
     )
@@ -159,5 +159,5 @@ def mixed(docs: DataFrame, source: str = "source", id_col: str = "doc_id", **opt
     # difference, so that both sides stay dealt by the key alone and long texts move once.
     own = docs.withColumn(key, F.xxhash64(id_col, source))
     own = own.withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(id_col, source)))
-    joined = own.join(plan, (F.col(key) == F.col("k")) & (F.col(nth) - F.col("n") == 0))
+    joined = own.join(plan, (F.col(key) == F.col(k)) & (F.col(nth) - F.col(n) == 0))
     return joined.repartitionByRange(slot, place).sortWithinPartitions(slot, place).select(*docs.columns)
