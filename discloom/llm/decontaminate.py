@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from discloom.llm.support import cut
+
 #: Edits allowed for each character of an item.
 RATE = 0.05
 #: Bytes of items searched for at once; a larger benchmark takes several passes.
@@ -192,9 +194,13 @@ def contaminated(
     return out.withColumnRenamed("id", id_col)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, text: str = "text", item_text: str = "text", item_id: str = "item_id") -> DataFrame:
+def drop_contaminated(
+    docs: DataFrame, benchmark: DataFrame, rate: float = RATE, text: str = "text", item_text: str = "text", item_id: str = "item_id", item_bytes: int = ITEM_BYTES
+) -> DataFrame:
     """The rows of ``docs``, with their columns, that hold no item of the benchmark."""
-    for items in item_slices(benchmark, item_text, item_id):
+    for nth, items in enumerate(item_slices(benchmark, item_text, item_id, item_bytes)):
+        # A pass for each slice: in one pass, tasks would build all matchers over and over.
+        docs = cut(docs) if nth else docs
         docs = docs.filter(~_holds(_shared(docs.sparkSession, items, rate))(F.col(text)))
     return docs
 

@@ -70,7 +70,7 @@ def test_all_items_within_the_budget_are_found(spark, rate, item_bytes):
             text = next(normal(t) for n, t in docs if n == r.doc_id)
             assert text.startswith(normal(dict(items)[r.item_id]), r.start)
     held = {e[0] for e in expected}
-    kept = decontaminate.drop_contaminated(df, benchmark, rate).collect()
+    kept = decontaminate.drop_contaminated(df, benchmark, rate, item_bytes=item_bytes).collect()
     assert sorted((r.doc_id for r in kept), key=str) == sorted((n for n, _ in docs if n not in held), key=str)
 
 
