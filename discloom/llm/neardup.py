@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from discloom.llm.components import UnionFind, components
@@ -35,6 +35,8 @@ SLOTS, BAND = 200, 5
 IMPLICIT_STEPS = 9
 #: Members compared with a centre, or dealt into one block, in one task's turn.
 BLOCK = 192
+#: Codes and columns of a tile's membership matrices that are made at once.
+RANGE_CODES, MATRIX_COLUMNS = 1 << 20, 4096
 #: Bits of the filter that keeps most uninvolved documents out of the set table.
 FILTER_BITS = 1 << 25
 
@@ -216,28 +218,59 @@ def _star_links(percent: int):
     return run
 
 
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sorted sets of codes, by products of membership matrices.
+
+    Codes are taken in ranges that hold about ``RANGE_CODES`` of them, and only
+    those that two sets have become columns.
+    """
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    ranges = -(-sum(map(len, sets)) // RANGE_CODES)
+    cuts = np.array([(r << 64) // ranges for r in range(1, ranges)], U64)
+    edges = [np.searchsorted(s, cuts) for s in sets]
+    for r in range(ranges):
+        parts = [s[e[r - 1] if r else 0 : e[r] if r < ranges - 1 else len(s)] for s, e in zip(sets, edges, strict=True)]
+        _, column, count = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+        shared = np.cumsum(count > 1) - 1
+        row, keep = np.repeat(np.arange(len(sets)), list(map(len, parts))), count[column] > 1
+        row, column = row[keep], shared[column[keep]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        for low in range(0, int(column[-1]) + 1 if len(column) else 0, MATRIX_COLUMNS):
+            a, b = np.searchsorted(column, [low, low + MATRIX_COLUMNS])
+            member = np.zeros((len(sets), min(MATRIX_COLUMNS, int(column[-1]) + 1 - low)), np.float32)
+            member[row[a:b], column[a:b] - low] = 1
+            both += member @ member.T
+    return both.astype(np.int64)
+
+
 def _tile_links(percent: int):
     """Rows sorted by tile; links of members of different components."""
 
-    def links(tile: list[tuple]) -> list[tuple[int, int]]:
-        sets, out = UnionFind(), []
-        for i, (side_a, node_a, comp_a, codes_a) in enumerate(tile):
-            for side_b, node_b, comp_b, codes_b in tile[i + 1 :]:
-                # Both of one side only where the tile is a block with itself (side 2).
-                if (side_a != side_b or side_a == 2) and sets.find(comp_a) != sets.find(comp_b) and similar(codes_a, codes_b, percent):
-                    sets.union(comp_a, comp_b)
-                    out.append((node_a, node_b))
-        return out
+    def links(tile: list[tuple]) -> pa.RecordBatch:
+        if not tile:
+            return _edges([], [])
+        side, node, comp, codes = (list(x) for x in zip(*tile, strict=True))
+        sets, us, vs = UnionFind(), [], []
+        size, sides, comps = np.array(list(map(len, codes))), np.array(side), np.array(comp)
+        both = overlaps(codes)
+        # Both of one side only where the tile is a block with itself (side 2).
+        meets = ((sides[:, None] != sides) | (sides == 2)) & (comps[:, None] != comps) & (both > 0)
+        meets &= 100 * both >= percent * (size[:, None] + size - both)
+        for i, j in zip(*(x.tolist() for x in np.nonzero(np.triu(meets, 1))), strict=True):
+            if sets.union(comp[i], comp[j]):
+                us.append(node[i])
+                vs.append(node[j])
+        return _edges(us, vs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, tile = None, []
         for key, x, y, side, node, comp, codes in _rows(batches):
             if at != (key, x, y):
-                if found := links(tile):
-                    yield _edges(*map(list, zip(*found, strict=True)))
+                yield links(tile)
                 at, tile = (key, x, y), []
             tile.append((side, node, comp, codes.copy()))
-        yield _edges(*map(list, zip(*links(tile), strict=True))) if tile and (found := links(tile)) else _edges([], [])
+        yield links(tile)
 
     return run
 
@@ -272,13 +305,14 @@ def links(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text"
     classes = signed.filter("n > 0").groupBy("n", "p1", "p2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
     classes = cut(classes)
     banded = classes.select("rep", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
-    shared = cut(banded.join(shared, "key"))
+    # Written tables have no partitioning, so in their joins by key Spark can split a hot key.
+    counted = cut(banded.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1"))
+    shared = cut(banded.join(counted, "key"))
 
     # The centre of a bucket is the member whose buckets have the most members.
     fame = shared.groupBy("rep").agg(F.sum("members").alias("fame"))
     famed = shared.join(fame, "rep")
-    centres = famed.groupBy("key").agg(F.min(F.struct(-F.col("fame"), F.col("rep").alias("rep")))["rep"].alias("centre"))
+    centres = cut(famed.groupBy("key").agg(F.min(F.struct(-F.col("fame"), F.col("rep").alias("rep")))["rep"].alias("centre")))
     pairs = cut(shared.join(centres, "key").filter("rep <> centre").select("centre", "rep").distinct())
 
     involved = shared.select(F.col("rep").alias("id")).distinct()
@@ -303,8 +337,8 @@ def links(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text"
     blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK))
     most = F.max("size")
     mixed = held.groupBy("key").agg(F.count("*").alias("comps"), F.max(F.struct("size", "comp"))["comp"].alias("main"), blocks(F.sum("size") - most).alias("outs"), blocks(most).alias("ins"))
-    # One plain join, of which Spark can split the hot keys.
-    placed = placed.join(mixed.filter("comps > 1"), "key").withColumn("out", F.col("comp") != F.col("main"))
+    mixed = cut(mixed.filter("comps > 1"))
+    placed = placed.join(mixed, "key").withColumn("out", F.col("comp") != F.col("main"))
     dealt = placed.withColumn("block", F.pmod(F.xxhash64("rep"), F.when(F.col("out"), F.col("outs")).otherwise(F.col("ins"))))
     # Members of the main component meet all others; blocks of others meet each other and themselves.
     zero = F.lit(0).cast("long")
@@ -356,9 +390,10 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "te
 
     Of rows that share an id, one stays.  Rows with a null id stay.
     """
-    rows = near_duplicates(docs.filter(F.col(id_col).isNotNull()), width, percent, text, id_col)
-    gone = rows.filter(~F.col("kept")).select(F.col(id_col).alias("i")).distinct()
-    nth = fresh(docs, "nth_row")
-    numbered = docs.withColumn(nth, F.row_number().over(Window.partitionBy(id_col).orderBy(id_col)))
-    left = numbered.join(gone.hint("shuffle_hash"), F.col(id_col) == F.col("i"), "left_anti")
-    return left.filter(F.col(id_col).isNull() | (F.col(nth) == 1)).drop(nth)
+    named = docs.filter(F.col(id_col).isNotNull())
+    rows = near_duplicates(named, width, percent, text, id_col)
+    lost = fresh(docs, "lost")
+    gone = rows.filter(~F.col("kept")).select(F.col(id_col).alias(lost)).distinct()
+    # Rows of one id are reduced before they are dealt, however many there are.
+    left = named.dropDuplicates([id_col]).join(gone.hint("shuffle_hash"), F.col(id_col) == F.col(lost), "left_anti")
+    return left.unionByName(docs.filter(F.col(id_col).isNull()))

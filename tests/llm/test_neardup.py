@@ -112,6 +112,18 @@ def test_signatures_estimate_similarity():
     assert sorted((alone[0] >> np.uint64(48)).tolist()) == list(range(neardup.SLOTS))
 
 
+@pytest.mark.parametrize(("codes", "columns"), [(neardup.RANGE_CODES, neardup.MATRIX_COLUMNS), (300, 7)])
+def test_overlaps_of_all_pairs(monkeypatch, codes, columns):
+    monkeypatch.setattr(neardup, "RANGE_CODES", codes)
+    monkeypatch.setattr(neardup, "MATRIX_COLUMNS", columns)
+    rng = np.random.default_rng(6)
+    pool = rng.integers(0, 1 << 64, 500, np.uint64)
+    sets = [np.unique(rng.choice(pool, n)) for n in (200, 200, 1, 3, 400, 0, 50)]
+    got = neardup.overlaps(sets)
+    assert got.tolist() == [[len(set(a.tolist()) & set(b.tolist())) if i != j else got[i, j] for j, b in enumerate(sets)] for i, a in enumerate(sets)]
+    assert neardup.overlaps([np.empty(0, np.uint64)] * 2).tolist() == [[0, 0], [0, 0]]
+
+
 def test_connected_components(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(1000, 1400)] + [(3, 3)]
