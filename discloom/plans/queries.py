@@ -188,7 +188,7 @@ def dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     return _table(spark, sf_dir, "orders").select(
         "o_orderkey", T.genre_name(k % 3, k % 31).alias("genre"), T.category_name(k % 4).alias("category"), T.character_set(k.cast("int")).alias("charset"),
-        T.sectors_of_three_frames(k % 9).alias("spf3"), T.channel_type(k % 8).alias("channel_type"), T.channel_hint((k % 4).cast("int")).alias("hint"),
+        F.coalesce(T.sectors_of_three_frames(k % 9), F.lit(0)).alias("spf3"), T.channel_type(k % 8).alias("channel_type"), T.channel_hint((k % 4).cast("int")).alias("hint"),
     )
 
 
@@ -284,7 +284,7 @@ ORACLE_SQL: dict[str, str] = {
         lpad(to_hex(((n >> 21) & 127) * 16777216 + ((n >> 14) & 127) * 65536 + ((n >> 7) & 127) * 256 + (n & 127)), 8, '0') AS safe FROM h""",
     "dimensions": f"""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 1 AND o_orderkey % 31 < 29 THEN {_GENRES}[o_orderkey % 31 + 1] END AS genre,
         CASE WHEN o_orderkey % 4 < 3 THEN ['Not used', 'General', 'Japanese'][o_orderkey % 4 + 1] END AS category, {_SETS}[o_orderkey % 8 + 1] AS charset,
-        CAST(CASE WHEN o_orderkey % 9 IN (0, 2, 4, 5, 6, 7) THEN 14 WHEN o_orderkey % 9 = 3 THEN 16 END AS INTEGER) AS spf3,
+        CAST(CASE WHEN o_orderkey % 9 IN (0, 2, 4, 5, 6, 7) THEN 14 WHEN o_orderkey % 9 = 3 THEN 16 ELSE 0 END AS INTEGER) AS spf3,
         CAST(CASE o_orderkey % 8 WHEN 1 THEN 1 WHEN 3 THEN 3 WHEN 4 THEN 4 WHEN 5 THEN 6 WHEN 6 THEN 7 ELSE 2 END AS INTEGER) AS channel_type,
         CAST(CASE o_orderkey % 4 WHEN 2 THEN 6 WHEN 1 THEN 5 ELSE 2 END AS INTEGER) AS hint FROM orders""",
     "track_select": "SELECT l_orderkey, l_linenumber AS track_no FROM lineitem WHERE l_linenumber IN (1, 2, 4)",
