@@ -291,12 +291,13 @@ def _bit_of(column: str):
     return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)) + 1
 
 
-def links(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", id_col: str = "doc_id", slots: int = SLOTS, band: int = BAND) -> tuple[DataFrame, DataFrame]:
+def links(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", id_col: str = "doc_id", slots: int = SLOTS, band: int = BAND) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Classes of equal sets and confirmed links between their representatives.
 
-    Returns ``(rows, edges)``: ``rows (id, n, rep)`` has each row of ``docs``
-    with a non-null id, its set's size and its class's smallest id (null for an
-    empty set); ``edges (u, v)`` link representatives.
+    Returns ``(rows, classes, edges)``: ``rows (id, n, p1, p2)`` has each row of
+    ``docs`` with a non-null id, its set's size and two prints of its set;
+    ``classes (n, p1, p2, rep)`` has each class of equal sets that aren't empty
+    and its smallest id; ``edges (u, v)`` link these.
     """
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).filter("id is not null")
@@ -357,8 +358,7 @@ def links(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text"
     tiles = tiles.join(sets, "id").select("key", "x", "y", "side", "id", "comp", "codes")
     tiles = tiles.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
     more = cut(tiles.mapInArrow(_tile_links(percent), "u long, v long").distinct())
-    rows = signed.select("id", "n", "p1", "p2").join(classes.select("n", "p1", "p2", "rep"), ["n", "p1", "p2"], "left").select("id", "n", "rep")
-    return rows, edges.union(more)
+    return signed.select("id", "n", "p1", "p2"), classes.select("n", "p1", "p2", "rep"), edges.union(more)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", id_col: str = "doc_id", slots: int = SLOTS, band: int = BAND) -> DataFrame:
@@ -371,12 +371,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     document in links, for which the least of their sets stands.  A row with a null id is linked with nothing: its
     ``component_id`` is null and it is kept.  Other columns are ignored.
     """
-    rows, edges = links(docs, width, percent, text, id_col, slots, band)
-    comps = components(edges)
-    # Classes are resolved before their rows, which may be very many.
-    reps = rows.filter("rep is not null").select("rep").distinct()
-    reps = reps.join(comps, F.col("rep") == F.col("node"), "left").select(F.col("rep").alias("r"), F.coalesce("root", "rep").alias("component_id"))
-    out = rows.join(reps, F.col("rep") == F.col("r"), "left").select("id", "n", F.coalesce("component_id", "id").alias("component_id"))
+    rows, classes, edges = links(docs, width, percent, text, id_col, slots, band)
+    # Classes are placed before their rows, which may be very many: one join of rows, of which Spark can split a hot class.
+    placed = classes.join(components(edges), F.col("rep") == F.col("node"), "left")
+    placed = cut(placed.select("n", "p1", "p2", F.coalesce("root", "rep").alias("component_id")))
+    out = rows.join(placed, ["n", "p1", "p2"], "left").select("id", "n", F.coalesce("component_id", "id").alias("component_id"))
     out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
     unnamed = docs.filter(F.col(id_col).isNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
     schema = "id long, n long, p1 long, p2 long, bands array<long>"
