@@ -323,7 +323,7 @@ def links(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text"
     sets = cut(sets.join(involved, "id", "left_semi").groupBy("id").agg(F.min("codes").alias("codes")))
 
     turns = F.expr(f"(degree + {BLOCK - 1}) div {BLOCK}")
-    degrees = pairs.groupBy("centre").agg(F.count("*").alias("degree")).select("centre", turns.alias("turns"))
+    degrees = cut(pairs.groupBy("centre").agg(F.count("*").alias("degree")).select("centre", turns.alias("turns")))
     members = pairs.join(degrees, "centre").select("centre", F.pmod(F.xxhash64("rep"), F.col("turns")).alias("turn"), F.lit(1).alias("member"), F.col("rep").alias("id"))
     middles = degrees.select("centre", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)).alias("turn"), F.lit(0).alias("member"), F.col("centre").alias("id"))
     rows = members.unionByName(middles).join(sets, "id").select("centre", "turn", "member", "id", "codes")
