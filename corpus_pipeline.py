@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from discloom.llm import decontaminate, mixing, neardup, quality, sharding
-from discloom.llm.support import shared_folder, table
+from discloom.llm.support import fresh, shared_folder, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +31,13 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their shard; equal texts share one."""
-    return sharding.shard_documents(docs)
+    """All documents with their shard and place in the mixture, each shard in its order; equal texts share a shard.
+
+    Reading Parquet keeps no order, so the place is worked out again from the rows.
+    """
+    place = fresh(docs, "mix_place")
+    out = sharding.shard_documents(mixing.with_places(docs, place), order=place)
+    return out.select(*docs.columns, *out.columns[-1:], place)
 
 
 STAGES = [

@@ -140,24 +140,33 @@ def mix(
     )
 
 
-def mixed(docs: DataFrame, source: str = "source", id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs``, with their columns, in the order of the mixture.
+def with_places(docs: DataFrame, place: str, source: str = "source", id_col: str = "doc_id", block_rows: int = BLOCK_ROWS, **options) -> DataFrame:
+    """The rows of ``docs``, with their columns, and their place in the mixture as ``place``.
 
-    Partitions hold consecutive ranges of slots and are sorted, so files written
-    from the result and read one after another give the mixture.  Rows with a
-    null or repeated id keep their own place among the rows of their source.
+    Places are distinct, and in order they give the mixture; slots that stay
+    unused leave gaps.  Rows with a null or repeated id keep their own place
+    among the rows of their source.
     """
-    key, nth, slot, place, k, n = (fresh(docs, c) for c in ("mix_key", "mix_nth", "mix_slot", "mix_place", "plan_key", "plan_nth"))
-    plan = mix(docs, None, source, id_col, **options)
+    key, nth, k, n = (fresh(docs, c) for c in ("mix_key", "mix_nth", "plan_key", "plan_nth"))
+    plan = mix(docs, None, source, id_col, block_rows=block_rows, **options)
     plan = plan.select(
         F.xxhash64(id_col, source).alias(k),
         F.row_number().over(Window.partitionBy(F.xxhash64(id_col, source)).orderBy(id_col, source, "slot", "in_block")).alias(n),
-        F.col("slot").alias(slot),
-        F.col("in_block").alias(place),
+        (F.col("slot") * block_rows + F.col("in_block")).alias(place),
     )
     # Rows with equal keys are told apart by their number.  The number is compared by a
     # difference, so that both sides stay dealt by the key alone and long texts move once.
     own = docs.withColumn(key, F.xxhash64(id_col, source))
     own = own.withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(id_col, source)))
     joined = own.join(plan, (F.col(key) == F.col(k)) & (F.col(nth) - F.col(n) == 0))
-    return joined.repartitionByRange(slot, place).sortWithinPartitions(slot, place).select(*docs.columns)
+    return joined.select(*docs.columns, place)
+
+
+def mixed(docs: DataFrame, source: str = "source", id_col: str = "doc_id", **options) -> DataFrame:
+    """The rows of ``docs``, with their columns, in the order of the mixture.
+
+    Partitions hold consecutive ranges of places and are sorted, so files written
+    from the result and read one after another give the mixture.
+    """
+    place = fresh(docs, "mix_place")
+    return with_places(docs, place, source, id_col, **options).repartitionByRange(place).sortWithinPartitions(place).drop(place)

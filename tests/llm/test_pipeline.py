@@ -3,10 +3,11 @@
 import random
 from collections import defaultdict
 
+import pyarrow.parquet as pq
 import pytest
 
 import corpus_pipeline
-from discloom.llm import decontaminate
+from discloom.llm import decontaminate, mixing
 from discloom.llm.decontaminate import normal
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -117,6 +118,18 @@ def test_mixing_and_sharding_keep_every_row(stages):
     assert max(sizes.values()) - min(sizes.values()) <= 200
 
 
+def test_shards_are_in_the_order_of_the_mixture(spark, tables, stages, tmp_path):
+    before, after = stages["sharding"]
+    plan = mixing.mix(spark.createDataFrame(list(before.values()), SCHEMA)).orderBy("slot", "in_block").collect()
+    nth = {r.doc_id: i for i, r in enumerate(plan)}
+    assert len({r.source for r in plan}) > 2 and len(nth) == len(after)
+    assert [r.doc_id for r in sorted(after, key=lambda r: r.mix_place)] == sorted(nth, key=nth.get)
+    # Files one after another.
+    corpus_pipeline.sharding_stage(spark, spark.createDataFrame(list(before.values()), SCHEMA), tables[0]).write.parquet(str(tmp_path / "out"))
+    rows = [(r["shard"], nth[r["doc_id"]]) for f in sorted((tmp_path / "out").glob("*.parquet")) for r in pq.read_table(str(f)).to_pylist()]
+    assert rows == sorted(rows) and len(rows) == len(nth) and len({s for s, _ in rows}) == 16
+
+
 def test_the_whole_pipeline(spark, tables, stages):
     got = corpus_pipeline.run(spark, tables[0])
     assert sorted(r.doc_id for r in got.collect()) == sorted(r.doc_id for r in stages["sharding"][1])
