@@ -11,7 +11,6 @@ logistic function of the strongest ones gives the score of the text.
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -97,10 +96,17 @@ class Decoder:
         return _decoder, (self.cost,)
 
     def read(self, word: str, most: int = READINGS) -> list[str]:
-        """The likeliest readings of a lower-case word, best first."""
+        """The likeliest readings of a lower-case word, best first.
+
+        Viterbi decoding: for each state, the last two symbols, the cheapest
+        ``most`` different readings are kept, and no state is given up, so the
+        result is exact.  A reading is a number that leads back to the reading
+        before its last letter; equal readings have one number.
+        """
         cost, symbol = self.cost, SYMBOL
-        beam = {(0, 0, ""): 0.0}
-        before, run = "", 0
+        keys, numbers = [-1], {-1: 0}  # of a reading: number of the one before, and its last letter
+        states: dict[tuple[int, int], list[tuple[float, int]]] = {(0, 0): [(0.0, 0)]}
+        before, run, kept = "", 0, 1
         for c in word:
             run = run + 1 if c == before else 1
             options: list[tuple[str, float]] = []
@@ -116,20 +122,52 @@ class Decoder:
                 if c in WILD:
                     options += [(x, WILD_READ) for x in LETTERS if x not in stands]
             before = c
-            after: dict[tuple[int, int, str], float] = {}
-            for (a, b, done), total in beam.items():
-                for x, price in options:
-                    if not x:
-                        key, t = (a, b, done), total + price
-                    else:
-                        n = int(symbol[x.encode()[-1]])
-                        key, t = (b, n, done + x), total + price + float(cost[a, b, n])
-                    if t < after.get(key, math.inf):
-                        after[key] = t
-            # Viterbi: of readings with the same last two symbols the cheapest few are enough.
-            beam = dict(heapq.nsmallest(24, after.items(), key=lambda kv: (kv[1], kv[0])))
-        ended = sorted((t + float(cost[a, b, 0]), done) for (a, b, done), t in beam.items() if done)
-        return [done for _, done in ended[:most]]
+            if options == [("", MARK_DROPPED)]:  # costs all the same
+                continue
+            moves = [(ord(x), int(symbol[x.encode()[-1]]), price) if x else (0, 0, price) for x, price in options]
+            after: dict[tuple[int, int], dict[int, float]] = {}
+            for (a, b), held in states.items():
+                costs = cost[a, b].tolist() if len(moves) > 4 else cost[a, b]
+                for letter, n, price in moves:
+                    found = after.setdefault((b, n) if letter else (a, b), {})
+                    step = price + float(costs[n]) if letter else price
+                    for total, i in held:
+                        key, t = i << 21 | letter if letter else keys[i], total + step
+                        if t < found.get(key, math.inf):
+                            found[key] = t
+            states = {}
+            for state, found in after.items():
+                states[state] = held = []
+                for key, t in sorted(found.items(), key=lambda kt: (kt[1], kt[0]))[:most]:
+                    i = numbers.setdefault(key, len(keys))
+                    if i == len(keys):
+                        keys.append(key)
+                    held.append((t, i))
+            if len(keys) > 2 * kept + 100_000:
+                keys, numbers, states = _reached(keys, states)
+                kept = len(keys)
+        ended = sorted((t + float(cost[a, b, 0]), i) for (a, b), held in states.items() for t, i in held if i)
+        out = []
+        for _, i in ended[:most]:
+            letters = []
+            while i:
+                letters.append(chr(keys[i] & 0x1FFFFF))
+                i = keys[i] >> 21
+            out.append("".join(reversed(letters)))
+        return out
+
+
+def _reached(keys: list[int], states: dict) -> tuple[list[int], dict[int, int], dict]:
+    """The same readings without those to which no state leads back."""
+    own = {0}
+    for held in states.values():
+        for _, i in held:
+            while i not in own:
+                own.add(i)
+                i = keys[i] >> 21
+    new = {i: n for n, i in enumerate(sorted(own))}  # a reading has a higher number than the one before it
+    out = [-1] + [new[keys[i] >> 21] << 21 | keys[i] & 0x1FFFFF for i in sorted(own)[1:]]
+    return out, {key: n for n, key in enumerate(out)}, {s: [(t, new[i]) for t, i in held] for s, held in states.items()}
 
 
 @lru_cache(maxsize=4)
@@ -176,6 +214,8 @@ def text_codes(data: np.ndarray, bounds: np.ndarray, decoder: Decoder, cache: di
 
     restored: list[str] = []
     of: list[int] = []
+    spelt_out: list[str] = []
+    spelt_of: list[int] = []
     view = memoryview(np.ascontiguousarray(data))
     for i in np.flatnonzero(noisy).tolist():
         a = first[i] - (1 if first[i] - start[i] == 1 and LEADING[data[first[i] - 1]] else 0)
@@ -192,15 +232,22 @@ def text_codes(data: np.ndarray, bounds: np.ndarray, decoder: Decoder, cache: di
                 lo, hi = max(a, int(w.first[d])), min(b, int(w.first[d + 1]))
                 spelt = bytes(data[w.start[lo:hi]]).decode(errors="replace")
                 if sum(c.isalpha() for c in spelt) >= 3:
-                    for reading in _readings(spelt, decoder, cache):
-                        # Where words begin in it is not known.
-                        tails = [reading[i:] for i in range(max(1, len(reading) - 2))]
-                        restored += tails
-                        of += [d] * len(tails)
+                    readings = _readings(spelt, decoder, cache)
+                    spelt_out += readings
+                    spelt_of += [d] * len(readings)
     if restored:
         extra, spans = flat(pa.array(restored, pa.large_string()))
         docs.append(np.array(of))
         codes.append(feature_codes(extra, spans[:-1], spans[1:]))
+    if spelt_out:
+        # Where words begin in a spelt reading is not known: at each of its letters but the last two.
+        extra, spans = flat(pa.array(spelt_out, pa.large_string()))
+        begins = np.flatnonzero((extra & 0xC0) != 0x80)
+        nth = np.searchsorted(spans, begins, "right") - 1
+        letter_no = np.searchsorted(begins, spans)
+        own = np.arange(len(begins)) < np.maximum(letter_no[nth + 1] - 2, letter_no[nth] + 1)
+        docs.append(np.array(spelt_of)[nth[own]])
+        codes.append(feature_codes(extra, begins[own], spans[1:][nth[own]]))
     return np.concatenate(docs), np.concatenate(codes)
 
 

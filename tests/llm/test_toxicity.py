@@ -65,6 +65,46 @@ def test_words_are_restored(spark, word):
     assert "grombolt" in decoder.read(word)
 
 
+def plain_readings(decoder, word, most):
+    """All ways through the lattice, one by one."""
+    ways, before, run = {"": 0.0}, "", 0
+    for c in word:
+        run, after = run + 1 if c == before else 1, {}
+        before, stands = c, toxicity.LOOKALIKES.get(c, "")
+        if c.isalpha():
+            options = [(c, 0.0)] * (run < 3) + [("", toxicity.REPEATED if run == 2 else 0.0)] * (run > 1)
+        else:
+            options = [(x, toxicity.SUBSTITUTED) for x in stands] + [("", toxicity.LOOKALIKE_DROPPED if stands else toxicity.MARK_DROPPED)]
+            options += [(x, toxicity.WILD_READ) for x in toxicity.LETTERS if c in toxicity.WILD and x not in stands]
+        for done, t in ways.items():
+            for x, price in options:
+                after[done + x] = min(after.get(done + x, 1e9), t + price)
+        ways = after
+
+    def total(done):
+        s = [0, 0, *(int(toxicity.SYMBOL[x.encode()[-1]]) for x in done), 0]
+        return sum(float(decoder.cost[a, b, c]) for a, b, c in zip(s, s[1:], s[2:], strict=False))
+
+    return sorted((t + total(done), done) for done, t in ways.items() if done)[:most]
+
+
+def test_readings_are_the_best_of_all():
+    rng = np.random.default_rng(4)
+    decoder = toxicity.Decoder(rng.integers(0, 40, toxicity.SYMBOLS**3) * (rng.random(toxicity.SYMBOLS**3) < 0.05) * 1.0)
+    for word in ("s**pid", "m*r*n", "*1*o0l", "b**kk1", "66**", "aa1ll", "x.y-z", "é8*e", "6*1*8"):
+        want = plain_readings(decoder, word, 3)
+        assert decoder.read(word) == [done for _, done in want], word
+
+
+def test_forgotten_readings_change_nothing():
+    rng = np.random.default_rng(4)
+    decoder = toxicity.Decoder(rng.integers(0, 40, toxicity.SYMBOLS**3) * 1.0)
+    keys = [-1, 97, 98, 1 << 21 | 99]
+    new, numbers, states = toxicity._reached(keys, {(1, 3): [(0.5, 3)]})
+    assert new == [-1, 97, 1 << 21 | 99] and numbers == {-1: 0, 97: 1, 1 << 21 | 99: 2} and states == {(1, 3): [(0.5, 2)]}
+    assert len(decoder.read("1a0b5" * 8000)[0]) >= 16_000
+
+
 _KEPT = {}
 
 
