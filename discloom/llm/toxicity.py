@@ -2,8 +2,8 @@
 
 The writer's words are taken to have passed a channel that replaces letters by
 look-alikes, repeats them, and puts marks or spaces between them.  Words that
-show such traces become lattices of the letters that each character may stand
-for; Viterbi decoding under a character trigram model, counted over all
+show such traces, and short fragments next to each other taken as one, become
+lattices of the letters that each character may stand for; exact Viterbi decoding under a character trigram model, counted over all
 documents, restores them.  Words and word beginnings of the restored text are
 then scored by how much more often they occur in toxic training texts, and a
 logistic function of the strongest ones gives the score of the text.
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from discloom.llm.langid import folded
 from discloom.llm.support import cut, held_out
-from discloom.llm.wordcode import U64, Coder, flat, mix64, pieces, split_words
+from discloom.llm.wordcode import U64, Coder, Words, flat, mix64, pieces, split_words
 
 CODER = Coder(53)
 #: Labelled texts fitted on, and features kept.
@@ -35,6 +35,10 @@ PREFIXES = (4, 5, 6, 7)
 PRIOR_TEXTS = 8.0
 #: Restored readings of a word that are scored.
 READINGS = 3
+#: States of the first search of a word, which bounds the second.
+FIRST_STATES = 24
+#: Bytes of a fragment that may be part of a word, and of a word made of such; runs of single characters may be of any length.
+FRAGMENT, SPAN = 3, 12
 
 # Letters that a character may stand for.
 LOOKALIKES = {
@@ -47,10 +51,10 @@ SUBSTITUTED, REPEATED, MARK_DROPPED, LOOKALIKE_DROPPED, WILD_READ = 1.0, 2.5, 0.
 
 IS_LETTER = np.zeros(256, bool)
 IS_LETTER[[*range(97, 123), *range(128, 256)]] = True
-LEADING = np.zeros(256, bool)
-LEADING[[ord(c) for c in LOOKALIKES if c not in "(<{[&#+2689"]] = True
-TRAILING = np.zeros(256, bool)
-TRAILING[list(b"0123456789@$")] = True
+#: Characters that may be letters, and those that may be any letter; words of only these tell nothing.
+STANDS, IS_ONLY, ONLY = np.zeros(256, bool), np.zeros(256, bool), b"*#%?"
+STANDS[[ord(c) for c in (*LOOKALIKES, *WILD)]] = True
+IS_ONLY[list(ONLY)] = True
 #: Symbols of the character model: 0 is a word's edge.
 SYMBOL = np.zeros(256, np.int64)
 SYMBOL[97:123] = np.arange(1, 27)
@@ -91,6 +95,7 @@ class Decoder:
         p2 = (two + 5 * p1) / (two.sum(1, keepdims=True) + 5)
         p3 = (three + 5 * p2[None]) / (three.sum(2, keepdims=True) + 5)
         self.cost = (-np.log(p3)).astype(np.float32)
+        self.least = self.cost.min((0, 1))
 
     def __reduce__(self):
         return _decoder, (self.cost,)
@@ -99,44 +104,52 @@ class Decoder:
         """The likeliest readings of a lower-case word, best first.
 
         Viterbi decoding: for each state, the last two symbols, the cheapest
-        ``most`` different readings are kept, and no state is given up, so the
-        result is exact.  A reading is a number that leads back to the reading
-        before its last letter; equal readings have one number.
+        ``most`` different readings are kept.  A search of the cheapest states
+        alone, if it leaves any out, bounds the search of all of them, in which
+        only what cannot end below the bound is given up, so the result is exact.
         """
-        cost, symbol = self.cost, SYMBOL
+        moves = self._moves(word)
+        if all(len(options) == 1 for options in moves):
+            reading = "".join(chr(options[0][0]) for options in moves if options[0][0])
+            return [reading] if reading else []
+        found, whole = self._search(moves, most, FIRST_STATES, math.inf)
+        if not whole:
+            found, _ = self._search(moves, most, 1 << 30, found[-1][0] + 1e-6 if len(found) == most else math.inf)
+        return [reading for _, reading in found]
+
+    def _search(self, moves: list[list[tuple[int, int, float]]], most: int, limit: int, bound: float) -> tuple[list[tuple[float, str]], bool]:
+        """Costs and readings not above ``bound``, and whether no state was left out.
+
+        A reading is a number that leads back to the reading before its last
+        letter; equal readings have one number.
+        """
+        cost, whole = self.cost, True
         keys, numbers = [-1], {-1: 0}  # of a reading: number of the one before, and its last letter
         states: dict[tuple[int, int], list[tuple[float, int]]] = {(0, 0): [(0.0, 0)]}
-        before, run, kept = "", 0, 1
-        for c in word:
-            run = run + 1 if c == before else 1
-            options: list[tuple[str, float]] = []
-            if c.isalpha():
-                if run < 3:
-                    options.append((c, 0.0))
-                if run > 1:
-                    options.append(("", REPEATED if run == 2 else 0.0))
-            else:
-                stands = LOOKALIKES.get(c, "")
-                options += [(x, SUBSTITUTED) for x in stands]
-                options.append(("", LOOKALIKE_DROPPED if stands else MARK_DROPPED))
-                if c in WILD:
-                    options += [(x, WILD_READ) for x in LETTERS if x not in stands]
-            before = c
-            if options == [("", MARK_DROPPED)]:  # costs all the same
-                continue
-            moves = [(ord(x), int(symbol[x.encode()[-1]]), price) if x else (0, 0, price) for x, price in options]
+        # What the rest of the word costs at least.
+        rest = [float(self.least[0])]
+        for options in reversed(moves):
+            rest.append(rest[-1] + min(price + float(self.least[n]) if letter else price for letter, n, price in options))
+        kept = 1
+        for at, options in enumerate(moves, 1):
+            left = bound - rest[len(moves) - at]
             after: dict[tuple[int, int], dict[int, float]] = {}
             for (a, b), held in states.items():
-                costs = cost[a, b].tolist() if len(moves) > 4 else cost[a, b]
-                for letter, n, price in moves:
+                costs = cost[a, b].tolist() if len(options) > 4 else cost[a, b]
+                for letter, n, price in options:
                     found = after.setdefault((b, n) if letter else (a, b), {})
                     step = price + float(costs[n]) if letter else price
                     for total, i in held:
                         key, t = i << 21 | letter if letter else keys[i], total + step
-                        if t < found.get(key, math.inf):
+                        if t <= left and t < found.get(key, math.inf):
                             found[key] = t
             states = {}
+            if len(after) > limit:
+                whole = False
+                after = dict(sorted(after.items(), key=lambda sf: (min(sf[1].values(), default=math.inf), sf[0]))[:limit])
             for state, found in after.items():
+                if not found:
+                    continue
                 states[state] = held = []
                 for key, t in sorted(found.items(), key=lambda kt: (kt[1], kt[0]))[:most]:
                     i = numbers.setdefault(key, len(keys))
@@ -148,13 +161,36 @@ class Decoder:
                 kept = len(keys)
         ended = sorted((t + float(cost[a, b, 0]), i) for (a, b), held in states.items() for t, i in held if i)
         out = []
-        for _, i in ended[:most]:
+        for t, i in ended[:most]:
             letters = []
             while i:
                 letters.append(chr(keys[i] & 0x1FFFFF))
                 i = keys[i] >> 21
-            out.append("".join(reversed(letters)))
-        return out
+            out.append((t, "".join(reversed(letters))))
+        return out, whole
+
+    @staticmethod
+    def _moves(word: str) -> list[list[tuple[int, int, float]]]:
+        """Letter, symbol and price of all that each character may stand for; letter 0 drops it."""
+        moves = []
+        before, run = "", 0
+        for c in word:
+            run = run + 1 if c == before else 1
+            options: list[tuple[str, float]] = []
+            if c.isalpha():
+                if run < 3:
+                    options.append((c, 0.0))
+                if run > 1:
+                    options.append(("", REPEATED if run == 2 else 0.0))
+            else:
+                stands = LOOKALIKES.get(c, "")
+                options += [(x, SUBSTITUTED) for x in stands]
+                options.append(("", LOOKALIKE_DROPPED if stands else MARK_DROPPED))
+                if c in WILD:
+                    options += [(x, WILD_READ) for x in LETTERS if x not in stands]
+            before = c
+            moves.append([(ord(x), int(SYMBOL[x.encode()[-1]]), price) if x else (0, 0, price) for x, price in options])
+        return moves
 
 
 def _reached(keys: list[int], states: dict) -> tuple[list[int], dict[int, int], dict]:
@@ -174,6 +210,7 @@ def _reached(keys: list[int], states: dict) -> tuple[list[int], dict[int, int],
 def _built(key: bytes) -> Decoder:
     d = Decoder.__new__(Decoder)
     d.cost = np.frombuffer(key, np.float32).reshape(SYMBOLS, SYMBOLS, SYMBOLS)
+    d.least = d.cost.min((0, 1))
     return d
 
 
@@ -191,73 +228,107 @@ def feature_codes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nd
     return out
 
 
-def text_codes(data: np.ndarray, bounds: np.ndarray, decoder: Decoder, cache: dict[str, list[str]]) -> tuple[np.ndarray, np.ndarray]:
+def text_codes(data: np.ndarray, bounds: np.ndarray, decoder: Decoder, cache: dict[bytes, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Documents and feature codes of all words of some texts, restored ones included."""
     data = folded(data)
     w = split_words(data, bounds)
-    letter = IS_LETTER[data]
-    letters = np.concatenate([[0], np.cumsum(letter)])
+    letter, signed = IS_LETTER[data], STANDS[data]
+    letters, signs = (np.concatenate([[0], np.cumsum(x)]) for x in (letter, signed))
     place = np.flatnonzero(letter)
-    own = np.flatnonzero(letters[w.end] > letters[w.start])
-    start, end = w.start[own], w.end[own]
-    first, last = place[letters[start]], place[letters[end] - 1] + 1
-    count = letters[end] - letters[start]
-    same = np.zeros(len(data) + 1, np.int64)
-    if len(data) > 2:
-        thrice = (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2]) & letter[2:]
-        same[1 : len(thrice) + 1] = np.cumsum(thrice)
-        same[len(thrice) + 1 :] = same[len(thrice)]
-    noisy = (last - first != count) | (same[np.maximum(last - 2, first)] > same[first])
-    noisy |= (first - start == 1) & LEADING[data[np.maximum(first - 1, 0)]]
-    noisy |= (end - last == 1) & TRAILING[data[np.minimum(last, len(data) - 1)]]
+    count = letters[w.end] - letters[w.start]
+    own = np.flatnonzero(count > 0)
+    first, last = place[letters[w.start[own]]], place[letters[w.end[own]] - 1] + 1
     docs, codes = [w.doc[own]], [feature_codes(data, first, last)]
 
-    restored: list[str] = []
-    of: list[int] = []
-    spelt_out: list[str] = []
-    spelt_of: list[int] = []
-    view = memoryview(np.ascontiguousarray(data))
-    for i in np.flatnonzero(noisy).tolist():
-        a = first[i] - (1 if first[i] - start[i] == 1 and LEADING[data[first[i] - 1]] else 0)
-        b = last[i] + (1 if end[i] - last[i] == 1 and TRAILING[data[last[i]]] else 0)
-        readings = _readings(bytes(view[a:b]).decode(errors="replace"), decoder, cache)
-        restored += readings
-        of += [int(w.doc[own[i]])] * len(readings)
-    # Single characters one after another spell a word.
-    single = w.end - w.start == 1
+    # Traces of the channel: look-alikes at any place, marks between letters, equal letters one after another.
+    told = count + signs[w.end] - signs[w.start]
+    known = told - _only(data, w)
+    noisy = (told > count) & (known > 0)
+    noisy[own] |= last - first != count[own]
+    twice = np.zeros(len(data) + 1, np.int64)
+    twice[2:] = np.cumsum((data[1:] == data[:-1]) & letter[1:])[: max(0, len(data) - 1)] if len(data) > 1 else 0
+    noisy[own] |= twice[last] > twice[first + 1]
+    view = bytes(np.ascontiguousarray(data))
+    of, words = [w.doc[noisy]], [view[a:b] for a, b in zip(w.start[noisy].tolist(), w.end[noisy].tolist(), strict=True)]
+
+    # Adjoining fragments may be one word.
+    size = w.end - w.start
+    short = size <= FRAGMENT
+    joins = np.zeros(len(size), bool)  # with the fragment before it
+    joins[1:] = short[1:] & short[:-1] & (w.doc[1:] == w.doc[:-1])
+    reach, total, meant, some = np.flatnonzero(short), size[short], told[short], known[short]
+    for n in range(1, SPAN):
+        more = reach + n < len(size)
+        more[more] = joins[reach[more] + n]
+        reach, total, meant, some = reach[more], total[more], meant[more], some[more]
+        to = reach + n
+        total, meant, some = total + size[to], meant + told[to], some + known[to]
+        more = total <= SPAN
+        reach, total, meant, some, to = reach[more], total[more], meant[more], some[more], to[more]
+        if not len(reach):
+            break
+        own = (meant >= 3) & (some > 0)
+        of.append(w.doc[reach[own]])
+        words += [b"".join(view[a:b].split()) for a, b in zip(w.start[reach[own]].tolist(), w.end[to[own]].tolist(), strict=True)]
+
+    restored = [(np.concatenate(of), words, False)]
+    # Single characters one after another spell words of any length.
+    single = size == 1
     if single.any():
         edge = np.flatnonzero(np.diff(np.concatenate([[0], single.astype(np.int8), [0]])))
+        runs, of = [], []
         for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
             for d in range(int(w.doc[a]), int(w.doc[b - 1]) + 1):
                 lo, hi = max(a, int(w.first[d])), min(b, int(w.first[d + 1]))
-                spelt = bytes(data[w.start[lo:hi]]).decode(errors="replace")
-                if sum(c.isalpha() for c in spelt) >= 3:
-                    readings = _readings(spelt, decoder, cache)
-                    spelt_out += readings
-                    spelt_of += [d] * len(readings)
-    if restored:
-        extra, spans = flat(pa.array(restored, pa.large_string()))
-        docs.append(np.array(of))
-        codes.append(feature_codes(extra, spans[:-1], spans[1:]))
-    if spelt_out:
-        # Where words begin in a spelt reading is not known: at each of its letters but the last two.
-        extra, spans = flat(pa.array(spelt_out, pa.large_string()))
-        begins = np.flatnonzero((extra & 0xC0) != 0x80)
-        nth = np.searchsorted(spans, begins, "right") - 1
-        letter_no = np.searchsorted(begins, spans)
-        own = np.arange(len(begins)) < np.maximum(letter_no[nth + 1] - 2, letter_no[nth] + 1)
-        docs.append(np.array(spelt_of)[nth[own]])
-        codes.append(feature_codes(extra, begins[own], spans[1:][nth[own]]))
+                spelt = bytes(data[w.start[lo:hi]])
+                if sum(IS_LETTER[c] or STANDS[c] for c in spelt) >= 3 and spelt.strip(ONLY):
+                    runs.append(spelt)
+                    of.append(d)
+        restored.append((np.array(of, np.int64), runs, True))
+    for of, words, spelt in restored:
+        if words:
+            found = _restored(words, spelt, decoder, cache)
+            docs.append(np.repeat(of, [len(x) for x in found]))
+            codes.append(np.concatenate(found))
     return np.concatenate(docs), np.concatenate(codes)
 
 
-def _readings(word: str, decoder: Decoder, cache: dict[str, list[str]]) -> list[str]:
-    found = cache.get(word)
-    if found is None:
-        if len(cache) > 50_000:
-            cache.clear()
-        found = cache[word] = [x.lower() for x in decoder.read(word)]
-    return found
+def _only(data: np.ndarray, w: Words) -> np.ndarray:
+    """How many characters of each word may be any letter."""
+    only = np.concatenate([[0], np.cumsum(IS_ONLY[data])])
+    return only[w.end] - only[w.start]
+
+
+def _restored(words: list[bytes], spelt: bool, decoder: Decoder, cache: dict[bytes, np.ndarray]) -> list[np.ndarray]:
+    """Feature codes of the likeliest readings of each word.
+
+    Where words begin in a spelt reading is not known: they are taken to begin
+    at each of its letters but the last two.
+    """
+    mark = b" " if spelt else b""
+    new = set(words)
+    if len(cache) + len(new) > 200_000:
+        cache.clear()
+    new = sorted(x for x in new if mark + x not in cache)
+    readings = [[x.lower() for x in decoder.read(word.decode(errors="replace"))] for word in new]
+    many = np.array([len(x) for x in readings], np.int64)
+    if many.sum():
+        data, spans = flat(pa.array([x for r in readings for x in r], pa.large_string()))
+        begins, nth = spans[:-1], np.arange(len(spans) - 1)
+        if spelt:
+            begins = np.flatnonzero((data & 0xC0) != 0x80)
+            nth, letter_no = np.searchsorted(spans, begins, "right") - 1, np.searchsorted(begins, spans)
+            own = np.arange(len(begins)) < np.maximum(letter_no[nth + 1] - 2, letter_no[nth] + 1)
+            begins, nth = begins[own], nth[own]
+        codes = feature_codes(data, begins, spans[1:][nth])
+        edges = np.searchsorted(nth, np.concatenate([[0], np.cumsum(many)]))
+    else:
+        codes, edges = np.zeros((0, 1 + len(PREFIXES)), U64), np.zeros(len(new) + 1, np.int64)
+    fresh = {mark + word: codes[a:b].copy() for word, a, b in zip(new, edges[:-1].tolist(), edges[1:].tolist(), strict=True)}
+    if not spelt:
+        cache |= fresh
+        fresh = cache
+    return [fresh[mark + x] for x in words]
 
 
 @dataclass
@@ -275,7 +346,7 @@ class Model:
         out[:, 0] = 1
         known = np.zeros(1 << 20, bool)
         known[(self.codes >> U64(44)).astype(np.int64)] = True
-        cache: dict[str, list[str]] = {}
+        cache: dict[bytes, np.ndarray] = {}
         for low, high, data, bounds in pieces(texts):
             doc, codes = text_codes(data, bounds, self.decoder, cache)
             words = np.bincount(doc, minlength=high - low)
@@ -311,7 +382,7 @@ def _feature_texts(decoder: Decoder):
     """Texts of each label and half that have a feature, for the task's texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, list[str]] = {}
+        cache: dict[bytes, np.ndarray] = {}
         for b in batches:
             group = b.column(1).to_numpy()  # label, and 2 more for the second half
             for low, high, data, bounds in pieces(b.column(0)):

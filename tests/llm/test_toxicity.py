@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,6 +106,23 @@ def test_forgotten_readings_change_nothing():
     assert len(decoder.read("1a0b5" * 8000)[0]) >= 16_000
 
 
+@pytest.mark.parametrize("word", ["57up1d", "$7upid", "5tup1d", "stupi*", "stup**", "st00pid"[:2] + "up1d", "stuupid", "sstupid", "stu pid", "st up id", "s tu pid", "s t u p i d", "57 up 1d", "(stupid", "stupid!", "455", "@$$", "a s 5", "4 5 5"])
+def test_disguises_give_the_features_of_the_word(spark, word):
+    rng = random.Random(1)
+    texts = [" ".join(["stupid ass", *(clean_word(rng) for _ in range(30))]) for _ in range(50)]
+    decoder = toxicity.Decoder(toxicity.character_counts(spark.createDataFrame([(t,) for t in texts], "text string"), "text"))
+    codes = lambda *texts: toxicity.text_codes(*toxicity.flat(pa.array(texts)), decoder, {})
+    want = codes("ass" if len(word.replace(" ", "")) == 3 else "stupid")[1][0, 0]
+    doc, found = codes("mo len", f"ba {word}", "ne ti")
+    assert want in found[doc == 1, 0] and want not in found[doc != 1, 0]
+
+
+def test_wildcards_alone_tell_nothing(spark):
+    decoder = toxicity.Decoder(np.ones(toxicity.SYMBOLS**3))
+    doc, _ = toxicity.text_codes(*toxicity.flat(pa.array(["*****", "", "## ** ?", "a1", "--- ..."])), decoder, {})
+    assert set(doc.tolist()) == {3}
+
+
 _KEPT = {}
 
 
