@@ -47,6 +47,10 @@ TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$
 ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 NAMING = re.compile(r"class|id|role|hidden|style", re.I)
 UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+#: Names that say what a layout has, not what an element is.
+MODIFIER = re.compile(r"(?<!\S)(?:\S*[_-])?(?:has|no|with|without)[_-]\S+", re.I)
+#: Elements whose ids are slugs of their text.
+SLUGGED = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 PARAGRAPH, NOT_INLINE = frozenset({"p"}), lambda tag: tag not in INLINE
 ENDS_RAW = {tag: re.compile(rf"</{tag}(?=[\s/>]|$)", re.I) for tag in RAW}
@@ -62,35 +66,53 @@ class Node:
 
 
 @lru_cache(maxsize=4096)
-def _named(tag: str, attributes: str) -> tuple[str, bool]:
-    """Generalised class of a start tag, and whether its names or roles are boilerplate."""
-    names, hide = "", tag in DROPPED
+def _named(tag: str, attributes: str, slugged: bool) -> tuple[str, bool, bool]:
+    """Generalised class of a start tag, whether it is boilerplate, and whether its names alone suggest that.
+
+    An id of several words is a slug of the text where ``slugged`` is true.
+    """
+    names, hide, like = "", tag in DROPPED, False
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         value, name = a or b or c, name.lower()
         hide |= name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "role" and value.lower() in ROLES
         hide |= name == "style" and UNSEEN.search(value) is not None
         if name in ("class", "id"):
-            hide |= BOILERPLATE.search(HUMP.sub("-", value)) is not None and tag not in ("body", "html", "main", "article")
+            own = MODIFIER.sub(" ", HUMP.sub("-", value))
+            like |= BOILERPLATE.search(own) is not None and tag not in ("body", "html", "main", "article") and not (name == "id" and (tag in SLUGGED or slugged and re.search("[-_]", value)))
         if name == "class":
             names = ".".join(sorted(re.sub(r"\d+", "#", value).lower().split()))
-    return names, hide
+    return names, hide, like and not hide
 
 
 class Open:
     """An open element; ``size`` and ``linked`` count what it holds so far."""
 
-    __slots__ = ("tag", "path", "node", "dropped", "link", "size", "linked")
+    __slots__ = ("tag", "path", "node", "dropped", "link", "size", "linked", "like", "sure", "unlinked", "holds")
 
-    def __init__(self, tag: str, path: str, node: Node | None, dropped: bool, link: bool) -> None:
+    def __init__(self, tag: str, path: str, node: Node | None, dropped: bool, link: bool, like: int = -1, sure: bool = False) -> None:
         self.tag, self.path, self.node, self.dropped, self.link = tag, path, node, dropped, link
         self.size = self.linked = 0
+        # Of elements with names of boilerplate: their number. Surely boilerplate or not; all unlinked text that isn't; whether an article is in it.
+        self.like, self.sure, self.unlinked, self.holds = like, sure, 0, tag in ("article", "main")
 
 
 def outline(page: str) -> tuple[list[str], list[Node]]:
     """Pieces of text outside boilerplate, in page order, and the containers over them.
 
-    A piece " " stands for the edge of a block.
+    A piece " " stands for the edge of a block.  An element that only its names
+    call boilerplate is not if it holds an article, or most of the unlinked
+    text of a page that has no article elsewhere.
     """
+    pieces, nodes, named, whole = _outline(page, frozenset())
+    outside = whole.holds and not any(holds for _, _, holds in named)
+    kept = frozenset(n for n, size, holds in named if holds or not outside and 2 * size > whole.unlinked)
+    return _outline(page, kept)[:2] if kept else (pieces, nodes)
+
+
+def _outline(page: str, kept: frozenset) -> tuple[list[str], list[Node], list[tuple[int, int, bool]], Open]:
+    """Pieces and containers; number, unlinked text and whether it holds an article of each element named like boilerplate; the page."""
+    named: list[tuple[int, int, bool]] = []
+    likes = 0
     pieces: list[str] = []
     nodes: list[Node] = []
     stack = [Open("", "", None, False, False)]
@@ -100,6 +122,10 @@ def outline(page: str) -> tuple[list[str], list[Node]]:
             e, up = stack.pop(), stack[-1]
             up.size += e.size
             up.linked += e.linked
+            up.unlinked += e.unlinked
+            up.holds |= e.holds and not e.sure
+            if e.like >= 0:
+                named.append((e.like, e.unlinked, e.holds))
             if e.node is not None:
                 e.node.last, e.node.size, e.node.linked = len(pieces), e.size, e.linked
             if e.tag not in INLINE:
@@ -121,6 +147,8 @@ def outline(page: str) -> tuple[list[str], list[Node]]:
         start = end if m is None else m.start()
         if start > at:
             top = stack[-1]
+            if not top.sure and not top.link:
+                top.unlinked += start - at - page.count(" ", at, start)
             if not top.dropped:
                 text = page[at:start]
                 pieces.append(references.unescape(text) if "&" in text else text)
@@ -161,16 +189,19 @@ def outline(page: str) -> tuple[list[str], list[Node]]:
         if tag in ENDS:
             implied(ENDS[tag], SCOPES.__contains__)
         up, attributes = stack[-1], m[3]
-        names, hide = _named(tag, attributes if NAMING.search(attributes) else "")
-        path, node, dropped = up.path, None, up.dropped or hide
+        slugged = tag == "section" and any(e.tag in ("article", "main") for e in stack)
+        names, hide, like = _named(tag, attributes if NAMING.search(attributes) else "", slugged)
+        likes += like
+        sure = up.sure or hide
+        path, node, dropped = up.path, None, up.dropped or hide or like and likes not in kept
         if not inline:
             path = f"{path}>{tag}.{names}" if names else f"{path}>{tag}"
             if tag in CONTAINERS and not dropped:
                 node = Node(path, len(pieces), 1.5 if tag in ("article", "main") else 1.0)
                 nodes.append(node)
-        stack.append(Open(tag, path, node, dropped, up.link or tag == "a"))
+        stack.append(Open(tag, path, node, dropped, up.link or tag == "a", likes if like else -1, sure))
     close(1)
-    return pieces, nodes
+    return pieces, nodes, named, stack[0]
 
 
 def best(nodes: list[Node]) -> Node | None:

@@ -48,6 +48,15 @@ def test_an_odd_page_follows_its_host(spark):
     assert paths["host.org"][0].endswith(">div.story.v#") and len(paths) == 2
 
 
+def test_names_of_layouts_and_slugs_are_not_boilerplate(spark):
+    wrappers = ["layout has-sidebar", "no-sidebar", "with-sidebar", "page-with-header", "sticky-nav-page"]
+    rows = [(i, f"http://{i}.org/", page(f'<div class="{c}"><article><p>{LONG}</p></article><div class="sidebar">S</div></div>')) for i, c in enumerate(wrappers)]
+    rows += [(10 + i, f"http://{i}.com/", page(f'<div class="{c}"><div class="text"><p>{LONG}</p></div></div><div class="sidebar">S</div>')) for i, c in enumerate(wrappers)]
+    slugs = f'<article><h2 id="related-work">Related</h2><section id="social-impact"><p>{LONG}</p></section><p id="notice-period">Notice</p></article>'
+    got = texts(spark, [*rows, (30, "http://s.org/", page(slugs))])
+    assert all(got[i].strip() == LONG.strip() for i in got if i < 30) and got[30] == " ".join(f"Related {LONG} Notice".split())
+
+
 def test_votes_count_and_ties_go_by_name(spark):
     one, two = (f'<div class="{c}"><p>{LONG}</p></div>' for c in ("b", "a"))
     rows = [(1, "http://h/", page(one)), (2, "http://h/", page(two)), (2, "http://h/", page(two)), (3, "http://k/", page(one)), (4, "http://k/", page(two))]
