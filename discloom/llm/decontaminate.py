@@ -117,10 +117,10 @@ class Matcher:
         return best
 
 
-def item_slices(benchmark: DataFrame, text: str, id_col: str, limit: int = ITEM_BYTES) -> Iterator[dict[str, list[int]]]:
+def item_slices(benchmark: DataFrame, text: str, id_col: str, limit: int = ITEM_BYTES) -> Iterator[dict[str, list[int | None]]]:
     """Normal texts and ids of the items, in slices of about ``limit`` bytes.
 
-    Items with a null or blank text are left out: they occur nowhere.
+    Items with a null or blank text are left out: they occur nowhere.  Those with a null id stay.
     """
     items = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).filter("text is not null")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
@@ -128,7 +128,7 @@ def item_slices(benchmark: DataFrame, text: str, id_col: str, limit: int = ITEM_
     for s in range(slices):
         own: dict[str, list[int]] = {}
         for r in items.filter(F.pmod(F.xxhash64("text"), F.lit(slices)) == s).orderBy("id").collect():  # about ``limit`` bytes
-            if (t := normal(r["text"])) and r["id"] is not None:
+            if t := normal(r["text"]):
                 own.setdefault(t, []).append(r["id"])
         yield own
 

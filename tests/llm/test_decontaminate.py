@@ -90,3 +90,10 @@ def test_a_very_long_text(spark):
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
     got = decontaminate.contaminated(df, spark.createDataFrame([(7, edited(rng, item, 4))], "item_id long, text string")).collect()
     assert len(got) == 1 and got[0].distance <= 4
+
+
+def test_items_without_an_id_are_found(spark):
+    docs = spark.createDataFrame([(1, "before the quick brown fox jumps after"), (2, "nothing of it")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "the quick brown fox jumps"), (7, "other words here")], "item_id long, text string")
+    assert [(r.doc_id, r.item_id, r.distance) for r in decontaminate.contaminated(docs, items).collect()] == [(1, None, 0)]
+    assert [r.doc_id for r in decontaminate.drop_contaminated(docs, items).collect()] == [2]
