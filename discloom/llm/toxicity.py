@@ -3,15 +3,17 @@
 The writer's words are taken to have passed a channel that replaces letters by
 look-alikes, repeats them, and puts marks or spaces between them.  Words that
 show such traces, and short fragments next to each other taken as one, become
-lattices of the letters that each character may stand for; exact Viterbi decoding under a character trigram model, counted over all
-documents, restores them.  Words and word beginnings of the restored text are
-then scored by how much more often they occur in toxic training texts, and a
-logistic function of the strongest ones gives the score of the text.
+lattices of the letters that each character may stand for; exact Viterbi
+decoding under a character trigram model, counted over all documents, restores
+them.  Words and word beginnings of the restored text are then scored by how
+much more often they occur in toxic training texts, and a logistic function of
+the strongest ones gives the score of the text.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -24,19 +26,17 @@ from pyspark.sql import functions as F
 
 from discloom.llm.langid import folded
 from discloom.llm.support import cut, held_out
-from discloom.llm.wordcode import U64, Coder, Words, flat, mix64, pieces, split_words
+from discloom.llm.wordcode import U64, Coder, flat, mix64, pieces, split_words
 
 CODER = Coder(53)
-#: Labelled texts fitted on, and features kept.
-SAMPLE, MODEL_FEATURES = 20_000, 1 << 16
+#: Labelled texts fitted on, about.
+SAMPLE = 20_000
 #: Bytes of word beginnings that are features, besides the whole word.
 PREFIXES = (4, 5, 6, 7)
 #: Weight of the prior in a feature's toxicity.
 PRIOR_TEXTS = 8.0
-#: Restored readings of a word that are scored.
-READINGS = 3
-#: States of the first search of a word, which bounds the second.
-FIRST_STATES = 24
+#: Characters decoded before where states came from is forgotten; characters of a part of a word that is remembered, and how many of them are.
+BLOCK, SHORT, PARTS = 1024, 24, 200_000
 #: Bytes of a fragment that may be part of a word, and of a word made of such; runs of single characters may be of any length.
 FRAGMENT, SPAN = 3, 12
 
@@ -49,6 +49,11 @@ WILD = "*#%?"
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 SUBSTITUTED, REPEATED, MARK_DROPPED, LOOKALIKE_DROPPED, WILD_READ = 1.0, 2.5, 0.5, 6.0, 3.0
 
+LETTER = re.compile(r"[^\W\d_]")
+#: A character that may be read in several ways, or be dropped; and two letters that can only be themselves.
+AMBIGUOUS = re.compile(r"[\W\d_]|(?<=(.))\1", re.S)
+SETTLED = re.compile(r"(?<=(.))(?!\1)([^\W\d_])(?!\2)[^\W\d_]", re.S)
+
 IS_LETTER = np.zeros(256, bool)
 IS_LETTER[[*range(97, 123), *range(128, 256)]] = True
 #: Characters that may be letters, and those that may be any letter; words of only these tell nothing.
@@ -95,122 +100,129 @@ class Decoder:
         p2 = (two + 5 * p1) / (two.sum(1, keepdims=True) + 5)
         p3 = (three + 5 * p2[None]) / (three.sum(2, keepdims=True) + 5)
         self.cost = (-np.log(p3)).astype(np.float32)
-        self.least = self.cost.min((0, 1))
+        self.parts: dict[tuple[str, str, bool], str] = {}
 
     def __reduce__(self):
         return _decoder, (self.cost,)
 
-    def read(self, word: str, most: int = READINGS) -> list[str]:
-        """The likeliest readings of a lower-case word, best first.
+    def read(self, word: str) -> str:
+        """The likeliest reading of a lower-case word; empty if it can be none.
 
-        Viterbi decoding: for each state, the last two symbols, the cheapest
-        ``most`` different readings are kept.  A search of the cheapest states
-        alone, if it leaves any out, bounds the search of all of them, in which
-        only what cannot end below the bound is given up, so the result is exact.
+        Two letters in a row that can only be themselves leave one state of the
+        model, so the lattice falls apart there, and each part is decoded once.
         """
-        moves = self._moves(word)
-        if all(len(options) == 1 for options in moves):
-            reading = "".join(chr(options[0][0]) for options in moves if options[0][0])
-            return [reading] if reading else []
-        found, whole = self._search(moves, most, FIRST_STATES, math.inf)
-        if not whole:
-            found, _ = self._search(moves, most, 1 << 30, found[-1][0] + 1e-6 if len(found) == most else math.inf)
-        return [reading for _, reading in found]
-
-    def _search(self, moves: list[list[tuple[int, int, float]]], most: int, limit: int, bound: float) -> tuple[list[tuple[float, str]], bool]:
-        """Costs and readings not above ``bound``, and whether no state was left out.
-
-        A reading is a number that leads back to the reading before its last
-        letter; equal readings have one number.
+        out, at = [], 0
+        while (m := AMBIGUOUS.search(word, at)) is not None:
+            first = m.start()
+            settled = SETTLED.search(word, m.end())
+            last = len(word) if settled is None else settled.end()
+            out += word[at:first], self._part(word[max(0, first - 2) : first], word[first:last], settled is None)
+            at = last
+        return "".join(out) + word[at:]
+
+    def _part(self, before: str, text: str, ends: bool) -> str:
+        """Letters kept of ``text``, which follows ``before`` and may end the word; a part of ``SHORT`` characters is remembered."""
+        key = before, text, ends
+        found = self.parts.get(key)
+        if found is None:
+            found = self._viterbi(before, text, ends)
+            if len(text) <= SHORT:
+                if len(self.parts) >= PARTS:
+                    self.parts.clear()
+                self.parts[key] = found
+        return found
+
+    def _viterbi(self, before: str, text: str, ends: bool) -> str:
+        """Exact decoding over states of the last two symbols.
+
+        Where each state came from is kept for one block of characters at a
+        time and worked out again from the costs at the block's start, so the
+        memory of a very long text is that of its block starts.
         """
-        cost, whole = self.cost, True
-        keys, numbers = [-1], {-1: 0}  # of a reading: number of the one before, and its last letter
-        states: dict[tuple[int, int], list[tuple[float, int]]] = {(0, 0): [(0.0, 0)]}
-        # What the rest of the word costs at least.
-        rest = [float(self.least[0])]
-        for options in reversed(moves):
-            rest.append(rest[-1] + min(price + float(self.least[n]) if letter else price for letter, n, price in options))
-        kept = 1
-        for at, options in enumerate(moves, 1):
-            left = bound - rest[len(moves) - at]
-            after: dict[tuple[int, int], dict[int, float]] = {}
-            for (a, b), held in states.items():
-                costs = cost[a, b].tolist() if len(options) > 4 else cost[a, b]
-                for letter, n, price in options:
-                    found = after.setdefault((b, n) if letter else (a, b), {})
-                    step = price + float(costs[n]) if letter else price
-                    for total, i in held:
-                        key, t = i << 21 | letter if letter else keys[i], total + step
-                        if t <= left and t < found.get(key, math.inf):
-                            found[key] = t
-            states = {}
-            if len(after) > limit:
-                whole = False
-                after = dict(sorted(after.items(), key=lambda sf: (min(sf[1].values(), default=math.inf), sf[0]))[:limit])
-            for state, found in after.items():
-                if not found:
-                    continue
-                states[state] = held = []
-                for key, t in sorted(found.items(), key=lambda kt: (kt[1], kt[0]))[:most]:
-                    i = numbers.setdefault(key, len(keys))
-                    if i == len(keys):
-                        keys.append(key)
-                    held.append((t, i))
-            if len(keys) > 2 * kept + 100_000:
-                keys, numbers, states = _reached(keys, states)
-                kept = len(keys)
-        ended = sorted((t + float(cost[a, b, 0]), i) for (a, b), held in states.items() for t, i in held if i)
-        out = []
-        for t, i in ended[:most]:
-            letters = []
-            while i:
-                letters.append(chr(keys[i] & 0x1FFFFF))
-                i = keys[i] >> 21
-            out.append((t, "".join(reversed(letters))))
-        return out, whole
+        whole = before + text
+        at = len(before)
+        moves = {m: self._moves(*m) for m in {_move(whole, i) for i in range(at, len(whole))}}
+        own = [int(SYMBOL[x.encode()[-1]]) for x in before]
+        symbols = sorted({0, *own, *(n for letters, _ in moves.values() for _, n, _ in letters)})
+        place = {n: i for i, n in enumerate(symbols)}
+        cost = self.cost[np.ix_(symbols, symbols, symbols)]
+        steps, letter_of = {}, {}
+        for m, (letters, dropped) in moves.items():
+            prices = np.full(len(symbols), np.inf, np.float32)
+            prices[[place[n] for _, n, _ in letters]] = [price for *_, price in letters]
+            steps[m] = cost + prices if letters else None, np.float32(dropped)
+            letter_of[m] = {place[n]: x for x, n, _ in letters}
+        table = np.full((len(symbols),) * 2, np.inf, np.float32)
+        table[tuple(place[n] for n in [0, 0, *own][-2:])] = 0
+        starts = [table]
+        for low in range(at, len(whole) - BLOCK, BLOCK):
+            for i in range(low, low + BLOCK):
+                table = _step(table, *steps[_move(whole, i)])
+            table = table - table.min()  # so that costs stay small and exact
+            starts.append(table)
+        out, a, b = [], -1, -1
+        for low in reversed(range(at, len(whole), BLOCK)):
+            table, origins = starts.pop(), []
+            for i in range(low, min(low + BLOCK, len(whole))):
+                table = _step(table, *steps[_move(whole, i)], origins)
+            if b < 0:
+                if ends:
+                    table = table + cost[:, :, 0]
+                    if not before:
+                        table[0, 0] = np.inf  # nothing is no reading
+                a, b = divmod(int(table.argmin()), len(symbols))
+                if table[a, b] == np.inf:
+                    return ""
+            for i in reversed(range(len(origins))):
+                origin = int(origins[i][a, b])
+                if origin >= 0:
+                    out.append(letter_of[_move(whole, low + i)][b])
+                    a, b = origin, a
+        return "".join(reversed(out))
 
     @staticmethod
-    def _moves(word: str) -> list[list[tuple[int, int, float]]]:
-        """Letter, symbol and price of all that each character may stand for; letter 0 drops it."""
-        moves = []
-        before, run = "", 0
-        for c in word:
-            run = run + 1 if c == before else 1
-            options: list[tuple[str, float]] = []
-            if c.isalpha():
-                if run < 3:
-                    options.append((c, 0.0))
-                if run > 1:
-                    options.append(("", REPEATED if run == 2 else 0.0))
-            else:
-                stands = LOOKALIKES.get(c, "")
-                options += [(x, SUBSTITUTED) for x in stands]
-                options.append(("", LOOKALIKE_DROPPED if stands else MARK_DROPPED))
-                if c in WILD:
-                    options += [(x, WILD_READ) for x in LETTERS if x not in stands]
-            before = c
-            moves.append([(ord(x), int(SYMBOL[x.encode()[-1]]), price) if x else (0, 0, price) for x, price in options])
-        return moves
-
-
-def _reached(keys: list[int], states: dict) -> tuple[list[int], dict[int, int], dict]:
-    """The same readings without those to which no state leads back."""
-    own = {0}
-    for held in states.values():
-        for _, i in held:
-            while i not in own:
-                own.add(i)
-                i = keys[i] >> 21
-    new = {i: n for n, i in enumerate(sorted(own))}  # a reading has a higher number than the one before it
-    out = [-1] + [new[keys[i] >> 21] << 21 | keys[i] & 0x1FFFFF for i in sorted(own)[1:]]
-    return out, {key: n for n, key in enumerate(out)}, {s: [(t, new[i]) for t, i in held] for s, held in states.items()}
+    def _moves(c: str, run: int) -> tuple[list[tuple[str, int, float]], float]:
+        """Letters, symbols and prices of what a character may stand for, and the price of dropping it."""
+        options: dict[str, float] = {}
+        if LETTER.match(c):
+            if run < 3:
+                options[c] = 0.0
+            dropped = (math.inf, REPEATED, 0.0)[run - 1]
+        else:
+            stands = LOOKALIKES.get(c, "")
+            options |= dict.fromkeys(stands, SUBSTITUTED)
+            dropped = LOOKALIKE_DROPPED if stands else MARK_DROPPED
+            if c in WILD:
+                options |= {x: WILD_READ for x in LETTERS if x not in stands}
+        return [(x, int(SYMBOL[x.encode()[-1]]), price) for x, price in options.items()], dropped
+
+
+def _move(text: str, i: int) -> tuple[str, int]:
+    """A character and its number in a run of equal ones; 3 stands for all later ones."""
+    c, run = text[i], 1
+    while run < 3 and i >= run and text[i - run] == c:
+        run += 1
+    return c, run
+
+
+def _step(table: np.ndarray, price: np.ndarray | None, dropped: np.float32, origins: list[np.ndarray] | None = None) -> np.ndarray:
+    """Costs after one character; ``origins`` gets the symbol that left each state, -1 where the character was dropped."""
+    after, origin = table + dropped, None
+    if price is not None:
+        ways = table[:, :, None] + price
+        best = ways.min(0)
+        if origins is not None:
+            origin = np.where(best < after, ways.argmin(0), -1).astype(np.int8)
+        np.minimum(after, best, out=after)
+    if origins is not None:
+        origins.append(np.full(table.shape, -1, np.int8) if origin is None else origin)
+    return after
 
 
 @lru_cache(maxsize=4)
 def _built(key: bytes) -> Decoder:
     d = Decoder.__new__(Decoder)
-    d.cost = np.frombuffer(key, np.float32).reshape(SYMBOLS, SYMBOLS, SYMBOLS)
-    d.least = d.cost.min((0, 1))
+    d.cost, d.parts = np.frombuffer(key, np.float32).reshape(SYMBOLS, SYMBOLS, SYMBOLS), {}
     return d
 
 
@@ -228,12 +240,12 @@ def feature_codes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nd
     return out
 
 
-def text_codes(data: np.ndarray, bounds: np.ndarray, decoder: Decoder, cache: dict[bytes, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def text_codes(data: np.ndarray, bounds: np.ndarray, decoder: Decoder) -> tuple[np.ndarray, np.ndarray]:
     """Documents and feature codes of all words of some texts, restored ones included."""
     data = folded(data)
     w = split_words(data, bounds)
     letter, signed = IS_LETTER[data], STANDS[data]
-    letters, signs = (np.concatenate([[0], np.cumsum(x)]) for x in (letter, signed))
+    letters, signs, only = (np.concatenate([[0], np.cumsum(x)]) for x in (letter, signed, IS_ONLY[data]))
     place = np.flatnonzero(letter)
     count = letters[w.end] - letters[w.start]
     own = np.flatnonzero(count > 0)
@@ -242,7 +254,7 @@ def text_codes(data: np.ndarray, bounds: np.ndarray, decoder: Decoder, cache: di
 
     # Traces of the channel: look-alikes at any place, marks between letters, equal letters one after another.
     told = count + signs[w.end] - signs[w.start]
-    known = told - _only(data, w)
+    known = told - (only[w.end] - only[w.start])
     noisy = (told > count) & (known > 0)
     noisy[own] |= last - first != count[own]
     twice = np.zeros(len(data) + 1, np.int64)
@@ -251,9 +263,9 @@ def text_codes(data: np.ndarray, bounds: np.ndarray, decoder: Decoder, cache: di
     view = bytes(np.ascontiguousarray(data))
     of, words = [w.doc[noisy]], [view[a:b] for a, b in zip(w.start[noisy].tolist(), w.end[noisy].tolist(), strict=True)]
 
-    # Adjoining fragments may be one word.
+    # Adjoining fragments may be one word; those that may be anything are part of none, but single characters are.
     size = w.end - w.start
-    short = size <= FRAGMENT
+    short = (size <= FRAGMENT) & ((known > 0) | (size == 1))
     joins = np.zeros(len(size), bool)  # with the fragment before it
     joins[1:] = short[1:] & short[:-1] & (w.doc[1:] == w.doc[:-1])
     reach, total, meant, some = np.flatnonzero(short), size[short], told[short], known[short]
@@ -280,55 +292,42 @@ def text_codes(data: np.ndarray, bounds: np.ndarray, decoder: Decoder, cache: di
         for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
             for d in range(int(w.doc[a]), int(w.doc[b - 1]) + 1):
                 lo, hi = max(a, int(w.first[d])), min(b, int(w.first[d + 1]))
-                spelt = bytes(data[w.start[lo:hi]])
-                if sum(IS_LETTER[c] or STANDS[c] for c in spelt) >= 3 and spelt.strip(ONLY):
-                    runs.append(spelt)
+                spelt = data[w.start[lo:hi]]
+                if np.count_nonzero(IS_LETTER[spelt] | STANDS[spelt]) >= 3 and not IS_ONLY[spelt].all():
+                    runs.append(bytes(spelt))
                     of.append(d)
         restored.append((np.array(of, np.int64), runs, True))
     for of, words, spelt in restored:
         if words:
-            found = _restored(words, spelt, decoder, cache)
-            docs.append(np.repeat(of, [len(x) for x in found]))
-            codes.append(np.concatenate(found))
+            of_word, found = _restored(words, spelt, decoder)
+            docs.append(of[of_word])
+            codes.append(found)
     return np.concatenate(docs), np.concatenate(codes)
 
 
-def _only(data: np.ndarray, w: Words) -> np.ndarray:
-    """How many characters of each word may be any letter."""
-    only = np.concatenate([[0], np.cumsum(IS_ONLY[data])])
-    return only[w.end] - only[w.start]
-
-
-def _restored(words: list[bytes], spelt: bool, decoder: Decoder, cache: dict[bytes, np.ndarray]) -> list[np.ndarray]:
-    """Feature codes of the likeliest readings of each word.
+def _restored(words: list[bytes], spelt: bool, decoder: Decoder) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the word and feature codes of each word's likeliest reading.
 
     Where words begin in a spelt reading is not known: they are taken to begin
     at each of its letters but the last two.
     """
-    mark = b" " if spelt else b""
-    new = set(words)
-    if len(cache) + len(new) > 200_000:
-        cache.clear()
-    new = sorted(x for x in new if mark + x not in cache)
-    readings = [[x.lower() for x in decoder.read(word.decode(errors="replace"))] for word in new]
-    many = np.array([len(x) for x in readings], np.int64)
-    if many.sum():
-        data, spans = flat(pa.array([x for r in readings for x in r], pa.large_string()))
-        begins, nth = spans[:-1], np.arange(len(spans) - 1)
-        if spelt:
-            begins = np.flatnonzero((data & 0xC0) != 0x80)
-            nth, letter_no = np.searchsorted(spans, begins, "right") - 1, np.searchsorted(begins, spans)
-            own = np.arange(len(begins)) < np.maximum(letter_no[nth + 1] - 2, letter_no[nth] + 1)
-            begins, nth = begins[own], nth[own]
-        codes = feature_codes(data, begins, spans[1:][nth])
-        edges = np.searchsorted(nth, np.concatenate([[0], np.cumsum(many)]))
-    else:
-        codes, edges = np.zeros((0, 1 + len(PREFIXES)), U64), np.zeros(len(new) + 1, np.int64)
-    fresh = {mark + word: codes[a:b].copy() for word, a, b in zip(new, edges[:-1].tolist(), edges[1:].tolist(), strict=True)}
+    number: dict[bytes, int] = {}
+    of = np.array([number.setdefault(x, len(number)) for x in words])
+    data, spans = flat(pa.array([decoder.read(x.decode(errors="replace")).lower() for x in number], pa.large_string()))
     if not spelt:
-        cache |= fresh
-        fresh = cache
-    return [fresh[mark + x] for x in words]
+        full = np.flatnonzero(np.diff(spans))
+        codes = np.zeros((len(number), 1 + len(PREFIXES)), U64)
+        codes[full] = feature_codes(data, spans[full], spans[full + 1])
+        some = np.flatnonzero(np.isin(of, full))
+        return some, codes[of[some]]
+    begins = np.flatnonzero((data & 0xC0) != 0x80)
+    nth, letter_no = np.searchsorted(spans, begins, "right") - 1, np.searchsorted(begins, spans)
+    own = np.arange(len(begins)) < np.maximum(letter_no[nth + 1] - 2, letter_no[nth] + 1)
+    begins, nth = begins[own], nth[own]
+    codes, edges = feature_codes(data, begins, spans[1:][nth]), np.searchsorted(nth, np.arange(len(number) + 1))
+    many = np.diff(edges)[of]
+    at = np.repeat(edges[of] - np.cumsum(many) + many, many) + np.arange(many.sum())
+    return np.repeat(np.arange(len(of)), many), codes[at]
 
 
 @dataclass
@@ -346,9 +345,8 @@ class Model:
         out[:, 0] = 1
         known = np.zeros(1 << 20, bool)
         known[(self.codes >> U64(44)).astype(np.int64)] = True
-        cache: dict[bytes, np.ndarray] = {}
         for low, high, data, bounds in pieces(texts):
-            doc, codes = text_codes(data, bounds, self.decoder, cache)
+            doc, codes = text_codes(data, bounds, self.decoder)
             words = np.bincount(doc, minlength=high - low)
             row, kind = np.nonzero(known[(codes >> U64(44)).astype(np.int64)])
             if len(row) and len(self.codes):
@@ -382,11 +380,10 @@ def _feature_texts(decoder: Decoder):
     """Texts of each label and half that have a feature, for the task's texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[bytes, np.ndarray] = {}
         for b in batches:
             group = b.column(1).to_numpy()  # label, and 2 more for the second half
             for low, high, data, bounds in pieces(b.column(0)):
-                doc, codes = text_codes(data, bounds, decoder, cache)
+                doc, codes = text_codes(data, bounds, decoder)
                 doc, codes = np.repeat(doc, codes.shape[1]), codes.ravel()
                 order = np.lexsort((codes, doc))
                 doc, codes = doc[order], codes[order]
@@ -406,7 +403,6 @@ def _evidence(counts: pd.DataFrame, toxic: np.ndarray, clean: np.ndarray, texts:
     gain = np.log(part / (1 - part)) - math.log(base / (1 - base))
     code = counts["code"].to_numpy(np.int64).view(U64)
     own = np.flatnonzero((gain > 0.7) & (toxic >= 2))
-    own = own[np.lexsort((code[own], -gain[own]))[:MODEL_FEATURES]]
     own = own[np.argsort(code[own])]
     return code[own], gain[own]
 
@@ -426,7 +422,11 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "d
     drawn = F.pmod(F.xxhash64("id", F.lit(9)), F.lit(1 << 30)) < min(1.0, sample / max(n, 1)) * (1 << 30)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).filter(training & drawn & F.col("text").isNotNull())
     half = F.when(F.pmod(F.xxhash64("id", F.lit(10)), F.lit(2)) == 0, 0).otherwise(2)
-    rows = cut(texts.join(known.filter(drawn), "id").select("text", (F.col("y") + half).alias("y")))
+    found = texts.join(known.filter(drawn), "id").withColumn("print", F.xxhash64("id", "text")).dropDuplicates(["id", "print", "y"])
+    rows = cut(found.select("text", "print", (F.col("y") + half).alias("y")))
+    total = rows.count()
+    if total > 2 * sample:  # many texts of one id
+        rows = cut(rows.filter(F.pmod(F.xxhash64("print", F.lit(11)), F.lit(1 << 30)) < sample / total * (1 << 30)))
     start = np.array([-2.0, 0.6, 0.5, 0.0])
     n = np.zeros(4, int)
     for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect():
@@ -457,9 +457,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, t
     """``id_col, held_out, score, predicted`` for every row of ``docs``.
 
     Rows whose crc32 of the id is 2 modulo 4 are held out of the fit.  Null and
-    empty texts are scored as texts without words.  Repeated rows and repeated
-    labels each count.  Without training rows of both labels no word is
-    evidence and all texts get a low score.
+    empty texts are scored as texts without words.  Repeated rows are each
+    scored, but count once in the fit, as do repeated labels; a row with a null
+    id is scored and never fitted on.  Time and memory are linear in the length
+    of a text, also of one long word.  Without training rows of both labels no
+    word is evidence and all texts get a low score.  Other columns of ``docs``
+    and ``labels`` are ignored, whatever their names.
     """
     model = fit(docs, labels, text, id_col, "toxic", sample)
 

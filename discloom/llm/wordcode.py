@@ -65,19 +65,31 @@ class Coder:
         self.salt = random_words(seed + 3, 1)
 
     def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        out = np.empty(len(starts), U64)
-        at = 0
-        while at < len(starts):
-            low = int(starts[at])
-            to = max(at + 1, int(np.searchsorted(ends, low + CHUNK_BYTES, "right")))
-            part = data[low : int(ends[to - 1])]
+        """Codes of byte spans, which may overlap.
+
+        Prefix sums are taken over ``CHUNK_BYTES`` at a time and looked up at
+        the spans' edges, so time and memory are linear whatever their lengths.
+        """
+        if not len(starts):
+            return np.empty(0, U64)
+        edges = np.sort(np.concatenate([starts, ends]))
+        low, high = int(edges[0]), int(edges[-1])
+        sums, back = np.empty(len(edges), U64), np.empty(len(edges), U64)
+        total, scale = U64(0), 1  # sum of all before this chunk; power of the base at its beginning
+        while True:
+            part = data[low : min(low + CHUNK_BYTES, high)]
+            a, b = np.searchsorted(edges, [low, low + CHUNK_BYTES]) if low + CHUNK_BYTES < high else (np.searchsorted(edges, low), len(edges))
             up, down = self.byte_powers.upto(len(part) + 1)
-            total = np.zeros(len(part) + 1, U64)
-            np.cumsum(self.letters[part] * up[:-1], out=total[1:])
-            a, b = starts[at:to] - low, ends[at:to] - low
-            out[at:to] = mix64((total[b] - total[a]) * down[a] + (b - a).astype(U64) * self.salt)
-            at = to
-        return out
+            run = np.zeros(len(part) + 1, U64)
+            np.cumsum(self.letters[part] * up[:-1], out=run[1:])
+            run = run * U64(scale) + total
+            at = edges[a:b] - low
+            sums[a:b], back[a:b] = run[at], down[at] * U64(pow(scale, -1, 1 << 64))
+            if b == len(edges):
+                break
+            total, scale, low = run[-1], scale * pow(self.byte_powers.base, len(part), 1 << 64) % (1 << 64), low + CHUNK_BYTES
+        first, last = np.searchsorted(edges, starts), np.searchsorted(edges, ends)
+        return mix64((sums[last] - sums[first]) * back[first] + (ends - starts).astype(U64) * self.salt)
 
     def runs(self, codes: np.ndarray, width: int) -> np.ndarray:
         """Codes of all runs of ``width`` consecutive words."""
