@@ -1,93 +1,115 @@
 """Mixing sources to target weights by Pfair scheduling, in DataFrame operations.
 
-The rows of each source are numbered in id order and cut into blocks.  One
-cycle of the mixture has ``cycle`` slots, of which source s gets e(s), its
-target weight in whole slots.  Block i of source s is released at slot
-floor(i * cycle / e(s)) and due by slot ceil((i + 1) * cycle / e(s)).  Running
-the released block with the earliest deadline in every slot meets all
-deadlines, so after any number of slots each source is less than one block
-away from its share.  All lags are zero when a cycle ends, hence the schedule
-repeats: it is computed once for the bounded cycle, and the slot of any block
+The rows of each source are numbered in id order and cut into blocks.  Target
+weights are whole numbers; of W slots, W being their sum, source s with weight
+w has exactly w.  Block i of source s is released at slot floor(i * W / w) and
+due by slot ceil((i + 1) * W / w).  Running the released block with the earliest
+deadline in every slot meets all deadlines, so after any number of slots each
+source is less than one block away from its weight.  After W slots all lags are
+zero and the schedule repeats: it is computed once, and the slot of any block
 follows from its number alone.
+
+Sources of equal weight have equal releases and deadlines and take turns, so
+the schedule is worked out for the distinct weights, of which there are at most
+sqrt(2 * W), however many sources there are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from fractions import Fraction
+from functools import reduce
+from math import gcd, lcm
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from discloom.llm.support import cut, fresh
 
-#: Slots of one cycle; weights are met to this precision.
-CYCLE = 1000
+#: Sum of the weights that sources have by default, about.
+PARTS = 1000
+#: Largest sum of weights; a sum above it is an error, not a reason to round.
+MOST_SLOTS = 100_000
 #: Rows of one block of a source.
 BLOCK_ROWS = 32
 
 
-def target_slots(counts: DataFrame, weights: dict[str | None, float] | None, cycle: int) -> DataFrame:
-    """Whole slots of a cycle for each source: ``source, rows, idx, share int``.
+def whole_weights(weights: dict[str | None, float]) -> dict[str | None, int]:
+    """The least whole numbers in exactly the proportions of ``weights``; 0.1 is taken as one tenth."""
+    exact = {k: Fraction(str(v)) for k, v in weights.items()}
+    if any(v < 0 for v in exact.values()):
+        raise ValueError("weights can't be negative")
+    unit = lcm(*(v.denominator for v in exact.values())) if exact else 1
+    whole = {k: int(v * unit) for k, v in exact.items()}
+    common = reduce(gcd, whole.values(), 0) or 1
+    return {k: v // common for k, v in whole.items()}
+
 
-    ``weights`` maps sources to target weights; sources that it leaves out get
-    none of the cycle's weight but one slot, so that no row is lost.  None
-    weighs each source by the square root of its rows.  Each source gets one
-    slot and then its part of the rest, by largest remainder.  There is one row
-    for each source, so the windows here are over a handful of rows.
+def target_weights(counts: DataFrame, weights: dict[str | None, float] | DataFrame | None, parts: int = PARTS) -> DataFrame:
+    """``source, rows, idx int, weight long`` of each source in ``counts (source, rows)``.
+
+    ``weights`` maps sources to their weights, as a dict or as rows ``(source,
+    weight long)`` with distinct sources; a source that it leaves out has weight
+    0.  By default a source's weight is the square root of its rows in ``parts``
+    parts of all, a whole number and 1 at least.  Sources without rows take no
+    part.  There is one row for each source, so the windows here are narrow.
     """
-    if weights is None:
-        weight = F.sqrt(F.col("rows").cast("double"))
-    else:
-        weight = F.lit(0.0)
-        for name, value in weights.items():
-            weight = F.when(F.col("source").eqNullSafe(F.lit(name)), F.lit(float(value))).otherwise(weight)
     every = Window.partitionBy(F.lit(0))
-    by_name = every.orderBy(F.col("source").asc_nulls_first())
-    spare = F.greatest(F.lit(cycle) - F.count("*").over(every), F.lit(0))
-    counts = counts.withColumn("weight", weight)
-    exact = F.round(F.col("weight") / F.greatest(F.sum("weight").over(every), F.lit(1e-300)) * spare, 9)
-    counts = counts.select("source", "rows", exact.alias("exact"), spare.alias("spare"), (F.row_number().over(by_name) - 1).alias("idx"))
-    left = F.col("spare") - F.sum(F.floor("exact")).over(every)
-    rank = F.row_number().over(every.orderBy((F.col("exact") - F.floor("exact")).desc(), "idx"))
-    more = (rank <= left).cast("int")
-    return counts.select("source", "rows", "idx", (F.floor("exact") + 1 + more).cast("int").alias("share"))
+    counts = counts.withColumn("idx", (F.row_number().over(every.orderBy(F.col("source").asc_nulls_first())) - 1).cast("int"))
+    if weights is None:
+        root = F.sqrt(F.col("rows").cast("double"))
+        weight = F.greatest(F.lit(1), F.floor(F.round(root * parts / F.sum(root).over(every), 6) + 0.5)).cast("long")
+        return counts.select("source", "rows", "idx", weight.alias("weight"))
+    if isinstance(weights, dict):
+        weight = F.lit(0)
+        for name, value in whole_weights(weights).items():
+            weight = F.when(F.col("source").eqNullSafe(F.lit(name)), F.lit(value)).otherwise(weight)
+        return counts.select("source", "rows", "idx", weight.cast("long").alias("weight"))
+    given = weights.select(F.col("source").alias("of"), F.col("weight").cast("long").alias("weight"))
+    joined = counts.join(given, F.col("source").eqNullSafe(F.col("of")), "left")
+    return joined.select("source", "rows", "idx", F.coalesce("weight", F.lit(0).cast("long")).alias("weight"))
+
+
+#: Slots, one after another: of each distinct weight the next block's deadline, place, release and number among all blocks of that weight.
+FOLD = """
+    aggregate(sequence(0L, cycle - 1, 512L),
+        named_struct('next', transform(kinds, (k, j) -> named_struct('due', (cycle + k.w - 1) div k.w, 'j', j, 'release', 0L, 'ran', 0L)), 'order', cast(array() AS array<int>)),
+        (o, low) -> transform(array(
+            aggregate(sequence(low, least(low + 511, cycle - 1)), named_struct('next', o.next, 'order', cast(array() AS array<int>)),
+                (s, t) -> transform(array(array_min(transform(s.next, n -> if(n.release <= t, n, null)))), pick -> named_struct(
+                    'next', transform(s.next, n -> if(n.j = pick.j, named_struct(
+                        'due', ((((n.ran + 1) div kinds[n.j].m) + 1) * cycle + kinds[n.j].w - 1) div kinds[n.j].w, 'j', n.j,
+                        'release', (((n.ran + 1) div kinds[n.j].m) * cycle) div kinds[n.j].w, 'ran', n.ran + 1), n)),
+                    'order', concat(s.order, array(pick.j))))[0])
+        ), r -> named_struct('next', r.next, 'order', concat(o.order, r.order)))[0]).order
+"""
 
 
 def schedule(shares: DataFrame) -> DataFrame:
-    """Earliest deadline first over one cycle: ``idx int, nth int, at int, cycle int``.
+    """Earliest deadline first until all lags are zero: ``idx int, nth long, at int, cycle long``.
 
-    ``at`` is the slot of the source's ``nth`` block of the cycle.  One array of
-    shares is folded over the slots of the cycle, so the work and the memory are
-    bounded by ``cycle`` and the number of sources.
+    ``at`` is the slot of the ``nth`` block of a source with a weight.  Of blocks
+    with one deadline, that of the heavier source comes first, then that of the
+    lesser ``idx``.  One array of distinct weights is folded over the slots, so
+    work and memory are bounded by the sum of the weights.
     """
-    one = shares.groupBy().agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "share"))), lambda x: x["share"]).alias("e"))
-    one = one.filter(F.size("e") > 0).withColumn("cycle", F.aggregate("e", F.lit(0), lambda a, x: a + x))
-    cycle = F.col("cycle")
-
-    def due(x: Column, i: Column, done: Column) -> Column:
-        share, nth = F.get(F.col("e"), i), x
-        released = F.floor(nth * cycle / share) <= F.size(done)
-        deadline = F.ceil((nth + 1) * cycle / share)
-        return F.when((nth < share) & released, F.struct(deadline.alias("deadline"), i.cast("int").alias("idx")))
-
-    def step(state: Column, _t: Column) -> Column:
-        chosen = F.array_min(F.transform(state["ran"], lambda x, i: due(x, i, state["order"])))["idx"]
-        return F.struct(
-            F.transform(state["ran"], lambda x, i: F.when(i == chosen, x + 1).otherwise(x)).alias("ran"),
-            F.concat(state["order"], F.array(chosen)).alias("order"),
-        )
-
-    start = F.struct(F.transform("e", lambda _: F.lit(0)).alias("ran"), F.array().cast("array<int>").alias("order"))
-    order = F.aggregate(F.sequence(F.lit(1), cycle), start, step)["order"]
-    ran = one.select("cycle", F.posexplode(order).alias("at", "idx"))
-    nth = F.row_number().over(Window.partitionBy("idx").orderBy("at")) - 1
-    return ran.select("idx", nth.alias("nth"), "at", "cycle")
+    own = shares.filter("weight > 0").select("idx", "weight")
+    turn = (F.row_number().over(Window.partitionBy("weight").orderBy("idx")) - 1).cast("long")
+    members = own.select("idx", "weight", turn.alias("turn"))
+    kinds = own.groupBy("weight").agg(F.count("*").alias("m"))
+    one = kinds.groupBy().agg(F.expr("sort_array(collect_list(struct(weight AS w, m)), false)").alias("kinds"), F.sum(F.col("weight") * F.col("m")).alias("cycle"))
+    ran = one.filter(F.size("kinds") > 0).select("kinds", "cycle", F.expr(FOLD).alias("order")).select("kinds", "cycle", F.posexplode("order").alias("at", "j"))
+    kind = F.get("kinds", F.col("j"))
+    ran = ran.select("at", "cycle", kind["w"].alias("weight"), kind["m"].alias("m"), (F.row_number().over(Window.partitionBy("j").orderBy("at")) - 1).alias("k"))
+    ran = ran.select("at", "cycle", "weight", F.expr("k div m").alias("nth"), (F.col("k") % F.col("m")).alias("turn"))
+    return ran.join(members, ["weight", "turn"]).select("idx", "nth", "at", "cycle")
 
 
 def mix(
     docs: DataFrame,
-    weights: dict[str | None, float] | None = None,
+    weights: dict[str | None, float] | DataFrame | None = None,
     source: str = "source",
     id_col: str = "doc_id",
-    cycle: int = CYCLE,
+    parts: int = PARTS,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """The place of every row in the mixture.
@@ -95,48 +117,57 @@ def mix(
     Returns ``id_col, source, block, in_block, release, deadline, slot,
     on_target``.  Ordering rows by ``slot, in_block`` gives the mixture.  Slots
     of sources that have run out stay unused; ``on_target`` is true before the
-    first slot that a source could not fill, and up to there the deviation is
-    less than one block.  No row is dropped or repeated.  A null source is a
-    source of its own; rows with a null id come first in their source, and rows
-    with equal ids are next to each other in any order.  More sources than
-    slots lengthen the cycle to one slot for each.  Other columns of ``docs``
-    are ignored.
+    first slot that a source could not fill, and up to there each source is less
+    than one block away from its exact weight.  Sources of weight 0 follow after
+    all others, without release and deadline.  No row is dropped or repeated.  A
+    null source is a source of its own; rows with a null id come first in their
+    source, and rows with equal ids are next to each other in any order.  Texts
+    are not read.  Other columns of ``docs`` are ignored, whatever their names.
+    An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    keys = docs.select(F.col(id_col).alias("doc_id"), F.col(source).alias("source"))
-    # Range partitions in id order; their bounds are sampled, so they are kept.
+    keys = docs.select(F.col(id_col).alias("doc_id"), F.col(source).alias("source"), F.monotonically_increasing_id().alias("tie"))
+    # Range partitions in id order; their bounds are sampled, so they are kept.  Many rows of one id are split by their tie.
     ranges = max(2, spark.sparkContext.defaultParallelism * 4)
-    keys = cut(keys.repartitionByRange(ranges, "doc_id", F.xxhash64("source")).withColumn("part", F.spark_partition_id()))
-    parts = keys.groupBy("source", "part").agg(F.count("*").alias("n"))
-    parts = parts.withColumn("before", F.sum("n").over(Window.partitionBy("source").orderBy("part")) - F.col("n"))
-    counts = parts.groupBy("source").agg(F.sum("n").alias("rows"))
-    shares = cut(target_slots(counts, weights, cycle))
+    keys = cut(keys.repartitionByRange(ranges, "doc_id", F.xxhash64("source"), "tie").select("doc_id", "source", F.spark_partition_id().alias("part")))
+    held = keys.groupBy("source", "part").agg(F.count("*").alias("n"))
+    held = held.withColumn("before", F.sum("n").over(Window.partitionBy("source").orderBy("part")) - F.col("n"))
+    counts = held.groupBy("source").agg(F.sum("n").alias("rows"))
+    shares = cut(target_weights(counts, weights, parts).withColumn("blocks", F.expr(f"(rows + {block_rows - 1}) div {block_rows}")))
+    total = shares.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]
+    if total > MOST_SLOTS:
+        raise ValueError(f"the weights add up to {total} slots; {MOST_SLOTS} are the most")
     plan = cut(schedule(shares))
-    # The first block that each source does not have (a part of one is not enough) bounds the mixture.
-    whole = F.expr(f"rows div {block_rows}")
-    missing = shares.select("idx", "share", whole.alias("b")).withColumn("nth", (F.col("b") % F.col("share")).cast("int"))
-    ends = missing.join(plan, ["idx", "nth"]).select((F.expr("b div share") * F.col("cycle") + F.col("at")).alias("slot"))
-    horizon = ends.agg(F.coalesce(F.min("slot"), F.lit(0)).alias("horizon"))
+
+    # The first block that each source does not have (a part of one is not enough) bounds the mixture; its last block ends it.
+    def slots_of(block: str) -> DataFrame:
+        wanted = shares.filter("weight > 0").select("idx", "weight", F.expr(block).alias("b")).withColumn("nth", F.expr("b % weight"))
+        return wanted.join(plan, ["idx", "nth"]).select((F.expr("b div weight") * F.col("cycle") + F.col("at")).alias("slot"))
+
+    horizon = slots_of(f"rows div {block_rows}").agg(F.coalesce(F.min("slot"), F.lit(0))).first()[0]
+    end = slots_of("blocks - 1").agg(F.coalesce(F.max("slot") + 1, F.lit(0))).first()[0]
+    earlier = Window.partitionBy("weight").orderBy("idx")
+    begins = shares.filter("weight = 0").select("idx", (F.sum("blocks").over(earlier) - F.col("blocks") + F.lit(end)).alias("begin"))
+    shares = shares.join(begins, "idx", "left")
 
     within = F.row_number().over(Window.partitionBy("source", "part").orderBy(F.col("doc_id").asc_nulls_first())) - 1
     numbered = keys.withColumn("within", within)
-    numbered = numbered.join(parts.drop("n").withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")) & (numbered["part"] == parts["part"]))
+    numbered = numbered.join(held.drop("n").withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")) & (numbered["part"] == held["part"]))
     numbered = numbered.select("doc_id", "source", (F.col("before") + F.col("within")).alias("nth_row"))
-    numbered = numbered.join(shares.select(F.col("source").alias("s"), "idx", "share"), F.col("source").eqNullSafe(F.col("s")))
+    numbered = numbered.join(shares.select(F.col("source").alias("s"), "idx", F.expr("nullif(weight, 0)").alias("weight"), "begin"), F.col("source").eqNullSafe(F.col("s")))
     numbered = numbered.withColumn("block", F.expr(f"nth_row div {block_rows}"))
-    numbered = numbered.withColumn("nth", (F.col("block") % F.col("share")).cast("int"))
-    placed = numbered.join(plan, ["idx", "nth"])
-    first_short = horizon.first()["horizon"]
-    slot = F.expr("block div share") * F.col("cycle") + F.col("at")
+    numbered = numbered.withColumn("nth", F.expr("block % weight"))
+    placed = numbered.join(plan, ["idx", "nth"], "left")
+    slot = F.coalesce(F.expr("block div weight * cycle + at"), F.expr("begin + block"))
     return placed.select(
         F.col("doc_id").alias(id_col),
         F.col("source").alias(source),
         "block",
         (F.col("nth_row") % block_rows).cast("int").alias("in_block"),
-        F.expr("block * cycle div share").alias("release"),
-        F.expr("((block + 1) * cycle + share - 1) div share").alias("deadline"),
+        F.expr("block * cycle div weight").alias("release"),
+        F.expr("((block + 1) * cycle + weight - 1) div weight").alias("deadline"),
         slot.alias("slot"),
-        (slot < F.lit(first_short)).alias("on_target"),
+        (F.col("at").isNotNull() & (slot < F.lit(horizon))).alias("on_target"),
     )
 
 

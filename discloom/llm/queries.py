@@ -20,7 +20,10 @@ def op2_karmarkar_karp_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    """A source's weight is the mean length of its documents, in whole hundreds of characters and 1 at least."""
+    docs = table(spark, sf_dir, "documents")
+    weights = docs.groupBy("source").agg(F.expr("greatest(1, sum(coalesce(n_chars, 0)) div (100 * count(*)))").alias("weight"))
+    return mixing.mix(docs, weights)
 
 
 def op4_random_field_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,12 +69,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op3_pfair_mix": """
-        WITH RECURSIVE counts AS (
-            SELECT source, count(*) AS n, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS idx FROM documents GROUP BY source
-        ), exact AS (
-            SELECT *, greatest(1000 - count(*) OVER (), 0) AS spare, round(sqrt(n) / sum(sqrt(n)) OVER () * greatest(1000 - count(*) OVER (), 0), 9) AS x FROM counts
-        ), shares AS (
-            SELECT source, n, idx, CAST(floor(x) AS BIGINT) + 1 + CASE WHEN row_number() OVER (ORDER BY x - floor(x) DESC, idx) <= spare - sum(floor(x)) OVER () THEN 1 ELSE 0 END AS e FROM exact
+        WITH RECURSIVE shares AS (
+            SELECT source, count(*) AS n, greatest(1, CAST(sum(coalesce(n_chars, 0)) AS BIGINT) // (100 * count(*))) AS e, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS idx
+            FROM documents GROUP BY source
         ), every AS (
             SELECT list(e ORDER BY idx) AS es, CAST(sum(e) AS BIGINT) AS cycle FROM shares
         ), run AS (
@@ -79,7 +79,7 @@ ORACLE_SQL: dict[str, str] = {
             UNION ALL
             SELECT t + 1, list_transform(ran, lambda x, i: CASE WHEN i = c THEN x + 1 ELSE x END), c, ran[c] FROM (
                 SELECT t, ran, list_sort(list_filter(list_transform(range(1, len(es) + 1), lambda i:
-                    CASE WHEN ran[i] < es[i] AND ran[i] * cycle // es[i] <= t THEN {'due': ((ran[i] + 1) * cycle + es[i] - 1) // es[i], 'i': i} END), lambda x: x IS NOT NULL))[1].i AS c
+                    CASE WHEN ran[i] < es[i] AND ran[i] * cycle // es[i] <= t THEN {'due': ((ran[i] + 1) * cycle + es[i] - 1) // es[i], 'heavy': -es[i], 'i': i} END), lambda x: x IS NOT NULL))[1].i AS c
                 FROM run, every WHERE t < cycle)
         ), plan AS (
             SELECT chosen - 1 AS idx, nth, t - 1 AS place FROM run WHERE chosen IS NOT NULL

@@ -1,4 +1,5 @@
 from collections import defaultdict
+from fractions import Fraction
 from math import ceil, floor
 
 import pytest
@@ -19,27 +20,27 @@ def earliest_deadline_first(shares):
     """Slots of a cycle by simulation: source number in each."""
     cycle, ran, order = sum(shares), [0] * len(shares), []
     for t in range(cycle):
-        ready = [(ceil((ran[i] + 1) * cycle / e), i) for i, e in enumerate(shares) if ran[i] < e and floor(ran[i] * cycle / e) <= t]
-        due, i = min(ready)
+        ready = [(ceil((ran[i] + 1) * cycle / e), -e, i) for i, e in enumerate(shares) if ran[i] < e and floor(ran[i] * cycle / e) <= t]
+        due, _, i = min(ready)
         assert due > t  # every deadline is met
         ran[i] += 1
         order.append(i)
     return order
 
 
-@pytest.mark.parametrize("weights", [None, {"hot": 0.5, "mid": 0.2, None: 0.3, "absent": 1.0}])
+@pytest.mark.parametrize("weights", [None, {"hot": 0.5, "mid": 0.2, None: 0.3, "absent": 1.0, "one": 0.15, "s0": 0.2, "s1": 0.05, "s2": 0.05, "s3": 0.05, "s4": 0.2}])
 def test_every_row_has_its_place(spark, weights):
     rows = corpus()
     df = spark.createDataFrame(rows, SCHEMA).repartition(5)
-    got = mixing.mix(df, weights, cycle=60, block_rows=8).collect()
+    got = mixing.mix(df, weights, parts=60, block_rows=8).collect()
     assert sorted(((r.doc_id, r.source) for r in got), key=str) == sorted(rows, key=str)
     places = sorted((r.slot, r.in_block, r.source or "") for r in got)
     assert len(set(places)) == len(rows)
     counts = df.groupBy("source").agg(F.count("*").alias("rows"))
-    shares = {r.source: (r.idx, r.share) for r in mixing.target_slots(counts, weights, 60).collect()}
+    shares = {r.source: (r.idx, r.weight) for r in mixing.target_weights(counts, weights, 60).collect()}
     names = sorted(shares, key=lambda s: shares[s][0])
     cycle = sum(e for _, e in shares.values())
-    assert cycle == 60 and names[0] is None
+    assert names[0] is None and all(e > 0 for _, e in shares.values())
     order = earliest_deadline_first([shares[s][1] for s in names])
     nth, slot_of = defaultdict(int), {}
     for c in range(1000):
@@ -54,27 +55,67 @@ def test_every_row_has_its_place(spark, weights):
         assert [b * 8 + i for b, i, _ in own] == list(range(len(own))) and [x for *_, x in own] == sorted(x for *_, x in own)
 
 
-def test_deviation_is_below_one_block(spark):
-    rows = [(i, "a") for i in range(6000)] + [(10_000 + i, "b") for i in range(2500)] + [(20_000 + i, "c") for i in range(700)]
-    got = mixing.mix(spark.createDataFrame(rows, SCHEMA), {"a": 0.55, "b": 0.35, "c": 0.1}, cycle=100, block_rows=10).collect()
-    shares = {r.source: r.share for r in mixing.target_slots(spark.createDataFrame([("a", 1), ("b", 1), ("c", 1)], "source string, rows long"), {"a": 0.55, "b": 0.35, "c": 0.1}, 100).collect()}
-    end = max(r.slot for r in got if r.on_target) + 1
-    used = {(r.slot, r.source) for r in got if r.on_target}
-    assert end > 300
-    held = defaultdict(int)
-    source_at = dict(used)
-    for t in range(end):
-        held[source_at[t]] += 1
-        assert all(abs(held[s] - (t + 1) * shares[s] / 100) < 1 for s in shares)
+def lags(placed, weights):
+    """Farthest distance of a source from its exact share, in blocks, over all slots on target; and how many these are."""
+    total, by_slot = sum(map(Fraction, map(str, weights.values()))), {}
+    for slot, source in placed:
+        assert by_slot.setdefault(slot, source) == source
+    ran, worst = defaultdict(int), Fraction(0)
+    for t in range(len(by_slot)):
+        ran[by_slot[t]] += 1
+        worst = max(worst, *(abs(ran[s] - (t + 1) * Fraction(str(w)) / total) for s, w in weights.items()))
+    return worst, len(by_slot)
+
+
+@pytest.mark.parametrize("weights", [{"a": 0.55, "b": 0.35, "c": 0.10}, {"a": 0.7, "b": 0.1, "c": 0.1, "d": 0.1}, {"a": 0.9, "b": 0.05, "c": 0.05}, {"a": 17, "b": 5, "c": 3, "d": 3, "e": 1}, {"a": 0.333, "b": 0.667}])
+def test_deviation_from_the_weights_is_below_one_block(spark, weights):
+    total, slots = sum(weights.values()), 20 * sum(mixing.whole_weights(weights).values())
+    rows = [(n * 1_000_000 + i, s) for n, (s, w) in enumerate(weights.items()) for i in range(4 * (round(slots * w / total) + 1))]
+    got = mixing.mix(spark.createDataFrame(rows, SCHEMA), weights, block_rows=4).filter("on_target").collect()
+    worst, n = lags({(r.slot, r.source) for r in got}, weights)
+    assert worst < 1 and n >= slots
+
+
+def test_many_sources_are_less_than_one_block_off(spark):
+    rows = spark.range(10_000).selectExpr("id AS idx", "cast(1 + id % 7 AS long) AS weight")
+    plan = mixing.schedule(rows.selectExpr("cast(idx AS int) AS idx", "weight")).collect()
+    cycle = plan[0].cycle
+    assert cycle == sum(1 + i % 7 for i in range(10_000)) == len({r["at"] for r in plan}) == len(plan)
+    assert all(r.nth * cycle // w <= r["at"] < -(-(r.nth + 1) * cycle // w) for r in plan for w in [1 + r.idx % 7])
+
+
+def test_sources_without_weight_follow_after_all_others(spark):
+    rows = [(i, "a") for i in range(40)] + [(100 + i, "b") for i in range(20)] + [(200 + i, None) for i in range(13)] + [(300 + i, "z") for i in range(9)]
+    got = mixing.mix(spark.createDataFrame(rows, SCHEMA), {"a": 2, "b": 1, "absent": 5}, block_rows=4).collect()
+    last = max(r.slot for r in got if r.source in ("a", "b"))
+    rest = sorted((r.slot, r.in_block, r.doc_id, r.release, r.on_target) for r in got if r.source not in ("a", "b"))
+    assert [(r[0] - last - 1, *r[1:]) for r in rest] == [(i // 4, i % 4, 200 + i, None, False) for i in range(13)] + [(4 + i // 4, i % 4, 300 + i, None, False) for i in range(9)]
+    assert len(got) == len(rows) and mixing.mix(spark.createDataFrame(rows, SCHEMA), {}).filter("on_target").count() == 0
+
+
+def test_weights_are_exact_or_an_error(spark):
+    assert mixing.whole_weights({"a": 0.7, "b": 0.1, None: 0.2, "d": 0}) == {"a": 7, "b": 1, None: 2, "d": 0}
+    df = spark.createDataFrame([(1, "a"), (2, "b")], SCHEMA)
+    with pytest.raises(ValueError):
+        mixing.mix(df, {"a": 0.1234567, "b": 0.2})
+    with pytest.raises(ValueError):
+        mixing.mix(df, {"a": -1})
+
+
+def test_many_rows_of_one_id(spark):
+    rows = [(5, "a")] * 400 + [(None, "a")] * 100 + [(i, "a") for i in range(3)]
+    got = mixing.mix(spark.createDataFrame(rows, SCHEMA).repartition(4), block_rows=8).collect()
+    assert sorted(r.slot * 8 + r.in_block for r in got) == list(range(503))
+    assert [r.doc_id for r in sorted(got, key=lambda r: (r.slot, r.in_block))] == [None] * 100 + [0, 1, 2] + [5] * 400
 
 
 def test_the_mixture_is_written_in_order(spark, tmp_path):
     rows = [(*r, f"text {n}") for n, r in enumerate(corpus())]
     df = spark.createDataFrame(rows, "doc_id long, source string, mix_slot string").repartition(4)
-    mixing.mixed(df, cycle=60, block_rows=8).write.parquet(str(tmp_path / "out"))
+    mixing.mixed(df, parts=60, block_rows=8).write.parquet(str(tmp_path / "out"))
     got = spark.read.parquet(str(tmp_path / "out"))
     assert got.columns == df.columns and sorted(map(tuple, got.collect()), key=str) == sorted(rows, key=str)
-    slots = {(r.source, r.doc_id): r.slot for r in mixing.mix(df, cycle=60, block_rows=8).collect() if r.doc_id is not None and r.doc_id != 5}
+    slots = {(r.source, r.doc_id): r.slot for r in mixing.mix(df, parts=60, block_rows=8).collect() if r.doc_id is not None and r.doc_id != 5}
     files = [spark.read.parquet(str(p)).collect() for p in sorted((tmp_path / "out").glob("part-*.parquet"))]
     placed = [slots[r.source, r.doc_id] for f in files for r in f if (r.source, r.doc_id) in slots]
     assert placed == sorted(placed)
@@ -83,7 +124,7 @@ def test_the_mixture_is_written_in_order(spark, tmp_path):
 def test_more_sources_than_slots_no_rows_and_clashing_columns(spark):
     rows = [(i, f"s{i % 30}", 1, 2) for i in range(300)]
     df = spark.createDataFrame(rows, "doc_id long, source string, part int, slot int")
-    got = mixing.mix(df, cycle=10, block_rows=2)
+    got = mixing.mix(df, parts=10, block_rows=2)
     assert got.count() == 300 and got.columns[:2] == ["doc_id", "source"]
     assert got.filter("release > slot OR slot >= deadline").count() == 0
     assert mixing.mix(df.limit(0)).count() == 0 == mixing.mixed(df.limit(0)).count()
