@@ -1,98 +1,225 @@
 """Audio sectors to packets, and packets to timecoded frames.
 
-All packets of a sector are decoded from its own row, without a shuffle.
-Frames are numbered by window functions in blocks of a stream's sectors and
-assembled by their numbers, so that a task holds a block or a few frames,
-however long the stream is.
+All packets of a batch of sectors are decoded at once from their own rows,
+without a shuffle.  Frames are assembled after one shuffle of the packets by
+stream, in which they are sorted: batch after batch, by rules on whole columns.
+A task holds a batch and the one frame that it leaves unfinished, however long
+the stream is.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from discloom.functions.binary import be_uint, bits
-from discloom.functions.timecode import frame_count, in_range
+from discloom.functions.timecode import FRAMES_A_MINUTE, FRAMES_A_SECOND, in_range
 
 SECTOR_BYTES = 2048
 AUDIO, SUPPLEMENTARY, PADDING = 2, 3, 7
-#: Sectors of a stream (8 MiB) in which frames are numbered at once.
-BLOCK_SECTORS = 4096
+#: Packets, and frame infos, that a sector's header has room for.
+MOST = 7
+INFO = "struct<tc: int, sector_count: int, bits: int>"
 
 
-def decode_headers(sectors: DataFrame, data: str = "data") -> DataFrame:
-    """Sectors with their header fields and ``packets``, an array of structs.
+def _decoded(data: pa.Array) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """Header fields of each sector, and fields of each packet by sector and place.
 
-    A packet has ``pno, frame_start, data_type, length, offset``, its number
-    ``k`` among the sector's audio frame starts so far, and the frame info that
-    this number points at (null if there is none).  A sector that is too short
-    or whose parts reach over its end has ``corrupt`` true and no packets.
+    A packet's ``k`` is the number of audio frame starts up to it in its sector;
+    ``info`` is the place of the frame info that this number points at, or -1.
+    A sector that is too short, or whose parts reach over its end, is corrupt
+    and has no packets.
     """
-    d = F.col(data)
-    head = be_uint(d, 0, 1)
-    n_packets, n_infos = bits(head, 5, 3), bits(head, 2, 3)
-    dst = head.bitwiseAND(1) == 1
-    info_size = F.when(dst, 4).otherwise(3)
-    out = sectors.withColumns({"_dst": dst, "_np": n_packets, "_ni": n_infos, "_is": info_size})
-    nth = lambda n: F.slice(F.sequence(F.lit(0), F.lit(7)), F.lit(1), F.col(n).cast("int"))
-    byte = lambda at: F.conv(F.hex(F.substring(d, at + 1, F.lit(1))), 16, 10).cast("int")
-
-    def raw(i: Column) -> Column:
-        b0, b1 = byte(i * 2 + 1), byte(i * 2 + 2)
-        return F.struct(
-            i.alias("pno"),
-            (bits(b0, 7, 1) == 1).alias("frame_start"),
-            bits(b0, 3, 3).alias("data_type"),
-            F.shiftleft(bits(b0, 0, 3), 8).bitwiseOR(b1).alias("length"),
-        )
-
-    def info(i: Column) -> Column:
-        at = F.col("_np").cast("int") * 2 + 1 + i * F.col("_is")
-        m, s, f = byte(at), byte(at + 1), byte(at + 2)
-        last = F.when(F.col("_dst"), byte(at + 3))
-        return F.struct(frame_count(m, s, f).alias("tc"), bits(last, 2, 5).alias("sector_count"), last.alias("bits"))
-
-    out = out.withColumns({"_raw": F.transform(nth("_np"), raw), "_infos": F.transform(nth("_ni"), info)})
-    body = F.col("_np") * 2 + 1 + F.col("_ni") * F.col("_is")
-    out = out.withColumn("_body", body)
-    end = F.col("_body") + F.aggregate("_raw", F.lit(0), lambda a, p: a + p["length"])
-    corrupt = (F.length(d) < SECTOR_BYTES) | d.isNull() | (end > F.length(d))
-    out = out.withColumn("corrupt", F.coalesce(corrupt, F.lit(True)))
-    def placed(p: Column, i: Column) -> Column:
-        before = F.slice("_raw", F.lit(1), i)
-        starts = F.size(F.filter(F.slice("_raw", F.lit(1), i + 1), lambda x: x["frame_start"] & (x["data_type"] == AUDIO)))
-        return F.struct(
-            p["pno"].alias("pno"),
-            p["frame_start"].alias("frame_start"),
-            p["data_type"].alias("data_type"),
-            p["length"].alias("length"),
-            (F.col("_body") + F.aggregate(before, F.lit(0), lambda a, x: a + x["length"])).cast("int").alias("offset"),
-            starts.alias("k"),
-            F.when(p["frame_start"] & (p["data_type"] == AUDIO), F.get("_infos", starts - 1)).alias("info"),
-        )
-
-    packets = F.when(~F.col("corrupt"), F.transform("_raw", placed)).otherwise(F.array())
-    out = out.withColumns({"packets": packets, "dst_encoded": F.col("_dst"), "n_packets": F.col("_np").cast("int"), "n_infos": F.col("_ni").cast("int")})
-    return out.drop("_dst", "_np", "_ni", "_is", "_raw", "_infos", "_body")
+    n, sizes = len(data), pc.fill_null(pc.binary_length(data), 0).to_numpy()
+    whole = sizes >= SECTOR_BYTES
+    grid = np.zeros((n, SECTOR_BYTES), np.uint8)
+    if n:
+        buffer, offsets = np.frombuffer(data.buffers()[2] or b"", np.uint8), np.frombuffer(data.buffers()[1], np.int32)[data.offset : data.offset + n + 1]
+        if whole.all() and (sizes == SECTOR_BYTES).all():
+            grid = buffer[offsets[0] : offsets[-1]].reshape(n, SECTOR_BYTES)
+        else:
+            for i in np.flatnonzero(whole).tolist():
+                grid[i] = buffer[offsets[i] : offsets[i] + SECTOR_BYTES]
+    head = grid[:, 0].astype(np.int32)
+    packs, infos, dst = head >> 5, head >> 2 & 7, head & 1
+    first, second = grid[:, 1 : 2 * MOST : 2].astype(np.int32), grid[:, 2 : 2 * MOST + 1 : 2].astype(np.int32)
+    there = np.arange(MOST) < packs[:, None]
+    start, kind, length = (first >> 7 == 1) & there, first >> 3 & 7, ((first & 7) << 8 | second) * there
+    body = 1 + 2 * packs + infos * (3 + dst)
+    ends = body[:, None] + np.cumsum(length, 1)
+    corrupt = ~whole | (ends[:, -1] > sizes)
+    there &= ~corrupt[:, None]
+    audio = start & (kind == AUDIO)
+    k = np.cumsum(audio, 1)
+    row, place = np.nonzero(there)
+    own = audio[row, place] & (k[row, place] <= infos[row])
+    at = np.where(own, 1 + 2 * packs[row] + (k[row, place] - 1) * (3 + dst[row]), 0)
+    m, s, f, last = (grid[row, at + i].astype(np.int32) for i in range(4))
+    sectors = {"corrupt": corrupt, "dst_encoded": dst == 1, "n_packets": packs, "n_infos": infos}
+    return sectors, {
+        "row": row, "pno": place, "frame_start": start[row, place], "data_type": kind[row, place], "length": length[row, place], "k": k[row, place], "offset": ends[row, place] - length[row, place],
+        "has_info": own, "tc": m * FRAMES_A_MINUTE + s * FRAMES_A_SECOND + f, "bits": last, "timed": own & (dst[row] == 1),
+    }
+
+
+def _int(values: np.ndarray, valid: np.ndarray | None = None) -> pa.Array:
+    return pa.array(values.astype(np.int32), mask=None if valid is None else ~valid)
+
+
+def decode_headers(sectors: DataFrame, data: str = "data") -> DataFrame:
+    """Sectors with ``corrupt, dst_encoded, n_packets, n_infos``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fields, _ = _decoded(b.column(at))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fields["corrupt"]), pa.array(fields["dst_encoded"]), _int(fields["n_packets"]), _int(fields["n_infos"])], names)
+
+    names, at = [*sectors.columns, "corrupt", "dst_encoded", "n_packets", "n_infos"], sectors.columns.index(data)
+    return sectors.mapInArrow(run, _schema(sectors.schema, "corrupt boolean, dst_encoded boolean, n_packets int, n_infos int"))
+
+
+def _schema(fields, more: str) -> T.StructType:
+    return T.StructType([*fields, *T.StructType.fromDDL(more)])
 
 
 def packets(sectors: DataFrame, keys: list[str], data: str = "data", strict: bool = True) -> DataFrame:
-    """One row for each packet: ``keys, lsn, pno, frame_start, data_type, length, k, info, payload``.
+    """One row for each packet: ``keys, lsn, dst_encoded, pno, frame_start, data_type, length, k, info, payload``.
 
-    A corrupt sector is an error, or with ``strict`` off has no rows.  The error
-    hangs on ``data_type``, which is known only after the packets are taken
-    apart: there, no optimisation can move it before filters on sectors.
+    ``info`` is null where a packet has none; its ``sector_count`` and ``bits``
+    are null in sectors that aren't encoded.  A corrupt sector is an error, or
+    with ``strict`` off has no rows.
     """
-    decoded = decode_headers(sectors, data).select(*keys, "lsn", F.col(data).alias("_d"), "dst_encoded", "corrupt", F.explode_outer("packets").alias("p"))
-    kind = F.col("p.data_type")
-    if strict:
-        message = F.concat(F.lit("malformed audio sector "), F.col("lsn").cast("string"))
-        kind = F.when(F.col("corrupt"), F.raise_error(message).cast("int")).otherwise(kind)
-    rows = decoded.select(*keys, "lsn", "dst_encoded", "p.pno", "p.frame_start", kind.alias("data_type"), "p.length", "p.k", "p.info", F.expr("substring(_d, p.offset + 1, p.length)").alias("payload"))
-    return rows.filter("data_type IS NOT NULL")
+    plain = [*keys, "lsn"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fields, p = _decoded(b.column(len(plain)))
+            if strict and fields["corrupt"].any():
+                raise ValueError(f"malformed audio sector {b.column(len(plain) - 1)[int(fields['corrupt'].argmax())]}")
+            row = pa.array(p["row"])
+            held = b.column(len(plain))
+            offsets = np.frombuffer(held.buffers()[1], np.int32)[held.offset :] if len(held) else np.zeros(1, np.int32)
+            begins, sizes = offsets[p["row"]] + p["offset"], p["length"]
+            info = pa.StructArray.from_arrays(
+                [_int(p["tc"]), _int(p["bits"] >> 2 & 31, p["timed"]), _int(p["bits"], p["timed"])], ["tc", "sector_count", "bits"], mask=pa.array(~p["has_info"])
+            )
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(b.column(i).take(row) for i in range(len(plain))), pa.array(fields["dst_encoded"][p["row"]]), _int(p["pno"]), pa.array(p["frame_start"]), _int(p["data_type"]),
+                    _int(sizes), _int(p["k"]), info, _cut(held.buffers()[2], begins, sizes),
+                ],
+                names,
+            )
+
+    names = [*plain, "dst_encoded", "pno", "frame_start", "data_type", "length", "k", "info", "payload"]
+    more = f"dst_encoded boolean, pno int, frame_start boolean, data_type int, length int, k int, info {INFO}, payload binary"
+    return sectors.select(*plain, data).mapInArrow(run, _schema([sectors.schema[c] for c in plain], more))
+
+
+def _cut(buffer: pa.Buffer | None, begins: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Parts of a buffer, one after another."""
+    source = np.frombuffer(buffer or b"", np.uint8)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    from_where = np.repeat(begins - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+    offsets = np.concatenate([[0], ends]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(source[from_where])])
 
 
-def assemble(packs: DataFrame, keys: list[str], start: str | None = None, end: str | None = None) -> DataFrame:
+def _changes(column: pa.Array) -> np.ndarray:
+    """Whether each value but the first differs from the one before it; null equals null."""
+    a, b = column.slice(1), column.slice(0, len(column) - 1)
+    differ = pc.fill_null(pc.not_equal(a, b), False).to_numpy(zero_copy_only=False)
+    return differ | (a.is_null().to_numpy(zero_copy_only=False) != b.is_null().to_numpy(zero_copy_only=False))
+
+
+def _frames(n_keys: int, n_extra: int, lost: bool):
+    """Frames of packets sorted by stream and place: columns keys, lsn, frame_start, length, info, payload, extra."""
+
+    def rows_of(table: pa.Table, before: int, ended: bool) -> tuple[pa.RecordBatch | None, pa.Table, int]:
+        """Frames that surely end, packets that must wait, and the number of frames of their stream before them."""
+        n = table.num_rows
+        new = np.zeros(n, bool)
+        new[:1] = True
+        for i in range(n_keys):
+            new[1:] |= _changes(table.column(i).combine_chunks())
+        column = lambda i: table.column(n_keys + i).combine_chunks()
+        info = column(3)
+        lsn, start, length = column(0).to_numpy(), column(1).to_numpy(zero_copy_only=False), column(2).to_numpy()
+        count = pc.fill_null(pc.struct_field(info, "sector_count"), 0).to_numpy()
+        begins = start & info.is_valid().to_numpy(zero_copy_only=False)
+        stream = np.cumsum(new) - 1
+        first = np.flatnonzero(new)
+        # Number of the frame in its stream; what is carried over adds to the first one.
+        total = np.cumsum(begins)
+        fid = total - (total - begins)[first][stream] + np.where(stream == 0, before, 0)
+        edge = new | begins
+        group = np.cumsum(edge) - 1
+        at = np.flatnonzero(edge)
+        # The last group waits for more, unless all has come.
+        wait = n if ended else int(at[-1])
+        passed = int(fid[at[-1]]) - int(begins[at[-1]])
+        # A start without an info counts as a packet, but its bytes belong to no frame.
+        member = begins | ~start
+        place = np.arange(n) - at[group] + 1
+        held = np.cumsum(length * member)
+        held = held - (held - length * member)[at][group]
+        is_done = (place >= count[at][group]) & (held > 0)
+        done_at = np.full(len(at), n)
+        done_rows = np.flatnonzero(is_done)
+        np.minimum.at(done_at, group[done_rows], done_rows)
+        done = done_at < n
+        done_lsn = np.where(done, lsn[np.minimum(done_at, n - 1)], np.iinfo(np.int64).max)
+        counts = (fid > 0) & (lsn <= done_lsn[group])
+        own = member & counts & (np.arange(n) < wait)
+        # What comes after a done frame is no use but for the stream's name, which one row tells.
+        kept = counts & (np.arange(n) >= wait)
+        kept[-1:] |= not ended
+        waiting = table.filter(pa.array(kept))
+        last = np.ones(len(at), bool)
+        last[:-1] = stream[at[1:]] != stream[at[:-1]]
+        size = np.bincount(group[own], length[own], minlength=len(at)).astype(np.int64)
+        ended_well = (done | last) & (size > 0)
+        found = np.flatnonzero((fid[at] > 0) & (ended_well | lost) & (at < wait))
+        if not len(found):
+            return None, waiting, passed
+        size[~ended_well] = 0
+        own &= np.isin(group, found[ended_well[found]])
+        payload = column(4)
+        offsets = np.frombuffer(payload.buffers()[1], np.int32)[payload.offset : payload.offset + n]
+        raw = _cut(payload.buffers()[2], offsets[own].astype(np.int64), length[own])
+        bounds = np.concatenate([[0], np.cumsum(size[found])]).astype(np.int32)
+        valid = np.packbits(ended_well[found], bitorder="little")
+        raw = pa.Array.from_buffers(pa.binary(), len(found), [pa.py_buffer(valid), pa.py_buffer(bounds), raw.buffers()[2]])
+        rows = pa.array(at[found])
+        tc, sector_count = (pc.struct_field(info, f).take(rows) for f in ("tc", "sector_count"))
+        extra = [column(5 + i).take(rows) for i in range(n_extra)]
+        columns = [*(table.column(i).combine_chunks().take(rows) for i in range(n_keys)), pa.array(fid[at[found]]), tc, sector_count, pa.array(done[found]), raw, *extra]
+        return pa.RecordBatch.from_arrays(columns, [f"c{i}" for i in range(len(columns))]), waiting, passed
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, before = None, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            table = pa.Table.from_batches([b])
+            table = table if waiting is None else pa.concat_tables([waiting, table])
+            out, waiting, before = rows_of(table, before, False)
+            if out is not None:
+                yield out
+        if waiting is not None:
+            out, _, _ = rows_of(waiting, before, True)
+            if out is not None:
+                yield out
+
+    return run
+
+
+def assemble(packs: DataFrame, keys: list[str], start: str | None = None, end: str | None = None, lost: bool = False) -> DataFrame:
     """Frames of each stream: ``keys, fid, tc, sector_count, done, raw, kept``.
 
     A stream is what shares ``keys``, ordered by ``lsn, pno``.  A frame begins
@@ -102,47 +229,22 @@ def assemble(packs: DataFrame, keys: list[str], start: str | None = None, end: s
     sectors.  A frame that isn't done is lost unless it is the stream's last.
     ``kept`` tells whether the timecode is in ``[start, end)``, columns of
     ``packs``; all are kept without these.  Data types other than audio are
-    passed over.
+    passed over.  With ``lost``, lost frames have rows too, with null ``raw`` and
+    ``lost`` true, which is a column then.
+
+    Packets are shuffled once.  A stream, which a disc's size bounds, is one
+    task's work, as a sorted sequence of batches.
     """
-    audio = packs.filter(F.col("data_type") == AUDIO)
-    # A struct of the keys is equal to itself even where they are null.
-    audio = audio.withColumns({"_st": F.col("frame_start") & F.col("info").isNotNull(), "_part": F.struct(*keys, F.expr(f"lsn div {BLOCK_SECTORS}").alias("_block"))})
-    # Frames are numbered within blocks of sectors, after what the blocks before hold: no task gets a whole stream.
-    held = audio.groupBy("_part").agg(F.count_if("_st").alias("_held"))
-    stream = Window.partitionBy(*(F.col("_part")[k] for k in keys))
-    before = F.sum("_held").over(stream.orderBy(F.col("_part")["_block"])) - F.col("_held")
-    blocks = held.select(F.col("_part").alias("_of"), before.alias("_before"), F.sum("_held").over(stream).alias("_last"))
-    audio = audio.join(blocks, F.col("_part") == F.col("_of")).drop("_of")
-    nth = F.sum(F.col("_st").cast("long")).over(Window.partitionBy("_part").orderBy("lsn", "pno"))
-    audio = audio.withColumn("_fid", F.col("_before") + nth).filter("_fid > 0")
-    frame = Window.partitionBy(*keys, "_fid").orderBy("lsn", "pno")
-    whole = Window.partitionBy(*keys, "_fid")
-    # A start without an info counts as a packet, but its bytes belong to no frame.
-    member = F.col("_st") | ~F.col("frame_start")
-    audio = audio.withColumns(
-        {
-            "_n": F.row_number().over(frame),
-            "_bytes": F.sum(F.when(member, F.col("length")).otherwise(0)).over(frame),
-            "_tc": F.first("info.tc").over(frame),
-            "_sc": F.first("info.sector_count").over(frame),
-            "_member": member,
-        }
-    )
-    done = F.when((F.col("_n") >= F.coalesce("_sc", F.lit(0))) & (F.col("_bytes") > 0), F.col("lsn"))
-    audio = audio.withColumn("_done", F.min(done).over(whole))
-    own = audio.filter(F.col("_member") & (F.col("_done").isNull() | (F.col("lsn") <= F.col("_done"))))
     extra = [c for c in (start, end) if c]
-    frames = own.groupBy(*keys, "_fid").agg(
-        F.first("_tc").alias("tc"),
-        F.first("_sc").alias("sector_count"),
-        F.first(F.col("_done").isNotNull()).alias("done"),
-        F.first("_last").alias("_last"),
-        F.expr("listagg(payload) WITHIN GROUP (ORDER BY lsn, pno)").alias("raw"),
-        *(F.first(c).alias(f"_{c}") for c in extra),
-    )
-    frames = frames.filter((F.col("done") | (F.col("_fid") == F.col("_last"))) & (F.length("raw") > 0))
+    audio = packs.filter(F.col("data_type") == AUDIO).select(*keys, "lsn", "frame_start", "length", "info", "payload", *(F.col(c).alias(f"_{c}") for c in extra), F.col("pno").alias("_pno"))
+    audio = audio.repartition(*keys).sortWithinPartitions(*keys, "lsn", "_pno").drop("_pno")
+    schema = _schema([packs.schema[k] for k in keys], "fid long, tc int, sector_count int, done boolean, raw binary")
+    for c in extra:
+        schema = schema.add(f"_{c}", packs.schema[c].dataType)
+    frames = audio.mapInArrow(_frames(len(keys), len(extra), lost), schema)
     kept = in_range(F.col("tc"), F.col(f"_{start}"), F.col(f"_{end}")) if start and end else F.lit(True)
-    return frames.select(*keys, F.col("_fid").alias("fid"), "tc", "sector_count", "done", "raw", kept.alias("kept"))
+    more = [F.col("raw").isNull().alias("lost")] if lost else []
+    return frames.select(*keys, "fid", "tc", "sector_count", "done", "raw", kept.alias("kept"), *more)
 
 
 def plain_audio(packs: DataFrame, keys: list[str]) -> DataFrame:
@@ -154,6 +256,28 @@ def plain_audio(packs: DataFrame, keys: list[str]) -> DataFrame:
     return audio.groupBy(*keys, "lsn").agg(F.expr("listagg(payload) WITHIN GROUP (ORDER BY pno)").alias("raw"))
 
 
+def plain_sectors(sectors: DataFrame, keys: list[str], data: str = "data") -> DataFrame:
+    """The same rows as :func:`plain_audio` of the sectors' packets, straight from the sectors: nothing is shuffled."""
+    plain = [*keys, "lsn"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held = b.column(len(plain))
+            fields, p = _decoded(held)
+            if fields["corrupt"].any():
+                raise ValueError(f"malformed audio sector {b.column(len(plain) - 1)[int(fields['corrupt'].argmax())]}")
+            own = (p["data_type"] == AUDIO) & (p["length"] > 0)
+            offsets = np.frombuffer(held.buffers()[1], np.int32)[held.offset :] if len(held) else np.zeros(1, np.int32)
+            row, length = p["row"][own], p["length"][own]
+            parts = _cut(held.buffers()[2], offsets[row] + p["offset"][own], length)
+            some, sizes = np.unique(row), np.bincount(row, length).astype(np.int64)
+            bounds = np.concatenate([[0], np.cumsum(sizes[some])]).astype(np.int32)
+            raw = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(bounds), parts.buffers()[2]])
+            yield pa.RecordBatch.from_arrays([*(b.column(i).take(pa.array(some)) for i in range(len(plain))), raw], [*plain, "raw"])
+
+    return sectors.select(*plain, data).mapInArrow(run, _schema([sectors.schema[c] for c in plain], "raw binary"))
+
+
 def frame_counters(frames: DataFrame, keys: list[str]) -> DataFrame:
     """``decoded, filtered, bytes`` of each stream; an unfinished last frame isn't counted as filtered."""
     return frames.groupBy(*keys).agg(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from discloom.functions.binary import lossy_field, sanitized
@@ -66,7 +66,8 @@ def area_lines(areas: DataFrame, tracks: DataFrame) -> DataFrame:
     """``image, section, line_no, line``: the number of areas, and each area with its tracks."""
     c = F.col
     time = lambda x: F.concat(clock_text(x["m"], x["s"], x["f"]), F.lit(" [mins:secs:frames]"))
-    index = F.when(c("area") == "stereo", 0).otherwise(1)
+    # Areas are counted as they are there, stereo first.
+    index = F.row_number().over(Window.partitionBy("image").orderBy(F.when(c("area") == "stereo", 0).otherwise(1))) - 1
     place = (c("track_no") - 1).cast("string")
     numbered = lambda label, value, indent=8: F.concat(F.lit(" " * indent + label + "["), place, F.lit("]: "), value)
     timed = c("start").isNotNull() & c("duration").isNotNull()
@@ -90,7 +91,7 @@ def area_lines(areas: DataFrame, tracks: DataFrame) -> DataFrame:
     of_track = tracks.select("image", "area", "track_no", titles.alias("titles"), codes.alias("codes"))
     gathered = of_track.groupBy("image", "area").agg(F.array_sort(F.collect_list(F.struct("track_no", "titles", "codes"))).alias("t"))  # 255 at most
     head = F.array(
-        F.concat(F.lit("    Area Information ["), index.cast("string"), F.lit("]:")),
+        F.concat(F.lit("    Area Information ["), c("_index").cast("string"), F.lit("]:")),
         F.lit(""),
         _line("Version", _version()),
         _line("Area ID", c("area_id")),
@@ -99,10 +100,11 @@ def area_lines(areas: DataFrame, tracks: DataFrame) -> DataFrame:
         _line("Total Play Time", time(c("play_time"))),
         _line("Speaker Config", F.concat(c("channel_count").cast("string"), F.lit(" Channel"))),
         _line("Frame Format", frame_format_name(c("frame_format"))),
-        F.concat(F.lit("    Track List ["), index.cast("string"), F.lit("]:")),
+        F.concat(F.lit("    Track List ["), c("_index").cast("string"), F.lit("]:")),
     )
     lists = lambda name: F.flatten(F.filter(F.transform(F.coalesce(c("t"), F.array()), lambda x: x[name]), lambda x: x.isNotNull()))
-    rows = areas.join(gathered, ["image", "area"], "left").select("image", (index + 2).alias("section"), F.concat(head, lists("titles"), lists("codes")).alias("lines"))
+    placed = areas.join(gathered, ["image", "area"], "left").withColumn("_index", index)
+    rows = placed.select("image", (c("_index") + 2).alias("section"), F.concat(head, lists("titles"), lists("codes")).alias("lines"))
     count = areas.groupBy("image").agg(F.count("*").alias("n"))
     count = count.select("image", F.lit(1).alias("section"), F.array(F.lit(""), F.concat(F.lit("Area Count: "), c("n").cast("string"))).alias("lines"))
     return _numbered(count).unionByName(_numbered(rows))

@@ -1,6 +1,7 @@
 """Tables of contents as DataFrames: discs, areas, tracks and their texts.
 
-All functions take sectors ``(image, lsn, data)`` of any number of images.
+All functions take sectors ``(image, lsn, data)`` of any number of images, or
+images that are read by spans.
 """
 
 from __future__ import annotations
@@ -10,10 +11,16 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from discloom import layouts as L
 from discloom.functions.binary import be_uint, lossy_field, lossy_text, part, strict_text, trimmed
-from discloom.functions.timecode import TEXT_KINDS, frame_count
+from discloom.functions.timecode import FRAMES_A_MINUTE, FRAMES_A_SECOND, TEXT_KINDS
+from discloom.sources.sectors import Images
+
+#: Encodings of the character sets that texts may be in.
+CHARSETS = {0: "ascii", 1: "ascii", 2: "latin-1", 3: "shift_jis_2004", 4: "euc_kr", 5: "gb2312", 6: "big5", 7: "latin-1"}
 
 
 def _sector(sectors: DataFrame, lsn: int, signature: bytes) -> DataFrame:
@@ -44,13 +51,18 @@ def master_texts(sectors: DataFrame) -> DataFrame:
     return _sector(sectors, L.TEXT_LSN, L.TEXT_SIGNATURE).select("image", *(text(at).alias(name) for name, at in L.MASTER_TEXTS.items()))
 
 
-def discs(sectors: DataFrame, strict: bool = True) -> DataFrame:
+def as_images(sectors: DataFrame | Images) -> Images:
+    return sectors if isinstance(sectors, Images) else Images(sectors)
+
+
+def discs(images: DataFrame | Images, strict: bool = True) -> DataFrame:
     """One row for each image: the master table of contents and its texts.
 
     An image whose master sector is missing or isn't one is an error, or with
     ``strict`` off is left out.
     """
-    d = F.col("data")
+    images = as_images(images)
+    sectors, d = images.between(L.MASTER_LSN, L.TEXT_LSN + 1), F.col("data")
     master = _sector(sectors, L.MASTER_LSN, L.MASTER_SIGNATURE).select(
         "image", *L.fields(d, L.MASTER_FIELDS), L.genres(d, L.ALBUM_GENRES).alias("album_genre"), L.genres(d, L.DISC_GENRES).alias("disc_genre"), L.locales(d, L.LOCALES).alias("locales")
     )
@@ -58,9 +70,9 @@ def discs(sectors: DataFrame, strict: bool = True) -> DataFrame:
     if not strict:
         return out
     # The first MiB of an image shows that it is there.  The error hangs on the name, so no empty join hides it.
-    images = sectors.filter(F.col("lsn") <= L.MASTER_LSN).select("image").distinct().withColumnRenamed("image", "_of")
+    names = images.names(L.MASTER_LSN).withColumnRenamed("image", "_of")
     bad = F.raise_error(F.concat(F.lit("no master table of contents: "), F.col("_of"))).cast("string")
-    out = images.join(out, F.col("_of") == F.col("image"), "left")
+    out = names.join(out, F.col("_of") == F.col("image"), "left")
     return out.withColumn("image", F.coalesce(F.col("image"), bad)).drop("_of")
 
 
@@ -69,7 +81,7 @@ def first_general(genres: str) -> Column:
     return F.get(F.filter(genres, lambda g: g["category"] == 1), F.lit(0))
 
 
-def area_sectors(sectors: DataFrame, discs: DataFrame) -> DataFrame:
+def area_sectors(images: DataFrame | Images, discs: DataFrame) -> DataFrame:
     """``image, area, toc, lsn, nth, data``: the sectors of each copy of each area's contents."""
     copies = F.array(
         *(
@@ -79,18 +91,23 @@ def area_sectors(sectors: DataFrame, discs: DataFrame) -> DataFrame:
         )
     )
     wanted = discs.select("image", F.explode(copies).alias("c")).select("image", "c.*").filter("first > 0 AND count > 0")
-    wanted = wanted.select("image", "area", "toc", "first", F.explode(F.expr("sequence(first, first + count - 1)")).alias("lsn"))
-    return wanted.join(sectors, ["image", "lsn"]).withColumn("nth", F.col("lsn") - F.col("first")).drop("first")
+    spans = wanted.select("image", "area", "toc", "first", F.col("first").alias("low"), (F.col("first") + F.col("count")).alias("high"))
+    return as_images(images).within(spans).withColumn("nth", F.col("lsn") - F.col("first")).drop("first")
+
 
+def area_contents(images: DataFrame | Images, discs: DataFrame, permissive: bool = False) -> DataFrame:
+    """``image, area, toc, data``: each copy as one value, if it begins with the area's signature.
 
-def area_contents(sectors: DataFrame, discs: DataFrame) -> DataFrame:
-    """``image, area, toc, data``: each copy as one value, if it begins with the area's signature."""
-    own = area_sectors(sectors, discs)
+    A pointer to track texts that leads nowhere spoils the whole copy; with
+    ``permissive`` only its texts are missing.
+    """
+    own = area_sectors(images, discs)
     whole = own.groupBy("image", "area", "toc").agg(F.expr("listagg(data) WITHIN GROUP (ORDER BY nth)").alias("data"), F.min("nth").alias("_first"))
     right = F.lit(False)
     for area, signature in L.AREA_SIGNATURES.items():
         right = right | ((F.col("area") == area) & (part(F.col("data"), 0, 8) == F.lit(signature)))
-    return whole.filter((F.col("_first") == 0) & right).drop("_first").filter(_text_section_ok())
+    whole = whole.filter((F.col("_first") == 0) & right).drop("_first")
+    return whole if permissive else whole.filter(_text_section_ok())
 
 
 def _text_section_ok() -> Column:
@@ -128,90 +145,88 @@ def areas(contents: DataFrame) -> DataFrame:
     )
 
 
-def _lists(contents: DataFrame) -> DataFrame:
-    """Where each list begins: the first sector after the first one with its signature, or null."""
-    d = F.col("data")
-    count = F.least(be_uint(d, 10, 2), F.expr("length(data) div 2048"))
-    at = F.sequence(F.lit(1).cast("long"), F.greatest(count - 1, F.lit(1).cast("long")))
-
-    def first(signature: bytes) -> Column:
-        found = F.filter(at, lambda s: (s < count) & (F.substring(d, (s * 2048 + 1).cast("int"), F.lit(8)) == F.lit(signature)))
-        return (F.get(found, F.lit(0)) * 2048 + 8).cast("int")
-
-    return contents.select(
-        "image", "area", "data", be_uint(d, 69, 1).alias("track_count"),
-        first(L.TRACK_TIMES).alias("times"), first(L.TRACK_SECTORS).alias("sectors"), first(L.TRACK_CODES).alias("codes"),
-    )
-
-
-def tracks(contents: DataFrame) -> DataFrame:
+def _list_at(data: bytes, signature: bytes) -> int | None:
+    """Where a list's slots begin: in the first sector after the first one that has its signature."""
+    for at in range(2048, 2048 * min(int.from_bytes(data[10:12], "big"), len(data) // 2048), 2048):
+        if data[at : at + 8] == signature:
+            return at + 8
+    return None
+
+
+def _texts_of(data: bytes, track: int, charset: str) -> Iterator[tuple[int, str]]:
+    """Kind and text of each item of a track's texts, as they stand; one without its NUL is none."""
+    base = int.from_bytes(data[128:130], "big") * 2048
+    at = base + 8 + 2 * track
+    offset = int.from_bytes(data[at : at + 2], "big") if base and data[base : base + 8] == L.TRACK_TEXT else 0
+    at = base + offset
+    if not offset or at + 4 > len(data):
+        return
+    count, at = data[at], at + 4
+    for _ in range(count):
+        end = data.find(b"\x00", at + 2)
+        if at + 2 >= len(data) or end < 0:
+            return
+        yield data[at], data[at + 2 : end].decode(charset, "replace")
+        at = end
+        while at < len(data) and not data[at]:
+            at += 1
+
+
+def _charset(data: bytes, decoded: bool) -> str:
+    """Name of the encoding of an area's first language."""
+    return CHARSETS.get(data[90] & 7 if len(data) > 90 else 0, "utf-8") if decoded else "utf-8"
+
+
+def _track(data: bytes, i: int, lists: dict[str, int | None], charset: str) -> dict:
+    """What the lists hold of a track, counted from 0."""
+    slot = lambda name, at, n: None if lists[name] is None else data[lists[name] + at : lists[name] + at + n]
+    number = lambda b: None if b is None or len(b) < 4 else int.from_bytes(b, "big")
+    time = lambda b: None if b is None else dict(zip(("m", "s", "f", "flags"), b, strict=False))
+    code, genre = slot("codes", 12 * i, 12), slot("codes", L.SLOTS * 12 + 4 * i, 4)
+    start, duration = (slot("times", 4 * (L.SLOTS * n + i), 4) for n in (0, 1))
+    frames = lambda b: None if b is None or len(b) < 3 else b[0] * FRAMES_A_MINUTE + b[1] * FRAMES_A_SECOND + b[2]
+    texts = {TEXT_KINDS[kind]: text for kind, text in _texts_of(data, i, charset) if text and kind in TEXT_KINDS}  # the last one counts
+    return texts | {
+        "start": time(start), "duration": time(duration), "start_lsn": number(slot("sectors", 4 * i, 4)), "length_lsn": number(slot("sectors", 4 * (L.SLOTS + i), 4)),
+        "isrc": code if code is None else {"country": code[:2], "owner": code[2:5], "year": code[5:7], "designation": code[7:]},
+        "genre": None if genre is None or len(genre) < 4 else {"category": genre[0], "genre": int.from_bytes(genre[2:], "big")}, "start_fc": frames(start), "duration_fc": frames(duration),
+    }
+
+
+TIME = "struct<m: bigint, s: bigint, f: bigint, flags: bigint>"
+TRACK = (
+    f"start {TIME}, duration {TIME}, start_lsn bigint, length_lsn bigint, isrc struct<country: binary, owner: binary, year: binary, designation: binary>, "
+    "genre struct<category: bigint, genre: bigint>, start_fc int, duration_fc int"
+)
+
+
+def tracks(contents: DataFrame, charsets: bool = False) -> DataFrame:
     """One row for each track of each area, with its slots of all lists, null where a list is missing.
 
     ``start, duration (struct<m, s, f, flags>), start_fc, duration_fc,
     start_lsn, length_lsn, isrc struct<country, owner, year, designation>,
-    genre struct<category, genre>`` and all texts.
+    genre struct<category, genre>`` and all texts.  Of several texts of a kind
+    the last that isn't empty counts.  Texts are read as UTF-8, or with
+    ``charsets`` in the encoding that the area's first language names.
     """
-    rows = _lists(contents).filter("track_count > 0")
-    rows = rows.select("*", F.explode(F.expr("sequence(1, cast(track_count AS INT))")).alias("track_no"))
-    d, slot = F.col("data"), F.col("track_no") - 1
-
-    def time(at: Column) -> Column:
-        return F.when(at.isNotNull(), F.struct(*(be_uint(d, at + i, 1).alias(n) for i, n in enumerate(("m", "s", "f", "flags")))))
-
-    code = F.col("codes") + slot * 12
-    genre = F.col("codes") + L.SLOTS * 12 + slot * 4
-    cut = [("country", 0, 2), ("owner", 2, 3), ("year", 5, 2), ("designation", 7, 5)]
-    out = rows.select(
-        "image", "area", "track_no", "track_count",
-        time(F.col("times") + slot * 4).alias("start"),
-        time(F.col("times") + L.SLOTS * 4 + slot * 4).alias("duration"),
-        be_uint(d, F.col("sectors") + slot * 4, 4).alias("start_lsn"),
-        be_uint(d, F.col("sectors") + L.SLOTS * 4 + slot * 4, 4).alias("length_lsn"),
-        F.when(F.col("codes").isNotNull(), F.struct(*(part(d, code + at, n).alias(name) for name, at, n in cut))).alias("isrc"),
-        F.when(F.col("codes").isNotNull(), F.struct(be_uint(d, genre, 1).alias("category"), be_uint(d, genre + 2, 2).alias("genre"))).alias("genre"),
-    )
-    out = out.withColumns({f"{n}_fc": frame_count(F.col(f"{n}.m"), F.col(f"{n}.s"), F.col(f"{n}.f")) for n in ("start", "duration")})
-    return out.join(track_texts(contents), ["image", "area", "track_no"], "left")
-
-
-def text_items(contents: DataFrame) -> DataFrame:
-    """``image, area, track_no, item_no, kind, text``: all items of the track texts, as they stand."""
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # The items of a track follow one another at lengths that only reading tells.
+    schema = T.StructType([contents.schema["image"], *T.StructType.fromDDL(f"area string, track_no int, track_count bigint, {TRACK}, " + ", ".join(f"{n} string" for n in TEXT_KINDS.values()))])
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The items of a track's texts follow one another at lengths that only reading tells, so all of a content is read in one go.
         for b in batches:
-            rows = []
-            for image, area, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                base = int.from_bytes(data[128:130], "big") * 2048
-                for track in range(data[69] if base else 0):
-                    at = base + 8 + 2 * track
-                    offset = int.from_bytes(data[at : at + 2], "big")
-                    at = base + offset
-                    if not offset or at + 4 > len(data):
-                        continue
-                    count, at = data[at], at + 4
-                    for item in range(count):
-                        if at + 2 > len(data):
-                            break
-                        kind, end = data[at], data.find(b"\x00", at + 2)
-                        end = len(data) if end < 0 else end
-                        rows.append((image, area, track + 1, item, kind, data[at + 2 : end].decode("utf-8", "replace")))
-                        at = end
-                        while at < len(data) and not data[at]:
-                            at += 1
-            yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema=arrow)
-
-    names = ["image", "area", "track_no", "item_no", "kind", "text"]
-    arrow = pa.schema([("image", pa.string()), ("area", pa.string()), ("track_no", pa.int32()), ("item_no", pa.int32()), ("kind", pa.int32()), ("text", pa.string())])
-    return contents.select(F.col("image").cast("string"), "area", "data").mapInArrow(walk, "image string, area string, track_no int, item_no int, kind int, text string")
-
-
-def track_texts(contents: DataFrame) -> DataFrame:
-    """A column for each kind of text; of several items of a kind the last that isn't empty counts."""
-    items = text_items(contents).filter("text <> ''")
-    kinds = [F.max_by(F.when(F.col("kind") == k, F.col("text")), F.when(F.col("kind") == k, F.col("item_no"))).alias(n) for k, n in TEXT_KINDS.items()]
-    out = items.groupBy("image", "area", "track_no").agg(*kinds)
-    return out.withColumn("image", F.col("image").cast(contents.schema["image"].dataType))
+            of, rows = [], []
+            for n, (area, data) in enumerate(zip(b.column("area").to_pylist(), b.column("data").to_pylist(), strict=True)):
+                lists = {"times": _list_at(data, L.TRACK_TIMES), "sectors": _list_at(data, L.TRACK_SECTORS), "codes": _list_at(data, L.TRACK_CODES)}
+                count = data[69] if len(data) > 69 else 0
+                for i in range(count):
+                    of.append(n)
+                    rows.append({"area": area, "track_no": i + 1, "track_count": count} | _track(data, i, lists, _charset(data, charsets)))
+            table = pa.Table.from_pylist(rows, arrow)
+            image = b.column("image").take(pa.array(of, pa.int64()))
+            yield from table.add_column(0, "image", pa.chunked_array([image])).to_batches()
+
+    arrow = to_arrow_schema(T.StructType(schema.fields[1:]))
+    return contents.select("image", "area", "data").mapInArrow(parse, schema)
 
 
 def redundant_rows(contents: DataFrame) -> DataFrame:

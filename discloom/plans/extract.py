@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+from discloom.functions.binary import sanitized
 from discloom.operators import demux, pcm, report, tag, toc, tracks
 from discloom.operators.pcm import DecoderFactory
+from discloom.shared import cut
 from discloom.sources import dsf
+from discloom.sources.sectors import FileImages, Images
 
 KEYS = ["image", "area"]
 
@@ -23,11 +26,16 @@ class Tables:
     tracks: DataFrame
 
 
-def read_tables(sectors: DataFrame, strict: bool = True) -> Tables:
-    """Metadata of all images of ``sectors (image, lsn, data)``."""
-    discs = toc.discs(sectors, strict)
-    contents = toc.resolve_copies(toc.area_contents(sectors, discs))
-    return Tables(discs, toc.areas(contents), toc.tracks(contents))
+def read_tables(images: DataFrame | Images, strict: bool = True, permissive: bool = False, charsets: bool = False) -> Tables:
+    """Metadata of all images, given as ``(image, lsn, data)`` or by :func:`images_at`.
+
+    The few sectors that hold it are read once, and what they say is written to
+    the shared folder.  ``permissive`` keeps areas whose track texts are spoilt;
+    ``charsets`` reads track texts in the encodings that their areas name.
+    """
+    discs = cut(toc.discs(images, strict))
+    contents = cut(toc.resolve_copies(toc.area_contents(images, discs, permissive)))
+    return Tables(discs, toc.areas(contents), cut(toc.tracks(contents, charsets)))
 
 
 def wanted_areas(areas: DataFrame, stereo: bool = False, multichannel: bool = False) -> DataFrame:
@@ -36,36 +44,67 @@ def wanted_areas(areas: DataFrame, stereo: bool = False, multichannel: bool = Fa
     return areas.filter(F.col("area").isin(names))
 
 
-def track_frames(sectors: DataFrame, tables: Tables, selection: str | None = None, **areas: bool) -> DataFrame:
-    """Raw frames of the selected tracks: ``image, area, track_no, channels, order_no, raw``.
+def track_plan(tables: Tables, selection: str | None = None, **areas: bool) -> DataFrame:
+    """Sectors and times of the selected tracks: ``image, area, track_no, frame_format, channels, tc_start, tc_end, low, high``.
 
     A track without times, or of an unknown frame format, is an error.
     """
     own = wanted_areas(tables.areas, **areas)
     chosen = tracks.select_tracks(tables.tracks.join(own.select(*KEYS), KEYS), selection, KEYS)
     plan = tracks.track_ranges(tables.tracks, own, KEYS).join(chosen.select(*KEYS, "track_no"), [*KEYS, "track_no"])
-    formats = own.select(*KEYS, "frame_format", F.col("channel_count").cast("int").alias("channels"))
-    plan = plan.join(formats, KEYS)
+    plan = plan.join(own.select(*KEYS, "frame_format", F.col("channel_count").cast("int").alias("channels")), KEYS)
     bad = F.col("tc_start").isNull() | F.col("tc_end").isNull() | F.col("lsn_start").isNull() | F.col("lsn_end").isNull()
     message = F.concat(F.lit("no times or unknown format: track "), F.col("track_no").cast("string"), F.lit(" of "), F.col("image"))
-    plan = plan.withColumn("lsn_end", F.when(bad, F.raise_error(message).cast("long")).otherwise(F.col("lsn_end")))
-    parts = tracks.in_track_sectors(sectors, plan, ["image"])
-    keys = [*KEYS, "track_no"]
-    packs = demux.packets(parts, [*keys, "frame_format", "channels", "tc_start", "tc_end"])
-    frames = demux.assemble(packs.filter("frame_format = 0"), [*keys, "channels", "tc_start", "tc_end"], None, None)
-    frames = frames.filter(demux.in_range(F.col("tc"), F.col("tc_start"), F.col("tc_end")))
-    frames = frames.select(*keys, "channels", F.lit(True).alias("compressed"), F.col("fid").alias("order_no"), "raw")
-    plain = demux.plain_audio(packs.filter("frame_format <> 0"), [*keys, "channels"])
-    return frames.unionByName(plain.select(*keys, "channels", F.lit(False).alias("compressed"), F.col("lsn").alias("order_no"), "raw"))
+    high = F.when(bad, F.raise_error(message).cast("long")).otherwise(F.col("lsn_end"))
+    return plan.select(*KEYS, "track_no", "frame_format", "channels", "tc_start", "tc_end", F.col("lsn_start").alias("low"), high.alias("high"))
 
 
-def audio_files(sectors: DataFrame, tables: Tables, decoder: DecoderFactory | None = None, selection: str | None = None, carry: bool = False, **areas: bool) -> DataFrame:
+def track_frames(images: DataFrame | Images, tables: Tables, selection: str | None = None, seen: Observation | None = None, **areas: bool) -> DataFrame:
+    """Raw frames of the selected tracks: ``image, area, track_no, channels, compressed, order_no, raw``.
+
+    Only the sectors of these tracks are used.  ``seen`` gets the numbers of
+    frames (``frames``), of those outside their track's times (``filtered``) and
+    of those that were begun but never done (``dropped``), and ``bytes``.
+    """
+    plan = track_plan(tables, selection, **areas)
+    parts = toc.as_images(images).within(plan)
+    keys = [*KEYS, "track_no"]
+    packs = demux.packets(parts.filter("frame_format = 0"), [*keys, "channels", "tc_start", "tc_end"])
+    frames = demux.assemble(packs, [*keys, "channels", "tc_start", "tc_end"], lost=True)
+    inside = demux.in_range(F.col("tc"), F.col("tc_start"), F.col("tc_end"))
+    frames = frames.select(*keys, "channels", F.lit(True).alias("compressed"), F.col("fid").alias("order_no"), "raw", F.col("lost").alias("_lost"), (inside & ~F.col("lost")).alias("_own"))
+    plain = demux.plain_sectors(parts.filter("frame_format <> 0"), [*keys, "channels"])
+    plain = plain.select(*keys, "channels", F.lit(False).alias("compressed"), F.col("lsn").alias("order_no"), "raw", F.lit(False).alias("_lost"), F.lit(True).alias("_own"))
+    out = frames.unionByName(plain)
+    if seen is not None:
+        counted = [F.count_if("_own").alias("frames"), F.count_if(~F.col("_own") & ~F.col("_lost")).alias("filtered"), F.count_if("_lost").alias("dropped")]
+        out = out.observe(seen, *counted, F.coalesce(F.sum(F.when(F.col("_own"), F.length("raw"))), F.lit(0)).alias("bytes"))
+    return out.filter("_own").drop("_own", "_lost")
+
+
+def image_folder(image: Column) -> Column:
+    """Name of the folder of an image's files: the last part of its path, without its ending."""
+    return sanitized(F.regexp_replace(F.regexp_extract(image.cast("string"), "([^/]*)/*$", 1), "(?i)\\.iso$", ""))
+
+
+def _one_of_each(names: DataFrame, name: str) -> DataFrame:
+    """An error where two images would be written under one name."""
+    several = F.count("*").over(Window.partitionBy(name)) > 1
+    message = F.concat(F.lit("several images have the name "), F.col(name))
+    return names.withColumn(name, F.when(several, F.raise_error(message).cast("string")).otherwise(F.col(name)))
+
+
+def audio_files(
+    images: DataFrame | Images, tables: Tables, decoder: DecoderFactory | None = None, selection: str | None = None, carry: bool = False, seen: Observation | None = None, **areas: bool
+) -> DataFrame:
     """Rows for the ``dsf_files`` sink: all selected tracks' headers, blocks and tags.
 
-    Compressed frames need a ``decoder``; without one they are an error.
+    Each image's files are in a folder of their own; two images of one name are
+    an error.  Compressed frames need a ``decoder``; without one they are an
+    error.
     """
     keys = [*KEYS, "track_no"]
-    frames = track_frames(sectors, tables, selection, **areas)
+    frames = track_frames(images, tables, selection, seen, **areas)
     plain, packed = frames.filter("NOT compressed"), frames.filter("compressed")
     samples = plain.unionByName(pcm.decode(packed, decoder or pcm.no_decoder)).drop("compressed")
     # A track's decoded size is an aggregate of its frames, and known before any byte is placed.
@@ -78,10 +117,10 @@ def audio_files(sectors: DataFrame, tables: Tables, decoder: DecoderFactory | No
     placed = pcm.blocks(samples.join(start.select(*keys, "start_byte"), keys), keys, "order_no", start="start_byte")
     placed = _handed_on(placed, start, keys) if carry else placed
     tagged = tag.with_tags(tables.tracks, tables.discs).select(*keys, "title", "id3")
-    names = tables.discs.select("image", "disc_title", "disc_artist")
+    names = _one_of_each(tables.discs.select("image", "disc_title", "disc_artist", image_folder(F.col("image")).alias("folder")), "folder")
     files = sizes.join(tagged, keys).join(names, "image")
     file = report.audio_name(F.col("disc_title"), F.col("disc_artist"), F.col("area"), F.col("track_no"), F.col("title"))
-    files = files.select(*keys, file.alias("file"), "channels", "blocks", "bytes", "id3")
+    files = files.select(*keys, "folder", file.alias("file"), "channels", "blocks", "bytes", "carries", "id3")
     return dsf.file_rows(pcm.padded(placed), files, keys)
 
 
@@ -100,21 +139,25 @@ def write_audio(rows: DataFrame, folder: str) -> None:
     rows.write.format("dsf_files").mode("append").save(folder)
 
 
-def dump_image(sectors: DataFrame, tables: Tables, folder: str) -> DataFrame:
-    """Write images under names made from their texts; returns ``image, file, sectors``."""
+def dump_image(images: DataFrame | Images, tables: Tables, folder: str) -> DataFrame:
+    """Write whole images under names made from their texts; returns ``image, file, sectors``.
+
+    An image with missing or repeated sectors is an error, as are two images of
+    one name; nothing is left of them.
+    """
+    sectors = toc.as_images(images).sectors
     dsf.register(sectors.sparkSession)
     name = report.image_name(F.col("disc_title"), F.col("disc_artist"), F.col("disc_catalog"))
-    named = tables.discs.select("image", name.alias("file"))
+    named = cut(_one_of_each(tables.discs.select("image", name.alias("file")), "file"))
     sectors.join(named, "image").select("file", "lsn", "data").write.format("image_files").mode("append").save(folder)
-    return sectors.join(named, "image").groupBy("image", "file").agg(F.count("*").alias("sectors"))
+    return named.withColumn("sectors", dsf.written_sectors(folder)(F.col("file")))
+
+
+def images_at(spark: SparkSession, path: str) -> Images:
+    """Image files, of which only the sectors that are asked for are read."""
+    return FileImages(spark, path)
 
 
 def from_files(spark: SparkSession, path: str, lsn_from: int | None = None, lsn_to: int | None = None) -> DataFrame:
-    """Sectors of image files, of a range only if one is given."""
-    from discloom.sources import sectors
-
-    sectors.register(spark)
-    out = spark.read.format("disc_sectors").load(path)
-    if lsn_from is not None:
-        out = out.filter(F.col("lsn") >= lsn_from)
-    return out if lsn_to is None else out.filter(F.col("lsn") < lsn_to)
+    """Sectors of image files, ``lsn_from`` to ``lsn_to`` - 1 only if these are given."""
+    return FileImages(spark, path).between(lsn_from, lsn_to)

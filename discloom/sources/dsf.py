@@ -1,18 +1,22 @@
-"""Audio files: header, blocks and tag, each file written by one task as a stream.
+"""Audio files and images: sinks that write each file once and show it whole.
 
 ``files.write.format("dsf_files").mode("append").save(folder)`` takes rows
-``file, header, block_no, channel, bytes, id3``, dealt by ``file`` and sorted in
-it (see :func:`file_rows`).  The header's sizes are aggregates known before
-writing, so nothing is patched afterwards.  ``folder`` must be on storage that
-all executors mount.
+``folder, file, header, block_no, channel, bytes, id3``, dealt by file and
+sorted in it (see :func:`file_rows`); each image has a folder of its own.  The
+header's sizes are aggregates known before writing, so nothing is patched
+afterwards.  The folder must be on storage that the driver and all executors
+mount.
 """
 
 from __future__ import annotations
 
+import contextlib
 import os
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
@@ -39,21 +43,31 @@ def header(channels: Column, block_bytes: Column, samples: Column) -> Column:
 def file_rows(blocks: DataFrame, tracks: DataFrame, keys: list[str]) -> DataFrame:
     """Blocks with their file's header and tag, dealt and sorted for the sink.
 
-    ``tracks`` has ``keys, file, channels, blocks, bytes`` (written sample bytes
-    of all channels) and ``id3``.
+    ``tracks`` has ``keys, folder, file, channels, blocks, bytes`` (sample bytes
+    of all channels), ``carries`` and ``id3``.  A track that hands its tail on
+    counts the samples of its whole blocks, any other those of its own bytes.
     """
     size = (F.col("blocks") * F.col("channels") * 4096).cast("long")
+    samples = F.when(F.col("carries"), F.col("blocks") * (4096 * 8)).otherwise(F.expr("bytes div channels * 8")).cast("long")
     t = tracks.withColumn("_tag_bytes", F.length("id3").cast("long"))
-    t = t.withColumn("header", header(F.col("channels").cast("long"), size, F.expr("bytes div channels * 8").cast("long")))
-    rows = blocks.join(t.select(*keys, "file", "header", "id3"), keys)
-    # The header and the tag go with the first and the last block only.
-    rows = rows.select("file", "block_no", "channel", "bytes", "header", "id3")
-    return rows.repartition("file").sortWithinPartitions("file", "block_no", "channel")
+    t = t.withColumn("header", header(F.col("channels").cast("long"), size, samples))
+    rows = blocks.join(t.select(*keys, "folder", "file", "header", "id3"), keys)
+    rows = rows.select("folder", "file", "block_no", "channel", "bytes", "header", "id3")
+    return rows.repartition("folder", "file").sortWithinPartitions("folder", "file", "block_no", "channel")
 
 
 @dataclass
 class Written(WriterCommitMessage):
+    """Finished files; of images, number, sum and greatest of the sectors written."""
+
     files: list[str]
+    sectors: dict[str, tuple[int, int, int]] = field(default_factory=dict)
+
+
+def _remove(files: list[str]) -> None:
+    for name in files:
+        with contextlib.suppress(FileNotFoundError):
+            os.remove(name)
 
 
 class FilesWriter(DataSourceWriter):
@@ -61,30 +75,42 @@ class FilesWriter(DataSourceWriter):
         self.folder = options["path"].removeprefix("file:")
 
     def write(self, iterator: Iterator) -> Written:
-        os.makedirs(self.folder, exist_ok=True)
-        name, out, tag, files = None, None, b"", []
+        # A file appears under its name once it is whole.  Parts of each attempt have names of their own, so attempts never mix.
+        attempt = uuid.uuid4().hex
+        at, out, part, tag, files = None, None, None, b"", []
 
         def finish() -> None:
             if out is not None:
                 out.write(tag)
                 out.close()
-                # A file appears under its name once it is whole; a retried task replaces it.
-                os.replace(f"{self.folder}/.{name}.part", f"{self.folder}/{name}")
-                files.append(name)
-
-        for row in iterator:
-            if row["file"] != name:
-                finish()
-                name, tag = row["file"], bytes(row["id3"] or b"")
-                out = open(f"{self.folder}/.{name}.part", "wb")  # noqa: SIM115
-                out.write(row["header"])
-            out.write(row["bytes"])
-        finish()
+                os.replace(part, f"{self.folder}/{at[0]}/{at[1]}")
+                files.append(f"{self.folder}/{at[0]}/{at[1]}")
+
+        try:
+            for row in iterator:
+                if (row["folder"], row["file"]) != at:
+                    finish()
+                    at, tag = (row["folder"], row["file"]), bytes(row["id3"] or b"")
+                    os.makedirs(f"{self.folder}/{at[0]}", exist_ok=True)
+                    part = f"{self.folder}/{at[0]}/.{attempt}.part"
+                    out = open(part, "wb")  # noqa: SIM115
+                    out.write(row["header"])
+                out.write(row["bytes"])
+            finish()
+        except BaseException:
+            if out is not None:
+                out.close()
+                _remove([part])
+            raise
         return Written(files)
 
     def commit(self, messages: list) -> None:
         return None
 
+    def abort(self, messages: list) -> None:
+        """Take away what tasks of a failed job had finished."""
+        _remove([name for m in messages if m is not None for name in m.files])
+
 
 class DsfFiles(DataSource):
     """Sink of audio files."""
@@ -98,24 +124,48 @@ class DsfFiles(DataSource):
 
 
 class ImageWriter(DataSourceWriter):
-    """Writes each sector at its place of the image's file."""
+    """Writes each sector at its place of the image's file, which appears once no sector is missing."""
 
     def __init__(self, options: dict) -> None:
-        self.folder = options["path"].removeprefix("file:")
+        self.folder, self.job = options["path"].removeprefix("file:"), uuid.uuid4().hex
+
+    def part(self, name: str) -> str:
+        return f"{self.folder}/.{name}.{self.job}.part"
 
     def write(self, iterator: Iterator) -> Written:
         os.makedirs(self.folder, exist_ok=True)
         opened: dict[str, int] = {}
+        held: dict[str, tuple[int, int, int]] = {}
         try:
             for row in iterator:
-                name = row["file"]
+                name, lsn = row["file"], row["lsn"]
+                if len(row["data"]) != 2048:
+                    raise ValueError(f"sector {lsn} of {name} has {len(row['data'])} bytes")
                 if name not in opened:
-                    opened[name] = os.open(f"{self.folder}/{name}", os.O_CREAT | os.O_WRONLY, 0o644)
-                os.pwrite(opened[name], row["data"], row["lsn"] * 2048)
+                    opened[name] = os.open(self.part(name), os.O_CREAT | os.O_WRONLY, 0o644)
+                os.pwrite(opened[name], row["data"], lsn * 2048)  # the same bytes at the same place, however often a task runs
+                n, total, most = held.get(name, (0, 0, -1))
+                held[name] = n + 1, total + lsn, max(most, lsn)
         finally:
             for handle in opened.values():
                 os.close(handle)
-        return Written(list(opened))
+        return Written([self.part(name) for name in opened], held)
+
+    def commit(self, messages: list) -> None:
+        held: dict[str, tuple[int, int, int]] = {}
+        for m in messages:
+            for name, (n, total, most) in m.sectors.items():
+                a, b, c = held.get(name, (0, 0, -1))
+                held[name] = a + n, b + total, max(c, most)
+        for name, (n, total, most) in held.items():
+            if n != most + 1 or total * 2 != most * (most + 1):
+                self.abort(messages)
+                raise ValueError(f"{name} has {n} sectors, not each of 0 to {most} once")
+        for name in held:
+            os.replace(self.part(name), f"{self.folder}/{name}")
+
+    def abort(self, messages: list) -> None:
+        _remove([name for m in messages if m is not None for name in m.files])
 
 
 class ImageFiles(DataSource):
@@ -129,6 +179,15 @@ class ImageFiles(DataSource):
         return ImageWriter(self.options)
 
 
+def written_sectors(folder: str):
+    """Sectors of files in a folder, by their sizes."""
+
+    def sizes(names: pa.Array) -> pa.Array:
+        return pa.array([os.stat(f"{folder.removeprefix('file:')}/{x.as_py()}").st_size // 2048 for x in names], pa.int64())
+
+    return F.arrow_udf(sizes, "long")
+
+
 def register(spark) -> None:
     """Make the sinks known to a session."""
     for sink in (DsfFiles, ImageFiles):

@@ -1,10 +1,10 @@
 """Spark data sources of 2048-byte sectors: image files and remote drives.
 
 ``spark.read.format("disc_sectors").load("image.iso")`` gives ``image, lsn,
-data``.  Filters that bound ``lsn`` prune whole partitions before any byte is
-read.  ``path`` is read on executors and so must be on storage that all of them
-mount; several paths are separated by commas, and a folder stands for its
-``*.iso`` files.  ``spark.read.format("remote_sectors").option("server",
+data``.  Options ``from`` and ``to`` bound ``lsn`` before any byte is read.
+``path`` is read on executors and so must be on storage that all of them mount;
+several paths are separated by commas, and a folder stands for its ``*.iso``
+files.  ``spark.read.format("remote_sectors").option("server",
 "host:port")`` reads a drive over the network in one partition, since the
 drive serves one session.
 """
@@ -19,7 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from discloom.sources.remote import Session
 
@@ -38,33 +39,22 @@ class Span(InputPartition):
     high: int
 
 
-def _bounds(filters: list[Filter]) -> tuple[list[Filter], int, int | None]:
-    """Filters that are left to Spark, and the range of ``lsn`` that the others allow."""
-    low, high, rest = 0, None, []
-    for f in filters:
-        own = getattr(f, "attribute", None) == ("lsn",)
-        least = f.value if own and isinstance(f, GreaterThanOrEqual | EqualTo) else f.value + 1 if own and isinstance(f, GreaterThan) else None
-        most = f.value + 1 if own and isinstance(f, LessThanOrEqual | EqualTo) else f.value if own and isinstance(f, LessThan) else None
-        if least is None and most is None:
-            rest.append(f)
-        low = max(low, least if least is not None else 0)
-        high = most if high is None else high if most is None else min(high, most)
-    return rest, low, high
-
-
 def _batch(image: str, low: int, data: bytes) -> pa.RecordBatch:
     n = len(data) // SECTOR
     values = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(n + 1, dtype=np.int32) * SECTOR), pa.py_buffer(data)])
     return pa.RecordBatch.from_arrays([pa.array([image] * n, pa.string()), pa.array(np.arange(low, low + n)), values], ["image", "lsn", "data"])
 
 
-class _Pruned(DataSourceReader):
-    def __init__(self, options: dict) -> None:
-        self.options, self.low, self.high = options, 0, None
+class _Ranged(DataSourceReader):
+    """Reads sectors ``from`` to ``to`` - 1, options of the source; all without these.
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        rest, self.low, self.high = _bounds(filters)
-        yield from rest
+    Filters are not taken over: a session shares one reader among all uses of a
+    table, so what one use filters would be missing in the others.
+    """
+
+    def __init__(self, options: dict) -> None:
+        self.options, self.low = options, int(options.get("from", 0))
+        self.high = int(options["to"]) if "to" in options else None
 
     def spans(self, image: str, count: int, step: int) -> list[Span]:
         high = count if self.high is None else min(count, self.high)
@@ -93,7 +83,7 @@ def _read_file(partition: Span) -> Iterator[pa.RecordBatch]:
             yield _batch(partition.image, low, data)
 
 
-class FileReader(_Pruned):
+class FileReader(_Ranged):
     def partitions(self) -> list[Span]:
         step = int(self.options.get("partitionSectors", PARTITION_SECTORS))
         return [s for p, n in _image_files(self.options).items() for s in self.spans(p, n, step)] or [Span("", 0, 0)]
@@ -147,7 +137,7 @@ def server_address(text: str) -> tuple[str, int]:
     return fields[0], int(fields[1])
 
 
-class RemoteReader(_Pruned):
+class RemoteReader(_Ranged):
     def partitions(self) -> list[Span]:
         with Session(server_address(self.options["server"])) as session:
             return self.spans(self.options["server"], session.sectors(), 1 << 62) or [Span("", 0, 0)]
@@ -179,9 +169,67 @@ class RemoteSectors(DataSource):
         return RemoteReader(self.options)
 
 
+class Images:
+    """Images whose sectors are rows ``image, lsn, data`` of a table."""
+
+    def __init__(self, sectors: DataFrame) -> None:
+        self.sectors = sectors
+
+    def names(self, lsn: int) -> DataFrame:
+        """``image`` of each image that has a sector up to ``lsn``."""
+        return self.sectors.filter(F.col("lsn") <= lsn).select("image").distinct()
+
+    def between(self, low: int, high: int) -> DataFrame:
+        """Sectors ``low`` to ``high`` - 1 of each image."""
+        return self.sectors.filter((F.col("lsn") >= low) & (F.col("lsn") < high))
+
+    def within(self, spans: DataFrame) -> DataFrame:
+        """Rows of ``spans`` with each sector of theirs: its columns but ``low`` and ``high``, ``lsn`` and ``data``.
+
+        ``spans`` has ``image``, and sectors ``low`` to ``high`` - 1.  The range
+        join is an equi-join on buckets, followed by the exact condition.
+        """
+        bucket = F.explode(F.expr(f"sequence(low div {PARTITION_SECTORS}, (high - 1) div {PARTITION_SECTORS})"))
+        wanted = spans.filter("high > low").withColumn("_b", bucket)
+        own = self.sectors.select("image", "lsn", "data").withColumn("_b", F.expr(f"lsn div {PARTITION_SECTORS}"))
+        return wanted.join(own, ["image", "_b"]).filter("lsn >= low AND lsn < high").drop("_b", "low", "high")
+
+
+class FileImages(Images):
+    """Image files, of which only the sectors asked for are read."""
+
+    def __init__(self, spark: SparkSession, path: str, partition_sectors: int = PARTITION_SECTORS) -> None:
+        register(spark)
+        self.spark, self.path, self.step = spark, path, partition_sectors
+        super().__init__(self.between())
+
+    def names(self, lsn: int) -> DataFrame:
+        return self.spark.createDataFrame([(p,) for p in sorted(_image_files({"path": self.path}))], "image string")
+
+    def between(self, low: int | None = None, high: int | None = None) -> DataFrame:
+        bounds = {k: v for k, v in (("from", low), ("to", high)) if v is not None}
+        return self.spark.read.format("disc_sectors").options(partitionSectors=self.step, **bounds).load(self.path)
+
+    def within(self, spans: DataFrame) -> DataFrame:
+        """As of any images; each task reads spans of bounded length at their places in the files."""
+        others = [c for c in spans.columns if c not in ("image", "low", "high")]
+        begin = F.explode(F.expr(f"sequence(low, high - 1, {self.step}L)"))
+        pieces = spans.filter("high > low").select(*others, "image", "high", begin.alias("low"))
+        pieces = pieces.withColumn("high", F.least(F.col("high"), F.col("low") + self.step)).repartition("image", "low")
+
+        def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for i, (image, low, high) in enumerate(zip(*(b.column(c).to_pylist() for c in ("image", "low", "high")), strict=True)):
+                    for part in _read_file(Span(image, low, high)):
+                        row = pa.array(np.full(part.num_rows, i))
+                        yield pa.RecordBatch.from_arrays([*(b.column(c).take(row) for c in others), *part.columns], [*others, "image", "lsn", "data"])
+
+        fields = [spans.schema[c] for c in others]
+        return pieces.mapInArrow(read, T.StructType([*fields, *T.StructType.fromDDL(SCHEMA)]))
+
+
 def register(spark: SparkSession) -> None:
-    """Make the sources known to a session, with filter pushdown."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    """Make the sources known to a session."""
     for source in (DiscSectors, RemoteSectors):
         spark.dataSource.register(source)
 

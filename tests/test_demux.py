@@ -96,8 +96,8 @@ def test_assembly_is_that_of_a_state_machine(spark, streams):
             assert got.get(str(n), []) == machine(s), s
 
 
-def test_blocks_of_a_stream_join_up(spark, monkeypatch):
-    monkeypatch.setattr(demux, "BLOCK_SECTORS", 3)
+@pytest.mark.parametrize("rows", ["1", "3", "10000"])
+def test_batches_of_a_stream_join_up(spark, rows):
     rng = random.Random(4)
     streams = {}
     for name in ("a", "b", None):
@@ -106,7 +106,12 @@ def test_blocks_of_a_stream_join_up(spark, monkeypatch):
             packs = [(rng.randrange(2), rng.choice([2, 2, 3]), bytes(rng.randrange(1, 30))) for _ in range(rng.randrange(8))]
             own.append((packs, [(0, rng.randrange(4), rng.randrange(75), rng.randrange(5)) for _ in range(rng.randrange(5))]))
         streams[name] = own
-    got = frames(spark, [(name, i, sector(*x)) for name, own in streams.items() for i, x in enumerate(own)])
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+        got = frames(spark, [(name, i, sector(*x)) for name, own in streams.items() for i, x in enumerate(own)])
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
     assert got == {name: machine(own) for name, own in streams.items()}
 
 

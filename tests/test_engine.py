@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from discloom.operators import pcm, report, tag, toc, tracks
 from discloom.plans import extract, synthesis
+from discloom.plans.extract import Tables
 from discloom.plans.synthesis import SECTOR, area_toc, audio_sectors, master_sectors
 from discloom.sources import remote, sectors
 
@@ -51,7 +52,8 @@ def frame(spark, own, name="disc"):
 def written(spark, tmp_path, own, **options):
     s = frame(spark, own)
     extract.write_audio(extract.audio_files(s, extract.read_tables(s), **options), str(tmp_path))
-    return {p.name: p.read_bytes() for p in tmp_path.iterdir()}
+    assert [p.name for p in tmp_path.iterdir()] == ["disc"]
+    return {p.name: p.read_bytes() for p in (tmp_path / "disc").iterdir()}
 
 
 def channel_bytes(data):
@@ -94,6 +96,167 @@ def test_gapless_tails_are_handed_on(spark, tmp_path):
     assert got == b"".join(x[i * 4096 : (i + 1) * 4096].ljust(4096, b"\0") for i in range(n) for x in whole)
 
 
+def test_sample_counts_are_those_of_what_is_written(spark, tmp_path):
+    own, samples = image()
+    files = written(spark, tmp_path, own, carry=True)
+    count, before = [int.from_bytes(files[n][64:72], "little") for n in sorted(files)], 0
+    for n, x in zip(count[:2], samples, strict=False):
+        before += len(x) // 2
+        assert n == before // 4096 * 4096 * 8  # whole blocks; the tail is handed on
+        before %= 4096
+    assert count[2] == len(samples[2]) // 2 * 8  # the last track counts its own bytes
+
+
+def two_images(spark, names=("a", "b")):
+    own, samples = image()
+    return spark.createDataFrame([(n, k, v) for n in names for k, v in own.items()], SCHEMA), own, samples
+
+
+def test_each_image_has_its_folder(spark, tmp_path):
+    s, own, _ = two_images(spark, ("/x/a.iso", "/x/b.ISO", "c"))
+    extract.write_audio(extract.audio_files(s, extract.read_tables(s)), str(tmp_path))
+    found = {p.name: {f.name: f.read_bytes() for f in p.iterdir()} for p in tmp_path.iterdir()}
+    assert sorted(found) == ["a", "b", "c"] and found["a"] == found["b"] == found["c"] and len(found["a"]) == 3
+    alone = written(spark, tmp_path / "alone", own) if (tmp_path / "alone").mkdir() is None else None
+    assert found["a"] == alone
+
+
+def test_images_of_one_name_are_an_error(spark, tmp_path):
+    s, _, _ = two_images(spark, ("/x/a.iso", "/y/a.iso"))
+    with pytest.raises(Exception, match="several images have the name a"):
+        extract.write_audio(extract.audio_files(s, extract.read_tables(s)), str(tmp_path))
+    with pytest.raises(Exception, match="several images have the name Disc_1-Artist"):
+        extract.dump_image(s, extract.read_tables(s), str(tmp_path))
+    assert not [p for p in tmp_path.rglob("*") if p.is_file()]
+
+
+def test_failed_jobs_leave_no_files(spark, tmp_path):
+    own, _ = image(0)
+    s = frame(spark, own)
+
+    def failing(channels):
+        def decode(raw):
+            raise ValueError("broken frame")
+
+        return decode
+
+    with pytest.raises(Exception, match="broken frame"):
+        extract.write_audio(extract.audio_files(s, extract.read_tables(s), decoder=failing), str(tmp_path))
+    full = {i: own.get(i, bytes(2048)) for i in range(max(own) + 1) if i != 3}
+    with pytest.raises(Exception, match="not each of 0 to"):
+        extract.dump_image(frame(spark, full), extract.read_tables(frame(spark, full)), str(tmp_path))
+    assert not [p for p in tmp_path.rglob("*") if p.is_file()]
+
+
+def test_only_the_sectors_asked_for_are_read(spark, tmp_path):
+    own, samples = image()
+    last = max(own)
+    for name in ("a", "b", "c"):
+        # Files but the second end right after the contents: reading on would be an error.
+        full = b"".join(own.get(i, bytes(2048)) for i in range(last + 1))
+        (tmp_path / f"{name}.iso").write_bytes(full if name == "b" else full[: 600 * 2048])
+    images = extract.images_at(spark, str(tmp_path))
+    tables = extract.read_tables(images)
+    assert tables.discs.count() == 3 and tables.tracks.count() == 9
+    one = Tables(tables.discs, tables.areas.filter("image LIKE '%b.iso'"), tables.tracks)
+    plan = extract.track_plan(one, "2")
+    want = plan.select((F.col("high") - F.col("low")).alias("n")).first().n
+    assert plan.count() == 1 and images.within(plan).count() == want
+    assert toc.area_sectors(images, tables.discs).count() == 3 * tables.discs.select("area1_size").first()[0]
+    got = extract.track_frames(images, one, "2").orderBy("order_no").collect()
+    assert b"".join(bytes(r.raw) for r in got) == samples[1]
+    # A table of sectors gives the same.
+    table = spark.createDataFrame([(r.image, k, v) for r in one.areas.collect() for k, v in own.items()], SCHEMA)
+    same = extract.track_frames(table, one, "2").orderBy("order_no").collect()
+    assert [bytes(r.raw) for r in same] == [bytes(r.raw) for r in got]
+
+
+def both_areas(stereo=True):
+    """A disc with a multichannel area of two tracks, and maybe a stereo one of one track."""
+    audio, lsn, parts = {}, 900, {}
+    for area, channels, n in (("stereo", 2, 1), ("multichannel", 6, 2)):
+        own = []
+        for i in range(n):
+            data = bytes((i * 5 + j * 17 + channels) & 255 for j in range(channels * 5000))
+            made = {lsn + k // 1998: (bytes([1 << 5, 2 << 3 | len(data[k : k + 1998]) >> 8, len(data[k : k + 1998]) & 255]) + data[k : k + 1998]).ljust(SECTOR, b"\0") for k in range(0, len(data), 1998)}
+            own.append({"start": 10 * i, "duration": 10, "lsn": lsn, "sectors": len(made), "texts": [(1, f"{area} {i + 1}")], "data": data})
+            audio |= made
+            lsn += len(made)
+        kind = b"TWOCHTOC" if area == "stereo" else b"MULCHTOC"
+        parts[area] = own, area_toc(kind, own, {"format": 2, "start": 900, "end": lsn, "channels": channels})
+    size = len(parts["stereo"][1]) // SECTOR
+    assert size == len(parts["multichannel"][1]) // SECTOR
+    disc = {"area_starts": (544 if stereo else 0, 0, 600, 0), "area_sizes": (size if stereo else 0, size), "texts": {32: "Both"}}
+    out = master_sectors(disc) | audio
+    for at, area in ((544, "stereo"), (600, "multichannel")):
+        out |= {at + i: parts[area][1][i * SECTOR : (i + 1) * SECTOR] for i in range(size)}
+    return out, {area: [t["data"] for t in own] for area, (own, _) in parts.items()}
+
+
+@pytest.mark.parametrize(("flags", "want"), [({}, 3), ({"stereo": True}, 1), ({"multichannel": True}, 2), ({"stereo": True, "multichannel": True}, 3)])
+def test_areas_are_extracted_as_asked_for(spark, tmp_path, flags, want):
+    own, samples = both_areas()
+    files = written(spark, tmp_path, own, **flags)
+    assert len(files) == want
+    for name, data in files.items():
+        area, n = ("stereo", 1) if "-stereo-" in name else ("multichannel", int(name.split("-mch-")[1][:2]))
+        channels, sample = (2, samples["stereo"][0]) if area == "stereo" else (6, samples["multichannel"][n - 1])
+        assert [int.from_bytes(data[a : a + 4], "little") for a in (48, 52)] == [{2: 2, 6: 7}[channels], channels]
+        back = [bytes(int(f"{b:08b}"[::-1], 2) for b in sample[c::channels]) for c in range(channels)]
+        blocks = -(-len(back[0]) // 4096)
+        assert blocks_of(data)[0] == b"".join(x[i * 4096 : (i + 1) * 4096].ljust(4096, b"\0") for i in range(blocks) for x in back)
+
+
+def test_areas_are_numbered_as_they_are_there(spark):
+    for stereo, want in ((True, ["[0]", "[1]"]), (False, ["[0]"])):
+        own, _ = both_areas(stereo)
+        tables = extract.read_tables(frame(spark, own))
+        lines = [r.line for r in report.report(tables.discs, tables.areas, tables.tracks).orderBy("section", "line_no").collect()]
+        assert [x.split()[-1][:-1] for x in lines if x.startswith("    Area Information")] == want
+        assert [x.split()[-1][:-1] for x in lines if x.startswith("    Track List")] == want
+        assert f"Area Count: {len(want)}" in lines
+
+
+def test_counts_of_frames_are_observed(spark):
+    from pyspark.sql import Observation
+
+    own, _ = image(0)
+    s, seen = frame(spark, own), Observation("frames")
+    tables = extract.read_tables(s)
+    got = extract.track_frames(s, tables, "1", seen).collect()
+    assert seen.get == {"frames": 6, "filtered": 0, "dropped": 0, "bytes": sum(len(r.raw) for r in got)} and len(got) == 6
+    # A frame outside the track's times, and one whose packets are missing.
+    cut = {k: v for k, v in own.items() if k != 607}
+    seen = Observation("cut")
+    shorter = Tables(tables.discs, tables.areas, tables.tracks.withColumn("duration_fc", F.lit(5)))
+    got = extract.track_frames(frame(spark, cut), shorter, "1", seen).collect()
+    assert seen.get["filtered"] == 1 and seen.get["frames"] == len(got) and seen.get["frames"] + seen.get["dropped"] == 5
+
+
+def test_texts_that_do_not_end_or_lead_nowhere(spark):
+    own, _ = image()
+    size = max(k for k in own if k < 600) - 544 + 1
+    contents = b"".join(own[544 + i] for i in range(size))
+    base = int.from_bytes(contents[128:130], "big") * 2048
+    unended = contents[:base] + contents[base:].rstrip(b"\0").ljust(size * 2048 - base, b"x")
+    tables = extract.read_tables(frame(spark, own | {544 + i: unended[i * 2048 : (i + 1) * 2048] for i in range(size)}))
+    rows = tables.tracks.orderBy("track_no").collect()
+    assert [r.title for r in rows] == TITLES and rows[2].performer is None and rows[1].performer == "P1"
+    spoilt = own | {544 + base // 2048: bytes(2048)}
+    assert extract.read_tables(frame(spark, spoilt)).areas.count() == 0
+    tables = extract.read_tables(frame(spark, spoilt), permissive=True)
+    assert tables.areas.count() == 1 and [r.title for r in tables.tracks.collect()] == [None] * 3
+
+
+def test_texts_in_the_encoding_that_is_named(spark):
+    own, _ = image()
+    size = max(k for k in own if k < 600) - 544 + 1
+    contents = b"".join(own[544 + i] for i in range(size)).replace("Été".encode(), b"\xc9t\xe9 ")
+    own |= {544 + i: contents[i * 2048 : (i + 1) * 2048] for i in range(size)}
+    title = lambda **o: extract.read_tables(frame(spark, own), **o).tracks.filter("track_no = 1").first().title
+    assert title(charsets=True) == "Été  / one" and title() == "\ufffdt\ufffd  / one"
+
+
 def test_compressed_frames_need_a_decoder(spark, tmp_path):
     own, samples = image(0)
     s = frame(spark, own)
@@ -189,14 +352,19 @@ def test_blocks_follow_a_sequential_writer(spark):
     assert not got
 
 
-def test_file_source_prunes_partitions(spark, tmp_path):
+def test_file_source_reads_ranges(spark, tmp_path):
     path = tmp_path / "a.iso"
     path.write_bytes(b"".join(i.to_bytes(2, "big") * 1024 for i in range(1000)) + b"rest")
     sectors.register(spark)
     df = spark.read.format("disc_sectors").option("partitionSectors", 256).load(str(path))
     assert df.count() == 1000 and df.rdd.getNumPartitions() == 4
-    some = df.filter("lsn >= 510 AND lsn < 1000")
+    some = extract.from_files(spark, str(path), 510, 1000)
+    assert some.rdd.getNumPartitions() == 1 and some.count() == 490 and some.agg(F.min("lsn")).first()[0] == 510
+    some = spark.read.format("disc_sectors").options(**{"partitionSectors": 256, "from": 510, "to": 1000}).load(str(path))
     assert some.rdd.getNumPartitions() == 2 and some.count() == 490
+    # Filters of one use of a table don't reach its other uses.
+    a, b = (df.filter(F.col("lsn") == n).select("image", F.col("lsn").alias(f"lsn_{n}")) for n in (3, 700))
+    assert tuple(a.join(b, "image").first())[1:] == (3, 700) and df.filter("lsn = 5").count() == 1 and df.count() == 1000
     assert bytes(df.filter("lsn = 700").first().data[:2]) == (700).to_bytes(2, "big")
     assert sectors.sector_counts(spark, str(path)).first().sectors == 1000
     assert sectors.server_address("10.0.0.1:2002") == ("10.0.0.1", 2002)
@@ -272,7 +440,8 @@ def test_remote_source(spark):
     assert df.rdd.getNumPartitions() == 1
     rows = df.select("lsn", F.substring("data", 1, 4).alias("d")).collect()
     assert [r.lsn for r in rows] == list(range(700)) and all(int.from_bytes(r.d, "big") == r.lsn for r in rows)
-    assert df.filter("lsn >= 650").count() == 50 and server.closed
+    ranged = spark.read.format("remote_sectors").options(**{"server": f"127.0.0.1:{server.listener.getsockname()[1]}", "from": 650}).load()
+    assert ranged.count() == 50 == df.filter("lsn >= 650").count() and server.closed
     server.listener.close()
 
 
