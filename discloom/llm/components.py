@@ -62,7 +62,9 @@ def components(edges: DataFrame) -> DataFrame:
     ``root`` is the smallest node that can be reached.  Tasks first reduce their
     edges to forests by union-find; the forests are then joined by alternating
     large-star and small-star steps, which take a logarithmic number of rounds.
-    Loops and repeated edges do no harm; no edges give no rows.
+    Loops and repeated edges do no harm; no edges give no rows.  Least neighbours
+    are written before they are joined: Spark can then split the many neighbours
+    of one node.
     """
     edges = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).filter("u <> v")
     edges = cut(edges.mapInArrow(_forest, "u long, v long").distinct())
@@ -70,10 +72,10 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         # Each node hands its larger neighbours over to the smallest one around it.
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = cut(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
         # Each node links its smaller neighbours, and itself, to the smallest of them.
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         edges = cut(small.union(least.select("u", F.col("m").alias("v"))).distinct())
         after = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()

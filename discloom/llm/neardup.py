@@ -142,7 +142,7 @@ def _lists(values: pa.Array, first: np.ndarray) -> pa.Array:
 def _signatures(width: int, slots: int, band: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for low, high, code, first in shingle_sets(b.column(1), width):
+            for low, high, code, first in shingle_sets(b.column(2), width):
                 count = np.diff(first)
                 prints = []
                 for salt in (1, 2):
@@ -153,8 +153,8 @@ def _signatures(width: int, slots: int, band: int):
                 keys = band_keys(super_minhash(code, first, slots)[some], band)
                 at = np.concatenate([[0], np.cumsum(some)]) * (slots // band)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(low, high - low), pa.array(count), *prints, _lists(_signed(keys.ravel()), at)],
-                    ["id", "n", "p1", "p2", "bands"],
+                    [b.column(0).slice(low, high - low), b.column(1).slice(low, high - low), pa.array(count), *prints, _lists(_signed(keys.ravel()), at)],
+                    ["id", "t", "n", "p1", "p2", "bands"],
                 )
 
     return run
@@ -164,11 +164,11 @@ def _sets(width: int, bits: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = np.frombuffer(bits, np.uint8)
         for b in batches:
-            at = b.column(2).to_numpy()
+            at = b.column(3).to_numpy()
             b = b.filter(pa.array((wanted[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
             if b.num_rows:
-                for low, high, code, first in shingle_sets(b.column(1), width):
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(low, high - low), _lists(_signed(code), first)], ["id", "codes"])
+                for low, high, code, first in shingle_sets(b.column(2), width):
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(low, high - low), b.column(1).slice(low, high - low), _lists(_signed(code), first)], ["id", "t", "codes"])
 
     return run
 
@@ -275,10 +275,9 @@ def _tile_links(percent: int):
     return run
 
 
-def _filter_bits(ids: DataFrame) -> bytes:
-    """Bitmap of hashed ids; its size is fixed, whatever the number of ids."""
-    at = _bit_of("id")
-    maps = ids.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+def _filter_bits(rows: DataFrame) -> bytes:
+    """Bitmap of hashed ``id, t``; its size is fixed, whatever the number of rows."""
+    maps = rows.select(_bit_of("id", "t").alias("at")).groupBy(F.bitmap_bucket_number("at").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
     out = bytearray(FILTER_BITS // 8 + 4096)
     for r in maps.collect():  # at most FILTER_BITS / 32768 + 1 rows of 4 KB
         # The function numbers buckets from 1 for positions 1 to 32768.
@@ -286,45 +285,48 @@ def _filter_bits(ids: DataFrame) -> bytes:
     return bytes(out)
 
 
-def _bit_of(column: str):
+def _bit_of(*columns: str):
     # One is added and taken off again where bits are read: position 1 is the first bit.
-    return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)) + 1
+    return F.pmod(F.xxhash64(*columns), F.lit(FILTER_BITS)) + 1
 
 
 def links(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", id_col: str = "doc_id", slots: int = SLOTS, band: int = BAND) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Classes of equal sets and confirmed links between their representatives.
+    """Classes of equal sets and confirmed links between them.
 
-    Returns ``(rows, classes, edges)``: ``rows (id, n, p1, p2)`` has each row of
-    ``docs`` with a non-null id, its set's size and two prints of its set;
-    ``classes (n, p1, p2, rep)`` has each class of equal sets that aren't empty
-    and its smallest id; ``edges (u, v)`` link these.
+    Returns ``(rows, classes, edges)``: ``rows (id, t, n, p1, p2)`` has each row
+    of ``docs``, a hash of its text, its set's size and two prints of its set;
+    ``classes (n, p1, p2, cls, rep)`` has each class of equal sets that aren't
+    empty, its number, and the row that stands for it, ``struct<none, id, t>``,
+    which is the one with the smallest id; ``edges (u, v)`` link classes.
     """
-    spark = docs.sparkSession
-    own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).filter("id is not null")
-    schema = "id long, n long, p1 long, p2 long, bands array<long>"
-    signed = cut(own.mapInArrow(_signatures(width, slots, band), schema))
-    classes = signed.filter("n > 0").groupBy("n", "p1", "p2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
-    classes = cut(classes)
-    banded = classes.select("rep", F.explode("bands").alias("key"))
+    own = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("t"), F.col(text).alias("text"))
+    signed = cut(own.mapInArrow(_signatures(width, slots, band), "id long, t long, n long, p1 long, p2 long, bands array<long>"))
+    # The row of a class: its smallest id; rows without an id come last.
+    stands = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "t"))
+    classes = signed.filter("n > 0").groupBy("n", "p1", "p2").agg(stands.alias("rep"), F.first("bands").alias("bands"))
+    classes = cut(classes.withColumn("cls", F.xxhash64("n", "p1", "p2")))
+    banded = classes.select("cls", F.explode("bands").alias("key"))
     # Written tables have no partitioning, so in their joins by key Spark can split a hot key.
     counted = cut(banded.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1"))
     shared = cut(banded.join(counted, "key"))
 
     # The centre of a bucket is the member whose buckets have the most members.
-    fame = shared.groupBy("rep").agg(F.sum("members").alias("fame"))
-    famed = shared.join(fame, "rep")
-    centres = cut(famed.groupBy("key").agg(F.min(F.struct(-F.col("fame"), F.col("rep").alias("rep")))["rep"].alias("centre")))
-    pairs = cut(shared.join(centres, "key").filter("rep <> centre").select("centre", "rep").distinct())
-
-    involved = shared.select(F.col("rep").alias("id")).distinct()
-    bits = _filter_bits(involved)
-    texts = own.select("id", "text", (_bit_of("id") - 1).alias("bit"))
-    sets = texts.mapInArrow(_sets(width, bits), "id long, codes array<long>")
-    sets = cut(sets.join(involved, "id", "left_semi").groupBy("id").agg(F.min("codes").alias("codes")))
+    fame = shared.groupBy("cls").agg(F.sum("members").alias("fame"))
+    famed = shared.join(fame, "cls")
+    centres = cut(famed.groupBy("key").agg(F.min(F.struct(-F.col("fame"), F.col("cls").alias("cls")))["cls"].alias("centre")))
+    pairs = cut(shared.join(centres, "key").filter("cls <> centre").select("centre", "cls").distinct())
+
+    involved = shared.select("cls").distinct().join(classes.select("cls", "rep.id", "rep.t"), "cls")
+    involved = cut(involved.select("cls", F.col("id").alias("_id"), F.col("t").alias("_t")))
+    bits = _filter_bits(involved.select(F.col("_id").alias("id"), F.col("_t").alias("t")))
+    texts = own.select("id", "t", "text", (_bit_of("id", "t") - 1).alias("bit"))
+    sets = texts.mapInArrow(_sets(width, bits), "id long, t long, codes array<long>")
+    sets = sets.join(involved, F.col("id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t")))
+    sets = cut(sets.groupBy("cls").agg(F.min("codes").alias("codes")).withColumnRenamed("cls", "id"))
 
     turns = F.expr(f"(degree + {BLOCK - 1}) div {BLOCK}")
     degrees = cut(pairs.groupBy("centre").agg(F.count("*").alias("degree")).select("centre", turns.alias("turns")))
-    members = pairs.join(degrees, "centre").select("centre", F.pmod(F.xxhash64("rep"), F.col("turns")).alias("turn"), F.lit(1).alias("member"), F.col("rep").alias("id"))
+    members = pairs.join(degrees, "centre").select("centre", F.pmod(F.xxhash64("cls"), F.col("turns")).alias("turn"), F.lit(1).alias("member"), F.col("cls").alias("id"))
     middles = degrees.select("centre", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)).alias("turn"), F.lit(0).alias("member"), F.col("centre").alias("id"))
     rows = members.unionByName(middles).join(sets, "id").select("centre", "turn", "member", "id", "codes")
     rows = rows.repartition("centre", "turn").sortWithinPartitions("centre", "turn", "member")
@@ -332,15 +334,15 @@ def links(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text"
 
     # Buckets of three or more members that are still in several components.
     comps = components(edges)
-    placed = shared.filter("members > 2").join(comps, F.col("rep") == F.col("node"), "left")
-    placed = placed.select("key", "rep", F.coalesce("root", "rep").alias("comp"))
+    placed = shared.filter("members > 2").join(comps, F.col("cls") == F.col("node"), "left")
+    placed = placed.select("key", "cls", F.coalesce("root", "cls").alias("comp"))
     held = placed.groupBy("key", "comp").agg(F.count("*").alias("size"))
     blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK))
     most = F.max("size")
     mixed = held.groupBy("key").agg(F.count("*").alias("comps"), F.max(F.struct("size", "comp"))["comp"].alias("main"), blocks(F.sum("size") - most).alias("outs"), blocks(most).alias("ins"))
     mixed = cut(mixed.filter("comps > 1"))
     placed = placed.join(mixed, "key").withColumn("out", F.col("comp") != F.col("main"))
-    dealt = placed.withColumn("block", F.pmod(F.xxhash64("rep"), F.when(F.col("out"), F.col("outs")).otherwise(F.col("ins"))))
+    dealt = placed.withColumn("block", F.pmod(F.xxhash64("cls"), F.when(F.col("out"), F.col("outs")).otherwise(F.col("ins"))))
     # Members of the main component meet all others; blocks of others meet each other and themselves.
     zero = F.lit(0).cast("long")
     meet_outs = F.transform(F.sequence(zero, F.col("outs") - 1), lambda y: F.struct((-F.col("block") - 1).alias("x"), y.alias("y"), F.lit(0).alias("side")))
@@ -353,12 +355,23 @@ def links(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text"
             F.when(o == F.col("block"), 2).when(o > F.col("block"), 0).otherwise(1).alias("side"),
         ),
     )
-    tiles = dealt.select("key", "rep", "comp", F.explode(F.when(F.col("out"), F.concat(meet_ins, meet_each)).otherwise(meet_outs)).alias("t"))
-    tiles = tiles.select("key", "t.x", "t.y", "t.side", F.col("rep").alias("id"), "comp")
+    tiles = dealt.select("key", "cls", "comp", F.explode(F.when(F.col("out"), F.concat(meet_ins, meet_each)).otherwise(meet_outs)).alias("t"))
+    tiles = tiles.select("key", "t.x", "t.y", "t.side", F.col("cls").alias("id"), "comp")
     tiles = tiles.join(sets, "id").select("key", "x", "y", "side", "id", "comp", "codes")
     tiles = tiles.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
     more = cut(tiles.mapInArrow(_tile_links(percent), "u long, v long").distinct())
-    return signed.select("id", "n", "p1", "p2"), classes.select("n", "p1", "p2", "rep"), edges.union(more)
+    return signed.select("id", "t", "n", "p1", "p2"), classes.select("n", "p1", "p2", "cls", "rep"), edges.union(more)
+
+
+def _grouped(docs: DataFrame, width: int, percent: int, text: str, id_col: str, slots: int, band: int) -> DataFrame:
+    """``id, t, n, one struct<none, id, t>`` of every row: ``one`` is the row that stands for its group; null without words."""
+    rows, classes, edges = links(docs, width, percent, text, id_col, slots, band)
+    # Groups are settled among classes, before their rows, which may be very many: one join of rows, of which Spark can split a hot class.
+    placed = classes.join(components(edges), F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls"))
+    placed = cut(placed.select("n", "p1", "p2", "rep", "root"))
+    stands = cut(placed.groupBy("root").agg(F.min("rep").alias("one")))
+    placed = cut(placed.join(stands, "root").select("n", "p1", "p2", "one"))
+    return rows.join(placed, ["n", "p1", "p2"], "left").select("id", "t", "n", "one")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", id_col: str = "doc_id", slots: int = SLOTS, band: int = BAND) -> DataFrame:
@@ -367,32 +380,31 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     Documents are linked if their shingle sets overlap by ``percent`` of their
     union or more; ``component_id`` is the smallest id that links reach, itself
     included, and the row with that id is kept.  Null texts and texts without
-    words have no shingles and no links.  Rows with equal ids count as one
-    document in links, for which the least of their sets stands.  A row with a null id is linked with nothing: its
-    ``component_id`` is null and it is kept.  Other columns are ignored.
+    words have no shingles and no links.  Every row is linked by its own set,
+    also where rows share an id or have none.  A row with a null id is kept only
+    in a group without any id, whose ``component_id`` is null.  Very long texts
+    are compared whole.  Other columns are ignored, whatever their names.
     """
-    rows, classes, edges = links(docs, width, percent, text, id_col, slots, band)
-    # Classes are placed before their rows, which may be very many: one join of rows, of which Spark can split a hot class.
-    placed = classes.join(components(edges), F.col("rep") == F.col("node"), "left")
-    placed = cut(placed.select("n", "p1", "p2", F.coalesce("root", "rep").alias("component_id")))
-    out = rows.join(placed, ["n", "p1", "p2"], "left").select("id", "n", F.coalesce("component_id", "id").alias("component_id"))
-    out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
-    unnamed = docs.filter(F.col(id_col).isNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    schema = "id long, n long, p1 long, p2 long, bands array<long>"
-    unnamed = unnamed.mapInArrow(_signatures(width, slots, band), schema)
-    unnamed = unnamed.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
-    return out.union(unnamed)
+    rows = _grouped(docs, width, percent, text, id_col, slots, band)
+    found = rows.select("id", "n", F.when(F.col("one").isNull(), F.col("id")).otherwise(F.col("one.id")).alias("component_id"))
+    kept = F.coalesce(F.col("id") == F.col("component_id"), F.col("component_id").isNull())
+    return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows of ``docs``, with their columns, without all but one document of each group.
 
-    Of rows that share an id, one stays.  Rows with a null id stay.
+    The one with the smallest id stays, of texts that share it the one of least
+    hash; a row without an id stays only in a group without any.  Rows that
+    share an id are told apart by their texts: those in different groups stay.
+    Of rows equal in id and text, one stays.  Null texts and texts without words
+    are in no group and stay.
     """
-    named = docs.filter(F.col(id_col).isNotNull())
-    rows = near_duplicates(named, width, percent, text, id_col)
-    lost = fresh(docs, "lost")
-    gone = rows.filter(~F.col("kept")).select(F.col(id_col).alias(lost)).distinct()
-    # Rows of one id are reduced before they are dealt, however many there are.
-    left = named.dropDuplicates([id_col]).join(gone.hint("shuffle_hash"), F.col(id_col) == F.col(lost), "left_anti")
-    return left.unionByName(docs.filter(F.col(id_col).isNull()))
+    rows = _grouped(docs, width, percent, text, id_col, SLOTS, BAND)
+    mark, gone_id, gone_mark = (fresh(docs, x) for x in ("text_mark", "gone_id", "gone_mark"))
+    stays = F.col("one").isNull() | (F.col("id").eqNullSafe(F.col("one.id")) & (F.col("t") == F.col("one.t")))
+    gone = rows.filter(~stays).select(F.col("id").alias(gone_id), F.col("t").alias(gone_mark)).distinct()
+    # Equal rows are reduced before they are dealt, however many there are.
+    left = docs.withColumn(mark, F.xxhash64(F.col(text))).dropDuplicates([id_col, mark])
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(gone_id)) & (F.col(mark) == F.col(gone_mark))
+    return left.join(gone.hint("shuffle_hash"), same, "left_anti").drop(mark)
