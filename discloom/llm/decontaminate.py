@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 import ahocorasick
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,8 +22,9 @@ from discloom.llm.support import cut
 
 #: Edits allowed for each character of an item.
 RATE = 0.05
-#: Bytes of items searched for at once; a larger benchmark takes several passes.
-ITEM_BYTES = 32 << 20
+#: Bytes of items searched for at once, which take some 50 times as much in each
+#: Python worker; a larger benchmark takes several passes.  Items whose masks a worker keeps.
+ITEM_BYTES, KEPT_MASKS = 8 << 20, 4096
 
 
 def normal(text: str) -> str:
@@ -102,7 +104,11 @@ class Matcher:
         for s in starts:
             if s >= 0 and text.startswith(item, s):
                 return 0, s
-        masks = self.masks.setdefault(n, _masks(item))
+        if n not in self.masks:
+            if len(self.masks) >= KEPT_MASKS:
+                self.masks.clear()
+            self.masks[n] = _masks(item)
+        masks = self.masks[n]
         best, i = None, 0
         while i < len(starts):  # starts close to each other share one stretch of the text
             j = i
@@ -133,8 +139,8 @@ def item_slices(benchmark: DataFrame, text: str, id_col: str, limit: int = ITEM_
         yield own
 
 
-def _shared(spark: SparkSession, items: dict[str, list[int]], rate: float) -> Callable[[], Matcher]:
-    """A way for tasks to get the matcher, built once in each Python process."""
+def _shared(spark: SparkSession, items: dict[str, list[int]], rate: float) -> tuple[Callable[[], Matcher], Broadcast]:
+    """A way for tasks to get the matcher, built once in each Python process, and what is sent for it."""
     sent, name = spark.sparkContext.broadcast(items), uuid.uuid4().hex
 
     def get() -> Matcher:
@@ -143,7 +149,7 @@ def _shared(spark: SparkSession, items: dict[str, list[int]], rate: float) -> Ca
             _BUILT[name] = Matcher(sent.value, rate)
         return _BUILT[name]
 
-    return get
+    return get, sent
 
 
 _BUILT: dict[str, Matcher] = {}
@@ -171,8 +177,12 @@ def contaminated(
     kind = docs.schema[id_col].dataType.simpleString()
     own = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).filter("text is not null")
     out = None
+    last = None
     for items in item_slices(benchmark, item_text, item_id, item_bytes):
-        matcher = _shared(spark, items, rate)
+        if last is not None:  # a pass for each slice; what it was sent is let go before the next
+            out = cut(out)
+            last.unpersist()
+        matcher, last = _shared(spark, items, rate)
 
         def run(batches: Iterator[pa.RecordBatch], matcher=matcher) -> Iterator[pa.RecordBatch]:
             m = matcher()
@@ -197,11 +207,20 @@ def contaminated(
 def drop_contaminated(
     docs: DataFrame, benchmark: DataFrame, rate: float = RATE, text: str = "text", item_text: str = "text", item_id: str = "item_id", item_bytes: int = ITEM_BYTES
 ) -> DataFrame:
-    """The rows of ``docs``, with their columns, that hold no item of the benchmark."""
-    for nth, items in enumerate(item_slices(benchmark, item_text, item_id, item_bytes)):
+    """The rows of ``docs``, with their columns, that hold no item of the benchmark.
+
+    Null and empty texts stay, as do all rows where the benchmark is empty.  Ids
+    play no part: repeated rows go or stay together, and items without an id
+    count.  Texts of any length are searched whole.
+    """
+    last = None
+    for items in item_slices(benchmark, item_text, item_id, item_bytes):
         # A pass for each slice: in one pass, tasks would build all matchers over and over.
-        docs = cut(docs) if nth else docs
-        docs = docs.filter(~_holds(_shared(docs.sparkSession, items, rate))(F.col(text)))
+        if last is not None:
+            docs = cut(docs)
+            last.unpersist()
+        matcher, last = _shared(docs.sparkSession, items, rate)
+        docs = docs.filter(~_holds(matcher)(F.col(text)))
     return docs
 
 

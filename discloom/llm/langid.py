@@ -30,6 +30,8 @@ from discloom.llm.wordcode import LOWER_ASCII, U64, Coder, pieces, split_words
 CODER = Coder(41)
 #: Labelled texts fitted on, passes over them, and texts in one gradient step.
 SAMPLE, PASSES, STEP_TEXTS = 1200, 6, 60
+#: Characters of a sampled text that are fitted on; all of any text is labelled.
+SAMPLE_CHARACTERS = 50_000
 GRAM_BITS, AFFIX_BITS, LEXICON = 16, 15, 4096
 #: Bytes of the prefixes and suffixes.
 AFFIXES = (3, 4, 5)
@@ -282,10 +284,12 @@ def fit(docs: DataFrame, text: str = "text", id_col: str = "doc_id", label: str
     if not counts:
         return Field.empty([], np.empty(0, U64))
     each = max(1, sample // len(counts))
-    # Twice the share, then cut: a language is short of its part only if it has too few texts.
+    # Somewhat more than the share, then cut: a language is short of its part only if it has too few texts.
     rate = F.create_map(*(F.lit(x) for name, n in counts.items() for x in (name, min(1.0, 1.3 * each / n + 10 / n))))
-    drawn = own.filter(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 30)) < rate[F.col("label")] * (1 << 30))
-    rows = drawn.select(F.xxhash64("id", F.lit(6)).alias("h"), "id", "text", "label").collect()  # about 1.3 times the sample
+    # Rows are drawn by id and text, and equal ones once, so many rows of one id are no more than others.
+    drawn = own.filter(F.pmod(F.xxhash64("id", "text", F.lit(5)), F.lit(1 << 30)) < rate[F.col("label")] * (1 << 30))
+    drawn = drawn.select(F.xxhash64("id", "text", F.lit(6)).alias("h"), "id", F.substring("text", 1, SAMPLE_CHARACTERS).alias("text"), "label")
+    rows = drawn.dropDuplicates(["h", "label"]).orderBy("h").limit(2 * sample + 20 * len(counts)).collect()
     rows.sort(key=lambda r: (r["h"], r["id"]))
     texts, langs, got = [], [], dict.fromkeys(counts, 0)
     for r in rows:
@@ -303,8 +307,10 @@ def identify(docs: DataFrame, text: str = "text", id_col: str = "doc_id", label:
     text and one without a letter get ``und`` and score 0, as all texts do when
     there is no row to learn from; with one language, all others get that one.
     The score is the share of the lettered words' probability that the language
-    has.  Repeated rows are each returned; ``label``, source and id are never
-    looked at to predict.
+    has.  Repeated rows are each returned and fitted on once; rows with a null id
+    are labelled and never fitted on.  Texts of any length are labelled whole.
+    ``label``, source and id are never looked at to predict; other columns are
+    ignored, whatever their names.
     """
     field = fit(docs, text, id_col, label, sample)
 

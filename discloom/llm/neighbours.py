@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Vectors of one candidate block and of one query block.
-CANDIDATE_BLOCK, QUERY_BLOCK = 8192, 1024
+#: Vectors of one candidate block and of one query block, and queries whose distances are in memory at once.
+CANDIDATE_BLOCK, QUERY_BLOCK, TURN = 8192, 8192, 512
 
 
 def usable(vector: Column) -> Column:
@@ -42,24 +42,45 @@ def tile(queries: np.ndarray, candidates: np.ndarray, own: np.ndarray, k: int) -
 
     ``own[i, j]`` marks candidates that are no neighbours of query i.
     """
-    a, sa, ea = quantised(queries)
-    b, sb, eb = quantised(candidates)
+    # Bounds are worked out for vectors of components up to one, whose squares neither overflow nor vanish.
+    unit = max(np.abs(queries).max(), np.abs(candidates).max())
+    scaled, others = queries / unit, candidates / unit
+    a, sa, ea = quantised(scaled)
+    b, sb, eb = quantised(others)
     # Products of int8 codes add up exactly in float32 for up to 1040 components.
     kind = np.float32 if queries.shape[1] <= 1040 else np.float64
-    product = (a.astype(kind) @ b.astype(kind).T).astype(np.float64) * sa[:, None] * sb
-    qq, cc = (queries**2).sum(1), (candidates**2).sum(1)
-    near = qq[:, None] + cc - 2 * product
-    slack = 2 * ((np.sqrt(qq) + ea)[:, None] * eb + ea[:, None] * np.sqrt(cc)) + 1e-9 * (qq[:, None] + cc)
-    upper = np.where(own, np.inf, near + slack)
-    if upper.shape[1] > k:
-        bound = np.partition(upper, k - 1, axis=1)[:, k - 1]
-    else:
-        bound = np.full(len(queries), np.inf)
-    alive = (near - slack <= bound[:, None]) & ~own
-    for i in range(len(queries)):
-        at = np.flatnonzero(alive[i])
-        # Added up component by component, in order, as a scalar loop would.
-        yield i, at, np.sqrt(np.cumsum((candidates[at] - queries[i]) ** 2, axis=1)[:, -1]) if len(at) else np.empty(0)
+    codes, cc = b.astype(kind).T, (others**2).sum(1)
+    for low in range(0, len(queries), TURN):
+        turn = slice(low, low + TURN)
+        product = (a[turn].astype(kind) @ codes).astype(np.float64) * sa[turn, None] * sb
+        qq = (scaled[turn] ** 2).sum(1)
+        near = qq[:, None] + cc - 2 * product
+        slack = 2 * ((np.sqrt(qq) + ea[turn])[:, None] * eb + ea[turn, None] * np.sqrt(cc)) + 1e-9 * (qq[:, None] + cc) + 1e-300
+        upper = np.where(own[turn], np.inf, near + slack)
+        if upper.shape[1] > k:
+            bound = np.partition(upper, k - 1, axis=1)[:, k - 1]
+        else:
+            bound = np.full(len(qq), np.inf)
+        alive = ~(near - slack > bound[:, None]) & ~own[turn]
+        for i in range(len(qq)):
+            at = np.flatnonzero(alive[i])
+            yield low + i, at, distances(queries[low + i], candidates[at])
+
+
+def distances(query: np.ndarray, candidates: np.ndarray) -> np.ndarray:
+    """Euclidean distances in double precision, added up component by component, in order, as a scalar loop would.
+
+    Where squares overflow, they are those of the vectors divided by the largest component.
+    """
+    if not len(candidates):
+        return np.empty(0)
+    with np.errstate(over="ignore"):
+        out = np.sqrt(np.cumsum((candidates - query) ** 2, axis=1)[:, -1])
+        far = np.flatnonzero(~np.isfinite(out))
+        if len(far):
+            unit = max(np.abs(query).max(), np.abs(candidates[far]).max())
+            out[far] = np.sqrt(np.cumsum((candidates[far] / unit - query / unit) ** 2, axis=1)[:, -1]) * unit
+    return out
 
 
 def _tiles(k: int):
@@ -109,16 +130,19 @@ def nearest(vectors: DataFrame, asked: Column, k: int = 10, id_col: str = "vec_i
     hold null or non-finite components, and rows with a null id, take no part.
     Only vectors of equal length are compared.  A query is compared with every
     row of another id; of several rows with the query's id, the least vector
-    asks.  Repeated candidates each count.  Other columns are ignored.
+    asks.  Repeated candidates each count, and many rows of one id are dealt
+    over all blocks.  A distance too large for a double is infinite.  Other
+    columns are ignored, whatever their names; no rows give no rows.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("vector"))
     rows = rows.filter(F.col("vec_id").isNotNull() & usable(F.col("vector"))).withColumn("dim", F.size("vector"))
     asks = rows.filter(asked).groupBy("vec_id").agg(F.min("vector").alias("vector")).withColumn("dim", F.size("vector"))
     n, m = rows.count(), asks.count()
     c_blocks, q_blocks = max(1, -(-n // CANDIDATE_BLOCK)), max(1, -(-m // QUERY_BLOCK))
-    hashed = F.xxhash64("vec_id")
+    # Blocks are drawn before rows are repeated for the blocks that they meet.
+    right = rows.withColumn("c", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(c_blocks)).cast("int"))
     each = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = asks.select("dim", "vec_id", "vector", F.lit(True).alias("asks"), each(c_blocks).alias("c"), F.pmod(hashed, F.lit(q_blocks)).cast("int").alias("q"))
-    right = rows.select("dim", "vec_id", "vector", F.lit(False).alias("asks"), F.pmod(hashed, F.lit(c_blocks)).cast("int").alias("c"), each(q_blocks).alias("q"))
+    left = asks.select("dim", "vec_id", "vector", F.lit(True).alias("asks"), each(c_blocks).alias("c"), F.pmod(F.xxhash64("vec_id"), F.lit(q_blocks)).cast("int").alias("q"))
+    right = right.select("dim", "vec_id", "vector", F.lit(False).alias("asks"), "c", each(q_blocks).alias("q"))
     tiles = left.unionByName(right).groupBy("dim", "c", "q").applyInArrow(_tiles(k), "query_id long, vec_id long, score double")
     return tiles.repartition("query_id").mapInArrow(_merged(k), "query_id long, rank int, vec_id long, score double")

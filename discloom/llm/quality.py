@@ -161,8 +161,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, te
 
     Rows whose crc32 of the id is 0 modulo 5 are held out of the fit, as are
     rows without an id, without a label or with another label than 0 or 1.
-    Null and empty texts are scored as texts without words.  Repeated rows and
-    repeated labels each count.  Without any training row all scores are 0.5.
+    Null and empty texts are scored as texts without words, texts of any length
+    as a whole.  Repeated rows and repeated labels each count.  Without any
+    training row all scores are 0.5.  Other columns of ``docs`` and ``labels``
+    are ignored, whatever their names.
     """
     model = fit(docs, labels, _training(), text, id_col)
     scored = docs.select(F.col(id_col), held_out(F.col(id_col), 5, 0).alias("held_out"), scorer(model)(F.col(text)).alias("score"))
@@ -170,7 +172,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, te
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs``, with their columns, that score ``threshold`` or more."""
+    """The rows of ``docs``, with their columns, that score ``threshold`` or more.
+
+    Rows with null, empty or very long texts, without an id, or repeated are
+    scored like any other.  Without any training row all stay.
+    """
     model = fit(docs, labels, _training(), text, id_col)
     name = fresh(docs, "quality_score")
     return docs.withColumn(name, scorer(model)(F.col(text))).filter(F.col(name) >= threshold).drop(name)

@@ -5,8 +5,8 @@ with one partial partition per item (the item in one slot, the others empty)
 and repeatedly combines the two partial partitions of largest spread, the slots
 of one in opposite order to those of the other, until one partition is left.
 
-A task never holds more than a bounded number of items.  Above ``per_cell``
-items, they are dealt by hash into cells; each cell is differenced by itself
+A task never holds more than a bounded number of items.  Above four times
+``per_cell`` items, they are dealt by hash into cells; each cell is differenced by itself
 and its slots become the items of the next level.  Items too large to be
 bundled, and all items of the first cell, skip the levels, so that the last
 differencing has items of every size with which to close the remaining gaps.
@@ -120,8 +120,10 @@ def shard_by_bytes(docs: DataFrame, k: int = 16, text: str = "text", id_col: str
     Returns ``id_col, size long, text_crc32 long, law string, shard int,
     slot long, grown_shard int``; slots count from 0 without gaps in each
     shard.  Null texts form one group, as do empty ones; a null text has size 1
-    and no crc32.  Repeated rows stay as they are, each with its own slot.
-    Other columns of ``docs`` are ignored, whatever their names.
+    and no crc32.  Repeated rows, rows of one id and rows without an id stay as
+    they are, each with its own slot.  A text of any length is one group's.  An
+    empty table has no rows.  Other columns of ``docs`` are ignored, whatever
+    their names.
     """
     t = F.col(text)
     crc = F.crc32(t.cast("binary"))
@@ -136,7 +138,7 @@ def shard_by_bytes(docs: DataFrame, k: int = 16, text: str = "text", id_col: str
     )
     groups = cut(rows.groupBy("k1", "k2").agg(F.sum("size").alias("bytes")))
     placed = cut(place_groups(groups, k, per_cell))
-    part = F.pmod(F.xxhash64("doc_id", "size"), F.lit(max(1, docs.sparkSession.sparkContext.defaultParallelism * 16)))
+    part = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(max(1, docs.sparkSession.sparkContext.defaultParallelism * 16)))
     out = cut(rows.join(placed, ["k1", "k2"]).select("doc_id", "size", "text_crc32", "shard", part.alias("part")))
     # Gapless slots in two steps: rows of each part of a shard, then where each part begins.
     begins = out.groupBy("shard", "part").agg(F.count("*").alias("n"))
@@ -157,7 +159,9 @@ def shard_by_bytes(docs: DataFrame, k: int = 16, text: str = "text", id_col: str
 def shard_documents(docs: DataFrame, k: int = 16, text: str = "text", id_col: str = "doc_id", order: str | None = None) -> DataFrame:
     """All columns of ``docs`` and the shard of each row, as ``shard`` (or ``_shard``).
 
-    With ``order``, a column of ``docs``, partitions hold consecutive ranges of
+    Groups are equal texts, null texts being one, however long; ids play no
+    part, so rows with null or repeated ids are sharded like any other, and no
+    row is dropped or repeated.  With ``order``, a column of ``docs``, partitions hold consecutive ranges of
     shard and order and are sorted, so each shard's rows follow one another in
     this order in files written from the result and read one after another.
     """

@@ -14,8 +14,9 @@ covered by a window that also starts anywhere else is removed.
 3. A third pass removes the words of all windows that may be repeated, save for
    the false alarms, which are few and are looked up by the text's fingerprint.
 
-The merged sketch is one bit a cell and has a fixed size.  With more anchors
-than cells it lets more windows through to the exact grouping and loses none.
+The merged sketch is one bit a cell.  Its size follows the texts' up to a bound,
+for tasks hold it whole.  With more anchors than cells it lets more windows
+through to the exact grouping and loses none.
 """
 
 from __future__ import annotations
@@ -34,8 +35,10 @@ from discloom.llm.wordcode import U64, Coder, flat, mix64, pieces, split_words
 FIRST, SECOND = Coder(31), Coder(37)
 #: Words of an anchor.
 ANCHOR = 15
-#: Cells in each of the sketch's rows, and rows; a bit for each is sent to tasks.
-CELLS, ROWS = 1 << 26, 2
+#: Cells in each of the sketch's rows, least and most, and rows; a bit for each is sent to tasks.
+LEAST_CELLS, MOST_CELLS, ROWS = 1 << 22, 1 << 28, 2
+#: Bytes of text for each cell; some 60 bytes of prose have one anchor.
+CELL_BYTES = 8
 #: Cells in one slice of the sketch, merged in one place.
 SLICE = 1 << 20
 
@@ -226,16 +229,22 @@ def _result(ids: pa.Array, data: np.ndarray, w: Windows, gone: np.ndarray, with_
     return pa.RecordBatch.from_arrays(columns, names)
 
 
-def remove_repeats(docs: DataFrame, width: int = 35, text: str = "text", id_col: str = "doc_id", with_text: bool = True, cells: int = CELLS) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 35, text: str = "text", id_col: str = "doc_id", with_text: bool = True, cells: int | None = None) -> DataFrame:
     """``id_col, n_words, n_removed, kept_sha256`` and maybe ``kept_text`` for every row of ``docs``.
 
     Words are ``[^\\x20\\x09-\\x0D]+``; kept words are joined by one space.  Null
     texts have no words, and texts of fewer than ``width`` words no window.
     Rows are judged by their texts alone: rows with equal texts, equal ids or a
-    null id each count and are each returned.  Other columns are ignored.
+    null id each count and are each returned.  Texts of any length are taken
+    whole.  Other columns are ignored, whatever their names.  ``cells`` of the
+    sketch, a multiple of 2 ** 20, follow the size of the texts by default; any
+    number gives the same rows.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(text).alias("text"))
+    if cells is None:
+        size = texts.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+        cells = min(MOST_CELLS, max(LEAST_CELLS, 1 << (size // CELL_BYTES).bit_length()))
     parts = texts.mapInArrow(_sketch(width, cells), "slice int, once binary, more binary")
     merged = parts.groupBy("slice").applyInArrow(_merge, "slice int, bits binary")
     sketch = bytearray(ROWS * cells // 8)

@@ -2,35 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from discloom.shared import cut, shared_folder
+
+__all__ = ["cut", "fresh", "held_out", "id_remainder", "shared_folder", "table"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the corpus tables; the path may be anything Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, also for checkpoints.
-
-    It is the session's ``spark.checkpoint.dir``.  Only where that is unset, as
-    in tests on one machine, a temporary folder is used.
-    """
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return sc.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that no column of ``df`` has, whatever its case."""
     taken = {c.lower() for c in df.columns}

@@ -53,6 +53,17 @@ def test_few_languages_no_rows_and_clashing_columns(spark):
     assert langid.identify(one.limit(0)).count() == 0
 
 
+def test_many_rows_of_one_id_are_drawn_like_others(spark, monkeypatch):
+    drawn = []
+    monkeypatch.setattr(langid, "fit_field", lambda texts, langs: drawn.append((texts, langs)) or langid.Field.empty(sorted(set(langs)), np.empty(0, np.uint64)))
+    hot = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 4 != 2)
+    rows = [(hot, f"hot words {i % 2000}", "en") for i in range(4000)] + [(1000 + i, f"viele andere {i}", "de") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langid.fit(docs, sample=200)
+    texts, langs = drawn[0]
+    assert len(texts) <= 200 and len(set(texts)) == len(texts) and 40 <= langs.count("en") <= 100
+
+
 @pytest.mark.parametrize("segment", [2, 64])
 def test_forward_backward_is_a_sum_over_all_labellings(monkeypatch, segment):
     monkeypatch.setattr(langid, "SEGMENT", segment)

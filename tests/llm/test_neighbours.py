@@ -79,3 +79,24 @@ def test_the_bounds_hold():
         exact = np.sqrt(((b - a[i]) ** 2).sum(1))
         exact[own[i]] = np.inf
         assert set(np.argsort(exact)[:3]) <= set(at.tolist()) and np.allclose(distance, np.sqrt(((b[at] - a[i]) ** 2).sum(1)))
+
+
+@pytest.mark.parametrize("size", [1e-150, 1.0, 1e155, 1e307])
+def test_very_large_and_small_components(spark, size):
+    rng = random.Random(7)
+    rows = [(i, [rng.uniform(-1, 1) * size for _ in range(4)]) for i in range(60)]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, 3).collect()
+    for q in (0, 20, 40):
+        far = {i: math.dist([a / size for a in rows[q][1]], [b / size for b in v]) for i, v in rows if i != q}
+        own = sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)
+        assert [r.vec_id for r in own] == sorted(far, key=far.get)[:3]
+        assert all(math.isclose(r.score / size, far[r.vec_id], rel_tol=1e-9) for r in own)
+
+
+def test_blocks_and_turns_change_nothing(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(i // 3, [rng.gauss(0, 1) for _ in range(5)]) for i in range(400)] + [(5, [1.0] * 5)] * 200
+    monkeypatch.setattr(neighbours, "TURN", 3)
+    monkeypatch.setattr(neighbours, "CANDIDATE_BLOCK", 60)
+    monkeypatch.setattr(neighbours, "QUERY_BLOCK", 7)
+    check(spark, rows, 4, 5)

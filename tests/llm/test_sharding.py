@@ -51,7 +51,7 @@ def test_shards_are_even_and_keep_equal_texts_together(spark, per_cell, k):
         sums[r.shard] += r.size
         homes[text].add(r.shard)
     assert set(slots) == set(range(k)) and all(sorted(x) == list(range(len(x))) for x in slots.values())
-    assert all(len(x) == 1 for x in homes.values()) and len(homes[None] | homes[""]) >= 1
+    assert all(len(x) == 1 for x in homes.values()) and len(homes[None]) == len(homes[""]) == 1
     largest = max(len((t or "").encode()) + 1 for t in text_of.values())
     groups = defaultdict(int)
     for _, t in rows:
@@ -87,3 +87,13 @@ def test_documents_get_the_shards_of_their_texts(spark):
     a = sharding.shard_documents(df, 5)
     b = sharding.shard_by_bytes(df, 5).select("doc_id", F.col("shard").alias("s")).distinct()
     assert a.count() == len(rows) and a.join(b, F.col("s").isNotNull() & a["doc_id"].eqNullSafe(b["doc_id"])).filter("shard <> s").count() == 0
+
+
+def test_many_rows_of_one_id_and_very_long_texts(spark):
+    rows = [(5, "same")] * 300 + [(None, None)] * 100 + [(i, "x" * i) for i in range(50)] + [(9, "long " * 300_000)]
+    got = sharding.shard_by_bytes(spark.createDataFrame(rows, SCHEMA).repartition(4), 4).collect()
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert len(got) == len(rows) and all(sorted(x) == list(range(len(x))) for x in slots.values())
+    assert len({r.shard for r in got if r.doc_id == 5 and r.size == 5}) == 1 and max(r.size for r in got) == 1_500_001

@@ -48,7 +48,7 @@ def corpus(seed, width):
     return rows
 
 
-@pytest.mark.parametrize(("width", "cells", "seed"), [(5, substrings.CELLS // 64, 1), (35, substrings.CELLS // 64, 2), (5, 64, 3), (16, 1024, 4)])
+@pytest.mark.parametrize(("width", "cells", "seed"), [(5, 1 << 20, 1), (35, 1 << 20, 2), (5, 64, 3), (16, 1024, 4)])
 def test_every_repeated_window_goes_and_no_other(spark, width, cells, seed):
     """Few cells make most windows suspects: the result stays exact."""
     rows = corpus(seed, width)
@@ -69,7 +69,7 @@ def test_a_very_long_text(spark):
     w[200_000:200_040] = w[10:50]
     rows = [(1, " ".join(w)), (2, " ".join(rng.sample(w[60:1000], 100)))]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert results(df, 35, substrings.CELLS // 64) == brute(rows, 35)
+    assert results(df, 35, 1 << 20) == brute(rows, 35)
 
 
 @given(st.lists(st.one_of(st.none(), st.text(alphabet=st.sampled_from("aB \t\n\x0b\x1f\u0085é漢")), st.text()), max_size=6))
