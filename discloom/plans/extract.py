@@ -125,11 +125,18 @@ def audio_files(
 
 
 def _handed_on(blocks: DataFrame, start: DataFrame, keys: list[str]) -> DataFrame:
-    """Move each track's unfinished last block to the next track's first, where it is handed on."""
-    own = blocks.join(start.select(*keys, "carries", "last_block"), keys)
+    """Move each track's unfinished last block to the track that finishes it, where it is handed on.
+
+    That is the next track, or a later one if tracks in between end in the same
+    block and hand it on too.
+    """
+    run = F.col("track_no") - F.row_number().over(Window.partitionBy(*KEYS).orderBy("track_no"))
+    same = F.max(F.when(F.col("carries"), F.col("track_no"))).over(Window.partitionBy(*KEYS, "_run", "last_block"))
+    ends = start.withColumn("_run", run).withColumn("_to", same + 1)
+    own = blocks.join(ends.select(*keys, "carries", "last_block", "_to"), keys)
     moves = F.col("carries") & (F.col("block_no") == F.col("last_block"))
     # Bytes after a block that is already begun sort behind those that begin it.
-    pieces = own.select(*KEYS, F.when(moves, F.col("track_no") + 1).otherwise(F.col("track_no")).alias("track_no"), F.col("track_no").alias("from"), "block_no", "channel", "bytes")
+    pieces = own.select(*KEYS, F.when(moves, F.col("_to")).otherwise(F.col("track_no")).alias("track_no"), F.col("track_no").alias("from"), "block_no", "channel", "bytes")
     there = pieces.join(start.select(*keys), keys, "left_semi")
     return there.groupBy(*keys, "block_no", "channel").agg(F.expr("listagg(bytes) WITHIN GROUP (ORDER BY `from`)").alias("bytes"))
 

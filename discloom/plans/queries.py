@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 from discloom.functions import binary as B
 from discloom.functions import timecode as T
 from discloom.operators import demux, pcm, report, tag, toc, tracks
-from discloom.plans import synthesis
+from discloom.plans import extract, synthesis
 from discloom.plans.extract import Tables, read_tables
+from discloom.shared import cut
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,13 +36,41 @@ def frame_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def frame_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Frames and bytes of each image, counted by the engine."""
-    counted = demux.frame_counters(_text_frames(spark, sf_dir), ["image"])
-    return counted.select(F.col("image").alias("doc_id"), F.col("decoded").alias("frames"), "bytes")
+    """Frames and bytes of each image within two of its frames' times, and frames outside."""
+    images = synthesis.text_images(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    packs = demux.packets(images, ["image"]).withColumns({"tc_start": F.lit(1), "tc_end": F.lit(3)})
+    counted = demux.frame_counters(demux.assemble(packs, ["image"], "tc_start", "tc_end"), ["image"])
+    return counted.select(F.col("image").alias("doc_id"), F.col("decoded").alias("frames"), "filtered", "bytes")
+
+
+def plain_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as the uncompressed audio of images, read back from their sectors."""
+    rows = demux.plain_sectors(synthesis.plain_images(_table(spark, sf_dir, "documents"), "doc_id", "text"), ["image"])
+    whole = rows.groupBy("image").agg(F.count("*").alias("sectors"), F.expr("listagg(raw) WITHIN GROUP (ORDER BY lsn)").alias("raw"))
+    return whole.select(F.col("image").alias("doc_id"), "sectors", F.length("raw").cast("long").alias("bytes"), F.md5("raw").alias("digest"))
+
+
+def frame_infos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event numbers as sectors of two frame starts, of which one has an info, of three or four bytes."""
+    k = F.col("event_id")
+    byte = lambda x: B.be_bytes(x, 1)
+    dst = k % 2
+    info = F.concat(byte(k % 80), byte(k % 60), byte(k % 75))
+    data = F.concat(
+        byte(dst + 4 + 64), byte(F.lit(144)), byte(k % 200), byte(F.lit(144)), byte(k % 100), info, F.when(dst == 1, byte(k % 256)).otherwise(F.lit(bytearray())),
+    )
+    sectors = _table(spark, sf_dir, "events").select("event_id", F.lit(0).cast("long").alias("lsn"), B.nul_padded(data, 2048).alias("data"))
+    return demux.packets(sectors, ["event_id"]).select("event_id", "pno", "frame_start", "data_type", "length", "k", "info.tc", "info.sector_count", "info.bits", F.length("payload").alias("held"))
+
+
+def sector_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The beginnings of texts as sectors: header fields, and whether their parts reach over the end."""
+    data = B.nul_padded(F.substring(F.coalesce("text", F.lit("")).cast("binary"), 1, 2048), 2048)
+    return demux.decode_headers(_table(spark, sf_dir, "documents").select("doc_id", data.alias("data"))).drop("data")
 
 
 def _part_tables(spark: SparkSession, sf_dir: str) -> Tables:
-    return read_tables(synthesis.part_discs(_table(spark, sf_dir, "part")))
+    return read_tables(cut(synthesis.part_discs(_table(spark, sf_dir, "part"))))
 
 
 def disc_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,11 +100,17 @@ def id3_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("image", "track_no", *(fields[k].alias(v) for k, v in names.items()))
 
 
+def whole_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bytes of each track's tag."""
+    tables = _part_tables(spark, sf_dir)
+    tagged = tag.with_tags(tables.tracks, tables.discs)
+    return tagged.select("image", "track_no", F.length("id3").cast("long").alias("bytes"), F.md5(F.hex("id3").cast("binary")).alias("digest"))
+
+
 def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Title lines of every disc's report."""
+    """All lines of every disc's report."""
     tables = _part_tables(spark, sf_dir)
-    lines = report.report(tables.discs, tables.areas, tables.tracks)
-    return lines.filter("section = 2 AND line LIKE '        Title%'").select("image", "line")
+    return report.report(tables.discs, tables.areas, tables.tracks)
 
 
 def audio_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,6 +120,21 @@ def audio_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.tracks.join(tables.discs.select("image", "disc_title", "disc_artist"), "image").select("image", "track_no", name.alias("file"))
 
 
+def image_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File names of every image."""
+    discs = _part_tables(spark, sf_dir).discs
+    return discs.select("image", report.image_name(F.col("disc_title"), F.col("disc_artist"), F.col("disc_catalog")).alias("file"))
+
+
+def audio_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole audio files, tails handed on, of the stereo and multichannel tracks of a disc for each region."""
+    images = cut(synthesis.nation_discs(_table(spark, sf_dir, "nation")))
+    rows = extract.audio_files(images, read_tables(images), carry=True)
+    whole = rows.groupBy("folder", "file").agg(F.first("header").alias("h"), F.expr("listagg(bytes) WITHIN GROUP (ORDER BY block_no * 8 + channel)").alias("b"), F.first("id3").alias("t"))
+    content = F.concat("h", F.coalesce("b", F.lit(bytearray())), "t")
+    return whole.select("folder", "file", F.length(content).cast("long").alias("bytes"), F.md5(F.hex(content).cast("binary")).alias("digest"))
+
+
 def _numbered_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items numbered within their order; rows that are alike may change places."""
     order = Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_suppkey", "l_quantity")
@@ -120,9 +170,10 @@ def sector_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gapless_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as tracks: the blocks of each with the tail handed on."""
-    items = _numbered_items(spark, sf_dir)
-    own = items.filter("l_partkey % 11 <> 0").select(F.col("l_orderkey").alias("image"), "track_no", (F.col("l_partkey") * 13 + 1).alias("len"), F.lit(7).alias("track_count"))
+    """Line items as tracks, with gaps in their numbers: the blocks of each with the tail handed on."""
+    gap = F.sum((F.col("l_partkey") % 11 == 0).cast("int")).over(Window.partitionBy("l_orderkey").orderBy("track_no")).cast("int")
+    items = _numbered_items(spark, sf_dir).withColumn("gap", gap)
+    own = items.select(F.col("l_orderkey").alias("image"), (F.col("track_no") + F.col("gap")).alias("track_no"), (F.col("l_partkey") * 13 + 1).alias("len"), F.lit(7).alias("track_count"))
     return tracks.gapless(own, ["image"]).select("image", "track_no", "start_byte", "end_byte", "carries", "blocks")
 
 
@@ -207,13 +258,16 @@ def image_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        frame_roundtrip, frame_counters, disc_tracks, disc_heads, id3_fields, report_lines, audio_names, track_ranges, timecode_range_join, sector_range_join,
+        frame_roundtrip, frame_counters, plain_audio, frame_infos, sector_headers, disc_tracks, disc_heads, id3_fields, whole_tags, report_lines, audio_names, image_names, audio_files, track_ranges, timecode_range_join, sector_range_join,
         gapless_carry, toc_resolution, bit_reverse, deinterleave, channel_blocks, sanitize, timecode_encode, bitfield_decode, byte_orders, dimensions, track_select, image_sizes,
     )
 }
 
-_GENRES = "[" + ", ".join("'" + g.replace("'", "''") + "'" for g in T.GENRES) + "]"
-_SETS = "[" + ", ".join(f"'{x}'" for x in T.CHARACTER_SETS) + "]"
+# Fixed values, written out here again so that the SQL doesn't lean on the library's own tables.
+_GENRES = """['Not used', 'Not defined', 'Adult Contemporary', 'Alternative Rock', 'Children''s Music', 'Classical', 'Contemporary Christian', 'Country', 'Dance', 'Easy Listening', 'Erotic',
+    'Folk', 'Gospel', 'Hip Hop', 'Jazz', 'Latin', 'Musical', 'New Age', 'Opera', 'Operetta', 'Pop Music', 'RAP', 'Reggae', 'Rock Music', 'Rhythm & Blues', 'Sound Effects', 'Sound Track',
+    'Spoken Word', 'World Music']"""
+_SETS = "['US-ASCII', 'ISO646-JP', 'ISO-8859-1', 'SHIFT_JISX0213', 'KSC5601.1987-0', 'GB2312.1980-0', 'BIG5', 'ISO-8859-1']"
 _DISC = "p_partkey // 100"
 _TRACKS = f"""t AS (
     SELECT {_DISC} AS n, 'disc-' || ({_DISC}) AS image, p_partkey AS k, p_name, p_brand, p_type,
@@ -222,14 +276,81 @@ _TRACKS = f"""t AS (
         CAST(sum(75 + p_partkey % 400) OVER (PARTITION BY {_DISC} ORDER BY p_partkey) - (75 + p_partkey % 400) AS BIGINT) AS start_fc
     FROM part)"""
 
+_CODE = "'US' || CASE WHEN k % 4 > 0 THEN 'ABC' ELSE 'XYZ' END || lpad(CAST(k % 100 AS VARCHAR), 2, '0') || lpad(CAST(k % 100000 AS VARCHAR), 5, '0')"
+
+
+def _frames_sql(**values: str) -> str:
+    """Hexadecimal bytes of a tag's frames, none for a null; names of more than four letters are descriptions."""
+
+    def one(name: str, value: str) -> str:
+        kind, key = (name, "") if len(name) == 4 else ("TXXX", f"{name.replace('_', ' ').encode().hex().upper()}00")
+        body = f"'00{key}' || hex(encode({value})) || '00'"
+        return f"coalesce('{kind.encode().hex().upper()}' || upper(lpad(to_hex(CAST(length({body}) // 2 AS BIGINT)), 8, '0')) || '0000' || {body}, '')"
+
+    return " || ".join(one(k, v) for k, v in values.items())
+
+
+_TAG = "'494433030000' || upper(lpad(to_hex(CAST(((length(f) // 2 >> 14) & 127) * 65536 + ((length(f) // 2 >> 7) & 127) * 256 + (length(f) // 2 & 127) AS BIGINT)), 8, '0')) || f"
+
+
+def _le_sql(value: str, size: int) -> str:
+    """Hexadecimal bytes of a number, the least first."""
+    digits = f"lpad(upper(to_hex(CAST({value} AS BIGINT))), {2 * size}, '0')"
+    return "(" + " || ".join(f"substr({digits}, {2 * i + 1}, 2)" for i in reversed(range(size))) + ")"
+
+
+def _channels_sql(n: int) -> str:
+    """Hexadecimal bytes of each channel of interleaved samples ``x``."""
+    return "[" + ", ".join(f"regexp_replace(x, '{'(..)' * n}', '\\{c + 1}', 'g')" for c in range(n)) + "]"
+
+
+_BYTE = "(instr('0123456789ABCDEF', substr(h, 2 * ({0}) + 1, 1)) - 1) * 16 + instr('0123456789ABCDEF', substr(h, 2 * ({0}) + 2, 1)) - 1"
+
 ORACLE_SQL: dict[str, str] = {
+    "plain_audio": """SELECT doc_id, CAST((octet_length(encode(text)) + 1989) // 1990 AS BIGINT) AS sectors, CAST(octet_length(encode(text)) AS BIGINT) AS bytes, md5(text) AS digest
+        FROM documents WHERE octet_length(encode(text)) > 0""",
+    "frame_infos": """SELECT event_id, CAST(pno AS INTEGER) AS pno, true AS frame_start, CAST(2 AS INTEGER) AS data_type, CAST(CASE pno WHEN 0 THEN event_id % 200 ELSE event_id % 100 END AS INTEGER) AS length,
+        CAST(pno + 1 AS INTEGER) AS k, CAST(CASE WHEN pno = 0 THEN event_id % 80 * 4500 + event_id % 60 * 75 + event_id % 75 END AS INTEGER) AS tc,
+        CAST(CASE WHEN pno = 0 AND event_id % 2 = 1 THEN event_id % 256 // 4 % 32 END AS INTEGER) AS sector_count, CAST(CASE WHEN pno = 0 AND event_id % 2 = 1 THEN event_id % 256 END AS INTEGER) AS bits,
+        CAST(CASE pno WHEN 0 THEN event_id % 200 ELSE event_id % 100 END AS INTEGER) AS held FROM events, (SELECT unnest([0, 1]) AS pno)""",
+    "sector_headers": f"""WITH s AS (SELECT doc_id, rpad(substr(hex(encode(coalesce(text, ''))), 1, 4096), 4096, '0') AS h FROM documents), b AS (SELECT doc_id, h, {_BYTE.format(0)} AS head FROM s),
+        n AS (SELECT doc_id, h, head // 32 AS packs, head // 4 % 8 AS infos, head % 2 AS dst FROM b),
+        e AS (SELECT *, 1 + 2 * packs + infos * (3 + dst) + coalesce(list_sum(list_transform(range(0, packs), lambda i: ({_BYTE.format('1 + 2 * i')}) % 8 * 256 + {_BYTE.format('2 + 2 * i')})), 0) AS ends FROM n)
+        SELECT doc_id, ends > 2048 AS corrupt, dst = 1 AS dst_encoded, CAST(packs AS INTEGER) AS n_packets, CAST(infos AS INTEGER) AS n_infos FROM e""",
+    "whole_tags": f"""WITH {_TRACKS}, g AS (SELECT *, CASE WHEN k % 3 = 1 THEN k % 40 WHEN n % 2 = 1 THEN 5 ELSE 1 + n % 30 END AS genre FROM t),
+        v AS (SELECT image, track_no, {_frames_sql(
+            TIT2="p_name", TALB="'Album ' || n", DISCSUBTITLE="CASE WHEN n % 2 > 0 THEN 'Disc ' || n END", TPE1="CASE WHEN k % 3 > 0 THEN p_brand ELSE 'Artist ' || n END",
+            PERFORMER="CASE WHEN k % 3 > 0 THEN p_brand END", TCOM="CASE WHEN k % 2 > 0 THEN p_type END", Catalog_Number="CASE WHEN n % 2 > 0 THEN 'CAT-' || n ELSE 'ALB-' || n END",
+            Album_Catalog_Number="CASE WHEN n % 2 > 0 THEN 'ALB-' || n END", TSRC=f"CASE WHEN k % 6 > 0 THEN {_CODE} END", TPOS="'1/' || (1 + n % 3)",
+            TCON=f"CASE WHEN genre > 0 AND genre < 29 THEN {_GENRES}[genre + 1] END", TYER="CAST(1999 + n % 20 AS VARCHAR)",
+            TDAT="lpad(CAST(1 + n % 28 AS VARCHAR), 2, '0') || lpad(CAST(1 + n % 12 AS VARCHAR), 2, '0')", TRCK="track_no || '/' || track_count")} AS f FROM g)
+        SELECT image, track_no, CAST(10 + length(f) // 2 AS BIGINT) AS bytes, md5({_TAG}) AS digest FROM v""",
+    "image_names": f"""WITH {_TRACKS} SELECT DISTINCT image, CASE WHEN n % 2 > 0 THEN 'Disc ' || n ELSE 'Unknown_Title' END || '-Artist ' || n || '-[' ||
+        CASE WHEN n % 2 > 0 THEN 'CAT-' || n ELSE 'Unknown_Catalog' END || '].iso' AS file FROM t""",
+    "audio_files": f"""WITH t AS (SELECT n_regionkey AS n, n_name, n_nationkey AS k, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS BIGINT) AS no,
+            count(*) OVER (PARTITION BY n_regionkey) AS tracks FROM nation),
+        a AS (SELECT *, repeat(hex(encode(rpad(substr(n_name, 1, 12), 12, '.'))), (400 + 37 * k) * (c // 2)) AS x FROM t, (SELECT unnest([2, 6]) AS c)),
+        s AS (SELECT *, CAST(sum(length(x) // 2 // c) OVER (PARTITION BY n, c ORDER BY no) AS BIGINT) AS e, length(x) // 2 // c AS own FROM a),
+        b AS (SELECT *, (e - own) // 4096 AS first, no < tracks AND e % 4096 > 0 AS carries, CASE WHEN no < tracks AND e % 4096 > 0 THEN e // 4096 ELSE (e + 4095) // 4096 END - (e - own) // 4096 AS blocks FROM s),
+        w AS (SELECT n, c, translate(regexp_replace(string_agg(x, '' ORDER BY no), '(.)(.)', '\\2\\1', 'g'), '0123456789ABCDEF', '084C2A6E195D3B7F') AS x FROM a GROUP BY n, c),
+        h AS (SELECT n, c, CASE c WHEN 2 THEN {_channels_sql(2)} ELSE {_channels_sql(6)} END AS lines FROM w),
+        v AS (SELECT b.*, lines, {_frames_sql(TIT2="n_name || ' ' || b.c", TALB="'Album ' || b.n", DISCSUBTITLE="'Region ' || b.n", TPE1="'Artist ' || b.n", TPOS="'1/1'", TYER="CAST(2001 + b.n AS VARCHAR)",
+            TDAT="lpad(CAST(2 + b.n AS VARCHAR), 2, '0') || lpad(CAST(1 + b.n AS VARCHAR), 2, '0')", TRCK="no || '/' || tracks")} AS f FROM b JOIN h ON b.n = h.n AND b.c = h.c),
+        z AS (SELECT *, {_TAG} AS id3, blocks * c * 4096 AS size FROM v),
+        y AS (SELECT n, c, no, n_name, '44534420' || {_le_sql('28', 8)} || {_le_sql('size + 92 + length(id3) // 2', 8)} || {_le_sql('size + 92', 8)} || '666D7420' || {_le_sql('52', 8)} || {_le_sql('1', 4)} || {_le_sql('0', 4)}
+            || {_le_sql('CASE c WHEN 6 THEN 7 ELSE c END', 4)} || {_le_sql('c', 4)} || {_le_sql('2822400', 4)} || {_le_sql('1', 4)} || {_le_sql('CASE WHEN carries THEN blocks * 4096 ELSE own END * 8', 8)}
+            || {_le_sql('4096', 4)} || {_le_sql('0', 4)} || '64617461' || {_le_sql('size + 12', 8)}
+            || array_to_string(list_transform(range(0, CAST(blocks * c AS BIGINT)), lambda i: rpad(substr(lines[i % c + 1], (first + i // c) * 8192 + 1, 8192), 8192, '0')), '') || id3 AS whole FROM z)
+        SELECT 'region-' || n AS folder, 'Artist ' || n || '-Region ' || n || CASE c WHEN 2 THEN '-stereo-' ELSE '-mch-' END || lpad(CAST(no AS VARCHAR), 2, '0') || '-' || n_name || ' ' || c || '.dsf' AS file,
+            CAST(length(whole) // 2 AS BIGINT) AS bytes, md5(whole) AS digest FROM y""",
     "frame_roundtrip": """SELECT doc_id, CAST((octet_length(encode(text)) + 29999) // 30000 AS BIGINT) AS frames,
         CAST(octet_length(encode(text)) AS BIGINT) AS bytes, md5(text) AS digest FROM documents WHERE octet_length(encode(text)) > 0""",
-    "frame_counters": """SELECT doc_id, CAST((octet_length(encode(text)) + 29999) // 30000 AS BIGINT) AS frames,
-        CAST(octet_length(encode(text)) AS BIGINT) AS bytes FROM documents WHERE octet_length(encode(text)) > 0""",
+    "frame_counters": """WITH d AS (SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS n FROM documents WHERE octet_length(encode(text)) > 0)
+        SELECT doc_id, greatest(least((n + 29999) // 30000, 3) - 1, 0) AS frames, (n + 29999) // 30000 - greatest(least((n + 29999) // 30000, 3) - 1, 0) AS filtered,
+            least(n, 90000) - least(n, 30000) AS bytes FROM d""",
     "disc_tracks": f"""WITH {_TRACKS} SELECT image, track_no, start_fc, CAST(75 + k % 400 AS BIGINT) AS duration_fc,
         CAST(CASE WHEN k % 5 > 0 THEN 1000 + k ELSE 0 END AS BIGINT) AS start_lsn, CAST(10 + k % 7 AS BIGINT) AS length_lsn,
-        CASE WHEN k % 6 > 0 THEN 'US' || CASE WHEN k % 4 > 0 THEN 'ABC' ELSE 'XYZ' END || lpad(CAST(k % 100 AS VARCHAR), 2, '0') || lpad(CAST(k % 100000 AS VARCHAR), 5, '0') END AS isrc,
+        CASE WHEN k % 6 > 0 THEN {_CODE} END AS isrc,
         CASE WHEN k % 3 = 1 AND k % 40 < 29 THEN {_GENRES}[k % 40 + 1] END AS genre, p_name AS title,
         CASE WHEN k % 3 > 0 THEN p_brand END AS performer, CASE WHEN k % 2 > 0 THEN p_type END AS composer FROM t""",
     "disc_heads": f"""WITH {_TRACKS}, d AS (SELECT DISTINCT n, image, track_count FROM t) SELECT image, 'Album ' || n AS album_title,
@@ -243,7 +364,27 @@ ORACLE_SQL: dict[str, str] = {
         CASE WHEN n % 2 > 0 THEN 'CAT-' || n ELSE 'ALB-' || n END AS catalog, CASE WHEN n % 2 > 0 THEN 'ALB-' || n END AS album_number,
         '1/' || (1 + n % 3) AS tpos, CASE WHEN genre > 0 AND genre < 29 THEN {_GENRES}[genre + 1] END AS tcon,
         lpad(CAST(1 + n % 28 AS VARCHAR), 2, '0') || lpad(CAST(1 + n % 12 AS VARCHAR), 2, '0') AS tdat, track_no || '/' || track_count AS trck FROM g""",
-    "report_lines": f"WITH {_TRACKS} SELECT image, '        Title[' || (track_no - 1) || ']: ' || p_name AS line FROM t",
+    "report_lines": f"""WITH {_TRACKS}, d AS (SELECT n, image, track_count, count(*) AS codes FROM t GROUP BY n, image, track_count),
+        clock AS (SELECT *, lpad(CAST(start_fc // 4500 AS VARCHAR), 2, '0') || ':' || lpad(CAST(start_fc // 75 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(start_fc % 75 AS VARCHAR), 2, '0') AS at_clock,
+            '00:' || lpad(CAST((75 + k % 400) // 75 AS VARCHAR), 2, '0') || ':' || lpad(CAST((75 + k % 400) % 75 AS VARCHAR), 2, '0') AS long_clock FROM t),
+        own AS (SELECT image, track_no, ['        Title[' || (track_no - 1) || ']: ' || p_name, CASE WHEN k % 3 > 0 THEN '        Performer[' || (track_no - 1) || ']: ' || p_brand END,
+                CASE WHEN k % 2 > 0 THEN '        Composer[' || (track_no - 1) || ']: ' || p_type END, '        Track_Start_Time_Code: ' || at_clock || ' [mins:secs:frames]',
+                '        Duration: ' || long_clock || ' [mins:secs:frames]', ''] AS titles,
+            CASE WHEN k % 6 > 0 THEN ['    ISRC Track [' || (track_no - 1) || ']:', '      Country: US, Owner: ' || CASE WHEN k % 4 > 0 THEN 'ABC' ELSE 'XYZ' END || ', Year: ' || lpad(CAST(k % 100 AS VARCHAR), 2, '0')
+                || ', Designation: ' || lpad(CAST(k % 100000 AS VARCHAR), 5, '0')] ELSE [] END AS codes FROM clock),
+        lists AS (SELECT image, flatten(list(titles ORDER BY track_no)) AS titles, flatten(list(codes ORDER BY track_no)) AS codes FROM own GROUP BY image),
+        sections AS (
+            SELECT image, 0 AS section, ['Disc Information:', '    Version:  1.20', '    Creation date: ' || (1999 + n % 20) || '-' || lpad(CAST(1 + n % 12 AS VARCHAR), 2, '0') || '-' || lpad(CAST(1 + n % 28 AS VARCHAR), 2, '0'),
+                '    Hybrid Disc: ' || CASE WHEN n % 2 > 0 THEN 'true' ELSE 'false' END, '    Stereo Disc: true', '    Multi-channel Disc: false', CASE WHEN n % 2 > 0 THEN '    Disc Catalog Number: CAT-' || n END,
+                CASE WHEN n % 2 > 0 THEN '    Disc Category: General' END, CASE WHEN n % 2 > 0 THEN '    Disc Genre: Classical' END, '    Locale: en, Code character set:[2], ISO-8859-1',
+                CASE WHEN n % 2 > 0 THEN '    Title: Disc ' || n END, '    Artist: Artist ' || n, '', 'Album Information:', '    Album Catalog Number: ALB-' || n, '    Sequence Number: 1',
+                '    Set Size: ' || (1 + n % 3), '    Title: Album ' || n] AS lines FROM d
+            UNION ALL SELECT image, 1, ['', 'Area Count: 1'] FROM d
+            UNION ALL SELECT d.image, 2, list_concat(list_concat(['    Area Information [0]:', '', '    Version:  1.20', '    Area ID: TWOCHTOC',
+                CASE WHEN NOT (n % 2 > 0 AND n % 3 > 0) THEN '    Area Description: area ' || n END, '    Track Count: ' || track_count, '    Total Play Time: 00:00:00 [mins:secs:frames]',
+                '    Speaker Config: 2 Channel', '    Frame Format: DST (compressed)', '    Track List [0]:'], titles), lists.codes) FROM d JOIN lists ON d.image = lists.image),
+        kept AS (SELECT image, section, list_filter(lines, lambda x: x IS NOT NULL) AS lines FROM sections)
+        SELECT image, CAST(section AS INTEGER) AS section, CAST(i - 1 AS INTEGER) AS line_no, lines[i] AS line FROM (SELECT image, section, lines, unnest(range(1, len(lines) + 1)) AS i FROM kept)""",
     "audio_names": f"""WITH {_TRACKS} SELECT image, track_no, 'Artist ' || n || CASE WHEN n % 2 > 0 THEN '-Disc ' || n ELSE '' END || '-stereo-' ||
         CASE WHEN track_no < 10 THEN '0' ELSE '' END || track_no || '-' || p_name || '.dsf' AS file FROM t""",
     "track_ranges": """WITH i AS (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_quantity) AS INTEGER) AS track_no FROM lineitem),
@@ -257,18 +398,19 @@ ORACLE_SQL: dict[str, str] = {
         AND o_orderkey * 7919 % 400000 >= s_suppkey * 104729 % 390000 AND o_orderkey * 7919 % 400000 < s_suppkey * 104729 % 390000 + 9000""",
     "sector_range_join": """SELECT s_suppkey, count(*) AS sectors, min(l_orderkey * 31 % 60000) AS first_lsn FROM lineitem JOIN supplier ON l_partkey % 25 = s_nationkey
         AND l_orderkey * 31 % 60000 >= s_suppkey * 433 % 50000 AND l_orderkey * 31 % 60000 < s_suppkey * 433 % 50000 + 6000 GROUP BY s_suppkey""",
-    "gapless_carry": """WITH n AS (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_quantity) AS INTEGER) AS track_no FROM lineitem),
+    "gapless_carry": """WITH n AS (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_suppkey, l_quantity) AS INTEGER) AS nth FROM lineitem),
+        g AS (SELECT *, CAST(nth + sum(CASE WHEN l_partkey % 11 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY nth) AS INTEGER) AS track_no FROM n),
         l AS (SELECT l_orderkey AS image, track_no, l_partkey * 13 + 1 AS len,
-            track_no - row_number() OVER (PARTITION BY l_orderkey ORDER BY track_no) AS i FROM n WHERE l_partkey % 11 <> 0),
+            track_no - row_number() OVER (PARTITION BY l_orderkey ORDER BY track_no) AS i FROM g),
         p AS (SELECT *, CAST(sum(len) OVER (PARTITION BY image, i ORDER BY track_no) AS BIGINT) AS e FROM l)
         SELECT image, track_no, e - len AS start_byte, e AS end_byte, track_no < 7 AND e % 4096 > 0 AS carries,
             CAST(CASE WHEN track_no < 7 AND e % 4096 > 0 THEN e // 4096 ELSE (e + 4095) // 4096 END - (e - len) // 4096 AS BIGINT) AS blocks FROM p""",
     "toc_resolution": """WITH c AS (SELECT o_custkey AS image, max(CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey END) AS a, max(CASE WHEN o_orderkey % 2 = 1 THEN o_orderkey END) AS b
         FROM orders GROUP BY o_custkey) SELECT image, coalesce(b, a) AS value, a IS NOT NULL AND b IS NOT NULL AS differ FROM c""",
-    "bit_reverse": f"""SELECT conv_id, turn, md5(regexp_replace(translate(hex(encode(text)), '0123456789ABCDEF', '{B.REVERSED_DIGITS}'), '(.)(.)', '\\2\\1', 'g')) AS digest FROM conversations""",
+    "bit_reverse": f"""SELECT conv_id, turn, md5(regexp_replace(translate(hex(encode(text)), '0123456789ABCDEF', '084C2A6E195D3B7F'), '(.)(.)', '\\2\\1', 'g')) AS digest FROM conversations""",
     "deinterleave": """SELECT conv_id, turn, md5(regexp_replace(hex(encode(text)), '(..)(..)?', '\\1', 'g')) AS channel_0,
         md5(regexp_replace(hex(encode(text)), '(..)(..)?', '\\2', 'g')) AS channel_1 FROM conversations""",
-    "channel_blocks": f"""WITH h AS (SELECT doc_id, translate(regexp_replace(hex(encode(text)), '(.)(.)', '\\2\\1', 'g'), '0123456789ABCDEF', '{B.REVERSED_DIGITS}') AS x
+    "channel_blocks": f"""WITH h AS (SELECT doc_id, translate(regexp_replace(hex(encode(text)), '(.)(.)', '\\2\\1', 'g'), '0123456789ABCDEF', '084C2A6E195D3B7F') AS x
             FROM documents WHERE octet_length(encode(text)) > 0),
         c AS (SELECT doc_id, 0 AS channel, regexp_replace(x, '(..)(..)?', '\\1', 'g') AS y FROM h UNION ALL SELECT doc_id, 1, regexp_replace(x, '(..)(..)?', '\\2', 'g') FROM h),
         b AS (SELECT doc_id, channel, y, unnest(range(0, (length(y) + 8191) // 8192)) AS block_no FROM c)

@@ -70,6 +70,57 @@ def text_images(texts: DataFrame, id_col: str, text: str, frame_bytes: int = 30_
     return texts.select(F.col(id_col).cast("long"), F.col(text)).mapInArrow(build, "image long, lsn long, data binary")
 
 
+def plain_sectors(data: bytes, first: int = 0) -> dict[int, bytes]:
+    """Sectors of uncompressed audio: one packet of audio in each, after one of other data."""
+    out = {}
+    for n, at in enumerate(range(0, len(data), 1990)):
+        piece = data[at : at + 1990]
+        head = bytes([2 << 5, 3 << 3, 6, 2 << 3 | len(piece) >> 8, len(piece) & 255])
+        out[first + n] = (head + b"others" + piece).ljust(SECTOR, b"\x00")
+    return out
+
+
+def plain_images(texts: DataFrame, id_col: str, text: str) -> DataFrame:
+    """``image long, lsn, data``: each text as the uncompressed audio of an image."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for image, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                own = plain_sectors((t or "").encode())
+                yield pa.RecordBatch.from_arrays([pa.array([image] * len(own), pa.int64()), pa.array(list(own), pa.int64()), pa.array(list(own.values()), pa.binary())], ["image", "lsn", "data"])
+
+    return texts.select(F.col(id_col).cast("long"), F.col(text)).mapInArrow(build, "image long, lsn long, data binary")
+
+
+def nation_discs(nations: DataFrame) -> DataFrame:
+    """``image string, lsn, data``: a disc for each region, with its nations as the tracks of both areas.
+
+    A track's samples are its name, filled up to 12 bytes, again and again.
+    """
+
+    def build(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, rows = key[0].as_py(), sorted((r for b in batches for r in b.to_pylist()), key=lambda r: r["n_nationkey"])
+        audio: dict[int, bytes] = {}
+        lsn, contents = 700, {}
+        for area, channels, kind in (("stereo", 2, b"TWOCHTOC"), ("multichannel", 6, b"MULCHTOC")):
+            own, first = [], lsn
+            for i, r in enumerate(rows):
+                made = plain_sectors(r["n_name"][:12].ljust(12, ".").encode() * (400 + 37 * r["n_nationkey"]) * (channels // 2), lsn)
+                own.append({"start": 75 * i, "duration": 75, "lsn": lsn, "sectors": len(made), "texts": [(1, f"{r['n_name']} {channels}")]})
+                audio |= made
+                lsn += len(made)
+            contents[area] = area_toc(kind, own, {"format": 2, "start": first, "end": lsn, "channels": channels})
+        size = len(contents["stereo"]) // SECTOR
+        disc = {"area_starts": (544, 0, 600, 0), "area_sizes": (size, size), "date": (2001 + n, 1 + n, 2 + n), "texts": {16: f"Album {n}", 32: f"Region {n}", 34: f"Artist {n}"}}
+        sectors = master_sectors(disc) | audio
+        for at, area in ((544, "stereo"), (600, "multichannel")):
+            sectors |= {at + i: contents[area][i * SECTOR : (i + 1) * SECTOR] for i in range(size)}
+        at = sorted(sectors)
+        yield pa.RecordBatch.from_arrays([pa.array([f"region-{n}.iso"] * len(at)), pa.array(at, pa.int64()), pa.array([sectors[x] for x in at])], ["image", "lsn", "data"])
+
+    return nations.select("n_regionkey", "n_nationkey", "n_name").groupBy("n_regionkey").applyInArrow(build, "image string, lsn long, data binary")
+
+
 def master_sectors(disc: dict) -> dict[int, bytes]:
     """The master table of contents and the master texts of a disc."""
     m = bytearray(SECTOR)

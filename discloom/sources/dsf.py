@@ -51,7 +51,8 @@ def file_rows(blocks: DataFrame, tracks: DataFrame, keys: list[str]) -> DataFram
     samples = F.when(F.col("carries"), F.col("blocks") * (4096 * 8)).otherwise(F.expr("bytes div channels * 8")).cast("long")
     t = tracks.withColumn("_tag_bytes", F.length("id3").cast("long"))
     t = t.withColumn("header", header(F.col("channels").cast("long"), size, samples))
-    rows = blocks.join(t.select(*keys, "folder", "file", "header", "id3"), keys)
+    # A track whose few bytes are all handed on has a file without blocks.
+    rows = t.select(*keys, "folder", "file", "header", "id3").join(blocks, keys, "left")
     rows = rows.select("folder", "file", "block_no", "channel", "bytes", "header", "id3")
     return rows.repartition("folder", "file").sortWithinPartitions("folder", "file", "block_no", "channel")
 
@@ -95,7 +96,7 @@ class FilesWriter(DataSourceWriter):
                     part = f"{self.folder}/{at[0]}/.{attempt}.part"
                     out = open(part, "wb")  # noqa: SIM115
                     out.write(row["header"])
-                out.write(row["bytes"])
+                out.write(row["bytes"] or b"")
             finish()
         except BaseException:
             if out is not None:
