@@ -175,29 +175,40 @@ def with_places(docs: DataFrame, place: str, source: str = "source", id_col: str
     """The rows of ``docs``, with their columns, and their place in the mixture as ``place``.
 
     Places are distinct, and in order they give the mixture; slots that stay
-    unused leave gaps.  Rows with a null or repeated id keep their own place
-    among the rows of their source.
+    unused leave gaps.  Rows that share id and source, or have no id, take that
+    many places one after another, in any order; however many they are, they are
+    numbered in parts.  Texts move once.
     """
-    key, nth, k, n = (fresh(docs, c) for c in ("mix_key", "mix_nth", "plan_key", "plan_nth"))
+    k, s, n, first, salt, nth = (fresh(docs, c) for c in ("plan_key", "plan_source", "plan_nth", "plan_first", "mix_salt", "mix_nth"))
     plan = mix(docs, None, source, id_col, block_rows=block_rows, **options)
-    plan = plan.select(
-        F.xxhash64(id_col, source).alias(k),
-        F.row_number().over(Window.partitionBy(F.xxhash64(id_col, source)).orderBy(id_col, source, "slot", "in_block")).alias(n),
-        (F.col("slot") * block_rows + F.col("in_block")).alias(place),
-    )
-    # Rows with equal keys are told apart by their number.  The number is compared by a
-    # difference, so that both sides stay dealt by the key alone and long texts move once.
-    own = docs.withColumn(key, F.xxhash64(id_col, source))
-    own = own.withColumn(nth, F.row_number().over(Window.partitionBy(key).orderBy(id_col, source)))
-    joined = own.join(plan, (F.col(key) == F.col(k)) & (F.col(nth) - F.col(n) == 0))
-    return joined.select(*docs.columns, place)
+    row, slot = (F.col(c) * block_rows + F.col("in_block") for c in ("block", "slot"))
+    plan = cut(plan.select(F.col(id_col).alias(k), F.col(source).alias(s), row.alias(n), slot.alias(place)))
+    same = F.col(id_col).eqNullSafe(F.col(k)) & F.col(source).eqNullSafe(F.col(s))
+    several = plan.groupBy(k, s).agg(F.count("*").alias("n"), F.min(n).alias(first)).filter("n > 1")
+    several = cut(several.select(k, s, first))
+    if several.isEmpty():
+        return docs.join(plan, same).select(*docs.columns, place)
+    # Rows of one id and source have consecutive numbers in their source; so have their places.
+    of, at = fresh(plan, "of"), fresh(plan, "at")
+    those = several.withColumnsRenamed({k: of, s: at})
+    planned = F.col(k).eqNullSafe(F.col(of)) & F.col(s).eqNullSafe(F.col(at))
+    alone = docs.join(several, same, "left_anti").join(plan.join(those, planned, "left_anti"), same).select(*docs.columns, place)
+    shared = cut(docs.join(several, same, "left_semi").withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(256))))
+    parts = shared.groupBy(id_col, source, salt).agg(F.count("*").alias(nth))
+    parts = parts.withColumn(nth, F.sum(nth).over(Window.partitionBy(id_col, source).orderBy(salt)) - F.col(nth))
+    parts = cut(parts.withColumnsRenamed({id_col: k, source: s, salt: of, nth: first}))
+    numbered = shared.withColumn(nth, F.row_number().over(Window.partitionBy(id_col, source, salt).orderBy(salt)))
+    numbered = numbered.join(parts, same & (F.col(salt) == F.col(of))).withColumn(nth, F.col(nth) + F.col(first)).drop(k, s, of, first)
+    places = plan.join(those, planned).select(k, s, (F.col(n) - F.col(first) + 1).alias(n), place)
+    return alone.unionByName(numbered.join(places, same & (F.col(nth) == F.col(n))).select(*docs.columns, place))
 
 
 def mixed(docs: DataFrame, source: str = "source", id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs``, with their columns, in the order of the mixture.
 
     Partitions hold consecutive ranges of places and are sorted, so files written
-    from the result and read one after another give the mixture.
+    from the result and read one after another give the mixture.  No row is
+    dropped or repeated, whatever its id, source or text; see :func:`mix`.
     """
     place = fresh(docs, "mix_place")
     return with_places(docs, place, source, id_col, **options).repartitionByRange(place).sortWithinPartitions(place).drop(place)

@@ -128,3 +128,12 @@ def test_more_sources_than_slots_no_rows_and_clashing_columns(spark):
     assert got.count() == 300 and got.columns[:2] == ["doc_id", "source"]
     assert got.filter("release > slot OR slot >= deadline").count() == 0
     assert mixing.mix(df.limit(0)).count() == 0 == mixing.mixed(df.limit(0)).count()
+
+
+def test_places_of_rows_that_share_an_id(spark):
+    rows = [(5, "a", f"t{i}") for i in range(300)] + [(None, "a", "same")] * 200 + [(None, None, None)] * 5 + [(i, "b", "x") for i in range(50)] + [(5, "b", "y")]
+    df = spark.createDataFrame(rows, "doc_id long, source string, plan_key string").repartition(4)
+    got = mixing.with_places(df, "place", block_rows=8).collect()
+    assert sorted((tuple(r)[:3] for r in got), key=str) == sorted(rows, key=str) and len({r.place for r in got}) == len(rows)
+    want = sorted((r.slot * 8 + r.in_block, r.doc_id, r.source) for r in mixing.mix(df, block_rows=8).collect() if r.doc_id is not None)
+    assert sorted((r.place, r.doc_id, r.source) for r in got if r.doc_id is not None) == want
