@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from discloom.llm import toxicity
+from discloom.llm.support import cut
 
 RUDE = ["grumbolt", "snarkfish", "blightmaw"]
 
@@ -169,3 +170,27 @@ def test_without_labels_or_rows(spark):
     for own in (known.limit(0), known.filter("toxic = 0"), known.filter("toxic = 1")):
         assert toxicity.score_toxicity(docs, own).agg(F.max("score")).first()[0] < 0.3
     assert toxicity.score_toxicity(docs.limit(0), known).count() == 0
+
+
+def test_codes_of_long_overlapping_spans(monkeypatch):
+    from discloom.llm import wordcode
+
+    rng = np.random.default_rng(2)
+    data = rng.integers(0, 256, 5000).astype(np.uint8)
+    starts = rng.integers(0, 4900, 400)
+    ends = np.minimum(starts + rng.integers(0, 3000, 400), 5000)
+    want = wordcode.Coder(7).words(data, starts, ends)
+    assert want.tolist() == [int(wordcode.Coder(7).words(data[a:b], np.array([0]), np.array([b - a]))[0]) for a, b in zip(starts, ends, strict=True)]
+    monkeypatch.setattr(wordcode, "CHUNK_BYTES", 64)
+    assert (wordcode.Coder(7).words(data, starts, ends) == want).all() and len(wordcode.Coder(7).words(data, starts[:0], ends[:0])) == 0
+
+
+def test_many_rows_of_one_id_do_not_fill_the_sample(spark, monkeypatch):
+    rows, labels = corpus(300)
+    hot = next(i for i, _ in rows if i % 5 == 0 and zlib.crc32(str(i).encode()) % 4 != 2)
+    docs = spark.createDataFrame(rows + [(hot, f"{rows[hot][1]} more {i % 700}") for i in range(3000)], "doc_id long, text string").repartition(4)
+    known = spark.createDataFrame(labels, "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "cut", lambda df: seen.append(cut(df)) or seen[-1])
+    toxicity.fit(docs, known, sample=400)
+    assert len(seen) == 2 and seen[-1].count() < 800 and seen[0].count() <= 300 + 700
