@@ -240,8 +240,12 @@ def feature_codes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nd
     return out
 
 
-def text_codes(data: np.ndarray, bounds: np.ndarray, decoder: Decoder) -> tuple[np.ndarray, np.ndarray]:
-    """Documents and feature codes of all words of some texts, restored ones included."""
+def text_codes(data: np.ndarray, bounds: np.ndarray, decoder: Decoder, joined: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Documents and feature codes of all words of some texts, restored ones included.
+
+    Of what is ``joined`` from fragments only whole words have codes.  There are
+    many such, by chance, so they are found but not learned.
+    """
     data = folded(data)
     w = split_words(data, bounds)
     letter, signed = IS_LETTER[data], STANDS[data]
@@ -261,7 +265,7 @@ def text_codes(data: np.ndarray, bounds: np.ndarray, decoder: Decoder) -> tuple[
     twice[2:] = np.cumsum((data[1:] == data[:-1]) & letter[1:])[: max(0, len(data) - 1)] if len(data) > 1 else 0
     noisy[own] |= twice[last] > twice[first + 1]
     view = bytes(np.ascontiguousarray(data))
-    of, words = [w.doc[noisy]], [view[a:b] for a, b in zip(w.start[noisy].tolist(), w.end[noisy].tolist(), strict=True)]
+    restored = [(w.doc[noisy], [view[a:b] for a, b in zip(w.start[noisy].tolist(), w.end[noisy].tolist(), strict=True)], "written")]
 
     # Adjoining fragments may be one word; those that may be anything are part of none, but single characters are.
     size = w.end - w.start
@@ -269,7 +273,8 @@ def text_codes(data: np.ndarray, bounds: np.ndarray, decoder: Decoder) -> tuple[
     joins = np.zeros(len(size), bool)  # with the fragment before it
     joins[1:] = short[1:] & short[:-1] & (w.doc[1:] == w.doc[:-1])
     reach, total, meant, some = np.flatnonzero(short), size[short], told[short], known[short]
-    for n in range(1, SPAN):
+    of, words = [w.doc[:0]], []
+    for n in range(1, SPAN if joined else 1):
         more = reach + n < len(size)
         more[more] = joins[reach[more] + n]
         reach, total, meant, some = reach[more], total[more], meant[more], some[more]
@@ -283,7 +288,7 @@ def text_codes(data: np.ndarray, bounds: np.ndarray, decoder: Decoder) -> tuple[
         of.append(w.doc[reach[own]])
         words += [b"".join(view[a:b].split()) for a, b in zip(w.start[reach[own]].tolist(), w.end[to[own]].tolist(), strict=True)]
 
-    restored = [(np.concatenate(of), words, False)]
+    restored.append((np.concatenate(of), words, "joined"))
     # Single characters one after another spell words of any length.
     single = size == 1
     if single.any():
@@ -296,10 +301,12 @@ def text_codes(data: np.ndarray, bounds: np.ndarray, decoder: Decoder) -> tuple[
                 if np.count_nonzero(IS_LETTER[spelt] | STANDS[spelt]) >= 3 and not IS_ONLY[spelt].all():
                     runs.append(bytes(spelt))
                     of.append(d)
-        restored.append((np.array(of, np.int64), runs, True))
-    for of, words, spelt in restored:
+        restored.append((np.array(of, np.int64), runs, "spelt"))
+    for of, words, kind in restored:
         if words:
-            of_word, found = _restored(words, spelt, decoder)
+            of_word, found = _restored(words, kind == "spelt", decoder)
+            if kind == "joined":
+                found[:, 1:] = 0
             docs.append(of[of_word])
             codes.append(found)
     return np.concatenate(docs), np.concatenate(codes)
@@ -383,7 +390,7 @@ def _feature_texts(decoder: Decoder):
         for b in batches:
             group = b.column(1).to_numpy()  # label, and 2 more for the second half
             for low, high, data, bounds in pieces(b.column(0)):
-                doc, codes = text_codes(data, bounds, decoder)
+                doc, codes = text_codes(data, bounds, decoder, joined=False)
                 doc, codes = np.repeat(doc, codes.shape[1]), codes.ravel()
                 order = np.lexsort((codes, doc))
                 doc, codes = doc[order], codes[order]
