@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from discloom.functions.binary import REVERSED_BYTES, nul_padded
 
 BLOCK = 4096
+#: Frames that are decoded at once.
+BATCH_FRAMES = 256
 #: Makes a decoder for a number of channels: from one raw frame to samples.
 DecoderFactory = Callable[[int], Callable[[bytes], bytes]]
 
@@ -25,22 +27,25 @@ def decode(frames: DataFrame, decoder: DecoderFactory | None = None, raw: str =
     """Frames with ``raw`` decoded, frame by frame and in place.
 
     ``frames`` has a column of channel numbers.  None leaves uncompressed frames
-    as they are.  A decoder is made once for each task and number of channels.
+    as they are.  A decoder is made once for each task and number of channels;
+    ``BATCH_FRAMES`` decoded frames are in memory at once.
     """
     if decoder is None:
         return frames
+    at, of = frames.columns.index(raw), frames.columns.index(channels)
 
-    def run(values: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[int, Callable[[bytes], bytes]] = {}
-        for data, counts in values:
-            out = []
-            for x, n in zip(data.to_pylist(), counts.to_pylist(), strict=True):
-                if n not in made:
-                    made[n] = decoder(n)
-                out.append(None if x is None else made[n](x))
-            yield pa.array(out, pa.binary())
-
-    return frames.withColumn(raw, F.arrow_udf(run, "binary")(F.col(raw), F.col(channels)))
+        for whole in batches:
+            for low in range(0, whole.num_rows, BATCH_FRAMES):
+                b, out = whole.slice(low, BATCH_FRAMES), []
+                for x, n in zip(b.column(at).to_pylist(), b.column(of).to_pylist(), strict=True):
+                    if n not in made:
+                        made[n] = decoder(n)
+                    out.append(None if x is None else made[n](x))
+                yield b.set_column(at, raw, pa.array(out, pa.binary()))
+
+    return frames.mapInArrow(run, frames.schema)
 
 
 def blocks(samples: DataFrame, keys: list[str], order: str, raw: str = "raw", channels: str = "channels", start: str | None = None) -> DataFrame:

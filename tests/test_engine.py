@@ -279,6 +279,20 @@ def test_compressed_frames_need_a_decoder(spark, tmp_path):
     assert blocks_of(files["Artist-Disc_1-stereo-02-two.dsf"])[0][:4096] == left[:4096]
 
 
+def test_frames_are_decoded_in_small_batches(spark, monkeypatch):
+    monkeypatch.setattr(pcm, "BATCH_FRAMES", 7)
+    made = spark.sparkContext.accumulator(0)
+
+    def factory(channels):
+        made.add(1)
+        return lambda raw: raw * channels
+
+    df = spark.createDataFrame([(i, 2 + i % 2, b"ab" if i % 5 else None) for i in range(100)], "n int, channels int, raw binary").coalesce(1)
+    got = pcm.decode(df, factory).collect()
+    assert [(r.n, None if r.raw is None else bytes(r.raw)) for r in got] == [(i, b"ab" * (2 + i % 2) if i % 5 else None) for i in range(100)]
+    assert made.value == 2
+
+
 def test_report_and_tables(spark):
     own, _ = image()
     tables = extract.read_tables(frame(spark, own))
