@@ -88,7 +88,7 @@ def _tiles(k: int):
         rows = pa.Table.from_batches(list(batches))  # one query block and one candidate block
         dim = key[0].as_py()
         ids = rows.column("vec_id").to_numpy()
-        vectors = rows.column("vector").combine_chunks().flatten().to_numpy().reshape(-1, dim)
+        vectors = rows.column("vector").combine_chunks().flatten().to_numpy().astype(np.float64, copy=False).reshape(-1, dim)
         asks = rows.column("asks").to_numpy(zero_copy_only=False)
         q_ids, c_ids = ids[asks], ids[~asks]
         out: list[tuple[int, int, float]] = []
@@ -134,7 +134,9 @@ def nearest(vectors: DataFrame, asked: Column, k: int = 10, id_col: str = "vec_i
     over all blocks.  A distance too large for a double is infinite.  Other
     columns are ignored, whatever their names; no rows give no rows.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("vector"))
+    # Vectors of floats are shuffled as such; tasks turn them into doubles.
+    kind = "array<float>" if vectors.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector).cast(kind).alias("vector"))
     rows = rows.filter(F.col("vec_id").isNotNull() & usable(F.col("vector"))).withColumn("dim", F.size("vector"))
     asks = rows.filter(asked).groupBy("vec_id").agg(F.min("vector").alias("vector")).withColumn("dim", F.size("vector"))
     n, m = rows.count(), asks.count()
