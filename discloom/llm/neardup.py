@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from discloom.llm.components import UnionFind, components
-from discloom.llm.support import cut, fresh
+from discloom.llm.support import bit_of, cut, filter_bits, fresh, has_bit
 from discloom.llm.wordcode import LOWER_ASCII, U64, Coder, mix64, pieces, split_words
 
 CODER = Coder(23)
@@ -37,8 +37,6 @@ IMPLICIT_STEPS = 9
 BLOCK = 192
 #: Codes and columns of a tile's membership matrices that are made at once.
 RANGE_CODES, MATRIX_COLUMNS = 1 << 20, 4096
-#: Bits of the filter that keeps most uninvolved documents out of the set table.
-FILTER_BITS = 1 << 25
 
 
 def shingle_sets(texts: pa.Array, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -162,10 +160,8 @@ def _signatures(width: int, slots: int, band: int):
 
 def _sets(width: int, bits: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.frombuffer(bits, np.uint8)
         for b in batches:
-            at = b.column(3).to_numpy()
-            b = b.filter(pa.array((wanted[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
+            b = b.filter(pa.array(has_bit(bits, b.column(3).to_numpy())))
             if b.num_rows:
                 for low, high, code, first in shingle_sets(b.column(2), width):
                     yield pa.RecordBatch.from_arrays([b.column(0).slice(low, high - low), b.column(1).slice(low, high - low), _lists(_signed(code), first)], ["id", "t", "codes"])
@@ -275,21 +271,6 @@ def _tile_links(percent: int):
     return run
 
 
-def _filter_bits(rows: DataFrame) -> bytes:
-    """Bitmap of hashed ``id, t``; its size is fixed, whatever the number of rows."""
-    maps = rows.select(_bit_of("id", "t").alias("at")).groupBy(F.bitmap_bucket_number("at").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
-    out = bytearray(FILTER_BITS // 8 + 4096)
-    for r in maps.collect():  # at most FILTER_BITS / 32768 + 1 rows of 4 KB
-        # The function numbers buckets from 1 for positions 1 to 32768.
-        out[(r["k"] - 1) * 4096 : r["k"] * 4096] = r["bits"]
-    return bytes(out)
-
-
-def _bit_of(*columns: str):
-    # One is added and taken off again where bits are read: position 1 is the first bit.
-    return F.pmod(F.xxhash64(*columns), F.lit(FILTER_BITS)) + 1
-
-
 def links(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", id_col: str = "doc_id", slots: int = SLOTS, band: int = BAND) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Classes of equal sets and confirmed links between them.
 
@@ -318,8 +299,9 @@ def links(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text"
 
     involved = shared.select("cls").distinct().join(classes.select("cls", "rep.id", "rep.t"), "cls")
     involved = cut(involved.select("cls", F.col("id").alias("_id"), F.col("t").alias("_t")))
-    bits = _filter_bits(involved.select(F.col("_id").alias("id"), F.col("_t").alias("t")))
-    texts = own.select("id", "t", "text", (_bit_of("id", "t") - 1).alias("bit"))
+    # A filter of fixed size keeps most uninvolved documents out of the set table.
+    bits = filter_bits(involved, "_id", "_t")
+    texts = own.select("id", "t", "text", bit_of("id", "t").alias("bit"))
     sets = texts.mapInArrow(_sets(width, bits), "id long, t long, codes array<long>")
     sets = sets.join(involved, F.col("id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t")))
     sets = cut(sets.groupBy("cls").agg(F.min("codes").alias("codes")).withColumnRenamed("cls", "id"))

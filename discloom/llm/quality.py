@@ -10,6 +10,7 @@ training rows in Spark; the driver sees one small matrix for each class.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from discloom.llm.support import fresh, held_out
+from discloom.llm.support import bit_of, filter_bits, fresh, has_bit, held_out
 from discloom.llm.wordcode import U64, Coder, pieces, split_words
 
 CODER = Coder(11)
@@ -123,15 +124,22 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, text: str = "text"
     """Fit on all labelled rows of ``docs`` that ``training`` (on the id) allows."""
     d = len(FEATURES)
 
-    def vectors(texts: pa.Array) -> pa.Array:
-        flat_values = features(texts)
-        offsets = pa.array(np.arange(len(texts) + 1, dtype=np.int32) * d)
-        return pa.ListArray.from_arrays(offsets, pa.array(flat_values.ravel()))
-
-    vector = F.arrow_udf(vectors, "array<double>")
-    train = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).filter(training)
-    known = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y")).filter(F.col("y").isin(0, 1))
-    rows = train.select("id", vector("text").alias("x")).join(known, "id").select("y", "x")
+    known = labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y")).filter(training & F.col("y").isin(0, 1))
+    # Ids of other types that are equal must have equal bits.
+    bits = filter_bits(known.select(F.col("id").cast("string").alias("key")), "key")
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A filter of fixed size keeps most texts without a label from being looked at.
+        for b in batches:
+            b = b.filter(pa.array(has_bit(bits, b.column(2).to_numpy())))
+            flat_values = features(b.column(1))
+            offsets = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * d)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, pa.array(flat_values.ravel()))], ["id", "x"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    train = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.col(id_col).cast("string").alias("key")).filter(training)
+    train = train.select("id", "text", bit_of("key").alias("bit"))
+    rows = train.mapInArrow(vectors, f"id {kind}, x array<double>").join(known, "id").select("y", "x")
     x = [F.col("x")[i] for i in range(d)]
     pairs = [(i, j) for i in range(d) for j in range(i, d)]
     # Sums of entries and of products of two, in Spark: no second Python worker beside the one that makes the vectors.

@@ -85,3 +85,10 @@ def test_statistics_of_plain_texts():
     assert np.allclose(x[0, at["n_words"]], np.log1p(3)) and np.allclose(x[0, at["distinct"]], 2 / 3)
     assert np.allclose(x[0, at["stutter"]], np.log1p(100 / 3)) and np.allclose(x[2, at["upper"]], np.log1p(300 / 5))
     assert not x[1].any() and np.isfinite(x).all()
+
+
+def test_ids_of_another_type_are_the_same_ids(spark):
+    _, docs, labels = tables(spark, 300)
+    want = {r.doc_id: r.score for r in quality.score_quality(docs, labels).collect()}
+    other = quality.score_quality(docs, labels.selectExpr("cast(doc_id AS int) AS doc_id", "quality")).collect()
+    assert {r.doc_id: r.score for r in other} == want and len(set(want.values())) > 10
