@@ -52,7 +52,8 @@ def track_plan(tables: Tables, selection: str | None = None, **areas: bool) -> D
     own = wanted_areas(tables.areas, **areas)
     chosen = tracks.select_tracks(tables.tracks.join(own.select(*KEYS), KEYS), selection, KEYS)
     plan = tracks.track_ranges(tables.tracks, own, KEYS).join(chosen.select(*KEYS, "track_no"), [*KEYS, "track_no"])
-    plan = plan.join(own.select(*KEYS, "frame_format", F.col("channel_count").cast("int").alias("channels")), KEYS)
+    # Written, so that no filter moves the error before the selection: tracks that aren't asked for may lack what they like.
+    plan = cut(plan.join(own.select(*KEYS, "frame_format", F.col("channel_count").cast("int").alias("channels")), KEYS))
     bad = F.col("tc_start").isNull() | F.col("tc_end").isNull() | F.col("lsn_start").isNull() | F.col("lsn_end").isNull()
     message = F.concat(F.lit("no times or unknown format: track "), F.col("track_no").cast("string"), F.lit(" of "), F.col("image"))
     high = F.when(bad, F.raise_error(message).cast("long")).otherwise(F.col("lsn_end"))

@@ -343,6 +343,26 @@ def test_missing_lists_are_null(spark):
     assert [r.title for r in rows] == [None] * 3 and rows[0].isrc is None and rows[2].start_fc == 12
 
 
+def test_tracks_without_times_cannot_be_extracted(spark):
+    own, _ = image()
+    spoilt = {k: (v if v[:8] != b"SACDTRL2" else bytes(2048)) for k, v in own.items()}
+    s = frame(spark, spoilt)
+    tables = extract.read_tables(s)
+    assert [r.start_fc for r in tables.tracks.collect()] == [None] * 3
+    with pytest.raises(Exception, match="no times or unknown format: track 2"):
+        extract.track_frames(s, tables, "2").collect()
+
+
+def test_codes_without_a_country_are_in_tags_but_not_in_reports(spark):
+    own, _ = image()
+    own = {k: v.replace(b"USABC9900001", b"\0\0ABC9900001") if v[:8] == b"SACD_IGL" else v for k, v in own.items()}
+    tables = extract.read_tables(frame(spark, own))
+    tags = {r.track_no: bytes(r.id3) for r in tag.with_tags(tables.tracks, tables.discs).collect()}
+    assert b"TSRC" not in tags[1] and b"ABC9900001" in tags[2]
+    lines = [r.line for r in report.report(tables.discs, tables.areas, tables.tracks).collect()]
+    assert not [x for x in lines if "ISRC" in x]
+
+
 def test_copies(spark):
     df = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", 1, "x"), ("c", 2, "y"), ("d", 1, "z"), ("d", 2, "z")], "image string, toc int, value string")
     got = {r.image: (r.value, r.differ) for r in toc.resolve_copies(df, "value", ("image",)).collect()}
