@@ -57,9 +57,10 @@ def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Reading Parquet keeps no order, so the place is worked out again from the rows.
     Null texts are one group, as are empty ones; every row is kept.
     """
-    place = fresh(docs, "mix_place")
-    out = sharding.shard_documents(mixing.with_places(docs, place), order=place)
-    return out.select(*docs.columns, *out.columns[-1:], place)
+    # Shards first: what is worked out for them and for the places then moves no texts.
+    sharded = sharding.shard_documents(docs)
+    shard, place = sharded.columns[-1], fresh(sharded, "mix_place")
+    return mixing.with_places(sharded, place).repartitionByRange(shard, place).sortWithinPartitions(shard, place)
 
 
 STAGES = [
