@@ -383,10 +383,12 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "te
     are in no group and stay.
     """
     rows = _grouped(docs, width, percent, text, id_col, SLOTS, BAND)
-    mark, gone_id, gone_mark = (fresh(docs, x) for x in ("text_mark", "gone_id", "gone_mark"))
     stays = F.col("one").isNull() | (F.col("id").eqNullSafe(F.col("one.id")) & (F.col("t") == F.col("one.t")))
-    gone = rows.filter(~stays).select(F.col("id").alias(gone_id), F.col("t").alias(gone_mark)).distinct()
+    # Keys without nulls, so that reduced rows and the join are dealt alike and texts move once.
+    mine, its = ([fresh(docs, f"{x}_{y}") for y in ("id", "none", "mark")] for x in ("own", "gone"))
+    number = F.col(id_col).cast("long")
+    keyed = docs.withColumns(dict(zip(mine, (F.coalesce(number, F.lit(0)), number.isNull(), F.xxhash64(F.col(text))), strict=True)))
+    gone = rows.filter(~stays).select(F.coalesce("id", F.lit(0)).alias(its[0]), F.col("id").isNull().alias(its[1]), F.col("t").alias(its[2])).distinct()
     # Equal rows are reduced before they are dealt, however many there are.
-    left = docs.withColumn(mark, F.xxhash64(F.col(text))).dropDuplicates([id_col, mark])
-    same = F.col(id_col).cast("long").eqNullSafe(F.col(gone_id)) & (F.col(mark) == F.col(gone_mark))
-    return left.join(gone.hint("shuffle_hash"), same, "left_anti").drop(mark)
+    same = [F.col(a) == F.col(b) for a, b in zip(mine, its, strict=True)]
+    return keyed.dropDuplicates(mine).join(gone.hint("shuffle_hash"), same, "left_anti").drop(*mine)

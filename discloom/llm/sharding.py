@@ -156,14 +156,12 @@ def shard_by_bytes(docs: DataFrame, k: int = 16, text: str = "text", id_col: str
     )
 
 
-def shard_documents(docs: DataFrame, k: int = 16, text: str = "text", id_col: str = "doc_id", order: str | None = None) -> DataFrame:
+def shard_documents(docs: DataFrame, k: int = 16, text: str = "text") -> DataFrame:
     """All columns of ``docs`` and the shard of each row, as ``shard`` (or ``_shard``).
 
     Groups are equal texts, null texts being one, however long; ids play no
     part, so rows with null or repeated ids are sharded like any other, and no
-    row is dropped or repeated.  With ``order``, a column of ``docs``, partitions hold consecutive ranges of
-    shard and order and are sorted, so each shard's rows follow one another in
-    this order in files written from the result and read one after another.
+    row is dropped or repeated.
     """
     t = F.col(text)
     name = fresh(docs, "shard")
@@ -177,5 +175,4 @@ def shard_documents(docs: DataFrame, k: int = 16, text: str = "text", id_col: st
     )
     groups = cut(keyed.groupBy(F.col(k1).alias("k1"), F.col(k2).alias("k2")).agg(F.sum(size).alias("bytes")))
     placed = cut(place_groups(groups, k)).withColumnsRenamed({"k1": k1, "k2": k2, "shard": name})
-    out = keyed.join(placed, [k1, k2]).drop(k1, k2)
-    return out if order is None else out.repartitionByRange(name, order).sortWithinPartitions(name, order)
+    return keyed.join(placed, [k1, k2]).drop(k1, k2)
