@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from discloom.llm import decontaminate, langid, mixing, neardup, neighbours, pages, quality, sharding, substrings, toxicity
+from discloom.llm import decontaminate, langid, mixing, neardup, neighbours, pages, periods, quality, sharding, substrings, toxicity
 from discloom.llm.support import table
 
 
@@ -54,6 +54,32 @@ def op10_block_matrix_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op13_crochemore_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ends of some texts, chosen by a hash of the id, are made periodic first."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    code = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.when(code % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    docs = docs.withColumns({"g": F.floor(code / 10), "words": words})
+    docs = docs.withColumn("a", F.expr("if(size(words) > 0, g % size(words), null)"))
+    docs = docs.withColumn("p", F.expr("1 + (size(words) - a) div (3 + g % 8)"))
+    periodic = F.expr("array_join(transform(words, (x, i) -> if(i >= a, words[int(a + (i - a) % p)], x)), ' ')")
+    docs = docs.select("doc_id", F.when(F.col("a").isNotNull(), periodic).otherwise(F.col("text")).alias("text"))
+    found = periods.collapse_runs(docs)
+    longest = F.expr("array_max(transform(runs, r -> struct(r.length as length, -r.start as start, -r.period as period)))")
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    found = found.withColumn("longest", longest)
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("longest.start")).alias("start"),
+        "longest.length",
+        (-F.col("longest.period")).alias("period"),
+        F.expr("1000 * longest.length div -longest.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pigeonhole_decontamination": op1_pigeonhole_decontamination,
     "op2_karmarkar_karp_shards": op2_karmarkar_karp_shards,
@@ -65,8 +91,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_discriminant": op8_quality_discriminant,
     "op9_host_path_text": op9_host_path_text,
     "op10_block_matrix_neighbours": op10_block_matrix_neighbours,
+    "op13_crochemore_runs": op13_crochemore_runs,
 }
 
+#: crc32 of a string of ASCII characters, in SQL: each byte is followed by eight shifts.
+CRC32_SQL = """xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split({}, ''), lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+            lambda crc, x: CASE WHEN x >= 0 THEN xor(crc, x) WHEN crc & 1 = 1 THEN xor(crc >> 1, 3988292384) ELSE crc >> 1 END))"""
+
 ORACLE_SQL: dict[str, str] = {
     "op3_pfair_mix": """
         WITH RECURSIVE shares AS (
@@ -145,4 +176,32 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
     """,
+    "op13_crochemore_runs": f"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w, {CRC32_SQL.format("CAST(doc_id AS VARCHAR)")} AS h FROM documents
+        ), planned AS (
+            SELECT r, doc_id, w, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN h // 10 % len(w) END AS a, 3 + h // 10 % 8 AS parts FROM d
+        ), damaged AS (
+            SELECT r, doc_id, CASE WHEN a IS NULL THEN w ELSE list_transform(range(len(w)), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (len(w) - a) // parts) END + 1]) END AS w FROM planned
+        ), words AS (
+            SELECT r, len(w) AS n, unnest(range(len(w))) AS i, unnest(w) AS word FROM damaged
+        ), same AS (
+            SELECT a.r, b.i - a.i AS q, a.i FROM words a JOIN words b ON a.r = b.r AND a.word = b.word AND b.i > a.i AND 4 * (b.i - a.i) <= a.n
+        ), islands AS (
+            SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM same
+        ), stretches AS (
+            SELECT r, q, min(i) AS s, count(*) + q AS l FROM islands GROUP BY r, q, island HAVING count(*) + q >= greatest(6, 4 * q)
+        ), runs AS (
+            SELECT r, s, l, min(q) AS q FROM stretches GROUP BY r, s, l
+        ), summed AS (
+            SELECT r, count(*) AS n_runs, max({{'l': l, 's': -s, 'q': -q}}) AS longest, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS lines FROM runs GROUP BY r
+        ), gone AS (
+            SELECT DISTINCT r, unnest(range(s + q, s + l)) AS i FROM runs
+        ), kept AS (
+            SELECT r, string_agg(word, ' ' ORDER BY i) AS text FROM words ANTI JOIN gone USING (r, i) GROUP BY r
+        )
+        SELECT doc_id, coalesce(n_runs, 0) AS n_runs, -longest.s AS start, longest.l AS length, -longest.q AS period, 1000 * longest.l // -longest.q AS exponent_milli,
+            sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256
+        FROM damaged LEFT JOIN summed USING (r) LEFT JOIN kept USING (r)
+    """,
 }
