@@ -25,9 +25,10 @@ from pyspark.sql import functions as F
 
 from discloom.llm.components import UnionFind, components
 from discloom.llm.support import bit_of, cut, filter_bits, fresh, has_bit
-from discloom.llm.wordcode import LOWER_ASCII, U64, Coder, mix64, pieces, split_words
+from discloom.llm.wordcode import LOWER_ASCII, U64, mix64, pieces, run_prints, split_words, word_prints
 
-CODER = Coder(23)
+#: Seed of the codes of words.
+SEED = 23
 #: Signature slots, and slots in each band.  A pair at similarity 0.8 shares no
 #: band with probability (1 - 0.8 ** 5) ** 40, about one in eight million.
 SLOTS, BAND = 200, 5
@@ -48,17 +49,17 @@ def shingle_sets(texts: pa.Array, width: int) -> Iterator[tuple[int, int, np.nda
     for low, high, data, bounds in pieces(texts, 1 << 19):
         data = LOWER_ASCII[data]
         w = split_words(data, bounds)
-        codes = CODER.words(data, w.start, w.end)
+        codes, _ = word_prints(data, w.start, w.end, SEED)
         counts = np.diff(w.first)
         parts, docs = [], []
         if len(codes) >= width:
             whole = w.doc[: len(codes) - width + 1] == w.doc[width - 1 :]
-            parts.append(CODER.runs(codes, width)[whole])
+            parts.append(run_prints(codes, width)[0][whole])
             docs.append(w.doc[: len(whole)][whole])
         for n in range(1, width):
             short = np.flatnonzero(counts == n)
             if len(short):
-                parts.append(mix64(CODER.runs(codes, n)[w.first[short]] + U64(n)))
+                parts.append(mix64(run_prints(codes, n)[0][w.first[short]] + U64(n)))
                 docs.append(short)
         code = np.concatenate(parts) if parts else np.empty(0, U64)
         doc = np.concatenate(docs) if docs else np.empty(0, np.int64)
@@ -240,7 +241,7 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return both.astype(np.int64)
 
 
-def _tile_links(percent: int):
+def tile_links(percent: int):
     """Rows sorted by tile; links of members of different components."""
 
     def links(tile: list[tuple]) -> pa.RecordBatch:
@@ -341,13 +342,12 @@ def links(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text"
     tiles = tiles.select("key", "t.x", "t.y", "t.side", F.col("cls").alias("id"), "comp")
     tiles = tiles.join(sets, "id").select("key", "x", "y", "side", "id", "comp", "codes")
     tiles = tiles.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
-    more = cut(tiles.mapInArrow(_tile_links(percent), "u long, v long").distinct())
+    more = cut(tiles.mapInArrow(tile_links(percent), "u long, v long").distinct())
     return signed.select("id", "t", "n", "p1", "p2"), classes.select("n", "p1", "p2", "cls", "rep"), edges.union(more)
 
 
-def _grouped(docs: DataFrame, width: int, percent: int, text: str, id_col: str, slots: int, band: int) -> DataFrame:
-    """``id, t, n, one struct<none, id, t>`` of every row: ``one`` is the row that stands for its group; null without words."""
-    rows, classes, edges = links(docs, width, percent, text, id_col, slots, band)
+def grouped(rows: DataFrame, classes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``id, t, n, one struct<none, id, t>`` of every row of :func:`links`: ``one`` is the row that stands for its group; null without words."""
     # Groups are settled among classes, before their rows, which may be very many: one join of rows, of which Spark can split a hot class.
     placed = classes.join(components(edges), F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls"))
     placed = cut(placed.select("n", "p1", "p2", "rep", "root"))
@@ -367,7 +367,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
     in a group without any id, whose ``component_id`` is null.  Very long texts
     are compared whole.  Other columns are ignored, whatever their names.
     """
-    rows = _grouped(docs, width, percent, text, id_col, slots, band)
+    rows = grouped(*links(docs, width, percent, text, id_col, slots, band))
     found = rows.select("id", "n", F.when(F.col("one").isNull(), F.col("id")).otherwise(F.col("one.id")).alias("component_id"))
     kept = F.coalesce(F.col("id") == F.col("component_id"), F.col("component_id").isNull())
     return found.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
@@ -382,7 +382,7 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "te
     Of rows equal in id and text, one stays.  Null texts and texts without words
     are in no group and stay.
     """
-    rows = _grouped(docs, width, percent, text, id_col, SLOTS, BAND)
+    rows = grouped(*links(docs, width, percent, text, id_col))
     stays = F.col("one").isNull() | (F.col("id").eqNullSafe(F.col("one.id")) & (F.col("t") == F.col("one.t")))
     # Keys without nulls, so that reduced rows and the join are dealt alike and texts move once.
     mine, its = ([fresh(docs, f"{x}_{y}") for y in ("id", "none", "mark")] for x in ("own", "gone"))

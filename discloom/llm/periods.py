@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from discloom.llm.wordcode import pieces, split_words
+from discloom.llm.wordcode import distinct_words, pieces, split_words
 
 #: Runs are at least so many words long, and at least so many times their period.
 LEAST_LENGTH, LEAST_EXPONENT = 6, 4
@@ -262,23 +262,12 @@ def find_runs(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return start[order], length[order], period[order]
 
 
-def _numbers(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A number for each word; equal ones for equal words only."""
-    inside = np.zeros(len(data) + 1, np.int8)
-    inside[start] += 1
-    inside[end] -= 1
-    letters = data[np.cumsum(inside[:-1], dtype=np.int8).astype(bool)]
-    offsets = np.concatenate([[0], np.cumsum(end - start)]).astype(np.int64)
-    words = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(letters)])
-    return words.dictionary_encode().indices.to_numpy()
-
-
 def _collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     run_type = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())])
     for b in batches:
         for low, high, data, bounds in pieces(b.column(1), BATCH_BYTES):
             w = split_words(data, bounds)
-            start, length, period = find_runs(_numbers(data, w.start, w.end), w.first)
+            start, length, period = find_runs(distinct_words(data, w.start, w.end)[0], w.first)
             # Words after a run's first period go.
             change = np.zeros(len(w.start) + 1, np.int64)
             np.add.at(change, start + period, 1)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from discloom.llm import decontaminate, langid, mixing, neardup, neighbours, pages, periods, quality, sharding, substrings, toxicity
+from discloom.llm import decontaminate, langid, metricjoin, mixing, neardup, neighbours, pages, periods, quality, sharding, substrings, toxicity
 from discloom.llm.support import table
 
 
@@ -54,6 +54,10 @@ def op10_block_matrix_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op12_metric_space_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metricjoin.jaccard_join(table(spark, sf_dir, "documents"), width=5, percent=80)
+
+
 def op13_crochemore_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ends of some texts, chosen by a hash of the id, are made periodic first."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -91,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_discriminant": op8_quality_discriminant,
     "op9_host_path_text": op9_host_path_text,
     "op10_block_matrix_neighbours": op10_block_matrix_neighbours,
+    "op12_metric_space_join": op12_metric_space_join,
     "op13_crochemore_runs": op13_crochemore_runs,
 }
 
@@ -176,6 +181,27 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
     """,
+    "op12_metric_space_join": """
+        WITH RECURSIVE d AS (
+            SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
+        ), sets AS (
+            SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM d
+        ), shingles AS (
+            SELECT r, len(s) AS n, unnest(s) AS x FROM sets
+        ), pairs AS (
+            SELECT a.r AS u, b.r AS v, any_value(a.n) AS m, any_value(b.n) AS n, count(*) AS both_n
+            FROM shingles a JOIN shingles b ON a.x = b.x AND a.r < b.r AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n GROUP BY 1, 2
+        ), links AS (
+            SELECT u, v FROM pairs WHERE 100 * both_n >= 80 * (m + n - both_n)
+        ), edges AS (
+            SELECT u, v FROM links UNION SELECT v, u FROM links
+        ), reached AS (
+            SELECT r AS u, r AS v FROM d UNION SELECT reached.u, edges.v FROM reached JOIN edges ON reached.v = edges.u
+        ), roots AS (
+            SELECT u, min(doc_id) AS component_id FROM reached JOIN d ON d.r = v GROUP BY u
+        )
+        SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id FROM sets JOIN roots ON r = u
+    """,
     "op13_crochemore_runs": f"""
         WITH d AS (
             SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w, {CRC32_SQL.format("CAST(doc_id AS VARCHAR)")} AS h FROM documents

@@ -30,9 +30,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from discloom.llm.support import cut
-from discloom.llm.wordcode import U64, Coder, flat, mix64, pieces, split_words
+from discloom.llm.wordcode import U64, flat, mix64, pieces, run_prints, split_words, word_prints
 
-FIRST, SECOND = Coder(31), Coder(37)
+#: Seed of the codes of words.
+SEED = 31
 #: Words of an anchor.
 ANCHOR = 15
 #: Cells in each of the sketch's rows, least and most, and rows; a bit for each is sent to tasks.
@@ -58,19 +59,18 @@ class Windows:
 
     def __init__(self, data: np.ndarray, bounds: np.ndarray, width: int) -> None:
         self.words = w = split_words(data, bounds)
-        self.codes = FIRST.words(data, w.start, w.end)
+        self.codes, self.others = word_prints(data, w.start, w.end, SEED)
         n = max(0, len(self.codes) - width + 1)
         self.at = np.flatnonzero(w.doc[:n] == w.doc[len(w.doc) - n :])  # first words of windows
         anchor = min(ANCHOR, width)
-        runs = FIRST.runs(self.codes, anchor)
+        runs, self.runs = run_prints(self.codes, anchor, width) if n else (self.codes[:0], self.codes[:0])
         self.places = _least_places(runs, width - anchor + 1)[self.at] if n else self.at
         self.anchors = runs[self.places]
         self.width = width
 
     def prints(self) -> tuple[np.ndarray, np.ndarray]:
-        """Two independent codes of each window."""
-        other = mix64(self.codes ^ U64(0xD6E8FEB86659FD93))
-        return FIRST.runs(self.codes, self.width)[self.at], SECOND.runs(other, self.width)[self.at]
+        """Two codes of each window, of independent codes of its words."""
+        return self.runs[self.at], run_prints(self.others, self.width)[0][self.at] if len(self.at) else self.others[:0]
 
 
 def _cells(anchors: np.ndarray, cells: int) -> list[np.ndarray]:

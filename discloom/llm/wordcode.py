@@ -2,12 +2,17 @@
 
 A word is ``[^\\x20\\x09-\\x0D]+``.  All separators are single ASCII bytes, so
 the UTF-8 buffer of an Arrow string column can be split without decoding it.
-Codes are 64-bit polynomial hashes taken from prefix sums modulo 2**64, so a
-batch of documents costs a few vector operations per byte.
+
+Codes that tell words apart (:func:`word_prints`) are taken from a cryptographic
+hash of each distinct word, and codes of runs of words from such codes by mixing
+at each doubling (:func:`run_prints`); neither is linear in what it is made of.
+Codes of features (:class:`Coder`) are 64-bit polynomial hashes from prefix sums
+modulo 2**64, which cost a few vector operations per byte.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -57,11 +62,11 @@ class Powers:
 
 
 class Coder:
-    """One family of hashes: of words by their bytes, of runs by their words."""
+    """One family of hashes of words by their bytes, for features: some words of a thousand letters and more share a code."""
 
     def __init__(self, seed: int) -> None:
         self.letters = random_words(seed, 256)
-        self.byte_powers, self.run_powers = Powers(seed + 1), Powers(seed + 2)
+        self.byte_powers = Powers(seed + 1)
         self.salt = random_words(seed + 3, 1)
 
     def words(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -93,15 +98,45 @@ class Coder:
         last = first + 1 if apart else np.searchsorted(edges, ends)
         return mix64((sums[last] - sums[first]) * back[first] + (ends - starts).astype(U64) * self.salt)
 
-    def runs(self, codes: np.ndarray, width: int) -> np.ndarray:
-        """Codes of all runs of ``width`` consecutive words."""
-        n = len(codes) - width + 1
-        if n <= 0:
-            return np.empty(0, U64)
-        up, down = self.run_powers.upto(len(codes) + 1)
-        total = np.zeros(len(codes) + 1, U64)
-        np.cumsum(codes * up[:-1], out=total[1:])
-        return mix64((total[width:] - total[:n]) * down[:n])
+
+def distinct_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """The number of each word, and the distinct words; ``starts`` and ``ends`` in order, not overlapping."""
+    inside = np.zeros(len(data) + 1, np.int8)
+    inside[starts] += 1
+    inside[ends] -= 1
+    letters = data[np.cumsum(inside[:-1], dtype=np.int8).astype(bool)]
+    offsets = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int64)
+    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(letters)])
+    coded = words.dictionary_encode()
+    return coded.indices.to_numpy(), coded.dictionary
+
+
+def word_prints(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit codes of each word: halves of one 128-bit hash of its bytes."""
+    number, words = distinct_words(data, starts, ends)
+    salt = seed.to_bytes(8, "little")
+    hashed = b"".join([hashlib.blake2b(w, digest_size=16, salt=salt).digest() for w in words.to_pylist()])
+    halves = np.frombuffer(hashed, U64).reshape(-1, 2)[number]
+    return np.ascontiguousarray(halves[:, 0]), np.ascontiguousarray(halves[:, 1])
+
+
+def run_prints(codes: np.ndarray, *widths: int) -> list[np.ndarray]:
+    """For each width, codes of all runs of so many consecutive words; widths in ascending order.
+
+    A run of 2 n words is coded from its halves, any other from two runs that
+    overlap; what two codes make is mixed before it is used again.
+    """
+
+    def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return mix64((a ^ U64(0xD6E8FEB86659FD93)) * U64(0xA0761D6478BD642F) + b)
+
+    found, have = [], 1
+    for width in widths:
+        while 2 * have <= width:
+            codes, have = joined(codes[:-have], codes[have:]), 2 * have
+        step = width - have
+        found.append(codes if not step else joined(codes[:-step], codes[step:]))
+    return found
 
 
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

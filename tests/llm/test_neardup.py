@@ -148,3 +148,12 @@ def test_connected_components(spark):
     got = components.components(df).collect()
     assert len(got) == len(nodes) and {r.node: r.root for r in got} == {x: sets.find(x) for x in nodes}
     assert components.components(df.limit(0)).count() == 0
+
+
+def test_words_of_the_known_collision_stay_apart(spark):
+    """Words of letters in Thue-Morse order have the polynomial codes of their complements."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    rows = [(i, " ".join("".join("xy"[b ^ i] for b in bits) + str(j) for j in range(40))) for i in (0, 1)]
+    rows += [(2 + i, "".join("xy"[b ^ i] for b in bits)) for i in (0, 1)]
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2)
+    assert sorted(r.component_id for r in found.collect()) == [0, 1, 2, 3]

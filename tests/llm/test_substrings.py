@@ -83,16 +83,34 @@ def test_words_are_those_of_the_pattern(texts):
     assert got == [WORD.findall(t or "") for t in texts]
 
 
+def thue_morse(n):
+    """Letters or words whose polynomial codes modulo 2 ** 64 are those of their complement."""
+    return [bin(i).count("1") % 2 for i in range(n)]
+
+
 def test_equal_words_and_runs_have_equal_codes():
-    coder = wordcode.Coder(1)
-    texts = pa.array(["one two three two", "xx two three", "one"])
+    a, b = ("".join("xy"[i ^ flip] for i in thue_morse(2048)) for flip in (0, 1))
+    texts = pa.array([f"one two three two {a}", f"xx two three {b}", "one"])
     found = {}
     for _, _, data, bounds in wordcode.pieces(texts):
         w = wordcode.split_words(data, bounds)
-        codes = coder.words(data, w.start, w.end)
-        for a, b, c in zip(w.start, w.end, codes.tolist(), strict=True):
-            found.setdefault(bytes(data[a:b]), set()).add(c)
-        runs = coder.runs(codes, 2).tolist()
-        assert runs[1] == runs[5] and len(set(runs)) == 6 - 1 + 1
-    assert all(len(x) == 1 for x in found.values()) and len(set.union(*found.values())) == len(found)
+        for codes in wordcode.word_prints(data, w.start, w.end, 1):
+            for x, y, c in zip(w.start, w.end, codes.tolist(), strict=True):
+                found.setdefault(bytes(data[x:y]), set()).add(c)
+            two, three, seven = wordcode.run_prints(codes, 2, 3, 7)
+            assert two[1] == two[6] and len(set(two.tolist())) == 7 and len(set(three.tolist())) == 7 and len(seven) == 3
+    assert all(len(x) == 2 for x in found.values()) and len(set.union(*found.values())) == 2 * len(found)
+    for n in (64, 1024):
+        run = np.array([7, 11], wordcode.U64)[[*thue_morse(n), *(1 - i for i in thue_morse(n))]]
+        codes = wordcode.run_prints(run, n)[0]
+        assert codes[0] != codes[n]
     assert np.array_equal(substrings._least_places(np.array([3, 1, 2, 1, 5], np.uint64), 3), [1, 1, 3])
+
+
+def test_words_of_the_known_collision_stay_apart(spark):
+    a, b = ("".join("xy"[i ^ flip] for i in thue_morse(1024)) for flip in (0, 1))
+    rows = [(i, " ".join(f"w{j}" for j in range(17)) + f" {x} " + " ".join(f"v{j}" for j in range(17))) for i, x in enumerate((a, b))]
+    rows += [(2 + i, " ".join("xy"[j ^ i] for j in thue_morse(64))) for i in (0, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for width in (35, 64):
+        assert results(df, width, 1 << 20) == brute(rows, width)
