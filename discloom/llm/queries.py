@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from discloom.llm import decontaminate, langid, metricjoin, mixing, neardup, neighbours, pages, periods, quality, sharding, substrings, toxicity
+from discloom.llm import conversations, decontaminate, langid, metricjoin, mixing, neardup, neighbours, pages, periods, quality, sharding, substrings, toxicity
 from discloom.llm.support import table
 
 
@@ -54,6 +54,23 @@ def op10_block_matrix_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op11_recursive_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows are damaged first, as a hash of their conversation and turn says."""
+    whole = table(spark, sf_dir, "conversations")
+    word = lambda name: F.coalesce(F.col(name).cast("string"), F.lit(" "))
+    code = F.crc32(F.concat(word("conv_id"), F.lit(":"), word("turn")).cast("binary")) % 20
+    role = F.when(code == 4, "user").otherwise(word("role"))
+    text = F.when(code == 1, "").when(code == 2, F.regexp_replace(word("text"), "[.!?]", "")).otherwise(word("text"))
+    copies = F.expr("explode(case code when 0 then array() when 3 then array(1, 2) else array(1) end)")
+    rows = whole.select("conv_id", "turn", role.alias("role"), text.alias("text"), code.alias("code")).select("conv_id", "turn", "role", "text", copies)
+    done = conversations.repair(rows)
+    found = done.report.join(done.digests(), "conv", "left")
+    ids = whole.select("conv_id").distinct().withColumnRenamed("conv_id", "original")
+    found = ids.join(found, F.col("original").eqNullSafe(F.col("conv_id")), "left")
+    counts = [F.coalesce(name, F.lit(0)).cast("long").alias(name) for name in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return found.select(F.col("original").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def op12_metric_space_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metricjoin.jaccard_join(table(spark, sf_dir, "documents"), width=5, percent=80)
 
@@ -95,6 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_discriminant": op8_quality_discriminant,
     "op9_host_path_text": op9_host_path_text,
     "op10_block_matrix_neighbours": op10_block_matrix_neighbours,
+    "op11_recursive_repair": op11_recursive_repair,
     "op12_metric_space_join": op12_metric_space_join,
     "op13_crochemore_runs": op13_crochemore_runs,
 }
@@ -181,6 +199,45 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
     """,
+    "op11_recursive_repair": f"""
+        WITH RECURSIVE given AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations
+        ), coded AS (
+            SELECT *, {CRC32_SQL.format("name")} % 20 AS code FROM given
+        ), damaged AS (
+            SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role, CASE code WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                unnest(CASE code WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM coded
+        ), ordered AS (
+            SELECT *, row_number() OVER c AS i, left(role, 1) AS initial, left(lag(role) OVER c, 1) AS prior,
+                row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth, right(rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS tail
+            FROM damaged WINDOW c AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)
+        ), judged AS (
+            SELECT *, CASE WHEN tail = '' THEN 'b' WHEN nth > 1 THEN 'd' WHEN tail NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault FROM ordered
+        ), edits(s, t, letters, base, needs, told) AS (
+            VALUES (0, 1, 'K', 0, 's', ''), (0, 2, 'K', 0, 'u', ''), (1, 2, 'K', 0, 'u', ''), (3, 2, 'K', 0, 'u', ''), (2, 3, 'K', 0, 'a', ''),
+                (0, 2, 'R', 2, '', 'user'), (1, 2, 'R', 2, '', 'user'), (3, 2, 'R', 2, '', 'user'), (2, 3, 'R', 2, '', 'assistant'),
+                (0, 0, 'D', 3, '', ''), (1, 1, 'D', 3, '', ''), (2, 2, 'D', 3, '', ''), (3, 3, 'D', 3, '', '')
+        ), inserts(s, t, letters, base, lines) AS (
+            VALUES (0, 0, '', 0, []), (1, 1, '', 0, []), (2, 2, '', 0, []), (3, 3, '', 0, []), (0, 2, 'I', 2, ['user:']), (1, 2, 'I', 2, ['user:']), (3, 2, 'I', 2, ['user:']),
+                (2, 3, 'I', 2, ['assistant:']), (0, 3, 'II', 4, ['user:', 'assistant:']), (1, 3, 'II', 4, ['user:', 'assistant:'])
+        ), reached AS (
+            SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, 0 AS s, {{'cost': CAST(0 AS BIGINT), 'audit': '', 'lines': CAST([] AS VARCHAR[])}} AS b FROM judged
+            UNION ALL
+            SELECT r.conv_id, r.i + 1, e.t, min({{'cost': r.b.cost + n.base + e.base + CAST(e.letters <> 'D' AND fault = 't' AS INTEGER), 'audit': r.b.audit || n.letters || e.letters,
+                'lines': r.b.lines || n.lines || CASE e.letters WHEN 'K' THEN [role || ':' || text] WHEN 'R' THEN [told || ':' || text] ELSE [] END}})
+            FROM reached r JOIN judged j ON r.conv_id IS NOT DISTINCT FROM j.conv_id AND j.i = r.i + 1 JOIN inserts n ON n.s = r.s JOIN edits e ON e.s = n.t
+            WHERE CASE WHEN e.letters = 'D' THEN true WHEN fault IN ('b', 'd') THEN false ELSE needs IN ('', initial) END GROUP BY r.conv_id, r.i, e.t
+        ), counted AS (
+            SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+                count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (prior || initial NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM judged GROUP BY conv_id
+        ), finished AS (
+            SELECT c.conv_id, min({{'cost': b.cost + f.base, 'audit': b.audit || f.letters, 'lines': b.lines || f.lines}}) AS b
+            FROM counted c JOIN reached r ON r.conv_id IS NOT DISTINCT FROM c.conv_id AND r.i = c.n JOIN inserts f ON f.s = r.s AND f.t IN (0, 3) GROUP BY c.conv_id
+        )
+        SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+            coalesce(b.cost, 0) AS cost, coalesce(b.audit, '') AS audit, sha256(coalesce(array_to_string(b.lines, chr(10)), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN finished f ON f.conv_id IS NOT DISTINCT FROM o.conv_id
+    """,
     "op12_metric_space_join": """
         WITH RECURSIVE d AS (
             SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents
