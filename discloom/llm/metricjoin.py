@@ -3,10 +3,11 @@
 The distance of two sets of word shingles is 1 minus their overlap over their
 union; it is a metric.  Sets at a distance of ``r`` or less are linked.
 
-1. Rows with equal sets form one class.  Shingles are ordered, rarest first.  Of
-   two classes within a distance each has one of its first shingles among the
-   other's first ones (how many follows from the distance and the set's size), so
-   all classes near a pivot are met under its first shingles.
+1. Rows with equal sets form one class.  Shingles are ordered, rarest first, by a
+   sketch of their counts that is merged in Spark.  Two classes within a distance
+   have a shingle that is among the first of both (how many those are follows from
+   the distance and the set's size), so all classes near a pivot are met under its
+   first shingles.  Those that the sketch counts once meet nothing and are left out.
 2. Pivots are classes that come first in all their buckets, so that no bucket has
    two.  Every class gets its exact distance to each pivot that it meets.
 3. A class within ``r`` of pivots is in the Voronoi region of the nearest one and
@@ -34,58 +35,81 @@ from discloom.llm.neardup import BLOCK, grouped, shingle_sets, tile_links
 from discloom.llm.support import bit_of, cut, filter_bits, has_bit
 from discloom.llm.wordcode import U64, mix64
 
-#: Shingles whose frequency puts them last in the order; any number of them gives the same rows.
-FREQUENT = 1 << 16
-#: Texts of a stretch that must have a shingle for it to be counted as frequent there, and bytes of a stretch.
-OFTEN, STRETCH_BYTES = 3, 1 << 22
+#: Cells of the sketch, least and most; two bits for each are sent to tasks.  Bytes of text for each cell.
+LEAST_CELLS, MOST_CELLS, CELL_BYTES = 1 << 22, 1 << 28, 2
+#: Cells in one slice of the sketch, merged in one place; counts at which the levels of the order begin.
+SLICE, LEVELS = 1 << 16, (2, 8, 64)
+#: Shingles of a task that are sorted by cell at once.
+HELD = 2_000_000
 #: Rounds of pivots before what is left is compared bucket by bucket.
 ROUNDS = 3
 #: Windows in which the members of a region are kept, from 0 to ``r``.
 WINDOWS = 8
 
 
-def _frequent(width: int):
-    """Shingles that several texts of a stretch have, and how many have them."""
+def _cells(codes: np.ndarray, cells: int) -> np.ndarray:
+    return (mix64(codes ^ U64(0x9E3779B97F4A7C15)) & U64(cells - 1)).astype(np.int64)
 
-    def counted(seen: list[np.ndarray]) -> pa.RecordBatch:
-        code, count = np.unique(np.concatenate(seen or [np.empty(0, U64)]), return_counts=True)
-        code, count = code[count >= OFTEN], count[count >= OFTEN]
-        return pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(count)], ["code", "n"])
+
+def _sketch(width: int, cells: int):
+    """The cells of all shingles of the task: for each slice, places in it, as often as they occur."""
+
+    def flush(seen: list[np.ndarray]) -> pa.RecordBatch:
+        cell = np.sort(np.concatenate(seen or [np.empty(0, np.int64)]))
+        number = cell // SLICE
+        low = np.flatnonzero(np.append(True, np.diff(number) != 0)[: len(cell)])
+        place = (cell % SLICE).astype(np.uint16)
+        return pa.RecordBatch.from_arrays([pa.array(number[low].astype(np.int32)), pa.array([x.tobytes() for x in np.split(place, low[1:])][: len(low)], pa.binary())], ["slice", "places"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, held = [], 0
         for b in batches:
             for *_, code, _ in shingle_sets(b.column(0), width):
-                seen.append(code)
+                seen.append(_cells(code, cells))
                 held += len(code)
-                if held * 6 >= STRETCH_BYTES:
-                    yield counted(seen)
+                if held >= HELD:
+                    yield flush(seen)
                     seen, held = [], 0
-        yield counted(seen)
+        yield flush(seen)
 
     return run
 
 
+def _merge(k: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Levels of one slice, two bits a cell."""
+    counts = np.zeros(SLICE, np.int64)
+    for b in batches:
+        for places in b.column(1):
+            counts += np.bincount(np.frombuffer(places.as_buffer(), np.uint16), minlength=SLICE)
+    level = np.searchsorted(LEVELS, counts, "right").astype(np.uint8).reshape(-1, 4)
+    packed = level[:, 0] | level[:, 1] << 2 | level[:, 2] << 4 | level[:, 3] << 6
+    yield pa.RecordBatch.from_arrays([pa.array([k[0].as_py()], pa.int32()), pa.array([packed.tobytes()])], ["slice", "levels"])
+
+
 class Order:
-    """The order of shingles: frequent ones last by frequency, all others by a hash."""
+    """The order of shingles: by the level of their counts, then by a hash."""
 
-    def __init__(self, codes: np.ndarray, counts: np.ndarray) -> None:
-        order = np.argsort(codes)
-        self.codes, self.counts = codes[order], counts[order].astype(U64)
+    def __init__(self, levels: bytes) -> None:
+        self.levels, self.cells = np.frombuffer(levels, np.uint8), 4 * len(levels)
 
     def first(self, codes: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-        """The codes under which sets meet all that overlap by ``percent`` of the union, and where each set's begin."""
-        rank = mix64(codes ^ U64(0x9E3779B97F4A7C15)) >> U64(32)
-        if len(self.codes):
-            at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
-            rank |= np.where(self.codes[at] == codes, self.counts[at], U64(0)) << U64(32)
+        """The codes under which sets meet all that overlap by ``percent`` of the union, and where each set's begin.
+
+        Codes of level 0 are in no other set, and are left out.
+        """
+        cell = _cells(codes, self.cells)
+        level = self.levels[cell >> 2] >> (2 * (cell & 3)).astype(np.uint8) & 3
         size = np.diff(bounds)
         doc = np.repeat(np.arange(len(size)), size)
-        order = np.lexsort((codes, rank, doc))
         many = np.where(size > 0, size - -(-size * percent // 100) + 1, 0)
-        place = np.arange(len(codes)) - np.repeat(bounds[:-1], size)
-        keep = order[place < np.repeat(many, size)]
-        return codes[keep], np.concatenate([[0], np.cumsum(many)])
+        # Only of sets that have more codes of level 0 than first ones is nothing left.
+        some = np.flatnonzero((level > 0) & (np.bincount(doc, level == 0, len(size)) < many)[doc])
+        ahead = np.bincount(doc, level == 0, len(size)).astype(np.int64)
+        order = some[np.lexsort((mix64(codes[some]), level[some], doc[some]))]
+        begin = np.searchsorted(doc[order], np.arange(len(size)))
+        place = np.arange(len(order)) - begin[doc[order]] + ahead[doc[order]]
+        keep = order[place < many[doc[order]]]
+        return codes[keep], np.searchsorted(doc[keep], np.arange(len(size) + 1))
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -96,10 +120,11 @@ def _lists(codes: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), _signed(codes))
 
 
-def _described(width: int, percent: int, order: Order):
+def _described(width: int, percent: int, levels):
     """Each row's set: its size, two prints and its first codes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = Order(levels.value)
         for b in batches:
             for low, high, code, bounds in shingle_sets(b.column(2), width):
                 prints = []
@@ -113,10 +138,11 @@ def _described(width: int, percent: int, order: Order):
     return run
 
 
-def _sets(width: int, percent: int, order: Order, bits: bytes):
-    """Sets of the rows whose bit is in a filter, with their codes in order of size, and their first codes."""
+def _sets(width: int, percent: int, levels, bits: bytes):
+    """Sets of the rows whose bit is in a filter, with their codes, and the first of these."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        order = Order(levels.value)
         for b in batches:
             b = b.filter(pa.array(has_bit(bits, b.column(3).to_numpy())))
             for low, high, code, bounds in shingle_sets(b.column(2), width) if b.num_rows else ():
@@ -247,11 +273,16 @@ def links(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text"
         raise ValueError("percent must be above 50, so that windows end below the greatest distance")
     window = 2 * percent - 100
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("t"), F.col(text).alias("text"))
-    often = own.select("text").mapInArrow(_frequent(width), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    often = often.orderBy(F.desc("n"), "code").limit(FREQUENT).toPandas()  # a bounded number
-    order = Order(often["code"].to_numpy(np.int64).view(U64), often["n"].to_numpy(np.int64))
-
-    described = cut(own.mapInArrow(_described(width, percent, order), "id long, t long, n long, p1 long, p2 long, first array<long>"))
+    texts = own.select("text")
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    cells = min(MOST_CELLS, max(LEAST_CELLS, 1 << (size // CELL_BYTES).bit_length()))
+    merged = texts.mapInArrow(_sketch(width, cells), "slice int, places binary").groupBy("slice").applyInArrow(_merge, "slice int, levels binary")
+    sketch = bytearray(cells // 4)
+    for r in merged.toLocalIterator():  # a bounded number of slices of a fixed size
+        sketch[r["slice"] * SLICE // 4 : (r["slice"] + 1) * SLICE // 4] = r["levels"]
+    levels = docs.sparkSession.sparkContext.broadcast(bytes(sketch))
+
+    described = cut(own.mapInArrow(_described(width, percent, levels), "id long, t long, n long, p1 long, p2 long, first array<long>"))
     stands = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "t"))
     classes = cut(described.filter("n > 0").groupBy("n", "p1", "p2").agg(stands.alias("rep"), F.first("first").alias("first")))
     classes = classes.withColumn("cls", F.monotonically_increasing_id())  # of a written table: always the same
@@ -264,7 +295,7 @@ def links(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text"
     involved = cut(fame.join(classes.select("cls", F.col("rep.id").alias("_id"), F.col("rep.t").alias("_t")), "cls"))
     bits = filter_bits(involved, "_id", "_t")
     texts = own.select("id", "t", "text", bit_of("id", "t").alias("bit"))
-    sets = texts.mapInArrow(_sets(width, window, order, bits), "id long, t long, first array<long>, codes array<long>")
+    sets = texts.mapInArrow(_sets(width, window, levels, bits), "id long, t long, first array<long>, codes array<long>")
     sets = sets.join(involved, F.col("id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t")))
     sets = cut(sets.groupBy("cls").agg(F.first("fame").alias("fame"), F.min("first").alias("first"), F.min("codes").alias("codes")))
 

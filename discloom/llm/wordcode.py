@@ -3,9 +3,9 @@
 A word is ``[^\\x20\\x09-\\x0D]+``.  All separators are single ASCII bytes, so
 the UTF-8 buffer of an Arrow string column can be split without decoding it.
 
-Codes that tell words apart (:func:`word_prints`) are taken from a cryptographic
-hash of each distinct word, and codes of runs of words from such codes by mixing
-at each doubling (:func:`run_prints`); neither is linear in what it is made of.
+Codes that tell words apart (:func:`word_prints`) mix after each eight bytes, and
+codes of runs of words (:func:`run_prints`) at each doubling; neither is linear in
+what it is made of, so that no known words or runs have equal codes.
 Codes of features (:class:`Coder`) are 64-bit polynomial hashes from prefix sums
 modulo 2**64, which cost a few vector operations per byte.
 """
@@ -25,6 +25,10 @@ IS_SEPARATOR = np.zeros(256, bool)
 IS_SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
 LOWER_ASCII = np.arange(256, dtype=np.uint8)
 LOWER_ASCII[ord("A") : ord("Z") + 1] += 32
+#: Masks of the first bytes of eight, none to all.
+FIRST_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
+#: Bytes above which words are hashed one by one.
+LONG_WORD = 512
 #: Bytes of text worked on at once; arrays of eight bytes for each are made.
 CHUNK_BYTES = 1 << 20
 
@@ -112,12 +116,26 @@ def distinct_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tu
 
 
 def word_prints(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit codes of each word: halves of one 128-bit hash of its bytes."""
-    number, words = distinct_words(data, starts, ends)
-    salt = seed.to_bytes(8, "little")
-    hashed = b"".join([hashlib.blake2b(w, digest_size=16, salt=salt).digest() for w in words.to_pylist()])
-    halves = np.frombuffer(hashed, U64).reshape(-1, 2)[number]
-    return np.ascontiguousarray(halves[:, 0]), np.ascontiguousarray(halves[:, 1])
+    """Two independent 64-bit codes of each word.
+
+    Eight bytes at a time are mixed into what came before; words of more than
+    ``LONG_WORD`` bytes are hashed one by one.
+    """
+    eights = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    size = ends - starts
+    salts = random_words(seed, 2)
+    one, two = (mix64(size.astype(U64) + salt) for salt in salts)
+    live, at = np.flatnonzero(size <= LONG_WORD), 0
+    while len(live):
+        x = eights[starts[live] + at] & FIRST_BYTES[np.minimum(size[live] - at, 8)]
+        one[live] = mix64(one[live] ^ x)
+        two[live] = mix64(two[live] ^ (x * U64(0xD6E8FEB86659FD93)))
+        at += 8
+        live = live[size[live] > at]
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        hashed = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=16, salt=salts.tobytes()).digest()
+        one[i], two[i] = np.frombuffer(hashed, U64)
+    return one, two
 
 
 def run_prints(codes: np.ndarray, *widths: int) -> list[np.ndarray]:
