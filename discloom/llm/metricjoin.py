@@ -36,7 +36,7 @@ from discloom.llm.support import bit_of, cut, filter_bits, has_bit
 from discloom.llm.wordcode import U64, mix64
 
 #: Cells of the sketch, least and most; two bits for each are sent to tasks.  Bytes of text for each cell.
-LEAST_CELLS, MOST_CELLS, CELL_BYTES = 1 << 22, 1 << 28, 2
+LEAST_CELLS, MOST_CELLS, CELL_BYTES = 1 << 22, 1 << 27, 4
 #: Cells in one slice of the sketch, merged in one place; counts at which the levels of the order begin.
 SLICE, LEVELS = 1 << 16, (2, 8, 64)
 #: Shingles of a task that are sorted by cell at once.
@@ -120,6 +120,16 @@ def _lists(codes: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), _signed(codes))
 
 
+def _prints(code: np.ndarray, bounds: np.ndarray) -> list[pa.Array]:
+    """Size of each set and two prints of it."""
+    found = [pa.array(np.diff(bounds))]
+    for salt in (1, 2):
+        total = np.zeros(len(code) + 1, U64)
+        np.cumsum(mix64(code ^ U64(salt * 0xA0761D6478BD642F % (1 << 64))), out=total[1:])
+        found.append(_signed(total[bounds[1:]] - total[bounds[:-1]]))
+    return found
+
+
 def _described(width: int, percent: int, levels):
     """Each row's set: its size, two prints and its first codes."""
 
@@ -127,13 +137,8 @@ def _described(width: int, percent: int, levels):
         order = Order(levels.value)
         for b in batches:
             for low, high, code, bounds in shingle_sets(b.column(2), width):
-                prints = []
-                for salt in (1, 2):
-                    total = np.zeros(len(code) + 1, U64)
-                    np.cumsum(mix64(code ^ U64(salt * 0xA0761D6478BD642F % (1 << 64))), out=total[1:])
-                    prints.append(_signed(total[bounds[1:]] - total[bounds[:-1]]))
                 ids = [b.column(i).slice(low, high - low) for i in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*ids, pa.array(np.diff(bounds)), *prints, _lists(*order.first(code, bounds, percent))], ["id", "t", "n", "p1", "p2", "first"])
+                yield pa.RecordBatch.from_arrays([*ids, *_prints(code, bounds), _lists(*order.first(code, bounds, percent))], ["id", "t", "n", "p1", "p2", "first"])
 
     return run
 
@@ -146,8 +151,7 @@ def _sets(width: int, percent: int, levels, bits: bytes):
         for b in batches:
             b = b.filter(pa.array(has_bit(bits, b.column(3).to_numpy())))
             for low, high, code, bounds in shingle_sets(b.column(2), width) if b.num_rows else ():
-                ids = [b.column(i).slice(low, high - low) for i in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*ids, _lists(*order.first(code, bounds, percent)), _lists(code, bounds)], ["id", "t", "first", "codes"])
+                yield pa.RecordBatch.from_arrays([*_prints(code, bounds), _lists(*order.first(code, bounds, percent)), _lists(code, bounds)], ["n", "p1", "p2", "first", "codes"])
 
     return run
 
@@ -187,17 +191,19 @@ def _distances(window: int, percent: int):
     return run
 
 
-def _round(posted: DataFrame, sets: DataFrame, window: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def _round(firsts: DataFrame, sets: DataFrame, window: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """``(pivots (cls), near (pivot, cls, distance, linked))`` of one round.
 
-    ``posted (code, cls, fame)`` has the first codes of classes.  ``near`` holds all
-    classes that overlap with a pivot by ``window`` percent of their union.
+    ``firsts (cls, n, fame, first)`` has the first codes of classes.  ``near`` holds
+    all classes that overlap with a pivot by ``window`` percent of their union.
     """
-    rank = F.struct(F.floor(F.log2(F.col("fame") + 1)).alias("fame"), F.xxhash64("cls").alias("salt"), "cls")
-    leads = cut(posted.groupBy("code").agg(F.max(rank)["cls"].alias("lead")))
-    met = cut(posted.join(leads, "code").select("cls", "lead").distinct())
+    posted = firsts.select("cls", "n", "fame", F.explode("first").alias("code"))
+    rank = F.struct(F.floor(F.log2(F.col("fame") + 1)).alias("fame"), F.xxhash64("cls").alias("salt"), "cls", "n")
+    leads = cut(posted.groupBy("code").agg(F.max(rank).alias("lead")).select("code", F.col("lead.cls").alias("lead"), F.col("lead.n").alias("size")))
+    met = cut(posted.join(leads, "code").select("cls", "lead", "n", "size").distinct())
     pivots = cut(met.groupBy("cls").agg(F.min((F.col("lead") == F.col("cls")).cast("int")).alias("all")).filter("all = 1").select("cls"))
-    pairs = cut(met.filter("cls <> lead").join(pivots.withColumnRenamed("cls", "lead"), "lead").withColumnRenamed("lead", "pivot"))
+    met = met.filter(f"cls <> lead and 100 * least(n, size) >= {window} * greatest(n, size)").select("cls", "lead")
+    pairs = cut(met.join(pivots.withColumnRenamed("cls", "lead"), "lead").withColumnRenamed("lead", "pivot"))
     turns = F.expr(f"(count(*) + {BLOCK - 1}) div {BLOCK}")
     degrees = cut(pairs.groupBy("pivot").agg(turns.alias("turns")))
     members = pairs.join(degrees, "pivot").select("pivot", F.pmod(F.xxhash64("cls"), F.col("turns")).alias("turn"), F.lit(1).alias("member"), "cls")
@@ -280,7 +286,7 @@ def links(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text"
     sketch = bytearray(cells // 4)
     for r in merged.toLocalIterator():  # a bounded number of slices of a fixed size
         sketch[r["slice"] * SLICE // 4 : (r["slice"] + 1) * SLICE // 4] = r["levels"]
-    levels = docs.sparkSession.sparkContext.broadcast(bytes(sketch))
+    levels = docs.sparkSession.sparkContext.broadcast(sketch)
 
     described = cut(own.mapInArrow(_described(width, percent, levels), "id long, t long, n long, p1 long, p2 long, first array<long>"))
     stands = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "t"))
@@ -292,25 +298,25 @@ def links(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text"
     fame = cut(posted.groupBy("cls").agg(F.sum("members").alias("fame")))
 
     # Only classes that share a first code can be linked; their sets are made again from the texts.
-    involved = cut(fame.join(classes.select("cls", F.col("rep.id").alias("_id"), F.col("rep.t").alias("_t")), "cls"))
-    bits = filter_bits(involved, "_id", "_t")
+    involved = cut(fame.join(classes.drop("first"), "cls"))
+    bits = filter_bits(involved.select(F.col("rep.id").alias("id"), F.col("rep.t").alias("t")), "id", "t")
     texts = own.select("id", "t", "text", bit_of("id", "t").alias("bit"))
-    sets = texts.mapInArrow(_sets(width, window, levels, bits), "id long, t long, first array<long>, codes array<long>")
-    sets = sets.join(involved, F.col("id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t")))
-    sets = cut(sets.groupBy("cls").agg(F.first("fame").alias("fame"), F.min("first").alias("first"), F.min("codes").alias("codes")))
+    sets = texts.mapInArrow(_sets(width, window, levels, bits), "n long, p1 long, p2 long, first array<long>, codes array<long>")
+    sets = sets.groupBy("n", "p1", "p2").agg(F.min("first").alias("first"), F.min("codes").alias("codes"))
+    sets = cut(sets.join(involved.drop("rep"), ["n", "p1", "p2"]).drop("p1", "p2"))
 
     # Joins by window need more first codes than those by link.
-    wide = sets.select("cls", "fame", F.explode("first").alias("code"))
-    several = cut(wide.groupBy("code").agg(F.count("*").alias("members")).filter("members > 1").select("code"))
-    wide = cut(wide.join(several, "code"))
-    narrow, nears = posted.select("code", "cls"), []
+    firsts, nears = cut(sets.drop("codes")), []
+    settled = None
     for _ in range(rounds):
-        pivots, near = _round(wide, sets, window, percent)
+        pivots, near = _round(firsts, sets, window, percent)
         nears.append(near)
-        settled = cut(near.filter("linked").select("cls").union(pivots).distinct())
-        wide, narrow = cut(wide.join(settled, "cls", "left_anti")), cut(narrow.join(settled, "cls", "left_anti"))
-        if narrow.isEmpty():
+        done = cut(near.filter("linked").select("cls").union(pivots).distinct())
+        settled = done if settled is None else settled.union(done)
+        firsts = cut(firsts.join(done, "cls", "left_anti"))
+        if firsts.isEmpty():
             break
+    narrow = posted.select("code", "cls").join(settled, "cls", "left_anti")
     near = nears[0]
     for more in nears[1:]:
         near = near.union(more)
