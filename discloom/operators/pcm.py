@@ -12,14 +12,15 @@ from pyspark.sql import functions as F
 from discloom.functions.binary import REVERSED_BYTES, nul_padded
 
 BLOCK = 4096
-#: Frames that are decoded at once.
-BATCH_FRAMES = 256
-#: Makes a decoder for a number of channels: from one raw frame to samples.
+#: Frames that are decoded at once, by decoders of one frame and of many.
+BATCH_FRAMES, MANY_FRAMES = 256, 1024
+#: Makes a decoder for a number of channels: from one raw frame to samples.  If it has
+#: ``many``, from a list of frames to a list of samples, that is called instead.
 DecoderFactory = Callable[[int], Callable[[bytes], bytes]]
 
 
 def no_decoder(channels: int) -> Callable[[bytes], bytes]:
-    """Stands for the compressed format's decoder, which this library doesn't have."""
+    """Stands for a decoder where compressed frames are to be an error."""
     raise NotImplementedError("decoder not available: pass one for compressed frames")
 
 
@@ -28,7 +29,7 @@ def decode(frames: DataFrame, decoder: DecoderFactory | None = None, raw: str =
 
     ``frames`` has a column of channel numbers.  None leaves uncompressed frames
     as they are.  A decoder is made once for each task and number of channels;
-    ``BATCH_FRAMES`` decoded frames are in memory at once.
+    ``BATCH_FRAMES`` decoded frames, or ``MANY_FRAMES``, are in memory at once.
     """
     if decoder is None:
         return frames
@@ -37,12 +38,19 @@ def decode(frames: DataFrame, decoder: DecoderFactory | None = None, raw: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[int, Callable[[bytes], bytes]] = {}
         for whole in batches:
-            for low in range(0, whole.num_rows, BATCH_FRAMES):
-                b, out = whole.slice(low, BATCH_FRAMES), []
-                for x, n in zip(b.column(at).to_pylist(), b.column(of).to_pylist(), strict=True):
-                    if n not in made:
-                        made[n] = decoder(n)
-                    out.append(None if x is None else made[n](x))
+            for n in set(whole.column(of).to_pylist()):
+                if n not in made:
+                    made[n] = decoder(n)
+            step = MANY_FRAMES if made and all(hasattr(d, "many") for d in made.values()) else BATCH_FRAMES
+            for low in range(0, whole.num_rows, step):
+                b = whole.slice(low, step)
+                raws, counts = b.column(at).to_pylist(), b.column(of).to_pylist()
+                out: list[bytes | None] = [None] * b.num_rows
+                for n, d in made.items():
+                    own = [i for i, (x, m) in enumerate(zip(raws, counts, strict=True)) if m == n and x is not None]
+                    many = getattr(d, "many", lambda frames, one=d: [one(x) for x in frames])
+                    for i, samples in zip(own, many([raws[i] for i in own]), strict=True):
+                        out[i] = samples
                 yield b.set_column(at, raw, pa.array(out, pa.binary()))
 
     return frames.mapInArrow(run, frames.schema)

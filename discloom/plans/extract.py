@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from discloom.functions.binary import sanitized
-from discloom.operators import demux, pcm, report, tag, toc, tracks
+from discloom.operators import demux, lossless, pcm, report, tag, toc, tracks
 from discloom.operators.pcm import DecoderFactory
 from discloom.shared import cut
 from discloom.sources import dsf
@@ -96,13 +96,13 @@ def _one_of_each(names: DataFrame, name: str) -> DataFrame:
 
 
 def audio_files(
-    images: DataFrame | Images, tables: Tables, decoder: DecoderFactory | None = None, selection: str | None = None, carry: bool = False, seen: Observation | None = None, **areas: bool
+    images: DataFrame | Images, tables: Tables, decoder: DecoderFactory | None = lossless.Decoder, selection: str | None = None, carry: bool = False, seen: Observation | None = None, **areas: bool
 ) -> DataFrame:
     """Rows for the ``dsf_files`` sink: all selected tracks' headers, blocks and tags.
 
     Each image's files are in a folder of their own; two images of one name are
-    an error.  Compressed frames need a ``decoder``; without one they are an
-    error.
+    an error.  Compressed frames need a ``decoder``; with None they are an error,
+    as malformed frames are.
     """
     keys = [*KEYS, "track_no"]
     frames = track_frames(images, tables, selection, seen, **areas)
