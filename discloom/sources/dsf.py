@@ -1,11 +1,21 @@
-"""Audio files and images: sinks that write each file once and show it whole.
+"""Audio files and images: sinks that write each file once and show all of a job's files or none.
 
 ``files.write.format("dsf_files").mode("append").save(folder)`` takes rows
 ``folder, file, header, block_no, channel, bytes, id3``, dealt by file and
 sorted in it (see :func:`file_rows`); each image has a folder of its own.  The
 header's sizes are aggregates known before writing, so nothing is patched
-afterwards.  The folder must be on storage that the driver and all executors
-mount.
+afterwards.
+
+Both sinks commit in two phases.  The driver makes a staging folder for the job;
+each attempt of a task writes into a folder of its own there, which it can't make
+once the job's is gone.  Only when all tasks are done does the driver move the
+files that they reported to their places, and then it takes the staging folder
+away, as it does when the job fails or is cancelled.  A driver that is killed
+leaves a hidden staging folder but no file under its name.
+
+``folder`` of audio files is a path or URI on any storage that pyarrow's file
+systems open: mounted folders, HDFS, object stores.  Images are written at their
+sectors' places by many tasks, and need mounted storage.
 """
 
 from __future__ import annotations
@@ -17,6 +27,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
@@ -59,58 +70,80 @@ def file_rows(blocks: DataFrame, tracks: DataFrame, keys: list[str]) -> DataFram
 
 @dataclass
 class Written(WriterCommitMessage):
-    """Finished files; of images, number, sum and greatest of the sectors written."""
+    """What an attempt has written to its folder; of images, number, sum and greatest of the sectors."""
 
-    files: list[str]
+    attempt: str = ""
+    files: list[tuple[str, str]] = field(default_factory=list)
     sectors: dict[str, tuple[int, int, int]] = field(default_factory=dict)
 
 
-def _remove(files: list[str]) -> None:
-    for name in files:
-        with contextlib.suppress(FileNotFoundError):
-            os.remove(name)
+def storage(folder: str) -> tuple[fs.FileSystem, str]:
+    """File system and path of a folder, given as a path or a URI."""
+    if "://" in folder and not folder.startswith("file:"):
+        return fs.FileSystem.from_uri(folder)
+    path = folder.removeprefix("file:")
+    return fs.LocalFileSystem(), "/" + path.lstrip("/") if path.startswith("//") else path
+
 
+class StagedWriter(DataSourceWriter):
+    """A job's staging folder, made on the driver with the writer."""
 
-class FilesWriter(DataSourceWriter):
     def __init__(self, options: dict) -> None:
-        self.folder = options["path"].removeprefix("file:")
+        self.folder = options["path"].rstrip("/")
+        files, path = storage(self.folder)
+        self.staging = f"{path}/.staging-{uuid.uuid4().hex}"
+        files.create_dir(self.staging)
 
+    def clear(self) -> None:
+        files, _ = storage(self.folder)
+        with contextlib.suppress(FileNotFoundError):
+            files.delete_dir(self.staging)
+
+    def abort(self, messages: list) -> None:
+        """Take away whatever tasks of a failed job have written."""
+        self.clear()
+
+
+class FilesWriter(StagedWriter):
     def write(self, iterator: Iterator) -> Written:
-        # A file appears under its name once it is whole.  Parts of each attempt have names of their own, so attempts never mix.
-        attempt = uuid.uuid4().hex
-        at, out, part, tag, files = None, None, None, b"", []
+        files, _ = storage(self.folder)
+        done, out, tag = Written(uuid.uuid4().hex), None, b""
+        own = f"{self.staging}/{done.attempt}"
+        files.create_dir(own, recursive=False)  # an error once the job is over
 
         def finish() -> None:
             if out is not None:
                 out.write(tag)
                 out.close()
-                os.replace(part, f"{self.folder}/{at[0]}/{at[1]}")
-                files.append(f"{self.folder}/{at[0]}/{at[1]}")
 
         try:
             for row in iterator:
-                if (row["folder"], row["file"]) != at:
+                if not done.files or (row["folder"], row["file"]) != done.files[-1]:
                     finish()
-                    at, tag = (row["folder"], row["file"]), bytes(row["id3"] or b"")
-                    os.makedirs(f"{self.folder}/{at[0]}", exist_ok=True)
-                    part = f"{self.folder}/{at[0]}/.{attempt}.part"
-                    out = open(part, "wb")  # noqa: SIM115
-                    out.write(row["header"])
-                out.write(row["bytes"] or b"")
+                    done.files.append((row["folder"], row["file"]))
+                    tag = bytes(row["id3"] or b"")
+                    out = files.open_output_stream(f"{own}/{len(done.files)}")
+                    out.write(bytes(row["header"]))
+                out.write(bytes(row["bytes"] or b""))
             finish()
         except BaseException:
-            if out is not None:
-                out.close()
-                _remove([part])
+            with contextlib.suppress(Exception):
+                if out is not None:
+                    out.close()
+                files.delete_dir(own)
             raise
-        return Written(files)
+        return done
 
     def commit(self, messages: list) -> None:
-        return None
-
-    def abort(self, messages: list) -> None:
-        """Take away what tasks of a failed job had finished."""
-        _remove([name for m in messages if m is not None for name in m.files])
+        files, path = storage(self.folder)
+        moves = [(f"{self.staging}/{m.attempt}/{i}", f"{path}/{folder}", name) for m in messages if m is not None for i, (folder, name) in enumerate(m.files, 1)]
+        try:
+            for folder in {folder for _, folder, _ in moves}:
+                files.create_dir(folder)
+            for source, folder, name in moves:
+                files.move(source, f"{folder}/{name}")
+        finally:
+            self.clear()
 
 
 class DsfFiles(DataSource):
@@ -124,17 +157,15 @@ class DsfFiles(DataSource):
         return FilesWriter(self.options)
 
 
-class ImageWriter(DataSourceWriter):
+class ImageWriter(StagedWriter):
     """Writes each sector at its place of the image's file, which appears once no sector is missing."""
 
     def __init__(self, options: dict) -> None:
-        self.folder, self.job = options["path"].removeprefix("file:"), uuid.uuid4().hex
-
-    def part(self, name: str) -> str:
-        return f"{self.folder}/.{name}.{self.job}.part"
+        if not isinstance(storage(options["path"])[0], fs.LocalFileSystem):
+            raise ValueError("images are written to mounted storage")
+        super().__init__(options)
 
     def write(self, iterator: Iterator) -> Written:
-        os.makedirs(self.folder, exist_ok=True)
         opened: dict[str, int] = {}
         held: dict[str, tuple[int, int, int]] = {}
         try:
@@ -143,30 +174,30 @@ class ImageWriter(DataSourceWriter):
                 if len(row["data"]) != 2048:
                     raise ValueError(f"sector {lsn} of {name} has {len(row['data'])} bytes")
                 if name not in opened:
-                    opened[name] = os.open(self.part(name), os.O_CREAT | os.O_WRONLY, 0o644)
+                    opened[name] = os.open(f"{self.staging}/{name}", os.O_CREAT | os.O_WRONLY, 0o644)
                 os.pwrite(opened[name], row["data"], lsn * 2048)  # the same bytes at the same place, however often a task runs
                 n, total, most = held.get(name, (0, 0, -1))
                 held[name] = n + 1, total + lsn, max(most, lsn)
         finally:
             for handle in opened.values():
                 os.close(handle)
-        return Written([self.part(name) for name in opened], held)
+        return Written(sectors=held)
 
     def commit(self, messages: list) -> None:
         held: dict[str, tuple[int, int, int]] = {}
         for m in messages:
-            for name, (n, total, most) in m.sectors.items():
+            for name, (n, total, most) in m.sectors.items() if m is not None else ():
                 a, b, c = held.get(name, (0, 0, -1))
                 held[name] = a + n, b + total, max(c, most)
-        for name, (n, total, most) in held.items():
-            if n != most + 1 or total * 2 != most * (most + 1):
-                self.abort(messages)
-                raise ValueError(f"{name} has {n} sectors, not each of 0 to {most} once")
-        for name in held:
-            os.replace(self.part(name), f"{self.folder}/{name}")
-
-    def abort(self, messages: list) -> None:
-        _remove([name for m in messages if m is not None for name in m.files])
+        _, path = storage(self.folder)
+        try:
+            for name, (n, total, most) in held.items():
+                if n != most + 1 or total * 2 != most * (most + 1):
+                    raise ValueError(f"{name} has {n} sectors, not each of 0 to {most} once")
+            for name in held:
+                os.replace(f"{self.staging}/{name}", f"{path}/{name}")
+        finally:
+            self.clear()
 
 
 class ImageFiles(DataSource):
@@ -184,7 +215,8 @@ def written_sectors(folder: str):
     """Sectors of files in a folder, by their sizes."""
 
     def sizes(names: pa.Array) -> pa.Array:
-        return pa.array([os.stat(f"{folder.removeprefix('file:')}/{x.as_py()}").st_size // 2048 for x in names], pa.int64())
+        files, path = storage(folder)
+        return pa.array([files.get_file_info(f"{path}/{x.as_py()}").size // 2048 for x in names], pa.int64())
 
     return F.arrow_udf(sizes, "long")
 
