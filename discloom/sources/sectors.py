@@ -2,6 +2,9 @@
 
 ``spark.read.format("disc_sectors").load("image.iso")`` gives ``image, lsn,
 data``.  Options ``from`` and ``to`` bound ``lsn`` before any byte is read.
+Filters are not taken over: a session shares a source's reader among all uses of a
+table, so what one use filters would be missing in the others.  :class:`FileImages`
+reads the bytes of a sector only after filters, whatever they are.
 ``path`` is read on executors and so must be on storage that all of them mount;
 several paths are separated by commas, and a folder stands for its ``*.iso``
 files.  ``spark.read.format("remote_sectors").option("server",
@@ -17,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
@@ -28,6 +31,8 @@ SECTOR = 2048
 SCHEMA = "image string, lsn long, data binary"
 #: Sectors of one partition (16 MiB), and of one batch handed to Spark.
 PARTITION_SECTORS, BATCH_SECTORS = 8192, 512
+#: Spans that are broadcast at most (some 10 MB), ranges that a scan is given, images that it is told by name, and tasks of a table of files.
+BROADCAST_SPANS, MOST_RANGES, MOST_NAMES, MOST_TASKS = 100_000, 32, 100, 20_000
 
 
 @dataclass
@@ -46,11 +51,7 @@ def _batch(image: str, low: int, data: bytes) -> pa.RecordBatch:
 
 
 class _Ranged(DataSourceReader):
-    """Reads sectors ``from`` to ``to`` - 1, options of the source; all without these.
-
-    Filters are not taken over: a session shares one reader among all uses of a
-    table, so what one use filters would be missing in the others.
-    """
+    """Reads sectors ``from`` to ``to`` - 1, options of the source; all without these."""
 
     def __init__(self, options: dict) -> None:
         self.options, self.low = options, int(options.get("from", 0))
@@ -186,13 +187,58 @@ class Images:
     def within(self, spans: DataFrame) -> DataFrame:
         """Rows of ``spans`` with each sector of theirs: its columns but ``low`` and ``high``, ``lsn`` and ``data``.
 
-        ``spans`` has ``image``, and sectors ``low`` to ``high`` - 1.  The range
-        join is an equi-join on buckets, followed by the exact condition.
+        ``spans`` has ``image``, and sectors ``low`` to ``high`` - 1.  The scan is
+        given the ranges that spans lie in, which reach files whose statistics say
+        what sectors they hold.  Up to ``BROADCAST_SPANS`` spans go to the sectors,
+        which then stay where they are; more are joined by image and bucket.  The
+        exact condition follows.
         """
+        spans = spans.filter("high > low")
+        # At most one row for each bucket of a disc's sectors, however many images there are.
+        held = spans.groupBy(F.expr(f"low div {PARTITION_SECTORS}").alias("b")).agg(F.min("low").alias("low"), F.max("high").alias("high"), F.count("*").alias("n")).collect()
+        own = self.sectors.select("image", "lsn", "data").filter(in_ranges(merged_ranges([(r.low, r.high) for r in held])))
+        few = sum(r.n for r in held) <= BROADCAST_SPANS
+        names = [r.image for r in spans.select("image").distinct().limit(MOST_NAMES + 1).collect()] if few else []
+        if 0 < len(names) <= MOST_NAMES and None not in names:
+            own = own.filter(F.col("image").isin(names))
         bucket = F.explode(F.expr(f"sequence(low div {PARTITION_SECTORS}, (high - 1) div {PARTITION_SECTORS})"))
-        wanted = spans.filter("high > low").withColumn("_b", bucket)
-        own = self.sectors.select("image", "lsn", "data").withColumn("_b", F.expr(f"lsn div {PARTITION_SECTORS}"))
-        return wanted.join(own, ["image", "_b"]).filter("lsn >= low AND lsn < high").drop("_b", "low", "high")
+        wanted, own = spans.withColumn("_b", bucket), own.withColumn("_b", F.expr(f"lsn div {PARTITION_SECTORS}"))
+        return own.join(F.broadcast(wanted) if few else wanted, ["image", "_b"]).filter("lsn >= low AND lsn < high").select(*[c for c in spans.columns if c not in ("low", "high")], "lsn", "data")
+
+
+def merged_ranges(ranges: list[tuple[int, int]], most: int = MOST_RANGES) -> list[tuple[int, int]]:
+    """At most so many ranges that cover ``ranges`` (low, end), with the least in between."""
+    out: list[list[int]] = []
+    for low, high in sorted(ranges):
+        if out and low <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], high)
+        else:
+            out.append([low, high])
+    gaps = sorted(range(1, len(out)), key=lambda i: out[i][0] - out[i - 1][1], reverse=True)
+    cuts = [0, *sorted(gaps[: most - 1]), len(out)]
+    return [(out[a][0], out[b - 1][1]) for a, b in zip(cuts, cuts[1:], strict=False) if a < b]
+
+
+def in_ranges(ranges: list[tuple[int, int]]) -> Column:
+    """Whether ``lsn`` is in one of the ranges; never, if there are none."""
+    inside = F.lit(False)
+    for i, (low, high) in enumerate(ranges):
+        this = (F.col("lsn") >= low) & (F.col("lsn") < high)
+        inside = this if i == 0 else inside | this
+    return inside
+
+
+def _sector_data(images: pa.Array, lsns: pa.Array) -> pa.Array:
+    """Bytes of sectors; neighbours in a file are read at once."""
+    lsn, names = lsns.to_numpy(zero_copy_only=False), images.to_pylist()
+    out, low = [], 0
+    while low < len(lsn):
+        high = low + 1
+        while high < len(lsn) and lsn[high] == lsn[high - 1] + 1 and names[high] == names[low]:
+            high += 1
+        out += [part.column(2) for part in _read_file(Span(names[low], int(lsn[low]), int(lsn[high - 1]) + 1))]
+        low = high
+    return pa.concat_arrays(out) if out else pa.array([], pa.binary())
 
 
 class FileImages(Images):
@@ -201,7 +247,16 @@ class FileImages(Images):
     def __init__(self, spark: SparkSession, path: str, partition_sectors: int = PARTITION_SECTORS) -> None:
         register(spark)
         self.spark, self.path, self.step = spark, path, partition_sectors
-        super().__init__(self.between())
+        super().__init__(self.table())
+
+    def table(self) -> DataFrame:
+        """All sectors; the bytes of one are read after filters on image and number, and only if they are asked for."""
+        counts = _image_files({"path": self.path})
+        tasks = min(MOST_TASKS, sum(-(-n // self.step) for n in counts.values()))
+        files = self.spark.createDataFrame([(p, n) for p, n in counts.items() if n], "image string, n long")
+        spans = files.select("image", "n", F.explode(F.expr(f"sequence(0L, n - 1, {self.step}L)")).alias("low")).repartition(max(1, tasks), "image", "low")
+        rows = spans.select("image", F.explode(F.expr(f"sequence(low, least(low + {self.step}, n) - 1)")).alias("lsn"))
+        return rows.select("image", "lsn", F.arrow_udf(_sector_data, "binary")("image", "lsn").alias("data"))
 
     def names(self, lsn: int) -> DataFrame:
         return self.spark.createDataFrame([(p,) for p in sorted(_image_files({"path": self.path}))], "image string")
