@@ -30,6 +30,8 @@ AREA_LOCALES = (88, 8)
 MASTER_SIGNATURE, TEXT_SIGNATURE = b"SACDMTOC", b"SACDText"
 AREA_SIGNATURES = {"stereo": b"TWOCHTOC", "multichannel": b"MULCHTOC"}
 TRACK_TEXT, TRACK_TIMES, TRACK_SECTORS, TRACK_CODES = b"SACDTTxt", b"SACDTRL2", b"SACDTRL1", b"SACD_IGL"
+#: The code of areas of 2 822 400 bits a second and channel.
+RATE_CODE = 4
 MASTER_LSN, TEXT_LSN, SLOTS = 510, 511, 255
 
 

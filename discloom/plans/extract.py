@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+from discloom import layouts as L
 from discloom.functions.binary import sanitized
 from discloom.operators import demux, lossless, pcm, report, tag, toc, tracks
 from discloom.operators.pcm import DecoderFactory
@@ -47,16 +48,19 @@ def wanted_areas(areas: DataFrame, stereo: bool = False, multichannel: bool = Fa
 def track_plan(tables: Tables, selection: str | None = None, **areas: bool) -> DataFrame:
     """Sectors and times of the selected tracks: ``image, area, track_no, frame_format, channels, tc_start, tc_end, low, high``.
 
-    A track without times, or of an unknown frame format, is an error.
+    A track without times, or of an unknown frame format, is an error, as is an
+    area of another sampling rate than 2 822 400 bits a second.
     """
     own = wanted_areas(tables.areas, **areas)
     chosen = tracks.select_tracks(tables.tracks.join(own.select(*KEYS), KEYS), selection, KEYS)
     plan = tracks.track_ranges(tables.tracks, own, KEYS).join(chosen.select(*KEYS, "track_no"), [*KEYS, "track_no"])
     # Written, so that no filter moves the error before the selection: tracks that aren't asked for may lack what they like.
-    plan = cut(plan.join(own.select(*KEYS, "frame_format", F.col("channel_count").cast("int").alias("channels")), KEYS))
+    plan = cut(plan.join(own.select(*KEYS, "frame_format", "fs_code", F.col("channel_count").cast("int").alias("channels")), KEYS))
     bad = F.col("tc_start").isNull() | F.col("tc_end").isNull() | F.col("lsn_start").isNull() | F.col("lsn_end").isNull()
-    message = F.concat(F.lit("no times or unknown format: track "), F.col("track_no").cast("string"), F.lit(" of "), F.col("image"))
-    high = F.when(bad, F.raise_error(message).cast("long")).otherwise(F.col("lsn_end"))
+    other_rate = F.coalesce(F.col("fs_code"), F.lit(0)) != L.RATE_CODE
+    problem = F.when(other_rate, "unknown sampling rate: track ").otherwise("no times or unknown format: track ")
+    message = F.concat(problem, F.col("track_no").cast("string"), F.lit(" of "), F.col("image"))
+    high = F.when(bad | other_rate, F.raise_error(message).cast("long")).otherwise(F.col("lsn_end"))
     return plan.select(*KEYS, "track_no", "frame_format", "channels", "tc_start", "tc_end", F.col("lsn_start").alias("low"), high.alias("high"))
 
 

@@ -27,36 +27,47 @@ def request(kind: int, offset: int | None = None, count: int | None = None) -> b
     return fields + b"\x00"
 
 
+#: Bytes of fields of a fixed size, by wire type.
+FIXED = {1: 8, 5: 4}
+
+
 def response(message: bytes) -> tuple[int, int, bytes] | None:
-    """Type, result and data of a message; null if these bytes aren't a whole one."""
-    kind, result, data, at = 0, 0, b"", 0
+    """Type, result and data of a message; null if these bytes aren't a whole one.
+
+    Fields that aren't known are passed over.
+    """
+    known: dict[int, int | bytes] = {1: 0, 2: 0, 3: b""}
+    at = 0
 
-    def number(at: int) -> tuple[int, int]:
+    def number() -> int:
+        nonlocal at
         value = shift = 0
         while True:
             value |= (message[at] & 0x7F) << shift
             at += 1
             if message[at - 1] < 0x80:
-                return value, at
+                return value
             shift += 7
 
     try:
         while at < len(message):
-            key, at = number(at)
-            value, at = number(at)
-            if key == 0x08:
-                kind = value
-            elif key == 0x10:
-                result = value - (1 << 64) if value >> 63 else value
-            elif key == 0x1A:
-                if at + value > len(message):
+            key = number()
+            tag, wire = key >> 3, key & 7
+            if wire == 0:
+                value: int | bytes = number()
+            elif wire == 2 or wire in FIXED:
+                size = number() if wire == 2 else FIXED[wire]
+                value, at = message[at : at + size], at + size
+                if at > len(message):
                     return None
-                data, at = message[at : at + value], at + value
             else:
                 return None
+            if tag in known and isinstance(value, type(known[tag])):
+                known[tag] = value
     except IndexError:
         return None
-    return kind, result, data
+    kind, result, data = known.values()
+    return kind, result - (1 << 64) if result >> 63 else result, data
 
 
 class Session:

@@ -9,12 +9,16 @@ reads the bytes of a sector only after filters, whatever they are.
 several paths are separated by commas, and a folder stands for its ``*.iso``
 files.  ``spark.read.format("remote_sectors").option("server",
 "host:port")`` reads a drive over the network in one partition, since the
-drive serves one session.
+drive serves one session; a session that breaks is opened anew where it ended.
+As a stream, ``spark.readStream.format("remote_sectors")``, it is read span by
+span (see :func:`dump_remote`), and a query that is started again goes on after
+the last span that it has written.
 """
 
 from __future__ import annotations
 
 import os
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,6 +35,8 @@ SECTOR = 2048
 SCHEMA = "image string, lsn long, data binary"
 #: Sectors of one partition (16 MiB), and of one batch handed to Spark.
 PARTITION_SECTORS, BATCH_SECTORS = 8192, 512
+#: Sessions in a row that may break without a sector.
+RETRIES = 5
 #: Spans that are broadcast at most (some 10 MB), ranges that a scan is given, images that it is told by name, and tasks of a table of files.
 BROADCAST_SPANS, MOST_RANGES, MOST_NAMES, MOST_TASKS = 100_000, 32, 100, 20_000
 
@@ -138,22 +144,63 @@ def server_address(text: str) -> tuple[str, int]:
     return fields[0], int(fields[1])
 
 
+def _read_drive(span: Span) -> Iterator[pa.RecordBatch]:
+    """Each sector of a span once, over one session at a time.
+
+    A session that breaks is followed by another, which begins with the sector
+    that is due; ``RETRIES`` sessions in a row without a sector are an error.
+    """
+    at, failed = span.low, 0
+    while at < span.high:
+        try:
+            with Session(server_address(span.image)) as session:
+                while at < span.high:
+                    data = session.read(at, min(BATCH_SECTORS, span.high - at))
+                    if not data:
+                        raise OSError(f"{span.image} sent nothing for sector {at}")
+                    yield _batch(span.image, at, data)
+                    at, failed = at + len(data) // SECTOR, 0
+        except OSError:
+            failed += 1
+            if failed > RETRIES:
+                raise
+            time.sleep(0.1 * 2**failed)
+
+
 class RemoteReader(_Ranged):
     def partitions(self) -> list[Span]:
         with Session(server_address(self.options["server"])) as session:
             return self.spans(self.options["server"], session.sectors(), 1 << 62) or [Span("", 0, 0)]
 
     def read(self, partition: Span) -> Iterator[pa.RecordBatch]:
-        if partition.high <= partition.low:
-            return
-        with Session(server_address(partition.image)) as session:
-            at = partition.low
-            while at < partition.high:
-                data = session.read(at, min(BATCH_SECTORS, partition.high - at))
-                if not data:
-                    raise OSError(f"{partition.image} sent nothing for sector {at}")
-                yield _batch(partition.image, at, data)
-                at += len(data) // SECTOR
+        yield from _read_drive(partition)
+
+
+class RemoteStream(DataSourceStreamReader):
+    """A drive read in spans, one a micro-batch; an offset is the number of sectors read."""
+
+    def __init__(self, options: dict) -> None:
+        self.server, self.step = options["server"], int(options.get("partitionSectors", PARTITION_SECTORS))
+        self.at, self.count = 0, None
+
+    def initialOffset(self) -> dict:
+        return {"sectors": 0}
+
+    def latestOffset(self) -> dict:
+        if self.count is None:
+            with Session(server_address(self.server)) as session:
+                self.count = session.sectors()
+        return {"sectors": min(self.count, self.at + self.step)}
+
+    def partitions(self, start: dict, end: dict) -> list[Span]:
+        self.at = end["sectors"]
+        return [Span(self.server, start["sectors"], end["sectors"])]
+
+    def commit(self, end: dict) -> None:
+        self.at = end["sectors"]
+
+    def read(self, partition: Span) -> Iterator[pa.RecordBatch]:
+        yield from _read_drive(partition)
 
 
 class RemoteSectors(DataSource):
@@ -169,6 +216,9 @@ class RemoteSectors(DataSource):
     def reader(self, schema) -> RemoteReader:
         return RemoteReader(self.options)
 
+    def streamReader(self, schema) -> RemoteStream:
+        return RemoteStream(self.options)
+
 
 class Images:
     """Images whose sectors are rows ``image, lsn, data`` of a table."""
@@ -289,6 +339,23 @@ def register(spark: SparkSession) -> None:
         spark.dataSource.register(source)
 
 
+def dump_remote(spark: SparkSession, server: str, folder: str, partition_sectors: int = PARTITION_SECTORS) -> DataFrame:
+    """Write a drive's sectors to ``folder`` as a Parquet table ``image, lsn, data``, and return it.
+
+    The drive is read span by span, each in one session.  What is written is
+    noted in ``folder``, so that a call after one that was broken off, by a lost
+    executor or driver, goes on with the span that is due and reads no other again.
+    """
+    register(spark)
+    rows = spark.readStream.format("remote_sectors").options(server=server, partitionSectors=partition_sectors).load()
+    query = rows.writeStream.format("parquet").option("checkpointLocation", f"{folder}/_progress").start(f"{folder}/sectors")
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    return spark.read.parquet(f"{folder}/sectors")
+
+
 def sector_counts(spark: SparkSession, path: str) -> DataFrame:
     """``image, sectors`` of files anywhere that Spark reads; a part of a sector at the end doesn't count."""
     files = spark.read.format("binaryFile").load(path)

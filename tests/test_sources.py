@@ -2,11 +2,11 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
-from test_engine import SCHEMA, frame, image
+from test_engine import SCHEMA, Server, frame, image
 
 from discloom.operators import toc
 from discloom.plans import extract
-from discloom.sources import sectors
+from discloom.sources import remote, sectors
 
 
 def scanned(df):
@@ -95,3 +95,73 @@ def test_filters_come_before_bytes_are_read(spark, tmp_path):
     assert table.select("image", "lsn").count() == 3000
     with pytest.raises(Exception, match="ends in sector 2500"):
         table.collect()
+
+
+class Flaky(Server):
+    """A drive whose connections break after some answers, so many times."""
+
+    def __init__(self, count, breaks):
+        super().__init__(count)
+        self.breaks = breaks
+
+    def serve(self, s):
+        whole = s.sendall
+
+        class Cut:
+            recv = s.recv
+            sent = 0
+
+            def sendall(_, data):
+                _.sent += 1
+                if self.breaks and _.sent > 8:  # in the midst of an answer
+                    self.breaks -= 1
+                    whole(data[: len(data) // 3])
+                    s.shutdown(2)
+                    raise OSError
+                whole(data)
+
+        try:
+            super().serve(Cut())
+        except OSError:
+            pass
+
+
+def test_broken_sessions_are_gone_on_with(spark, tmp_path):
+    server = Flaky(930, breaks=2)
+    server.start()
+    address = f"127.0.0.1:{server.listener.getsockname()[1]}"
+    sectors.register(spark)
+    df = spark.read.format("remote_sectors").option("server", address).load()
+    got = sorted((r.lsn, int.from_bytes(r.data[:4], "big")) for r in df.collect())
+    assert got == [(i, i) for i in range(930)] and server.breaks == 0
+
+
+def test_a_dump_goes_on_where_it_ended(spark, tmp_path):
+    server = Flaky(930, breaks=0)
+    server.start()
+    address = f"127.0.0.1:{server.listener.getsockname()[1]}"
+    done = sectors.dump_remote(spark, address, str(tmp_path), partition_sectors=300)
+    assert sorted((r.lsn, int.from_bytes(r.data[:4], "big")) for r in done.collect()) == [(i, i) for i in range(930)]
+    files = len(done.inputFiles())
+    # Nothing is left to read, and then only what the drive has more.
+    assert sectors.dump_remote(spark, address, str(tmp_path), partition_sectors=300).count() == 930
+    server.count = 1200
+    done = sectors.dump_remote(spark, address, str(tmp_path), partition_sectors=300)
+    assert sorted(r.lsn for r in done.select("lsn").collect()) == list(range(1200)) and len(done.inputFiles()) > files
+
+
+def test_unknown_fields_are_passed_over():
+    known = b"\x08\x03" + b"\x10\x01" + b"\x1a\x02ab"
+    more = b"\x20\x05" + b"\x2a\x03xyz" + b"\x31" + bytes(8) + b"\x3d" + bytes(4)
+    assert remote.response(known) == remote.response(more + known) == remote.response(known[:4] + more + known[4:]) == (3, 1, b"ab")
+    assert remote.response(known + b"\x2a\x09xyz") is None and remote.response(known + b"\x31\x00") is None and remote.response(known[:-1]) is None
+
+
+def test_other_sampling_rates_are_an_error(spark):
+    own, _ = image()
+    for i, data in own.items():
+        if data[:8] == b"TWOCHTOC":
+            own[i] = data[:20] + b"\x08" + data[21:]
+    s = frame(spark, own)
+    with pytest.raises(Exception, match="unknown sampling rate: track"):
+        extract.audio_files(s, extract.read_tables(s)).collect()
