@@ -92,10 +92,10 @@ class Order:
     def __init__(self, levels: bytes) -> None:
         self.levels, self.cells = np.frombuffer(levels, np.uint8), 4 * len(levels)
 
-    def first(self, codes: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-        """The codes under which sets meet all that overlap by ``percent`` of the union, and where each set's begin.
+    def first(self, codes: np.ndarray, bounds: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The codes under which sets meet all that overlap by ``percent`` of the union, where each set's begin, and how many are ahead.
 
-        Codes of level 0 are in no other set, and are left out.
+        Codes of level 0, which are ahead, are in no other set and are left out.
         """
         cell = _cells(codes, self.cells)
         level = self.levels[cell >> 2] >> (2 * (cell & 3)).astype(np.uint8) & 3
@@ -103,13 +103,13 @@ class Order:
         doc = np.repeat(np.arange(len(size)), size)
         many = np.where(size > 0, size - -(-size * percent // 100) + 1, 0)
         # Only of sets that have more codes of level 0 than first ones is nothing left.
-        some = np.flatnonzero((level > 0) & (np.bincount(doc, level == 0, len(size)) < many)[doc])
         ahead = np.bincount(doc, level == 0, len(size)).astype(np.int64)
+        some = np.flatnonzero((level > 0) & (ahead < many)[doc])
         order = some[np.lexsort((mix64(codes[some]), level[some], doc[some]))]
         begin = np.searchsorted(doc[order], np.arange(len(size)))
         place = np.arange(len(order)) - begin[doc[order]] + ahead[doc[order]]
         keep = order[place < many[doc[order]]]
-        return codes[keep], np.searchsorted(doc[keep], np.arange(len(size) + 1))
+        return codes[keep], np.searchsorted(doc[keep], np.arange(len(size) + 1)), ahead
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -138,7 +138,7 @@ def _described(width: int, percent: int, levels):
         for b in batches:
             for low, high, code, bounds in shingle_sets(b.column(2), width):
                 ids = [b.column(i).slice(low, high - low) for i in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*ids, *_prints(code, bounds), _lists(*order.first(code, bounds, percent))], ["id", "t", "n", "p1", "p2", "first"])
+                yield pa.RecordBatch.from_arrays([*ids, *_prints(code, bounds), _lists(*order.first(code, bounds, percent)[:2])], ["id", "t", "n", "p1", "p2", "first"])
 
     return run
 
@@ -151,7 +151,8 @@ def _sets(width: int, percent: int, levels, bits: bytes):
         for b in batches:
             b = b.filter(pa.array(has_bit(bits, b.column(3).to_numpy())))
             for low, high, code, bounds in shingle_sets(b.column(2), width) if b.num_rows else ():
-                yield pa.RecordBatch.from_arrays([*_prints(code, bounds), _lists(*order.first(code, bounds, percent)), _lists(code, bounds)], ["n", "p1", "p2", "first", "codes"])
+                first, begin, ahead = order.first(code, bounds, percent)
+                yield pa.RecordBatch.from_arrays([*_prints(code, bounds), pa.array(ahead), _lists(first, begin), _lists(code, bounds)], ["n", "p1", "p2", "ahead", "first", "codes"])
 
     return run
 
@@ -194,15 +195,18 @@ def _distances(window: int, percent: int):
 def _round(firsts: DataFrame, sets: DataFrame, window: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """``(pivots (cls), near (pivot, cls, distance, linked))`` of one round.
 
-    ``firsts (cls, n, fame, first)`` has the first codes of classes.  ``near`` holds
-    all classes that overlap with a pivot by ``window`` percent of their union.
+    ``firsts (cls, n, ahead, fame, first)`` has the first codes of classes.  ``near``
+    holds all classes that overlap with a pivot by ``window`` percent of their union.
+    What follows the first code that two have bounds their overlap, so most that
+    share only frequent codes are told apart before their sets are moved.
     """
-    posted = firsts.select("cls", "n", "fame", F.explode("first").alias("code"))
-    rank = F.struct(F.floor(F.log2(F.col("fame") + 1)).alias("fame"), F.xxhash64("cls").alias("salt"), "cls", "n")
-    leads = cut(posted.groupBy("code").agg(F.max(rank).alias("lead")).select("code", F.col("lead.cls").alias("lead"), F.col("lead.n").alias("size")))
-    met = cut(posted.join(leads, "code").select("cls", "lead", "n", "size").distinct())
+    posted = firsts.select("cls", "n", "fame", "ahead", F.posexplode("first").alias("i", "code")).withColumn("rest", F.col("n") - F.col("ahead") - F.col("i"))
+    rank = F.struct(F.floor(F.log2(F.col("fame") + 1)).alias("fame"), F.xxhash64("cls").alias("salt"), "cls", "n", "rest")
+    leads = posted.groupBy("code").agg(F.max(rank).alias("lead"))
+    leads = cut(leads.select("code", F.col("lead.cls").alias("lead"), F.col("lead.n").alias("size"), F.col("lead.rest").alias("others")))
+    met = cut(posted.join(leads, "code").groupBy("cls", "lead", "n", "size").agg(F.least(F.max("rest"), F.max("others")).alias("most")))
     pivots = cut(met.groupBy("cls").agg(F.min((F.col("lead") == F.col("cls")).cast("int")).alias("all")).filter("all = 1").select("cls"))
-    met = met.filter(f"cls <> lead and 100 * least(n, size) >= {window} * greatest(n, size)").select("cls", "lead")
+    met = met.filter(f"cls <> lead and {100 + window} * most >= {window} * (n + size)").select("cls", "lead")
     pairs = cut(met.join(pivots.withColumnRenamed("cls", "lead"), "lead").withColumnRenamed("lead", "pivot"))
     turns = F.expr(f"(count(*) + {BLOCK - 1}) div {BLOCK}")
     degrees = cut(pairs.groupBy("pivot").agg(turns.alias("turns")))
@@ -301,8 +305,8 @@ def links(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text"
     involved = cut(fame.join(classes.drop("first"), "cls"))
     bits = filter_bits(involved.select(F.col("rep.id").alias("id"), F.col("rep.t").alias("t")), "id", "t")
     texts = own.select("id", "t", "text", bit_of("id", "t").alias("bit"))
-    sets = texts.mapInArrow(_sets(width, window, levels, bits), "n long, p1 long, p2 long, first array<long>, codes array<long>")
-    sets = sets.groupBy("n", "p1", "p2").agg(F.min("first").alias("first"), F.min("codes").alias("codes"))
+    sets = texts.mapInArrow(_sets(width, window, levels, bits), "n long, p1 long, p2 long, ahead long, first array<long>, codes array<long>")
+    sets = sets.groupBy("n", "p1", "p2").agg(F.min("ahead").alias("ahead"), F.min("first").alias("first"), F.min("codes").alias("codes"))
     sets = cut(sets.join(involved.drop("rep"), ["n", "p1", "p2"]).drop("p1", "p2"))
 
     # Joins by window need more first codes than those by link.

@@ -48,7 +48,7 @@ def test_first_codes_meet_all_that_overlap():
         order = metricjoin.Order((levels << np.array([0, 2, 4, 6], np.uint8)).sum(1).astype(np.uint8).tobytes())
         both = len(np.intersect1d(a, b))
         for percent in (60, 80):
-            codes, bounds = order.first(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), percent)
+            codes, bounds, _ = order.first(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]), percent)
             if 100 * both >= percent * (len(a) + len(b) - both):
                 assert len(np.intersect1d(codes[: bounds[1]], codes[bounds[1] :]))
 
