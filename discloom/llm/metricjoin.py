@@ -157,6 +157,24 @@ def _sets(width: int, percent: int, levels, bits: bytes):
     return run
 
 
+def _shared(bits: bytes):
+    """First codes that several classes may have, and how many codes of the set follow each, itself included."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bounds = b.column(4).offsets.to_numpy().astype(np.int64)
+            bounds = bounds - bounds[0]
+            codes = b.column(4).flatten().to_numpy()
+            row = np.repeat(np.arange(b.num_rows), np.diff(bounds))
+            rest = (b.column(1).to_numpy() - b.column(2).to_numpy())[row] - (np.arange(len(codes)) - bounds[:-1][row])
+            keep = np.flatnonzero(has_bit(bits, b.column(5).flatten().to_numpy()))
+            begin = np.searchsorted(row[keep], np.arange(b.num_rows + 1)).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(begin), pa.array(x[keep])) for x in (codes, rest.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), *lists], ["cls", "n", "fame", "first", "rest"])
+
+    return run
+
+
 def _distances(window: int, percent: int):
     """Distances from pivots, of rows sorted by pivot and turn, the pivot itself first in each turn."""
 
@@ -195,12 +213,12 @@ def _distances(window: int, percent: int):
 def _round(firsts: DataFrame, sets: DataFrame, window: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """``(pivots (cls), near (pivot, cls, distance, linked))`` of one round.
 
-    ``firsts (cls, n, ahead, fame, first)`` has the first codes of classes.  ``near``
+    ``firsts (cls, n, fame, first, rest)`` has the first codes of classes.  ``near``
     holds all classes that overlap with a pivot by ``window`` percent of their union.
     What follows the first code that two have bounds their overlap, so most that
     share only frequent codes are told apart before their sets are moved.
     """
-    posted = firsts.select("cls", "n", "fame", "ahead", F.posexplode("first").alias("i", "code")).withColumn("rest", F.col("n") - F.col("ahead") - F.col("i"))
+    posted = firsts.select("cls", "n", "fame", F.explode(F.arrays_zip("first", "rest")).alias("x")).select("cls", "n", "fame", F.col("x.first").alias("code"), F.col("x.rest").alias("rest"))
     rank = F.struct(F.floor(F.log2(F.col("fame") + 1)).alias("fame"), F.xxhash64("cls").alias("salt"), "cls", "n", "rest")
     leads = posted.groupBy("code").agg(F.max(rank).alias("lead"))
     leads = cut(leads.select("code", F.col("lead.cls").alias("lead"), F.col("lead.n").alias("size"), F.col("lead.rest").alias("others")))
@@ -310,7 +328,9 @@ def links(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text"
     sets = cut(sets.join(involved.drop("rep"), ["n", "p1", "p2"]).drop("p1", "p2"))
 
     # Joins by window need more first codes than those by link.
-    firsts, nears = cut(sets.drop("codes")), []
+    firsts, nears = sets.select("cls", "n", "ahead", "fame", "first", F.transform("first", lambda c: bit_of(c)).alias("bits")), []
+    several = firsts.select(F.explode("first").alias("code")).groupBy("code").agg(F.count("*").alias("members")).filter("members > 1")
+    firsts = cut(firsts.mapInArrow(_shared(filter_bits(several, "code")), "cls long, n long, fame long, first array<long>, rest array<int>"))
     settled = None
     for _ in range(rounds):
         pivots, near = _round(firsts, sets, window, percent)
