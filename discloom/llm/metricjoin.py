@@ -44,7 +44,7 @@ HELD = 2_000_000
 #: Rounds of pivots before what is left is compared bucket by bucket.
 ROUNDS = 3
 #: Windows in which the members of a region are kept, from 0 to ``r``.
-WINDOWS = 8
+WINDOWS = 2
 
 
 def _cells(codes: np.ndarray, cells: int) -> np.ndarray:
