@@ -4,7 +4,8 @@ All packets of a batch of sectors are decoded at once from their own rows,
 without a shuffle.  Frames are assembled after one shuffle of the packets by
 stream, in which they are sorted: batch after batch, by rules on whole columns.
 A task holds a batch and the one frame that it leaves unfinished, however long
-the stream is.
+the stream is.  A stream may be cut into segments, which are assembled apart
+once the small states of all of them are known.
 """
 
 from __future__ import annotations
@@ -14,16 +15,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from discloom.functions.timecode import FRAMES_A_MINUTE, FRAMES_A_SECOND, in_range
+from discloom.shared import cut
 
 SECTOR_BYTES = 2048
 AUDIO, SUPPLEMENTARY, PADDING = 2, 3, 7
 #: Packets, and frame infos, that a sector's header has room for.
 MOST = 7
+#: Most sectors that a frame info can say a frame has.
+MOST_SECTORS = 31
+#: Sectors of a segment (2 MB), and segments whose states are sent to every task (some 0.5 TB of images).
+SPAN, BROADCAST_SEGMENTS = 1024, 1 << 18
 INFO = "struct<tc: int, sector_count: int, bits: int>"
 
 
@@ -219,7 +225,47 @@ def _frames(n_keys: int, n_extra: int, lost: bool):
     return run
 
 
-def assemble(packs: DataFrame, keys: list[str], start: str | None = None, end: str | None = None, lost: bool = False) -> DataFrame:
+def _dealt(audio: DataFrame, keys: list[str], span: int) -> DataFrame:
+    """Packets with the segment of ``span`` sectors that their frame begins in (``_home``).
+
+    ``_base`` is the number of frames that begin in earlier segments, and
+    ``_more`` whether any begin in later ones.  What a segment does to an open
+    frame follows from a few numbers, which are merged over the segments of a
+    stream without payload: where its first frame begins, how many do, and
+    whether a segment in which none begins is sure to end the open one.
+    """
+    audio = audio.withColumn("_segment", F.expr(f"lsn div {span}"))
+    opens, place = F.col("frame_start") & F.col("info").isNotNull(), F.struct("lsn", "_pno")
+    states = audio.groupBy(*keys, "_segment").agg(
+        F.count_if(opens).alias("_begins"),
+        F.min(F.when(opens, place)).alias("_first"),
+        ((F.count("*") >= MOST_SECTORS) & (F.sum(F.when(F.col("frame_start"), 0).otherwise(F.col("length"))) > 0)).alias("_ends"),
+    )
+    order = Window.partitionBy(*keys).orderBy("_segment")
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    states = states.select(
+        *keys, "_segment", "_first", "_ends",
+        F.coalesce(F.sum("_begins").over(earlier), F.lit(0)).alias("_before"),
+        F.last(F.when(F.col("_begins") > 0, F.struct("_segment", "_begins")), True).over(earlier).alias("_open"),
+        F.sum("_begins").over(Window.partitionBy(*keys)).alias("_all"), "_begins",
+    )
+    # Segments that share an open frame have the same number of frames before them.
+    between = Window.partitionBy(*keys, "_before").orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1)
+    states = cut(states.withColumn("_ended", F.count_if("_ends").over(between) > 0))
+    names = {k: f"_of_{k}" for k in [*keys, "_segment"]}
+    there = states.withColumnsRenamed(names)
+    there = F.broadcast(there) if states.count() <= BROADCAST_SEGMENTS else there
+    same = F.lit(True)
+    for k, name in names.items():
+        same &= F.col(k).eqNullSafe(F.col(name))
+    own = F.coalesce(place >= F.col("_first"), F.lit(False))
+    packs = audio.join(there, same).filter(own | (F.col("_open").isNotNull() & ~F.col("_ended")))
+    base = F.when(own, F.col("_before")).otherwise(F.col("_before") - F.col("_open._begins"))
+    more = F.when(own, F.col("_all") > F.col("_before") + F.col("_begins")).otherwise(F.col("_all") > F.col("_before"))
+    return packs.select(*audio.drop("_segment").columns, F.when(own, F.col("_segment")).otherwise(F.col("_open._segment")).alias("_home"), base.alias("_base"), more.alias("_more"))
+
+
+def assemble(packs: DataFrame, keys: list[str], start: str | None = None, end: str | None = None, lost: bool = False, span: int | None = None) -> DataFrame:
     """Frames of each stream: ``keys, fid, tc, sector_count, done, raw, kept``.
 
     A stream is what shares ``keys``, ordered by ``lsn, pno``.  A frame begins
@@ -232,18 +278,34 @@ def assemble(packs: DataFrame, keys: list[str], start: str | None = None, end: s
     passed over.  With ``lost``, lost frames have rows too, with null ``raw`` and
     ``lost`` true, which is a column then.
 
-    Packets are shuffled once.  A stream, which a disc's size bounds, is one
-    task's work, as a sorted sequence of batches.
+    Without ``span``, packets are shuffled once and a stream, which a disc's
+    size bounds, is one task's work, as a sorted sequence of batches.  With it,
+    a stream is cut into segments of ``span`` sectors, which are worked on
+    apart, with the same frames: ``packs`` is read a second time, without
+    payload, for the state of each segment.  Packets are still shuffled once
+    while there are up to ``BROADCAST_SEGMENTS`` segments, and twice above.
     """
     extra = [c for c in (start, end) if c]
     audio = packs.filter(F.col("data_type") == AUDIO).select(*keys, "lsn", "frame_start", "length", "info", "payload", *(F.col(c).alias(f"_{c}") for c in extra), F.col("pno").alias("_pno"))
-    audio = audio.repartition(*keys).sortWithinPartitions(*keys, "lsn", "_pno").drop("_pno")
-    schema = _schema([packs.schema[k] for k in keys], "fid long, tc int, sector_count int, done boolean, raw binary")
-    for c in extra:
-        schema = schema.add(f"_{c}", packs.schema[c].dataType)
-    frames = audio.mapInArrow(_frames(len(keys), len(extra), lost), schema)
-    kept = in_range(F.col("tc"), F.col(f"_{start}"), F.col(f"_{end}")) if start and end else F.lit(True)
     more = [F.col("raw").isNull().alias("lost")] if lost else []
+    held, fields = [*keys], [packs.schema[k] for k in keys]
+    along = [(f"_{c}", packs.schema[c].dataType) for c in extra]
+    if span:
+        audio = _dealt(audio, keys, span)
+        held, fields = [*keys, "_home"], [*fields, T.StructField("_home", T.LongType())]
+        along += [("_base", T.LongType()), ("_more", T.BooleanType())]
+    audio = audio.select(*held, "lsn", "frame_start", "length", "info", "payload", *(c for c, _ in along), "_pno")
+    audio = audio.repartition(*held).sortWithinPartitions(*held, "lsn", "_pno").drop("_pno")
+    schema = _schema(fields, "fid long, tc int, sector_count int, done boolean, raw binary")
+    for c, kind in along:
+        schema = schema.add(c, kind)
+    frames = audio.mapInArrow(_frames(len(held), len(along), lost), schema)
+    if span:
+        # The last frame of a segment is the stream's last only if none begins later.
+        whole = F.col("done") | ~F.col("_more")
+        frames = frames.withColumn("fid", F.col("fid") + F.col("_base")).withColumn("raw", F.when(whole, F.col("raw")))
+        frames = frames if lost else frames.filter(whole)
+    kept = in_range(F.col("tc"), F.col(f"_{start}"), F.col(f"_{end}")) if start and end else F.lit(True)
     return frames.select(*keys, "fid", "tc", "sector_count", "done", "raw", kept.alias("kept"), *more)
 
 

@@ -75,7 +75,7 @@ def track_frames(images: DataFrame | Images, tables: Tables, selection: str | No
     parts = toc.as_images(images).within(plan)
     keys = [*KEYS, "track_no"]
     packs = demux.packets(parts.filter("frame_format = 0"), [*keys, "channels", "tc_start", "tc_end"])
-    frames = demux.assemble(packs, [*keys, "channels", "tc_start", "tc_end"], lost=True)
+    frames = demux.assemble(packs, [*keys, "channels", "tc_start", "tc_end"], lost=True, span=demux.SPAN)
     inside = demux.in_range(F.col("tc"), F.col("tc_start"), F.col("tc_end"))
     frames = frames.select(*keys, "channels", F.lit(True).alias("compressed"), F.col("fid").alias("order_no"), "raw", F.col("lost").alias("_lost"), (inside & ~F.col("lost")).alias("_own"))
     plain = demux.plain_sectors(parts.filter("frame_format <> 0"), [*keys, "channels"])

@@ -3,6 +3,7 @@ import random
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from discloom.operators import demux
 from discloom.plans.synthesis import audio_sectors
@@ -19,9 +20,9 @@ def sector(packs, infos):
     return (head + b"".join(x for *_, x in packs)).ljust(2048, b"\0")
 
 
-def frames(spark, rows):
+def frames(spark, rows, span=None):
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
-    got = demux.assemble(demux.packets(df, ["image"]), ["image"]).collect()
+    got = demux.assemble(demux.packets(df, ["image"]), ["image"], span=span).collect()
     return {image: [(r.tc, bytes(r.raw)) for r in sorted(got, key=lambda r: r.fid) if r.image == image] for image in {r[0] for r in rows}}
 
 
@@ -115,6 +116,41 @@ def test_batches_of_a_stream_join_up(spark, rows):
     assert got == {name: machine(own) for name, own in streams.items()}
 
 
+@pytest.mark.parametrize("span", [1, 3, 8, 1000])
+def test_segments_give_the_frames_of_whole_streams(spark, span):
+    rng = random.Random(span)
+    streams = {}
+    for name in ("often", "seldom", "never", "empty", "long", None):
+        begins = {"often": 0.6, "seldom": 0.05, "never": 0, "long": 0.02}.get(name, 0.3)
+        own = []
+        for _ in range(80):
+            size = 0 if name == "empty" else 20
+            packs = [(int(rng.random() < begins), rng.choice([2, 2, 2, 3]), bytes(rng.randrange(1 + size))) for _ in range(rng.randrange(8))]
+            starts = sum(a for a, kind, _ in packs if kind == 2)
+            own.append((packs, [(0, rng.randrange(4), rng.randrange(75), rng.choice([1, 2, 9, 31])) for _ in range(starts - (rng.random() < 0.2 and starts > 0))]))
+        streams[name] = own
+    rows = [(name, i + 7, sector(*x)) for name, own in streams.items() for i, x in enumerate(own)]
+    got = frames(spark, rows, span)
+    assert {k: got.get(k, []) for k in streams} == {name: machine(own) for name, own in streams.items()}
+    packs = demux.packets(spark.createDataFrame(rows, SCHEMA), ["image"])
+    columns = ["image", "fid", "tc", "sector_count", "done", "raw", "lost"]
+    whole, apart = (demux.assemble(packs, ["image"], lost=True, span=x).select(columns) for x in (None, span))
+    assert sorted(map(str, apart.collect())) == sorted(map(str, whole.collect()))
+
+
+def test_a_stream_in_segments_is_many_tasks(spark):
+    rows = [("x", lsn, data) for lsn, data in audio_sectors([(t, bytes([t % 251]) * 1500) for t in range(400)])]
+    packs = demux.packets(spark.createDataFrame(rows, SCHEMA), ["image"])
+    was = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = demux.assemble(packs, ["image"], span=32).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", was)
+    assert len(got) == 400 and len({r.task for r in got}) > 3
+    assert max(sum(r.task == t for r in got) for t in {r.task for r in got}) < 300
+
+
 def test_timecode_filter_and_counters(spark):
     rows = [("x", lsn, data) for lsn, data in audio_sectors([(t, bytes([t]) * 900) for t in range(10)])]
     packs = demux.packets(spark.createDataFrame(rows, SCHEMA), ["image"]).selectExpr("*", "3 AS a", "6 AS b")
