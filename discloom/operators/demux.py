@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from discloom.functions.timecode import FRAMES_A_MINUTE, FRAMES_A_SECOND, in_range
-from discloom.shared import cut
+from discloom.shared import sent
 
 SECTOR_BYTES = 2048
 AUDIO, SUPPLEMENTARY, PADDING = 2, 3, 7
@@ -28,8 +28,8 @@ AUDIO, SUPPLEMENTARY, PADDING = 2, 3, 7
 MOST = 7
 #: Most sectors that a frame info can say a frame has.
 MOST_SECTORS = 31
-#: Sectors of a segment (2 MB), and segments whose states are sent to every task (some 0.5 TB of images).
-SPAN, BROADCAST_SEGMENTS = 1024, 1 << 18
+#: Sectors of a segment (2 MB).
+SPAN = 1024
 INFO = "struct<tc: int, sector_count: int, bits: int>"
 
 
@@ -136,7 +136,7 @@ def _cut(buffer: pa.Buffer | None, begins: np.ndarray, sizes: np.ndarray) -> pa.
     return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(source[from_where])])
 
 
-def _changes(column: pa.Array) -> np.ndarray:
+def changes(column: pa.Array) -> np.ndarray:
     """Whether each value but the first differs from the one before it; null equals null."""
     a, b = column.slice(1), column.slice(0, len(column) - 1)
     differ = pc.fill_null(pc.not_equal(a, b), False).to_numpy(zero_copy_only=False)
@@ -152,7 +152,7 @@ def _frames(n_keys: int, n_extra: int, lost: bool):
         new = np.zeros(n, bool)
         new[:1] = True
         for i in range(n_keys):
-            new[1:] |= _changes(table.column(i).combine_chunks())
+            new[1:] |= changes(table.column(i).combine_chunks())
         column = lambda i: table.column(n_keys + i).combine_chunks()
         info = column(3)
         lsn, start, length = column(0).to_numpy(), column(1).to_numpy(zero_copy_only=False), column(2).to_numpy()
@@ -251,10 +251,8 @@ def _dealt(audio: DataFrame, keys: list[str], span: int) -> DataFrame:
     )
     # Segments that share an open frame have the same number of frames before them.
     between = Window.partitionBy(*keys, "_before").orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1)
-    states = cut(states.withColumn("_ended", F.count_if("_ends").over(between) > 0))
     names = {k: f"_of_{k}" for k in [*keys, "_segment"]}
-    there = states.withColumnsRenamed(names)
-    there = F.broadcast(there) if states.count() <= BROADCAST_SEGMENTS else there
+    there = sent(states.withColumn("_ended", F.count_if("_ends").over(between) > 0).withColumnsRenamed(names))
     same = F.lit(True)
     for k, name in names.items():
         same &= F.col(k).eqNullSafe(F.col(name))
@@ -283,7 +281,7 @@ def assemble(packs: DataFrame, keys: list[str], start: str | None = None, end: s
     a stream is cut into segments of ``span`` sectors, which are worked on
     apart, with the same frames: ``packs`` is read a second time, without
     payload, for the state of each segment.  Packets are still shuffled once
-    while there are up to ``BROADCAST_SEGMENTS`` segments, and twice above.
+    while there are up to ``SENT_ROWS`` segments (0.5 TB), and twice above.
     """
     extra = [c for c in (start, end) if c]
     audio = packs.filter(F.col("data_type") == AUDIO).select(*keys, "lsn", "frame_start", "length", "info", "payload", *(F.col(c).alias(f"_{c}") for c in extra), F.col("pno").alias("_pno"))

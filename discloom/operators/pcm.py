@@ -6,10 +6,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from discloom.functions.binary import REVERSED_BYTES, nul_padded
+from discloom.operators.demux import changes
 
 BLOCK = 4096
 #: Frames that are decoded at once, by decoders of one frame and of many.
@@ -56,50 +57,97 @@ def decode(frames: DataFrame, decoder: DecoderFactory | None = None, raw: str =
     return frames.mapInArrow(run, frames.schema)
 
 
+class _Stream:
+    """A stream's channels: the block that each has come to, where in it its bytes begin, and the bytes themselves."""
+
+    def __init__(self, channels: int, before: int) -> None:
+        self.channels, self.at = channels, 0
+        self.block, self.inside = [before // BLOCK] * channels, [before % BLOCK] * channels
+        self.held = [np.zeros(0, np.uint8)] * channels
+
+    def add(self, data: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+        """Blocks that ``data``, the stream's next bytes, fills."""
+        own = REVERSED_BYTES[data]
+        for c in range(self.channels):
+            line = np.concatenate([self.held[c], own[(c - self.at) % self.channels :: self.channels]])
+            low, high = 0, BLOCK - self.inside[c]
+            while high <= len(line):
+                yield self.block[c], c, line[low:high].tobytes()
+                self.block[c], self.inside[c], low, high = self.block[c] + 1, 0, high, high + BLOCK
+            self.held[c] = line[low:].copy()
+        self.at += len(data)
+
+    def rest(self) -> Iterator[tuple[int, int, bytes]]:
+        for c, line in enumerate(self.held):
+            if len(line):
+                yield self.block[c], c, line.tobytes()
+
+
+def _laid(n_keys: int, names: list[str]):
+    """Blocks of rows sorted by stream and place: columns keys, bytes before, channels, bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream, key = None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            # The open stream's keys come before those of the batch.
+            before = int(stream is not None)
+            keys = [b.column(i) if key is None else pa.concat_arrays([key[i], b.column(i)]) for i in range(n_keys)]
+            new = np.zeros(b.num_rows + before, bool)
+            new[0] = True
+            for k in keys:
+                new[1:] |= changes(k)
+            edges = [*np.flatnonzero(new).tolist(), len(new)]
+            base, count, raws = (b.column(n_keys + i) for i in range(3))
+            offsets = np.frombuffer(raws.buffers()[1], np.int32)[raws.offset :]
+            data = np.frombuffer(raws.buffers()[2] or b"", np.uint8)
+            rows, found = [], []
+
+            def take(row: int, parts: Iterator[tuple[int, int, bytes]], rows=rows, found=found) -> None:
+                for x in parts:
+                    rows.append(row)
+                    found.append(x)
+
+            for low, high in zip(edges, edges[1:], strict=False):
+                first = max(low - before, 0)
+                if low or not before:
+                    if stream is not None:
+                        take(low - 1, stream.rest())
+                    stream = _Stream(count[first].as_py(), base[first].as_py())
+                take(low, stream.add(data[offsets[first] : offsets[high - before]]))
+            yield _block_rows([k.take(pa.array(rows, pa.int32())) for k in keys], found, names)
+            key = [k.slice(len(k) - 1) for k in keys]
+        if stream is not None:
+            found = list(stream.rest())
+            yield _block_rows([k.take(pa.array([0] * len(found), pa.int32())) for k in key], found, names)
+
+    return run
+
+
+def _block_rows(keys: list[pa.Array], found: list[tuple[int, int, bytes]], names: list[str]) -> pa.RecordBatch:
+    block, channel, data = zip(*found, strict=True) if found else ((), (), ())
+    return pa.RecordBatch.from_arrays([*keys, pa.array(block, pa.int64()), pa.array(channel, pa.int32()), pa.array(data, pa.binary())], [*names, "block_no", "channel", "bytes"])
+
+
 def blocks(samples: DataFrame, keys: list[str], order: str, raw: str = "raw", channels: str = "channels", start: str | None = None) -> DataFrame:
     """Blocks of one channel's bytes, in file bit order: ``keys, block_no, channel, bytes``.
 
     The bytes of a stream (what shares ``keys``, by ``order``) go round the
     channels.  ``start`` names a column with the bytes of each channel that come
     before the stream, which is where a gapless album's track begins; the first
-    and last block may then be parts.  Bytes move twice: to their stream (a
-    track, whose size a disc bounds) and to their block.
+    and last block may then be parts.  Null bytes are none.
+
+    Bytes are shuffled once, to their stream, and go through as a sorted
+    sequence of batches; a task holds a batch and what is left of one block of
+    each channel.  A stream is a track, whose file one task writes anyway.
     """
-    w = Window.partitionBy(*keys).orderBy(order)
-    size = F.length(raw).cast("long")
-    placed = samples.withColumn("_at", F.sum(size).over(w) - size)
     base = F.coalesce(F.col(start), F.lit(0)).cast("long") if start else F.lit(0).cast("long")
-    placed = placed.select(*keys, "_at", base.alias("_base"), F.col(channels).cast("int").alias("_n"), F.col(raw).alias("_raw"))
-    schema = samples.select(*keys).schema
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at, base, count, raws = (b.column(len(keys) + i) for i in range(4))
-            rows, found = [], []
-            for i, (start_byte, before, n, data) in enumerate(zip(at.to_pylist(), base.to_pylist(), count.to_pylist(), raws, strict=True)):
-                own = REVERSED_BYTES[np.frombuffer(data.as_py() or b"", np.uint8)]
-                for c in range(n):
-                    first = (c - start_byte) % n
-                    line = own[first::n]
-                    place = before + (start_byte + first) // n
-                    done = 0
-                    while done < len(line):
-                        block, inside = divmod(place + done, BLOCK)
-                        take = min(BLOCK - inside, len(line) - done)
-                        rows.append(i)
-                        found.append((block, c, inside, line[done : done + take].tobytes()))
-                        done += take
-            which = pa.array(rows, pa.int32())
-            columns = [b.column(i).take(which) for i in range(len(keys))]
-            block, channel, inside, part = zip(*found, strict=True) if found else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(block, pa.int64()), pa.array(channel, pa.int32()), pa.array(inside, pa.int32()), pa.array(part, pa.binary())],
-                [*keys, "block_no", "channel", "inside", "part"],
-            )
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    parts = placed.mapInArrow(cut, f"{fields}, block_no long, channel int, inside int, part binary")
-    return parts.groupBy(*keys, "block_no", "channel").agg(F.expr("listagg(part) WITHIN GROUP (ORDER BY inside)").alias("bytes"))
+    data = F.coalesce(F.col(raw), F.lit(bytearray()))
+    placed = samples.select(*keys, base.alias("_base"), F.col(channels).cast("int").alias("_n"), data.alias("_raw"), F.col(order).alias("_order"))
+    placed = placed.repartition(*keys).sortWithinPartitions(*keys, "_order").drop("_order")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in samples.select(*keys).schema)
+    return placed.mapInArrow(_laid(len(keys), keys), f"{fields}, block_no long, channel int, bytes binary")
 
 
 def padded(blocks: DataFrame) -> DataFrame:

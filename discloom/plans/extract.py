@@ -11,7 +11,7 @@ from discloom import layouts as L
 from discloom.functions.binary import sanitized
 from discloom.operators import demux, lossless, pcm, report, tag, toc, tracks
 from discloom.operators.pcm import DecoderFactory
-from discloom.shared import cut
+from discloom.shared import cut, sent, written
 from discloom.sources import dsf
 from discloom.sources.sectors import FileImages, Images
 
@@ -112,14 +112,15 @@ def audio_files(
     frames = track_frames(images, tables, selection, seen, **areas)
     plain, packed = frames.filter("NOT compressed"), frames.filter("compressed")
     samples = plain.unionByName(pcm.decode(packed, decoder or pcm.no_decoder)).drop("compressed")
-    # A track's decoded size is an aggregate of its frames, and known before any byte is placed.
-    sizes = samples.groupBy(*keys).agg(F.first("channels").alias("channels"), F.sum(F.length("raw")).alias("bytes"))
+    # Written, so that frames are decoded once.  A track's decoded size is known before any byte is placed, from lengths alone.
+    samples = written(samples.withColumn("size", F.length("raw").cast("long")))
+    sizes = samples.groupBy(*keys).agg(F.first("channels").alias("channels"), F.sum("size").alias("bytes"))
     counts = tables.areas.select(*KEYS, F.col("track_count").cast("int").alias("track_count"))
     sizes = sizes.join(counts, KEYS).withColumn("len", F.expr("(bytes + channels - 1) div channels"))
     sizes = tracks.gapless(sizes, KEYS, carry=carry)
     # What an earlier track hands on begins this one's first block.
     start = sizes.select(*keys, "carries", "blocks", "start_byte", F.expr("start_byte div 4096").alias("first_block"), F.expr("end_byte div 4096").alias("last_block"))
-    placed = pcm.blocks(samples.join(start.select(*keys, "start_byte"), keys), keys, "order_no", start="start_byte")
+    placed = pcm.blocks(samples.join(sent(start.select(*keys, "start_byte")), keys), keys, "order_no", start="start_byte")
     placed = _handed_on(placed, start, keys) if carry else placed
     tagged = tag.with_tags(tables.tracks, tables.discs).select(*keys, "title", "id3")
     names = _one_of_each(tables.discs.select("image", "disc_title", "disc_artist", image_folder(F.col("image")).alias("folder")), "folder")

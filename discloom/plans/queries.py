@@ -130,7 +130,7 @@ def audio_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole audio files, tails handed on, of the stereo and multichannel tracks of a disc for each region."""
     images = cut(synthesis.nation_discs(_table(spark, sf_dir, "nation")))
     rows = extract.audio_files(images, read_tables(images), carry=True)
-    whole = rows.groupBy("folder", "file").agg(F.first("header").alias("h"), F.expr("listagg(bytes) WITHIN GROUP (ORDER BY block_no * 8 + channel)").alias("b"), F.first("id3").alias("t"))
+    whole = rows.groupBy("folder", "file").agg(F.first("header", True).alias("h"), F.expr("listagg(bytes) WITHIN GROUP (ORDER BY block_no * 8 + channel)").alias("b"), F.first("id3", True).alias("t"))
     content = F.concat("h", F.coalesce("b", F.lit(bytearray())), "t")
     return whole.select("folder", "file", F.length(content).cast("long").alias("bytes"), F.md5(F.hex(content).cast("binary")).alias("digest"))
 

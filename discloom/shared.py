@@ -3,8 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a table of tracks or segments that are sent to every task: some tens of MB.
+SENT_ROWS = 1 << 18
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,3 +32,16 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Cut lineage with a Parquet table in the shared folder, of which later uses read the columns that they need."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def sent(df: DataFrame, most: int = SENT_ROWS) -> DataFrame:
+    """``df`` with its lineage cut, marked for broadcast if it has up to ``most`` rows."""
+    held = cut(df)
+    return F.broadcast(held) if held.count() <= most else held

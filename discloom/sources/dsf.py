@@ -1,9 +1,9 @@
 """Audio files and images: sinks that write each file once and show all of a job's files or none.
 
 ``files.write.format("dsf_files").mode("append").save(folder)`` takes rows
-``folder, file, header, block_no, channel, bytes, id3``, dealt by file and
+``folder, file, block_no, channel, bytes, header, id3``, dealt by file and
 sorted in it (see :func:`file_rows`); each image has a folder of its own.  The
-header's sizes are aggregates known before writing, so nothing is patched
+first row of a file has its header and tag.  The header's sizes are aggregates known before writing, so nothing is patched
 afterwards.
 
 Both sinks commit in two phases.  The driver makes a staging folder for the job;
@@ -34,6 +34,7 @@ from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMes
 
 from discloom.functions.binary import le_bytes
 from discloom.functions.timecode import SAMPLE_RATE, channel_type
+from discloom.shared import sent
 
 HEADER = 92
 
@@ -52,7 +53,7 @@ def header(channels: Column, block_bytes: Column, samples: Column) -> Column:
 
 
 def file_rows(blocks: DataFrame, tracks: DataFrame, keys: list[str]) -> DataFrame:
-    """Blocks with their file's header and tag, dealt and sorted for the sink.
+    """Each file's header and tag, in a row before its blocks, dealt and sorted for the sink.
 
     ``tracks`` has ``keys, folder, file, channels, blocks, bytes`` (sample bytes
     of all channels), ``carries`` and ``id3``.  A track that hands its tail on
@@ -62,9 +63,10 @@ def file_rows(blocks: DataFrame, tracks: DataFrame, keys: list[str]) -> DataFram
     samples = F.when(F.col("carries"), F.col("blocks") * (4096 * 8)).otherwise(F.expr("bytes div channels * 8")).cast("long")
     t = tracks.withColumn("_tag_bytes", F.length("id3").cast("long"))
     t = t.withColumn("header", header(F.col("channels").cast("long"), size, samples))
-    # A track whose few bytes are all handed on has a file without blocks.
-    rows = t.select(*keys, "folder", "file", "header", "id3").join(blocks, keys, "left")
-    rows = rows.select("folder", "file", "block_no", "channel", "bytes", "header", "id3")
+    # A file's first row has no block: a track whose few bytes are all handed on has no other.
+    files = t.select("folder", "file", F.lit(-1).cast("long").alias("block_no"), F.lit(None).cast("int").alias("channel"), F.lit(None).cast("binary").alias("bytes"), "header", "id3")
+    body = blocks.join(sent(tracks.select(*keys, "folder", "file")), keys).select("folder", "file", "block_no", "channel", "bytes")
+    rows = files.unionByName(body, allowMissingColumns=True)
     return rows.repartition("folder", "file").sortWithinPartitions("folder", "file", "block_no", "channel")
 
 

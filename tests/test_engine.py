@@ -396,6 +396,26 @@ def test_blocks_follow_a_sequential_writer(spark):
     assert not got
 
 
+@pytest.mark.parametrize("rows", ["1", "7", "10000"])
+def test_blocks_of_many_streams(spark, rows):
+    lengths = [0, 1, 5, 4095, 4096, 4097, 9000]
+    streams = {(k, n): [(i, bytes((k * 7 + i + j) & 255 for j in range(lengths[(k + i * i) % 7])), n, k * 1000) for i in range(k)] for k in range(1, 9) for n in (1, 2, 6)}
+    df = spark.createDataFrame([(*key, *x) for key, own in streams.items() for x in own], "k int, c int, n int, raw binary, channels int, begin int").repartition(5)
+    want = {}
+    for key, own in streams.items():
+        flat, n, before = b"".join(x[1] for x in own), own[0][2], own[0][3]
+        for c in range(n):
+            for i, byte in enumerate(flat[c::n]):
+                want.setdefault((*key, (before + i) // 4096, c), bytearray()).append(int(f"{byte:08b}"[::-1], 2))
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+        got = pcm.blocks(df, ["k", "c"], "n", start="begin").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    assert len(got) == len(want) and {(r.k, r.c, r.block_no, r.channel): bytes(r.bytes) for r in got} == want
+
+
 def test_file_source_reads_ranges(spark, tmp_path):
     path = tmp_path / "a.iso"
     path.write_bytes(b"".join(i.to_bytes(2, "big") * 1024 for i in range(1000)) + b"rest")
