@@ -6,8 +6,8 @@ w has exactly w.  Block i of source s is released at slot floor(i * W / w) and
 due by slot ceil((i + 1) * W / w).  Running the released block with the earliest
 deadline in every slot meets all deadlines, so after any number of slots each
 source is less than one block away from its weight.  After W slots all lags are
-zero and the schedule repeats: it is computed once, and the slot of any block
-follows from its number alone.
+zero and the schedule repeats: it is computed once, as far as there are blocks,
+and the slot of any block follows from its number alone.
 
 Sources of equal weight have equal releases and deadlines and take turns, so
 the schedule is worked out for the distinct weights, of which there are at most
@@ -27,12 +27,21 @@ from discloom.llm.support import cut, fresh
 
 #: Sum of the weights that sources have by default, about.
 PARTS = 1000
-#: Largest sum of weights; a sum above it is an error, not a reason to round.
-MOST_SLOTS = 100_000
+#: Parts of a source's default weight at least, on average, so that weights differ however many sources there are.
+SOURCE_PARTS = 8
+#: Slots that are worked out at once.
+TURN = 1 << 18
 #: Rows of one block of a source.
 BLOCK_ROWS = 32
 
 
+#: Greatest common divisor of the weights, by Euclid's steps: 92 do for any two long numbers.
+COMMON = """
+    aggregate(collect_set(weight), 0L, (g, w) -> aggregate(sequence(1, 92), named_struct('a', g, 'b', w),
+        (p, i) -> if(p.b = 0, p, named_struct('a', p.b, 'b', p.a % p.b))).a)
+"""
+
+
 def whole_weights(weights: dict[str | None, float]) -> dict[str | None, int]:
     """The least whole numbers in exactly the proportions of ``weights``; 0.1 is taken as one tenth."""
     exact = {k: Fraction(str(v)) for k, v in weights.items()}
@@ -50,13 +59,15 @@ def target_weights(counts: DataFrame, weights: dict[str | None, float] | DataFra
     ``weights`` maps sources to their weights, as a dict or as rows ``(source,
     weight long)`` with distinct sources; a source that it leaves out has weight
     0.  By default a source's weight is the square root of its rows in ``parts``
-    parts of all, a whole number and 1 at least.  Sources without rows take no
-    part.  There is one row for each source, so the windows here are narrow.
+    parts of all, or in eight parts a source if these are more; a whole number
+    and 1 at least.  Sources without rows take no part.  There is one row for
+    each source, so the windows here are narrow.
     """
     every = Window.partitionBy(F.lit(0))
     counts = counts.withColumn("idx", (F.row_number().over(every.orderBy(F.col("source").asc_nulls_first())) - 1).cast("int"))
     if weights is None:
         root = F.sqrt(F.col("rows").cast("double"))
+        parts = F.greatest(F.lit(parts), F.count("*").over(every) * SOURCE_PARTS)
         weight = F.greatest(F.lit(1), F.floor(F.round(root * parts / F.sum(root).over(every), 6) + 0.5)).cast("long")
         return counts.select("source", "rows", "idx", weight.alias("weight"))
     if isinstance(weights, dict):
@@ -66,40 +77,60 @@ def target_weights(counts: DataFrame, weights: dict[str | None, float] | DataFra
         return counts.select("source", "rows", "idx", weight.cast("long").alias("weight"))
     given = weights.select(F.col("source").alias("of"), F.col("weight").cast("long").alias("weight"))
     joined = counts.join(given, F.col("source").eqNullSafe(F.col("of")), "left")
-    return joined.select("source", "rows", "idx", F.coalesce("weight", F.lit(0).cast("long")).alias("weight"))
+    joined = joined.select("source", "rows", "idx", F.coalesce("weight", F.lit(0).cast("long")).alias("weight"))
+    # Divided by what they have in common: the schedule is the same, its cycle shorter.
+    joined = cut(joined)
+    common = joined.agg(F.expr(COMMON)).first()[0] or 1
+    return joined.withColumn("weight", F.expr(f"weight div {common}L"))
 
 
-#: Slots, one after another: of each distinct weight the next block's deadline, place, release and number among all blocks of that weight.
+#: Slots from ``low`` to ``high``, one after another: of each distinct weight the next block's deadline, place, release and number
+#: among all blocks of that weight.
 FOLD = """
-    aggregate(sequence(0L, cycle - 1, 512L),
-        named_struct('next', transform(kinds, (k, j) -> named_struct('due', (cycle + k.w - 1) div k.w, 'j', j, 'release', 0L, 'ran', 0L)), 'order', cast(array() AS array<int>)),
+    transform(array(aggregate(sequence({low}L, {high}L - 1, 512L), named_struct('next', next, 'order', cast(array() AS array<array<int>>)),
         (o, low) -> transform(array(
-            aggregate(sequence(low, least(low + 511, cycle - 1)), named_struct('next', o.next, 'order', cast(array() AS array<int>)),
+            aggregate(sequence(low, least(low + 511, {high}L - 1)), named_struct('next', o.next, 'order', cast(array() AS array<int>)),
                 (s, t) -> transform(array(array_min(transform(s.next, n -> if(n.release <= t, n, null)))), pick -> named_struct(
                     'next', transform(s.next, n -> if(n.j = pick.j, named_struct(
                         'due', ((((n.ran + 1) div kinds[n.j].m) + 1) * cycle + kinds[n.j].w - 1) div kinds[n.j].w, 'j', n.j,
                         'release', (((n.ran + 1) div kinds[n.j].m) * cycle) div kinds[n.j].w, 'ran', n.ran + 1), n)),
                     'order', concat(s.order, array(pick.j))))[0])
-        ), r -> named_struct('next', r.next, 'order', concat(o.order, r.order)))[0]).order
+        ), r -> named_struct('next', r.next, 'order', concat(o.order, array(r.order))))[0])),
+    o -> named_struct('next', o.next, 'order', flatten(o.order)))[0]
 """
+FIRST = "transform(kinds, (k, j) -> named_struct('due', (cycle + k.w - 1) div k.w, 'j', j, 'release', 0L, 'ran', 0L))"
 
 
-def schedule(shares: DataFrame) -> DataFrame:
-    """Earliest deadline first until all lags are zero: ``idx int, nth long, at int, cycle long``.
+def schedule(shares: DataFrame, slots: int | None = None) -> DataFrame:
+    """Earliest deadline first until all lags are zero: ``idx int, nth long, at long, cycle long``.
 
     ``at`` is the slot of the ``nth`` block of a source with a weight.  Of blocks
     with one deadline, that of the heavier source comes first, then that of the
-    lesser ``idx``.  One array of distinct weights is folded over the slots, so
-    work and memory are bounded by the sum of the weights.
+    lesser ``idx``.  ``slots`` is how many are wanted where that is fewer.  One
+    array of distinct weights is folded over the slots, in turns of ``TURN``
+    slots that each write theirs and hand the array on: a task's memory is
+    bounded by a turn and the weights, and the time is linear in the slots.
     """
     own = shares.filter("weight > 0").select("idx", "weight")
     turn = (F.row_number().over(Window.partitionBy("weight").orderBy("idx")) - 1).cast("long")
     members = own.select("idx", "weight", turn.alias("turn"))
     kinds = own.groupBy("weight").agg(F.count("*").alias("m"))
     one = kinds.groupBy().agg(F.expr("sort_array(collect_list(struct(weight AS w, m)), false)").alias("kinds"), F.sum(F.col("weight") * F.col("m")).alias("cycle"))
-    ran = one.filter(F.size("kinds") > 0).select("kinds", "cycle", F.expr(FOLD).alias("order")).select("kinds", "cycle", F.posexplode("order").alias("at", "j"))
+    one = cut(one.select("kinds", F.coalesce("cycle", F.lit(0).cast("long")).alias("cycle"), F.expr(FIRST).alias("next")))
+    cycle = one.first()["cycle"]
+    end, turns = cycle if slots is None else min(cycle, slots), []
+    for low in range(0, max(end, 1), TURN):
+        ran = one.filter(F.size("kinds") > 0)
+        if low < end:
+            ran = cut(ran.select("kinds", "cycle", F.expr(FOLD.format(low=low, high=min(low + TURN, end))).alias("r")))
+            one = ran.select("kinds", "cycle", "r.next")
+        else:
+            ran = ran.select("kinds", "cycle", F.struct("next", F.expr("cast(array() AS array<int>)").alias("order")).alias("r"))
+        turns.append(ran.select("kinds", "cycle", F.posexplode("r.order").alias("at", "j")).withColumn("at", F.col("at") + F.lit(low).cast("long")))
+    ran = reduce(DataFrame.unionByName, turns)
     kind = F.get("kinds", F.col("j"))
-    ran = ran.select("at", "cycle", kind["w"].alias("weight"), kind["m"].alias("m"), (F.row_number().over(Window.partitionBy("j").orderBy("at")) - 1).alias("k"))
+    ran = ran.select("at", "cycle", kind["w"].alias("weight"), kind["m"].alias("m"))
+    ran = ran.withColumn("k", F.row_number().over(Window.partitionBy("weight").orderBy("at")) - 1)
     ran = ran.select("at", "cycle", "weight", F.expr("k div m").alias("nth"), (F.col("k") % F.col("m")).alias("turn"))
     return ran.join(members, ["weight", "turn"]).select("idx", "nth", "at", "cycle")
 
@@ -134,10 +165,11 @@ def mix(
     held = held.withColumn("before", F.sum("n").over(Window.partitionBy("source").orderBy("part")) - F.col("n"))
     counts = held.groupBy("source").agg(F.sum("n").alias("rows"))
     shares = cut(target_weights(counts, weights, parts).withColumn("blocks", F.expr(f"(rows + {block_rows - 1}) div {block_rows}")))
-    total = shares.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]
-    if total > MOST_SLOTS:
-        raise ValueError(f"the weights add up to {total} slots; {MOST_SLOTS} are the most")
-    plan = cut(schedule(shares))
+    # No block that there is runs after its deadline, nor the first one that a source lacks; later slots of the cycle aren't needed.
+    total = F.sum("weight").over(Window.partitionBy(F.lit(0))).cast("decimal(38,0)")
+    ends = shares.filter("weight > 0").select(F.ceil((F.col("blocks") + 1) * total / F.col("weight")).alias("end"))
+    wanted = ends.agg(F.max("end")).first()[0]
+    plan = cut(schedule(shares, None if wanted is None else int(wanted)))
 
     # The first block that each source does not have (a part of one is not enough) bounds the mixture; its last block ends it.
     def slots_of(block: str) -> DataFrame:
