@@ -34,17 +34,21 @@ from discloom.llm.support import cut
 LEAST_VOTES = 2
 #: Paths with votes that are sent to every task; with more of them, pages meet them by host.
 BROADCAST_PATHS = 1 << 20
+#: An element beside the text is taken for it, if it holds more than this many times all other text.
+BESIDE_TIMES = 8
 #: Pages of one host in one task's turn where they meet by host, and hosts that may need several turns.
 TURN_PAGES, LARGE_HOSTS = 10_000, 100_000
 
 # Element names and class words.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template svg math xmp noframes".split())
-DROPPED = frozenset("head nav footer aside button select dialog menu".split()) | RAW
+DROPPED = frozenset("head nav footer select menu".split()) | RAW
+#: Boilerplate unless nothing else on the page comes near what they hold.
+BESIDE = frozenset("aside dialog".split())
 #: Boilerplate unless they hold what pages are about.
 DOUBTED = frozenset("header form".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split()
+    "a abbr acronym b bdi bdo big button cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split()
 )
 CONTAINERS = frozenset("body main article section div td center form".split())
 #: An open element of the second kind ends where one of the first begins.
@@ -71,6 +75,8 @@ LAYOUT_WORDS = frozenset(
     "area articles bar block body box buttons button bottom column col container content global group header inner item items left link links list main outer page panel posts primary right row section secondary site "
     "slot stories text thread top widget widgets wrap wrapper".split()
 )
+#: Classes that speak for an element, whatever its other classes say.
+MAIN_WORDS = frozenset("article content entry main post story".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar toolbar".split())
 
 TOKEN = re.compile(
@@ -116,44 +122,47 @@ def boilerplate_name(value: str) -> int:
 
 
 @lru_cache(maxsize=4096)
-def _named(tag: str, attributes: str) -> tuple[str, bool, int]:
-    """Generalised class of a start tag, whether it is surely boilerplate, and how far its names say so (0 to 2).
+def _named(tag: str, attributes: str) -> tuple[str, bool, bool, int]:
+    """Generalised class of a start tag, whether it is out of sight or beside the text, and how far its names call it boilerplate (0 to 2).
 
     Names of headings say nothing, nor do ids of paragraphs and sections, which
     are often slugs of their text.
     """
-    names, hide, like = "", tag in DROPPED, 0
+    names, hide, beside, like, speaks = "", tag in DROPPED, tag in BESIDE, 0, False
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         value, name = a or b or c, name.lower()
-        hide |= name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "role" and value.lower() in ROLES
+        hide |= name == "hidden" or name == "aria-hidden" and value.lower() == "true"
+        beside |= name == "role" and value.lower() in ROLES
         hide |= name == "style" and UNSEEN.search(value) is not None
         if name in ("class", "id") and tag not in HEADINGS and tag not in ("body", "html", "main", "article"):
             slug = name == "id" and (tag == "p" or tag == "section" and re.search("[-_]", value) is not None)
             like = max([like, *map(boilerplate_name, () if slug else value.split())])
         if name == "class":
             names = ".".join(sorted(re.sub(r"\d+", "#", value).lower().split()))
-    return names, hide, 0 if hide else max(like, 2 * (tag in DOUBTED))
+            speaks = not MAIN_WORDS.isdisjoint(value.lower().split())
+    like = min(like, 1) if speaks else like
+    return names, hide, beside and not hide, 0 if hide or beside else max(like, 2 * (tag in DOUBTED))
 
 
 class Open:
     """An open element; ``size`` and ``linked`` count what it holds so far."""
 
-    __slots__ = ("tag", "path", "node", "dropped", "link", "size", "linked", "named", "sure", "unlinked", "outside", "holds", "heading")
+    __slots__ = ("tag", "path", "node", "dropped", "link", "size", "linked", "named", "sure", "hidden", "unlinked", "seen", "holds", "heading")
 
-    def __init__(self, tag: str, path: int, node: Node | None, dropped: bool, link: bool, named: Named | None = None, sure: bool = False) -> None:
-        self.tag, self.path, self.node, self.dropped, self.link, self.named, self.sure = tag, path, node, dropped, link, named, sure
-        # Unlinked text that isn't surely boilerplate, what of it is in no named element, and whether an article or a heading is in it.
-        self.size = self.linked = self.unlinked = self.outside = 0
+    def __init__(self, tag: str, path: int, node: Node | None, dropped: bool, link: bool, named: Named | None = None, sure: bool = False, hidden: bool = False) -> None:
+        self.tag, self.path, self.node, self.dropped, self.link, self.named, self.sure, self.hidden = tag, path, node, dropped, link, named, sure, hidden
+        # Unlinked text that isn't surely boilerplate, or isn't out of sight, and whether an article or a heading is in it.
+        self.size = self.linked = self.unlinked = self.seen = 0
         self.holds, self.heading = tag in ARTICLES, tag in HEADINGS
 
 
 class Named:
-    """An element whose names or kind call it boilerplate."""
+    """An element whose names or kind call it boilerplate, or that is beside the text; its number is its place on the page."""
 
-    __slots__ = ("number", "like", "within", "size", "holds", "titled")
+    __slots__ = ("number", "like", "within", "beside", "size", "holds", "titled")
 
-    def __init__(self, number: int, like: int, within: bool) -> None:
-        self.number, self.like, self.within, self.size, self.holds, self.titled = number, like, within, 0, False, False
+    def __init__(self, number: int, like: int, within: bool, beside: bool) -> None:
+        self.number, self.like, self.within, self.beside, self.size, self.holds, self.titled = number, like, within, beside, 0, False, False
 
 
 def outline(page: str, host: str = "") -> tuple[list[str], list[Node]]:
@@ -163,16 +172,24 @@ def outline(page: str, host: str = "") -> tuple[list[str], list[Node]]:
     or kind call boilerplate is not, if it holds an article; if it is the
     header of one and holds a heading; or, on a page that has no article
     elsewhere, if it holds most of the unlinked text where its names leave
-    doubt, and nearly all of it where they don't.
+    doubt, and nearly all of it where they don't.  An aside, a dialog or what has
+    such a role is part of the text only on a page without an article, and if
+    hardly any text is left without it.
     """
-    pieces, nodes, named, whole = _outline(page, host, frozenset())
+    pieces, nodes, marked, whole = _outline(page, host, frozenset())
+    named = [x for x in marked if not x.beside]
     article = whole.holds and not any(x.holds for x in named)
     kept = set()
     for x in named:
         most = 2 * x.size > whole.unlinked if x.like == 1 else 8 * x.size > 7 * whole.unlinked
         if x.holds or x.titled and x.within or most and not article:
             kept.add(x.number)
-    return _outline(page, host, frozenset(kept))[:2] if kept else (pieces, nodes)
+    if kept:
+        pieces, nodes, _, whole = _outline(page, host, frozenset(kept))
+    beside = max((x for x in marked if x.beside), key=lambda x: x.size, default=None)
+    if beside is not None and not whole.holds and beside.size > BESIDE_TIMES * (whole.size - whole.linked):
+        pieces, nodes = _outline(page, host, frozenset({*kept, beside.number}))[:2]
+    return pieces, nodes
 
 
 def _outline(page: str, host: str, kept: frozenset) -> tuple[list[str], list[Node], list[Named], Open]:
@@ -192,10 +209,11 @@ def _outline(page: str, host: str, kept: frozenset) -> tuple[list[str], list[Nod
             up.size += e.size
             up.linked += e.linked
             up.unlinked += e.unlinked
+            up.seen += e.seen
             up.holds |= e.holds and not e.sure
             up.heading |= e.heading
             if e.named is not None:
-                e.named.size, e.named.holds, e.named.titled = e.unlinked, e.holds, e.heading and e.tag == "header"
+                e.named.size, e.named.holds, e.named.titled = e.seen if e.named.beside else e.unlinked, e.holds, e.heading and e.tag == "header"
             if e.node is not None:
                 e.node.last, e.node.size, e.node.linked = len(pieces), e.size, e.linked
             if e.tag in CONTAINERS:
@@ -213,8 +231,10 @@ def _outline(page: str, host: str, kept: frozenset) -> tuple[list[str], list[Nod
         start = end if m is None else m.start()
         if start > at:
             top = stack[-1]
-            if not top.sure and not top.link:
-                top.unlinked += start - at - page.count(" ", at, start)
+            if not top.hidden and not top.link:
+                size = start - at - page.count(" ", at, start)
+                top.seen += size
+                top.unlinked += 0 if top.sure else size
             if not top.dropped:
                 text = page[at:start]
                 pieces.append(references.unescape(text) if "&" in text else text)
@@ -253,23 +273,27 @@ def _outline(page: str, host: str, kept: frozenset) -> tuple[list[str], list[Nod
         if tag in ENDS and (depth := deepest(ENDS[tag])) > deepest(SCOPES):
             close(depth)
         up, attributes = stack[-1], m[3]
-        names, hide, like = _named(tag, attributes if NAMING.search(attributes) else "")
+        names, hide, beside, like = _named(tag, attributes if NAMING.search(attributes) else "")
+        # A button after words of its paragraph is one of them.
+        hide |= tag == "button" and not (stack[blocks[-1]].tag == "p" and stack[blocks[-1]].size)
         within = bool(places["article"] or places["main"])
-        mark = Named(len(named), like, within) if like and not up.sure and not hide else None
+        number = m.start()
+        mark = Named(number, like, within, beside) if (like or beside) and not up.sure and not hide else None
         if mark is not None:
             named.append(mark)
-        sure = up.sure or hide
-        path, node, dropped = up.path, None, up.dropped or hide or mark is not None and mark.number not in kept
+        taken = mark is not None and number in kept
+        sure = up.sure or hide or beside and not taken
+        path, node, dropped = up.path, None, up.dropped or hide or beside and not taken or mark is not None and not taken
         if not inline:
             path = step_code(path, f"{tag}.{names}" if names else tag)
-            if tag in CONTAINERS and not dropped:
+            if (tag in CONTAINERS or beside) and not dropped:
                 node = Node(path, len(stack), len(pieces), 1.5 if tag in ARTICLES else 0.5 if mark is not None else 1.0)
                 nodes.append(node)
             blocks.append(len(stack))
         if tag in CONTAINERS:
             containers.append(len(stack))
         places[tag].append(len(stack))
-        stack.append(Open(tag, path, node, dropped, up.link or tag == "a", mark, sure))
+        stack.append(Open(tag, path, node, dropped, up.link or tag == "a", mark, sure, up.hidden or hide))
     close(1)
     return pieces, nodes, named, stack[0]
 
@@ -415,7 +439,7 @@ def _by_host(own: DataFrame, votes: DataFrame) -> DataFrame:
     large = cut(sizes.select(F.col("host").alias("of"), F.ceil(F.col("n") / turn_pages).cast("long").alias("turns")))
     turns = F.coalesce("turns", F.lit(1).cast("long"))
     placed = lambda df: df.join(F.broadcast(large), F.col("host") == F.col("of"), "left")
-    rows = placed(own).select("id", "url", "host", F.pmod(F.xxhash64("html", "url", F.monotonically_increasing_id()), turns).alias("turn"), F.lit(None).cast("long").alias("path"), F.lit(None).cast("long").alias("votes"), "html")
+    rows = placed(own).select("id", "url", "host", F.pmod(F.xxhash64("html", "url", "id"), turns).alias("turn"), F.lit(None).cast("long").alias("path"), F.lit(None).cast("long").alias("votes"), "html")
     each = placed(votes).select("host", F.explode(F.sequence(F.lit(0).cast("long"), turns - 1)).alias("turn"), "path", "votes")
     rows = rows.unionByName(each, allowMissingColumns=True)
     return rows.repartition("host", "turn").sortWithinPartitions("host", "turn", F.col("path").asc_nulls_last())

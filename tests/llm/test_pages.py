@@ -177,3 +177,22 @@ def test_no_rows_and_clashing_columns(spark):
     df = spark.createDataFrame([(1, "http://x", page(f"<article>{LONG}</article>"), "h", "t", 1)], f"{SCHEMA}, host string, text string, path int")
     assert pages.main_text(df).columns == ["page_id", "url", "text", "n_chars"] and pages.main_text(df).first().text == LONG.strip()
     assert pages.main_text(df.limit(0)).count() == 0
+
+
+TEXT = "This is the long text of a page that readers want to see, sentence after sentence, without an end. " * 6
+NO_VOTES = pages.Votes(np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def test_text_in_unusual_places_is_kept():
+    of = lambda body: pages.extract(f"<body>{body}</body>", NO_VOTES)
+    assert TEXT.strip() in of(f"<nav><a href=x>Home</a></nav><aside><p>{TEXT}</p></aside><div>short</div>")
+    assert of(f"<div role=dialog><p>{TEXT}</p></div>") == TEXT.strip()
+    assert of("<div><p>Press <button>Save</button>, to save.</p><button>Subscribe</button></div>") == "Press Save, to save."
+    assert TEXT.strip() in of(f"<div class='content gdpr'><p>{TEXT}</p></div><div class=box>{'some words ' * 12}</div>")
+
+
+def test_what_is_beside_an_article_or_other_text_is_dropped():
+    of = lambda body: pages.extract(f"<body>{body}</body>", NO_VOTES)
+    assert of(f"<article><p>Short one.</p></article><aside>{TEXT}</aside><div role=dialog>{TEXT}</div>") == "Short one."
+    assert of(f"<div class=card><p>{TEXT}</p></div><aside><article>Another teaser</article>{TEXT * 3}</aside>") == TEXT.strip()
+    assert of("<div class=card><p>A text.</p><p><button>Share</button></p></div><dialog hidden>No</dialog>") == "A text."
