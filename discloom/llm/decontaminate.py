@@ -5,12 +5,17 @@ into k + 1 pieces, of which any such occurrence has at least one unchanged.
 One automaton finds all pieces in a whole text; around each hit, Myers'
 bit-parallel algorithm finds the least edit distance between the item and any
 part of the text.
+
+An item is searched for in time that grows with its length times that of the
+text around its hits, divided by the bits of a machine word; periodic items of
+many thousands of characters have many hits and are slow, not wrong.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
@@ -18,13 +23,15 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from discloom.llm.support import cut
+from discloom.llm.support import cut, fresh
 
 #: Edits allowed for each character of an item.
 RATE = 0.05
 #: Bytes of items searched for at once, which take some 50 times as much in each
 #: Python worker; a larger benchmark takes several passes.  Items whose masks a worker keeps.
 ITEM_BYTES, KEPT_MASKS = 8 << 20, 4096
+#: Letters and digits before this code point are of scripts that put spaces between words.
+SPACED = 0x0E00
 
 
 def normal(text: str) -> str:
@@ -58,6 +65,15 @@ def edits(item: str, text: str, masks: dict[str, int] | None = None) -> tuple[in
     return best, at
 
 
+def apart(text: str, start: int, end: int) -> bool:
+    """Whether ``text[start:end]`` cuts no word at either end."""
+
+    def joined(at: int) -> bool:
+        return 0 < at < len(text) and all(c.isalnum() and ord(c) < SPACED for c in text[at - 1 : at + 1])
+
+    return not joined(start) and not joined(end)
+
+
 def _masks(item: str) -> dict[str, int]:
     masks: dict[str, int] = {}
     for i, c in enumerate(item):
@@ -66,10 +82,11 @@ def _masks(item: str) -> dict[str, int]:
 
 
 class Matcher:
-    """Finds items in texts; ``items`` are normal texts, each with its ids."""
+    """Finds items in texts; ``items`` are normal texts, each with the keys of the texts it stands for."""
 
-    def __init__(self, items: dict[str, list[int]], rate: float) -> None:
-        self.items = [(text, int(len(text) * rate), ids) for text, ids in items.items()]
+    def __init__(self, items: dict[str, list[str]], rate: float, whole_words: bool = False) -> None:
+        self.items = [(text, int(len(text) * rate), keys) for text, keys in items.items()]
+        self.whole_words = whole_words
         self.masks: dict[int, dict[str, int]] = {}
         pieces: dict[str, list[tuple[int, int]]] = {}
         for n, (text, k, _) in enumerate(self.items):
@@ -101,9 +118,12 @@ class Matcher:
 
     def _best(self, n: int, starts: list[int], text: str) -> tuple[int, int] | None:
         item, k, _ = self.items[n]
+        strict = self.whole_words and not k
         for s in starts:
-            if s >= 0 and text.startswith(item, s):
+            if s >= 0 and text.startswith(item, s) and not (strict and not apart(text, s, s + len(item))):
                 return 0, s
+        if strict:
+            return None
         if n not in self.masks:
             if len(self.masks) >= KEPT_MASKS:
                 self.masks.clear()
@@ -123,35 +143,59 @@ class Matcher:
         return best
 
 
-def item_slices(benchmark: DataFrame, text: str, id_col: str, limit: int = ITEM_BYTES) -> Iterator[dict[str, list[int | None]]]:
-    """Normal texts and ids of the items, in slices of about ``limit`` bytes.
+def item_texts(benchmark: DataFrame, text: str) -> DataFrame:
+    """The texts of the items that aren't null, with repeats, as ``text`` and its key ``h``."""
+    return benchmark.select(F.col(text).alias("text"), F.md5(F.col(text).cast("binary")).alias("h")).filter("text is not null")
+
+
+def slices(items: DataFrame, limit: int = ITEM_BYTES) -> int:
+    """Number of slices of about ``limit`` bytes each; a longer item is in a slice of more."""
+    total = items.distinct().agg(F.coalesce(F.sum(F.octet_length("text") + 48), F.lit(0))).first()[0]
+    return max(1, -(-total // limit))
 
-    Items with a null or blank text are left out: they occur nowhere.  Those with a null id stay.
+
+def item_slice(items: DataFrame, number: int, count: int) -> dict[str, list[str]]:
+    """Normal texts of the items of a slice, each with the keys of the texts that it stands for.
+
+    Equal texts come to the driver once.  Blank ones are left out: they occur nowhere.
     """
-    items = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text")).filter("text is not null")
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
-    slices = max(1, -(-total // limit))
-    for s in range(slices):
-        own: dict[str, list[int]] = {}
-        for r in items.filter(F.pmod(F.xxhash64("text"), F.lit(slices)) == s).orderBy("id").collect():  # about ``limit`` bytes
-            if t := normal(r["text"]):
-                own.setdefault(t, []).append(r["id"])
-        yield own
-
-
-def _shared(spark: SparkSession, items: dict[str, list[int]], rate: float) -> tuple[Callable[[], Matcher], Broadcast]:
+    own: dict[str, list[str]] = {}
+    for r in items.filter(F.pmod(F.xxhash64("text"), F.lit(count)) == number).distinct().orderBy("h").collect():  # about ``limit`` bytes
+        if t := normal(r["text"]):
+            own.setdefault(t, []).append(r["h"])
+    return own
+
+
+def _shared(spark: SparkSession, items: dict[str, list[str]], rate: float, whole_words: bool) -> tuple[Callable[[], Matcher], Broadcast]:
     """A way for tasks to get the matcher, built once in each Python process, and what is sent for it."""
     sent, name = spark.sparkContext.broadcast(items), uuid.uuid4().hex
 
     def get() -> Matcher:
         if name not in _BUILT:
             _BUILT.clear()
-            _BUILT[name] = Matcher(sent.value, rate)
+            _BUILT[name] = Matcher(sent.value, rate, whole_words)
         return _BUILT[name]
 
     return get, sent
 
 
+def _each_slice(benchmark: DataFrame, item_text: str, rate: float, item_bytes: int, whole_words: bool, search: Callable[[Callable[[], Matcher]], DataFrame]) -> tuple[DataFrame, int]:
+    """What ``search`` finds with the matcher of each slice, together, and the number of slices.
+
+    With several slices, what each finds is written before the next is sent; nothing else is.
+    """
+    items = item_texts(benchmark, item_text)
+    count, found = slices(items, item_bytes), []
+    for s in range(count):
+        matcher, sent = _shared(benchmark.sparkSession, item_slice(items, s, count), rate, whole_words)
+        own = search(matcher)
+        if count > 1:
+            own = cut(own)
+            sent.unpersist()
+        found.append(own)
+    return reduce(DataFrame.unionByName, found), count
+
+
 _BUILT: dict[str, Matcher] = {}
 
 
@@ -164,64 +208,80 @@ def contaminated(
     item_text: str = "text",
     item_id: str = "item_id",
     item_bytes: int = ITEM_BYTES,
+    whole_words: bool = False,
 ) -> DataFrame:
     """Which rows of ``docs`` hold which items: ``id_col, item_id, distance, budget, start``.
 
     One row for each row of ``docs`` and item found in it, with the least
     distance and where in the normal text (lower case, single spaces) that
-    place begins, to within the budget.  Null and empty texts hold nothing, an
-    empty benchmark finds nothing, items of equal text are all reported, and
-    repeated rows are each reported.  Other columns are ignored.
+    place begins, to within the budget.  An item too short for a budget is found
+    anywhere, also inside words, or with ``whole_words`` only where it cuts no
+    word.  Null and empty texts hold nothing, an empty benchmark finds nothing,
+    items of equal text are all reported, and repeated rows are each reported.
+    Texts of any length are searched whole.  Other columns are ignored.
+
+    The documents are read once for each slice of the benchmark (``item_bytes``)
+    and never written.
     """
-    spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     own = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).filter("text is not null")
-    out = None
-    last = None
-    for items in item_slices(benchmark, item_text, item_id, item_bytes):
-        if last is not None:  # a pass for each slice; what it was sent is let go before the next
-            out = cut(out)
-            last.unpersist()
-        matcher, last = _shared(spark, items, rate)
-
-        def run(batches: Iterator[pa.RecordBatch], matcher=matcher) -> Iterator[pa.RecordBatch]:
+
+    def search(matcher: Callable[[], Matcher]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             m = matcher()
             for b in batches:
                 at, rest = [], []
                 for i, t in enumerate(b.column(1)):
                     for n, distance, start in m.find(normal(t.as_py())):
-                        for item in m.items[n][2]:
+                        for key in m.items[n][2]:
                             at.append(i)
-                            rest.append((item, distance, m.items[n][1], start))
-                item, distance, budget, start = zip(*rest, strict=True) if rest else ((), (), (), ())
+                            rest.append((key, distance, m.items[n][1], start))
+                key, distance, budget, start = zip(*rest, strict=True) if rest else ((), (), (), ())
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(at, pa.int32())), pa.array(item, pa.int64()), pa.array(distance, pa.int32()), pa.array(budget, pa.int32()), pa.array(start, pa.int64())],
-                    ["id", "item_id", "distance", "budget", "start"],
+                    [b.column(0).take(pa.array(at, pa.int32())), pa.array(key, pa.string()), pa.array(distance, pa.int32()), pa.array(budget, pa.int32()), pa.array(start, pa.int64())],
+                    ["id", "h", "distance", "budget", "start"],
                 )
 
-        found = own.mapInArrow(run, f"id {kind}, item_id long, distance int, budget int, start long")
-        out = found if out is None else out.unionByName(found)
-    return out.withColumnRenamed("id", id_col)
+        return own.mapInArrow(run, f"id {kind}, h string, distance int, budget int, start long")
+
+    found, _ = _each_slice(benchmark, item_text, rate, item_bytes, whole_words, search)
+    named = benchmark.select(F.md5(F.col(item_text).cast("binary")).alias("h"), F.col(item_id).cast("long").alias("item_id")).filter("h is not null")
+    return found.join(named, "h").select(F.col("id").alias(id_col), "item_id", "distance", "budget", "start")
 
 
 def drop_contaminated(
-    docs: DataFrame, benchmark: DataFrame, rate: float = RATE, text: str = "text", item_text: str = "text", item_id: str = "item_id", item_bytes: int = ITEM_BYTES
+    docs: DataFrame,
+    benchmark: DataFrame,
+    rate: float = RATE,
+    text: str = "text",
+    item_text: str = "text",
+    item_id: str = "item_id",
+    item_bytes: int = ITEM_BYTES,
+    whole_words: bool = False,
 ) -> DataFrame:
     """The rows of ``docs``, with their columns, that hold no item of the benchmark.
 
     Null and empty texts stay, as do all rows where the benchmark is empty.  Ids
     play no part: repeated rows go or stay together, and items without an id
-    count.  Texts of any length are searched whole.
+    count.  Texts of any length are searched whole.  ``whole_words`` is as for
+    :func:`contaminated`.
+
+    With one slice this is a filter.  With more, the documents are read once for
+    each, of which only the keys of contaminated texts are written, and these
+    texts are taken away by one join at the end.
     """
-    last = None
-    for items in item_slices(benchmark, item_text, item_id, item_bytes):
-        # A pass for each slice: in one pass, tasks would build all matchers over and over.
-        if last is not None:
-            docs = cut(docs)
-            last.unpersist()
-        matcher, last = _shared(docs.sparkSession, items, rate)
-        docs = docs.filter(~_holds(matcher)(F.col(text)))
-    return docs
+    key = F.md5(F.col(text).cast("binary"))
+    holds = []
+
+    def search(matcher: Callable[[], Matcher]) -> DataFrame:
+        holds.append(_holds(matcher)(F.col(text)))
+        return docs.filter(holds[-1]).select(key.alias("h")).distinct()
+
+    found, count = _each_slice(benchmark, item_text, rate, item_bytes, whole_words, search)
+    if count == 1:
+        return docs.filter(~holds[0])
+    mark = fresh(docs, "contaminated_key")
+    return docs.join(found.distinct().withColumnRenamed("h", mark), key == F.col(mark), "left_anti")
 
 
 def _holds(matcher: Callable[[], Matcher]):

@@ -12,7 +12,7 @@ from discloom.llm.support import table
 
 
 def op1_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), whole_words=True)
 
 
 def op2_karmarkar_karp_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

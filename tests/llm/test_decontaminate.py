@@ -97,3 +97,25 @@ def test_items_without_an_id_are_found(spark):
     items = spark.createDataFrame([(None, "the quick brown fox jumps"), (7, "other words here")], "item_id long, text string")
     assert [(r.doc_id, r.item_id, r.distance) for r in decontaminate.contaminated(docs, items).collect()] == [(1, None, 0)]
     assert [r.doc_id for r in decontaminate.drop_contaminated(docs, items).collect()] == [2]
+
+
+def test_short_items_cut_no_words(spark):
+    docs = spark.createDataFrame([(1, "which one"), (2, "nothing"), (3, "he said: Hi!"), (4, "hi"), (5, "hip hi5 _hi_ high"), (6, "\u4f60\u597d\u5417")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "hi"), (2, "\u597d")], "item_id long, text string")
+    got = decontaminate.contaminated(docs, items, whole_words=True).collect()
+    assert sorted((r.doc_id, r.item_id, r.start) for r in got) == [(3, 1, 9), (4, 1, 0), (5, 1, 9), (6, 2, 1)]
+    assert sorted(r.doc_id for r in decontaminate.drop_contaminated(docs, items, whole_words=True).collect()) == [1, 2]
+    assert sorted(r.doc_id for r in decontaminate.drop_contaminated(docs, items).collect()) == []
+
+
+def test_documents_are_not_written_for_slices(spark, monkeypatch):
+    words = [f"item {i} is a sentence of its own with number {i * 7919}" for i in range(64)]
+    docs = spark.createDataFrame([(i, f"before {words[i % 70]} after" if i % 70 < 64 else "clean text") for i in range(140)] + [(None, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(i, w) for i, w in enumerate(words)] + [(99, words[0])], "item_id long, text string")
+    cuts, cut = [], decontaminate.cut
+    monkeypatch.setattr(decontaminate, "cut", lambda df: cuts.append(df.columns) or cut(df))
+    kept = decontaminate.drop_contaminated(docs, items, rate=0.0, item_bytes=500)
+    assert len(cuts) > 8 and all(c == ["h"] for c in cuts)
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([*(i for i in range(140) if i % 70 >= 64), None], key=str)
+    got = decontaminate.contaminated(docs, items, rate=0.0, item_bytes=500).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == sorted([*((i, i % 70) for i in range(140) if i % 70 < 64), (0, 99), (70, 99)])
