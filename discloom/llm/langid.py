@@ -7,8 +7,9 @@ and forward-backward gives every word's distribution over languages, so that
 inserted passages in another language are told apart; a text is in the language
 that most of its letters' words are in.
 
-The weights are fitted by gradient steps on a bounded sample of labelled texts
-(``SAMPLE`` of them, spread evenly over the languages), strung together in
+The weights are fitted by gradient steps on a bounded sample of labelled passages
+(``SAMPLE`` of them, spread evenly over the languages; a long text is several
+passages, each as likely to be drawn as any other), strung together in
 random order so that language changes are seen.  Everything else works on whole
 columns: n-gram weights are gathered for all bytes of a batch at once, and the
 recursions run over fixed-length segments of all texts side by side, joined by
@@ -28,10 +29,10 @@ from discloom.llm.support import held_out
 from discloom.llm.wordcode import LOWER_ASCII, U64, Coder, pieces, split_words
 
 CODER = Coder(41)
-#: Labelled texts fitted on, passes over them, and texts in one gradient step.
+#: Labelled passages fitted on, passes over them, and passages in one gradient step.
 SAMPLE, PASSES, STEP_TEXTS = 1200, 6, 60
-#: Characters of a sampled text that are fitted on; all of any text is labelled.
-SAMPLE_CHARACTERS = 50_000
+#: Characters of the passages that labelled texts are cut into.
+PASSAGE = 50_000
 GRAM_BITS, AFFIX_BITS, LEXICON = 16, 15, 4096
 #: Bytes of the prefixes and suffixes.
 AFFIXES = (3, 4, 5)
@@ -277,18 +278,20 @@ def labelled(field: Field, texts: pa.Array) -> tuple[list[str], np.ndarray]:
 
 
 def fit(docs: DataFrame, text: str = "text", id_col: str = "doc_id", label: str = "lang", sample: int = SAMPLE) -> Field:
-    """Fit on a bounded sample of the rows that are not held out."""
+    """Fit on a bounded sample of the passages of the rows that are not held out."""
     own = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.col(label).alias("label"))
     own = own.filter(F.col("id").isNotNull() & ~held_out(F.col("id"), 4, 2) & F.col("label").isNotNull() & F.col("text").isNotNull())
-    counts = {r["label"]: r["n"] for r in own.groupBy("label").agg(F.count("*").alias("n")).collect()}  # one row for each language
+    parts = F.expr(f"(char_length(text) - 1) div {PASSAGE}")
+    counts = {r["label"]: r["n"] for r in own.groupBy("label").agg(F.sum(parts + 1).alias("n")).collect()}  # one row for each language
     if not counts:
         return Field.empty([], np.empty(0, U64))
     each = max(1, sample // len(counts))
-    # Somewhat more than the share, then cut: a language is short of its part only if it has too few texts.
+    # Somewhat more than the share, then cut: a language is short of its part only if it has too few passages.
     rate = F.create_map(*(F.lit(x) for name, n in counts.items() for x in (name, min(1.0, 1.3 * each / n + 10 / n))))
-    # Rows are drawn by id and text, and equal ones once, so many rows of one id are no more than others.
-    drawn = own.filter(F.pmod(F.xxhash64("id", "text", F.lit(5)), F.lit(1 << 30)) < rate[F.col("label")] * (1 << 30))
-    drawn = drawn.select(F.xxhash64("id", "text", F.lit(6)).alias("h"), "id", F.substring("text", 1, SAMPLE_CHARACTERS).alias("text"), "label")
+    # Passages are drawn by id, text and place, and equal ones once, so many rows of one id are no more than others.
+    own = own.withColumn("t", F.xxhash64("id", "text", F.lit(5))).select("*", F.explode(F.sequence(F.lit(0).cast("long"), parts)).alias("nth"))
+    drawn = own.filter(F.pmod(F.xxhash64("t", "nth"), F.lit(1 << 30)) < rate[F.col("label")] * (1 << 30))
+    drawn = drawn.select(F.xxhash64("t", "nth", F.lit(6)).alias("h"), "id", F.expr(f"substring(text, int(nth * {PASSAGE} + 1), {PASSAGE})").alias("text"), "label")
     rows = drawn.dropDuplicates(["h", "label"]).orderBy("h").limit(2 * sample + 20 * len(counts)).collect()
     rows.sort(key=lambda r: (r["h"], r["id"]))
     texts, langs, got = [], [], dict.fromkeys(counts, 0)

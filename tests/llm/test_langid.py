@@ -94,3 +94,11 @@ def test_features_do_not_cross_texts():
 def _flat(texts):
     _, _, data, bounds = next(langid.pieces(pa.array(texts)))
     return data, bounds
+
+
+def test_the_ends_of_long_texts_are_fitted_on(spark):
+    same = "lorem ipsum " * 5000
+    docs = [(i, same + " ".join(["quando sempre vita"] * 4000 if i % 2 else ["warum immer leben"] * 4000), "it" if i % 2 else "de") for i in range(24)]
+    short = [(100, "quando sempre", None), (101, "warum immer leben", None)]
+    got = {r.doc_id: r.lang_pred for r in langid.identify(spark.createDataFrame(docs + short, "doc_id long, text string, lang string")).collect()}
+    assert got[100] == "it" and got[101] == "de" and all(got[n] == lang for n, _, lang in docs)
