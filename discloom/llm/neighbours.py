@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from discloom.shared import written
+
 #: Vectors of one candidate block and of one query block, and queries whose distances are in memory at once.
 CANDIDATE_BLOCK, QUERY_BLOCK, TURN = 8192, 8192, 512
 
@@ -138,11 +140,12 @@ def nearest(vectors: DataFrame, asked: Column, k: int = 10, id_col: str = "vec_i
     kind = "array<float>" if vectors.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector).cast(kind).alias("vector"))
     rows = rows.filter(F.col("vec_id").isNotNull() & usable(F.col("vector"))).withColumn("dim", F.size("vector"))
-    asks = rows.filter(asked).groupBy("vec_id").agg(F.min("vector").alias("vector")).withColumn("dim", F.size("vector"))
+    # Written with what deals them, so that rows that are read again after a loss are in the blocks that they were in.
+    rows = written(rows.withColumn("dealt", F.xxhash64("vec_id", F.monotonically_increasing_id())))
+    asks = rows.drop("dealt").filter(asked).groupBy("vec_id").agg(F.min("vector").alias("vector")).withColumn("dim", F.size("vector"))
     n, m = rows.count(), asks.count()
     c_blocks, q_blocks = max(1, -(-n // CANDIDATE_BLOCK)), max(1, -(-m // QUERY_BLOCK))
-    # Blocks are drawn before rows are repeated for the blocks that they meet.
-    right = rows.withColumn("c", F.pmod(F.xxhash64("vec_id", F.monotonically_increasing_id()), F.lit(c_blocks)).cast("int"))
+    right = rows.withColumn("c", F.pmod(F.col("dealt"), F.lit(c_blocks)).cast("int"))
     each = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     left = asks.select("dim", "vec_id", "vector", F.lit(True).alias("asks"), each(c_blocks).alias("c"), F.pmod(F.xxhash64("vec_id"), F.lit(q_blocks)).cast("int").alias("q"))
     right = right.select("dim", "vec_id", "vector", F.lit(False).alias("asks"), "c", each(q_blocks).alias("q"))
