@@ -37,9 +37,10 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Documents that hold no item of the benchmark.
 
     Each row is judged by its text alone; null and empty texts stay, and all do
-    where the benchmark is empty.
+    where the benchmark is empty.  Items too short for any edit count where they
+    cut no word.
     """
-    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"), whole_words=True)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
