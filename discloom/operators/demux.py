@@ -10,6 +10,7 @@ once the small states of all of them are known.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,8 @@ MOST = 7
 MOST_SECTORS = 31
 #: Sectors of a segment (2 MB).
 SPAN = 1024
+#: Columns of the time that reading and parsing took.
+SPENT = ["read_ns", "parse_ns"]
 INFO = "struct<tc: int, sector_count: int, bits: int>"
 
 
@@ -93,17 +96,21 @@ def _schema(fields, more: str) -> T.StructType:
     return T.StructType([*fields, *T.StructType.fromDDL(more)])
 
 
-def packets(sectors: DataFrame, keys: list[str], data: str = "data", strict: bool = True) -> DataFrame:
+def packets(sectors: DataFrame, keys: list[str], data: str = "data", strict: bool = True, timed: bool = False) -> DataFrame:
     """One row for each packet: ``keys, lsn, dst_encoded, pno, frame_start, data_type, length, k, info, payload``.
 
     ``info`` is null where a packet has none; its ``sector_count`` and ``bits``
     are null in sectors that aren't encoded.  A corrupt sector is an error, or
     with ``strict`` off has no rows.
+
+    ``timed`` adds ``read_ns`` and ``parse_ns``: the sector's ``read_ns`` and the
+    time of decoding it, shared by its audio packets, with 0 for all others.
     """
     plain = [*keys, "lsn"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            began = time.perf_counter_ns()
             fields, p = _decoded(b.column(len(plain)))
             if strict and fields["corrupt"].any():
                 raise ValueError(f"malformed audio sector {b.column(len(plain) - 1)[int(fields['corrupt'].argmax())]}")
@@ -114,17 +121,23 @@ def packets(sectors: DataFrame, keys: list[str], data: str = "data", strict: boo
             info = pa.StructArray.from_arrays(
                 [_int(p["tc"]), _int(p["bits"] >> 2 & 31, p["timed"]), _int(p["bits"], p["timed"])], ["tc", "sector_count", "bits"], mask=pa.array(~p["has_info"])
             )
+            payload, spent = _cut(held.buffers()[2], begins, sizes), []
+            if timed:
+                audio = p["data_type"] == AUDIO
+                share = audio / np.maximum(np.bincount(p["row"][audio], minlength=b.num_rows), 1)[p["row"]]
+                read = b.column(len(plain) + 1).to_numpy()[p["row"]] * share
+                spent = [pa.array(read), pa.array(audio * ((time.perf_counter_ns() - began) / max(1, audio.sum())))]
             yield pa.RecordBatch.from_arrays(
                 [
                     *(b.column(i).take(row) for i in range(len(plain))), pa.array(fields["dst_encoded"][p["row"]]), _int(p["pno"]), pa.array(p["frame_start"]), _int(p["data_type"]),
-                    _int(sizes), _int(p["k"]), info, _cut(held.buffers()[2], begins, sizes),
+                    _int(sizes), _int(p["k"]), info, payload, *spent,
                 ],
                 names,
             )
 
-    names = [*plain, "dst_encoded", "pno", "frame_start", "data_type", "length", "k", "info", "payload"]
-    more = f"dst_encoded boolean, pno int, frame_start boolean, data_type int, length int, k int, info {INFO}, payload binary"
-    return sectors.select(*plain, data).mapInArrow(run, _schema([sectors.schema[c] for c in plain], more))
+    names = [*plain, "dst_encoded", "pno", "frame_start", "data_type", "length", "k", "info", "payload", *(SPENT if timed else [])]
+    more = f"dst_encoded boolean, pno int, frame_start boolean, data_type int, length int, k int, info {INFO}, payload binary" + ", read_ns double, parse_ns double" * timed
+    return sectors.select(*plain, data, *(["read_ns"] if timed else [])).mapInArrow(run, _schema([sectors.schema[c] for c in plain], more))
 
 
 def _cut(buffer: pa.Buffer | None, begins: np.ndarray, sizes: np.ndarray) -> pa.Array:
@@ -143,12 +156,16 @@ def changes(column: pa.Array) -> np.ndarray:
     return differ | (a.is_null().to_numpy(zero_copy_only=False) != b.is_null().to_numpy(zero_copy_only=False))
 
 
-def _frames(n_keys: int, n_extra: int, lost: bool):
-    """Frames of packets sorted by stream and place: columns keys, lsn, frame_start, length, info, payload, extra."""
+def _frames(n_keys: int, n_extra: int, lost: bool, timed: bool = False):
+    """Frames of packets sorted by stream and place: columns keys, lsn, frame_start, length, info, payload, extra.
+
+    With ``timed``, the last two of ``extra`` are times, which are added up, the
+    last one with the time of assembling the frame.
+    """
 
     def rows_of(table: pa.Table, before: int, ended: bool) -> tuple[pa.RecordBatch | None, pa.Table, int]:
         """Frames that surely end, packets that must wait, and the number of frames of their stream before them."""
-        n = table.num_rows
+        began, n = time.perf_counter_ns(), table.num_rows
         new = np.zeros(n, bool)
         new[:1] = True
         for i in range(n_keys):
@@ -203,7 +220,11 @@ def _frames(n_keys: int, n_extra: int, lost: bool):
         raw = pa.Array.from_buffers(pa.binary(), len(found), [pa.py_buffer(valid), pa.py_buffer(bounds), raw.buffers()[2]])
         rows = pa.array(at[found])
         tc, sector_count = (pc.struct_field(info, f).take(rows) for f in ("tc", "sector_count"))
-        extra = [column(5 + i).take(rows) for i in range(n_extra)]
+        extra = [column(5 + i).take(rows) for i in range(n_extra - 2 * timed)]
+        for i in range(n_extra - 2 * timed, n_extra):
+            total = np.bincount(group[:wait], column(5 + i).to_numpy()[:wait], minlength=len(at))[found]
+            own_time = (time.perf_counter_ns() - began) / len(found) if i == n_extra - 1 else 0
+            extra.append(pa.array(total + own_time))
         columns = [*(table.column(i).combine_chunks().take(rows) for i in range(n_keys)), pa.array(fid[at[found]]), tc, sector_count, pa.array(done[found]), raw, *extra]
         return pa.RecordBatch.from_arrays(columns, [f"c{i}" for i in range(len(columns))]), waiting, passed
 
@@ -263,7 +284,7 @@ def _dealt(audio: DataFrame, keys: list[str], span: int) -> DataFrame:
     return packs.select(*audio.drop("_segment").columns, F.when(own, F.col("_segment")).otherwise(F.col("_open._segment")).alias("_home"), base.alias("_base"), more.alias("_more"))
 
 
-def assemble(packs: DataFrame, keys: list[str], start: str | None = None, end: str | None = None, lost: bool = False, span: int | None = None) -> DataFrame:
+def assemble(packs: DataFrame, keys: list[str], start: str | None = None, end: str | None = None, lost: bool = False, span: int | None = None, timed: bool = False) -> DataFrame:
     """Frames of each stream: ``keys, fid, tc, sector_count, done, raw, kept``.
 
     A stream is what shares ``keys``, ordered by ``lsn, pno``.  A frame begins
@@ -274,7 +295,8 @@ def assemble(packs: DataFrame, keys: list[str], start: str | None = None, end: s
     ``kept`` tells whether the timecode is in ``[start, end)``, columns of
     ``packs``; all are kept without these.  Data types other than audio are
     passed over.  With ``lost``, lost frames have rows too, with null ``raw`` and
-    ``lost`` true, which is a column then.
+    ``lost`` true, which is a column then.  With ``timed``, packets' times are
+    added up for each frame, ``parse_ns`` with the time of assembling it.
 
     Without ``span``, packets are shuffled once and a stream, which a disc's
     size bounds, is one task's work, as a sorted sequence of batches.  With it,
@@ -283,8 +305,8 @@ def assemble(packs: DataFrame, keys: list[str], start: str | None = None, end: s
     payload, for the state of each segment.  Packets are still shuffled once
     while there are up to ``SENT_ROWS`` segments (0.5 TB), and twice above.
     """
-    extra = [c for c in (start, end) if c]
-    audio = packs.filter(F.col("data_type") == AUDIO).select(*keys, "lsn", "frame_start", "length", "info", "payload", *(F.col(c).alias(f"_{c}") for c in extra), F.col("pno").alias("_pno"))
+    extra, times = [c for c in (start, end) if c], SPENT if timed else []
+    audio = packs.filter(F.col("data_type") == AUDIO).select(*keys, "lsn", "frame_start", "length", "info", "payload", *(F.col(c).alias(f"_{c}") for c in extra), *times, F.col("pno").alias("_pno"))
     more = [F.col("raw").isNull().alias("lost")] if lost else []
     held, fields = [*keys], [packs.schema[k] for k in keys]
     along = [(f"_{c}", packs.schema[c].dataType) for c in extra]
@@ -292,19 +314,20 @@ def assemble(packs: DataFrame, keys: list[str], start: str | None = None, end: s
         audio = _dealt(audio, keys, span)
         held, fields = [*keys, "_home"], [*fields, T.StructField("_home", T.LongType())]
         along += [("_base", T.LongType()), ("_more", T.BooleanType())]
+    along += [(c, T.DoubleType()) for c in times]
     audio = audio.select(*held, "lsn", "frame_start", "length", "info", "payload", *(c for c, _ in along), "_pno")
     audio = audio.repartition(*held).sortWithinPartitions(*held, "lsn", "_pno").drop("_pno")
     schema = _schema(fields, "fid long, tc int, sector_count int, done boolean, raw binary")
     for c, kind in along:
         schema = schema.add(c, kind)
-    frames = audio.mapInArrow(_frames(len(held), len(along), lost), schema)
+    frames = audio.mapInArrow(_frames(len(held), len(along), lost, timed), schema)
     if span:
         # The last frame of a segment is the stream's last only if none begins later.
         whole = F.col("done") | ~F.col("_more")
         frames = frames.withColumn("fid", F.col("fid") + F.col("_base")).withColumn("raw", F.when(whole, F.col("raw")))
         frames = frames if lost else frames.filter(whole)
     kept = in_range(F.col("tc"), F.col(f"_{start}"), F.col(f"_{end}")) if start and end else F.lit(True)
-    return frames.select(*keys, "fid", "tc", "sector_count", "done", "raw", kept.alias("kept"), *more)
+    return frames.select(*keys, "fid", "tc", "sector_count", "done", "raw", kept.alias("kept"), *more, *times)
 
 
 def plain_audio(packs: DataFrame, keys: list[str]) -> DataFrame:
@@ -316,12 +339,16 @@ def plain_audio(packs: DataFrame, keys: list[str]) -> DataFrame:
     return audio.groupBy(*keys, "lsn").agg(F.expr("listagg(payload) WITHIN GROUP (ORDER BY pno)").alias("raw"))
 
 
-def plain_sectors(sectors: DataFrame, keys: list[str], data: str = "data") -> DataFrame:
-    """The same rows as :func:`plain_audio` of the sectors' packets, straight from the sectors: nothing is shuffled."""
+def plain_sectors(sectors: DataFrame, keys: list[str], data: str = "data", timed: bool = False) -> DataFrame:
+    """The same rows as :func:`plain_audio` of the sectors' packets, straight from the sectors: nothing is shuffled.
+
+    ``timed`` keeps the sectors' ``read_ns`` and adds ``parse_ns``.
+    """
     plain = [*keys, "lsn"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            began = time.perf_counter_ns()
             held = b.column(len(plain))
             fields, p = _decoded(held)
             if fields["corrupt"].any():
@@ -333,9 +360,15 @@ def plain_sectors(sectors: DataFrame, keys: list[str], data: str = "data") -> Da
             some, sizes = np.unique(row), np.bincount(row, length).astype(np.int64)
             bounds = np.concatenate([[0], np.cumsum(sizes[some])]).astype(np.int32)
             raw = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(bounds), parts.buffers()[2]])
-            yield pa.RecordBatch.from_arrays([*(b.column(i).take(pa.array(some)) for i in range(len(plain))), raw], [*plain, "raw"])
-
-    return sectors.select(*plain, data).mapInArrow(run, _schema([sectors.schema[c] for c in plain], "raw binary"))
+            columns, names = [*(b.column(i).take(pa.array(some)) for i in range(len(plain))), raw], [*plain, "raw"]
+            if timed:
+                columns.append(b.column(len(plain) + 1).take(pa.array(some)))
+                columns.append(pa.array(np.full(len(some), (time.perf_counter_ns() - began) / max(1, len(some)))))
+                names += SPENT
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    fields = _schema([sectors.schema[c] for c in plain], "raw binary" + ", read_ns double, parse_ns double" * timed)
+    return sectors.select(*plain, data, *(["read_ns"] if timed else [])).mapInArrow(run, fields)
 
 
 def frame_counters(frames: DataFrame, keys: list[str]) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from discloom.functions.binary import REVERSED_BYTES, nul_padded
 from discloom.operators.demux import changes
@@ -25,12 +27,14 @@ def no_decoder(channels: int) -> Callable[[bytes], bytes]:
     raise NotImplementedError("decoder not available: pass one for compressed frames")
 
 
-def decode(frames: DataFrame, decoder: DecoderFactory | None = None, raw: str = "raw", channels: str = "channels") -> DataFrame:
+def decode(frames: DataFrame, decoder: DecoderFactory | None = None, raw: str = "raw", channels: str = "channels", spent: str | None = None) -> DataFrame:
     """Frames with ``raw`` decoded, frame by frame and in place.
 
     ``frames`` has a column of channel numbers.  None leaves uncompressed frames
     as they are.  A decoder is made once for each task and number of channels;
     ``BATCH_FRAMES`` decoded frames, or ``MANY_FRAMES``, are in memory at once.
+    ``spent`` names a column that is added, with the nanoseconds that a frame's
+    decoding took, of those decoded together an equal share.
     """
     if decoder is None:
         return frames
@@ -47,14 +51,18 @@ def decode(frames: DataFrame, decoder: DecoderFactory | None = None, raw: str =
                 b = whole.slice(low, step)
                 raws, counts = b.column(at).to_pylist(), b.column(of).to_pylist()
                 out: list[bytes | None] = [None] * b.num_rows
+                took = np.zeros(b.num_rows)
                 for n, d in made.items():
                     own = [i for i, (x, m) in enumerate(zip(raws, counts, strict=True)) if m == n and x is not None]
                     many = getattr(d, "many", lambda frames, one=d: [one(x) for x in frames])
+                    began = time.perf_counter_ns()
                     for i, samples in zip(own, many([raws[i] for i in own]), strict=True):
                         out[i] = samples
-                yield b.set_column(at, raw, pa.array(out, pa.binary()))
+                    took[own] = (time.perf_counter_ns() - began) / max(1, len(own))
+                done = b.set_column(at, raw, pa.array(out, pa.binary()))
+                yield done.append_column(spent, pa.array(took)) if spent else done
 
-    return frames.mapInArrow(run, frames.schema)
+    return frames.mapInArrow(run, T.StructType([*frames.schema, *([T.StructField(spent, T.DoubleType())] if spent else [])]))
 
 
 class _Stream:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
@@ -11,7 +12,7 @@ from discloom import layouts as L
 from discloom.functions.binary import sanitized
 from discloom.operators import demux, lossless, pcm, report, tag, toc, tracks
 from discloom.operators.pcm import DecoderFactory
-from discloom.shared import cut, sent, written
+from discloom.shared import cut, sent, shared_folder, written
 from discloom.sources import dsf
 from discloom.sources.sectors import FileImages, Images
 
@@ -27,6 +28,14 @@ class Tables:
     tracks: DataFrame
 
 
+@dataclass
+class Times:
+    """What :func:`audio_files` and :func:`write_audio` note when they are given it, for :func:`track_times`."""
+
+    tracks: DataFrame | None = None
+    files: DataFrame | None = None
+
+
 def read_tables(images: DataFrame | Images, strict: bool = True, permissive: bool = False, charsets: bool = False) -> Tables:
     """Metadata of all images, given as ``(image, lsn, data)`` or by :func:`images_at`.
 
@@ -64,22 +73,23 @@ def track_plan(tables: Tables, selection: str | None = None, **areas: bool) -> D
     return plan.select(*KEYS, "track_no", "frame_format", "channels", "tc_start", "tc_end", F.col("lsn_start").alias("low"), high.alias("high"))
 
 
-def track_frames(images: DataFrame | Images, tables: Tables, selection: str | None = None, seen: Observation | None = None, **areas: bool) -> DataFrame:
+def track_frames(images: DataFrame | Images, tables: Tables, selection: str | None = None, seen: Observation | None = None, timed: bool = False, **areas: bool) -> DataFrame:
     """Raw frames of the selected tracks: ``image, area, track_no, channels, compressed, order_no, raw``.
 
     Only the sectors of these tracks are used.  ``seen`` gets the numbers of
     frames (``frames``), of those outside their track's times (``filtered``) and
     of those that were begun but never done (``dropped``), and ``bytes``.
+    ``timed`` adds ``read_ns`` and ``parse_ns``, the time that a frame took.
     """
     plan = track_plan(tables, selection, **areas)
-    parts = toc.as_images(images).within(plan)
-    keys = [*KEYS, "track_no"]
-    packs = demux.packets(parts.filter("frame_format = 0"), [*keys, "channels", "tc_start", "tc_end"])
-    frames = demux.assemble(packs, [*keys, "channels", "tc_start", "tc_end"], lost=True, span=demux.SPAN)
+    parts = toc.as_images(images).within(plan, timed)
+    keys, spent = [*KEYS, "track_no"], demux.SPENT if timed else []
+    packs = demux.packets(parts.filter("frame_format = 0"), [*keys, "channels", "tc_start", "tc_end"], timed=timed)
+    frames = demux.assemble(packs, [*keys, "channels", "tc_start", "tc_end"], lost=True, span=demux.SPAN, timed=timed)
     inside = demux.in_range(F.col("tc"), F.col("tc_start"), F.col("tc_end"))
-    frames = frames.select(*keys, "channels", F.lit(True).alias("compressed"), F.col("fid").alias("order_no"), "raw", F.col("lost").alias("_lost"), (inside & ~F.col("lost")).alias("_own"))
-    plain = demux.plain_sectors(parts.filter("frame_format <> 0"), [*keys, "channels"])
-    plain = plain.select(*keys, "channels", F.lit(False).alias("compressed"), F.col("lsn").alias("order_no"), "raw", F.lit(False).alias("_lost"), F.lit(True).alias("_own"))
+    frames = frames.select(*keys, "channels", F.lit(True).alias("compressed"), F.col("fid").alias("order_no"), "raw", F.col("lost").alias("_lost"), (inside & ~F.col("lost")).alias("_own"), *spent)
+    plain = demux.plain_sectors(parts.filter("frame_format <> 0"), [*keys, "channels"], timed=timed)
+    plain = plain.select(*keys, "channels", F.lit(False).alias("compressed"), F.col("lsn").alias("order_no"), "raw", F.lit(False).alias("_lost"), F.lit(True).alias("_own"), *spent)
     out = frames.unionByName(plain)
     if seen is not None:
         counted = [F.count_if("_own").alias("frames"), F.count_if(~F.col("_own") & ~F.col("_lost")).alias("filtered"), F.count_if("_lost").alias("dropped")]
@@ -100,18 +110,19 @@ def _one_of_each(names: DataFrame, name: str) -> DataFrame:
 
 
 def audio_files(
-    images: DataFrame | Images, tables: Tables, decoder: DecoderFactory | None = lossless.Decoder, selection: str | None = None, carry: bool = False, seen: Observation | None = None, **areas: bool
+    images: DataFrame | Images, tables: Tables, decoder: DecoderFactory | None = lossless.Decoder, selection: str | None = None, carry: bool = False, seen: Observation | None = None, times: Times | None = None, **areas: bool
 ) -> DataFrame:
     """Rows for the ``dsf_files`` sink: all selected tracks' headers, blocks and tags.
 
     Each image's files are in a folder of their own; two images of one name are
     an error.  Compressed frames need a ``decoder``; with None they are an error,
-    as malformed frames are.
+    as malformed frames are.  ``times`` has this job's times noted.
     """
-    keys = [*KEYS, "track_no"]
-    frames = track_frames(images, tables, selection, seen, **areas)
+    keys, timed = [*KEYS, "track_no"], times is not None
+    frames = track_frames(images, tables, selection, seen, timed, **areas)
     plain, packed = frames.filter("NOT compressed"), frames.filter("compressed")
-    samples = plain.unionByName(pcm.decode(packed, decoder or pcm.no_decoder)).drop("compressed")
+    plain = plain.withColumn("decode_ns", F.lit(0.0)) if timed else plain
+    samples = plain.unionByName(pcm.decode(packed, decoder or pcm.no_decoder, spent="decode_ns" if timed else None)).drop("compressed")
     # Written, so that frames are decoded once.  A track's decoded size is known before any byte is placed, from lengths alone.
     samples = written(samples.withColumn("size", F.length("raw").cast("long")))
     sizes = samples.groupBy(*keys).agg(F.first("channels").alias("channels"), F.sum("size").alias("bytes"))
@@ -127,6 +138,10 @@ def audio_files(
     files = sizes.join(tagged, keys).join(names, "image")
     file = report.audio_name(F.col("disc_title"), F.col("disc_artist"), F.col("area"), F.col("track_no"), F.col("title"))
     files = files.select(*keys, "folder", file.alias("file"), "channels", "blocks", "bytes", "carries", "id3")
+    if timed:
+        parts = [F.sum(f"{c}_ns").alias(f"{c}_ns") for c in ("read", "parse", "decode")]
+        spent = samples.groupBy(*keys).agg(F.count("*").alias("frames"), *parts)
+        times.tracks = cut(spent.join(files.select(*keys, "folder", "file", "bytes"), keys))
     return dsf.file_rows(pcm.padded(placed), files, keys)
 
 
@@ -147,9 +162,35 @@ def _handed_on(blocks: DataFrame, start: DataFrame, keys: list[str]) -> DataFram
     return there.groupBy(*keys, "block_no", "channel").agg(F.expr("listagg(bytes) WITHIN GROUP (ORDER BY `from`)").alias("bytes"))
 
 
-def write_audio(rows: DataFrame, folder: str) -> None:
-    dsf.register(rows.sparkSession)
-    rows.write.format("dsf_files").mode("append").save(folder)
+def write_audio(rows: DataFrame, folder: str, times: Times | None = None) -> None:
+    spark = rows.sparkSession
+    dsf.register(spark)
+    writer = rows.write.format("dsf_files").mode("append")
+    if times is None:
+        writer.save(folder)
+    else:
+        path = f"{shared_folder(spark)}/times-{uuid.uuid4().hex}"
+        writer.option("times", path).save(folder)
+        times.files = spark.read.schema("folder string, file string, write_ns long, file_bytes long").parquet(path)
+
+
+def track_times(times: Times) -> DataFrame:
+    """What each written track took: ``image, area, track_no, folder, file, frames, bytes, file_bytes, read_s, parse_s, decode_s, write_s, mb_per_s, frames_per_s``.
+
+    ``times`` was given to :func:`audio_files` and then to :func:`write_audio`.
+    Seconds are those that tasks spent, added up, whatever ran side by side: in
+    reading the track's sectors (0 where Spark's own scan reads them), in
+    decoding packets and assembling frames, in decoding samples, and in writing
+    the file.  ``frames`` are sectors where the track isn't compressed, ``bytes``
+    those of its samples; the two rates are of ``file_bytes`` and ``frames`` by
+    the sum of the four times, and null where that is 0.  Time that led to no
+    frame of the track, as of packets between frames, isn't counted.
+    """
+    names = ("read", "parse", "decode", "write")
+    both = times.tracks.join(times.files, ["folder", "file"])
+    total = sum(F.col(f"{c}_s") for c in names)
+    rows = both.select(*KEYS, "track_no", "folder", "file", "frames", "bytes", "file_bytes", *((F.col(f"{c}_ns") / 1e9).alias(f"{c}_s") for c in names))
+    return rows.withColumns({"mb_per_s": F.try_divide(F.col("file_bytes") / 1e6, total), "frames_per_s": F.try_divide(F.col("frames"), total)})
 
 
 def dump_image(images: DataFrame | Images, tables: Tables, folder: str) -> DataFrame:

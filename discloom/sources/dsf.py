@@ -13,6 +13,9 @@ files that they reported to their places, and then it takes the staging folder
 away, as it does when the job fails or is cancelled.  A driver that is killed
 leaves a hidden staging folder but no file under its name.
 
+The option ``times`` of ``dsf_files`` names a folder on any such storage, where
+the driver writes a table ``folder, file, write_ns, file_bytes`` after the files are in their places.
+
 ``folder`` of audio files is a path or URI on any storage that pyarrow's file
 systems open: mounted folders, HDFS, object stores.  Images are written at their
 sectors' places by many tasks, and need mounted storage.
@@ -22,11 +25,13 @@ from __future__ import annotations
 
 import contextlib
 import os
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -72,11 +77,16 @@ def file_rows(blocks: DataFrame, tracks: DataFrame, keys: list[str]) -> DataFram
 
 @dataclass
 class Written(WriterCommitMessage):
-    """What an attempt has written to its folder; of images, number, sum and greatest of the sectors."""
+    """What an attempt has written to its folder; of images, number, sum and greatest of the sectors.
+
+    Of files also the nanoseconds spent in writing each, and its bytes.
+    """
 
     attempt: str = ""
     files: list[tuple[str, str]] = field(default_factory=list)
     sectors: dict[str, tuple[int, int, int]] = field(default_factory=dict)
+    spent: list[int] = field(default_factory=list)
+    sizes: list[int] = field(default_factory=list)
 
 
 def storage(folder: str) -> tuple[fs.FileSystem, str]:
@@ -107,16 +117,28 @@ class StagedWriter(DataSourceWriter):
 
 
 class FilesWriter(StagedWriter):
+    def __init__(self, options: dict) -> None:
+        super().__init__(options)
+        self.times = options.get("times")
+
     def write(self, iterator: Iterator) -> Written:
         files, _ = storage(self.folder)
         done, out, tag = Written(uuid.uuid4().hex), None, b""
         own = f"{self.staging}/{done.attempt}"
         files.create_dir(own, recursive=False)  # an error once the job is over
 
+        def put(data: bytes) -> None:
+            began = time.perf_counter_ns()
+            out.write(data)
+            done.spent[-1] += time.perf_counter_ns() - began
+            done.sizes[-1] += len(data)
+
         def finish() -> None:
             if out is not None:
-                out.write(tag)
+                put(tag)
+                began = time.perf_counter_ns()
                 out.close()
+                done.spent[-1] += time.perf_counter_ns() - began
 
         try:
             for row in iterator:
@@ -124,9 +146,12 @@ class FilesWriter(StagedWriter):
                     finish()
                     done.files.append((row["folder"], row["file"]))
                     tag = bytes(row["id3"] or b"")
+                    began = time.perf_counter_ns()
                     out = files.open_output_stream(f"{own}/{len(done.files)}")
-                    out.write(bytes(row["header"]))
-                out.write(bytes(row["bytes"] or b""))
+                    done.spent.append(time.perf_counter_ns() - began)
+                    done.sizes.append(0)
+                    put(bytes(row["header"]))
+                put(bytes(row["bytes"] or b""))
             finish()
         except BaseException:
             with contextlib.suppress(Exception):
@@ -144,9 +169,20 @@ class FilesWriter(StagedWriter):
                 files.create_dir(folder)
             for source, folder, name in moves:
                 files.move(source, f"{folder}/{name}")
+            if self.times:
+                self._report([m for m in messages if m is not None])
         finally:
             self.clear()
 
+    def _report(self, messages: list[Written]) -> None:
+        """One row for each file, in a Parquet file of the folder that the option ``times`` names."""
+        files, path = storage(self.times)
+        files.create_dir(path)
+        folder, file = ([f[i] for m in messages for f in m.files] for i in (0, 1))
+        spent, sizes = [x for m in messages for x in m.spent], [x for m in messages for x in m.sizes]
+        rows = pa.table([pa.array(folder, pa.string()), pa.array(file, pa.string()), pa.array(spent, pa.int64()), pa.array(sizes, pa.int64())], names=["folder", "file", "write_ns", "file_bytes"])
+        pq.write_table(rows, f"{path}/{uuid.uuid4().hex}.parquet", filesystem=files)
+
 
 class DsfFiles(DataSource):
     """Sink of audio files."""

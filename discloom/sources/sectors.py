@@ -234,14 +234,15 @@ class Images:
         """Sectors ``low`` to ``high`` - 1 of each image."""
         return self.sectors.filter((F.col("lsn") >= low) & (F.col("lsn") < high))
 
-    def within(self, spans: DataFrame) -> DataFrame:
+    def within(self, spans: DataFrame, timed: bool = False) -> DataFrame:
         """Rows of ``spans`` with each sector of theirs: its columns but ``low`` and ``high``, ``lsn`` and ``data``.
 
         ``spans`` has ``image``, and sectors ``low`` to ``high`` - 1.  The scan is
         given the ranges that spans lie in, which reach files whose statistics say
         what sectors they hold.  Up to ``BROADCAST_SPANS`` spans go to the sectors,
         which then stay where they are; more are joined by image and bucket.  The
-        exact condition follows.
+        exact condition follows.  ``timed`` adds ``read_ns``, the time of reading a
+        sector, which is 0 where Spark's own scan reads.
         """
         spans = spans.filter("high > low")
         # At most one row for each bucket of a disc's sectors, however many images there are.
@@ -253,7 +254,9 @@ class Images:
             own = own.filter(F.col("image").isin(names))
         bucket = F.explode(F.expr(f"sequence(low div {PARTITION_SECTORS}, (high - 1) div {PARTITION_SECTORS})"))
         wanted, own = spans.withColumn("_b", bucket), own.withColumn("_b", F.expr(f"lsn div {PARTITION_SECTORS}"))
-        return own.join(F.broadcast(wanted) if few else wanted, ["image", "_b"]).filter("lsn >= low AND lsn < high").select(*[c for c in spans.columns if c not in ("low", "high")], "lsn", "data")
+        return own.join(F.broadcast(wanted) if few else wanted, ["image", "_b"]).filter("lsn >= low AND lsn < high").select(
+            *[c for c in spans.columns if c not in ("low", "high")], "lsn", "data", *([F.lit(0.0).alias("read_ns")] if timed else [])
+        )
 
 
 def merged_ranges(ranges: list[tuple[int, int]], most: int = MOST_RANGES) -> list[tuple[int, int]]:
@@ -315,7 +318,7 @@ class FileImages(Images):
         bounds = {k: v for k, v in (("from", low), ("to", high)) if v is not None}
         return self.spark.read.format("disc_sectors").options(partitionSectors=self.step, **bounds).load(self.path)
 
-    def within(self, spans: DataFrame) -> DataFrame:
+    def within(self, spans: DataFrame, timed: bool = False) -> DataFrame:
         """As of any images; each task reads spans of bounded length at their places in the files."""
         others = [c for c in spans.columns if c not in ("image", "low", "high")]
         begin = F.explode(F.expr(f"sequence(low, high - 1, {self.step}L)"))
@@ -325,12 +328,16 @@ class FileImages(Images):
         def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for i, (image, low, high) in enumerate(zip(*(b.column(c).to_pylist() for c in ("image", "low", "high")), strict=True)):
+                    began = time.perf_counter_ns()
                     for part in _read_file(Span(image, low, high)):
+                        took = (time.perf_counter_ns() - began) / max(1, part.num_rows)
                         row = pa.array(np.full(part.num_rows, i))
-                        yield pa.RecordBatch.from_arrays([*(b.column(c).take(row) for c in others), *part.columns], [*others, "image", "lsn", "data"])
+                        more = [pa.array(np.full(part.num_rows, took))] if timed else []
+                        yield pa.RecordBatch.from_arrays([*(b.column(c).take(row) for c in others), *part.columns, *more], [*others, "image", "lsn", "data", *(["read_ns"] if timed else [])])
+                        began = time.perf_counter_ns()
 
         fields = [spans.schema[c] for c in others]
-        return pieces.mapInArrow(read, T.StructType([*fields, *T.StructType.fromDDL(SCHEMA)]))
+        return pieces.mapInArrow(read, T.StructType([*fields, *T.StructType.fromDDL(SCHEMA + ", read_ns double" * timed)]))
 
 
 def register(spark: SparkSession) -> None:

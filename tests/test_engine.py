@@ -519,3 +519,54 @@ def test_texts_as_images(spark):
     df = spark.createDataFrame([(1, "a" * 100_000), (2, ""), (3, None), (4, "é")], "id long, t string")
     got = synthesis.text_images(df, "id", "t").groupBy("image").count().collect()
     assert {r.image for r in got} == {1, 4}
+
+
+
+def slowly():
+    """A decoder of frames that takes 5 ms for each."""
+
+    def slow(channels):
+        import time
+
+        def one(raw):
+            time.sleep(0.005)
+            return raw
+
+        return one
+
+    return slow
+
+
+@pytest.mark.parametrize("from_files", [False, True])
+def test_times_of_each_track(spark, tmp_path, from_files):
+    own, samples = image()
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "disc.iso").write_bytes(b"".join(own.get(i, b"\0" * SECTOR) for i in range(max(own) + 1)))
+    s = extract.images_at(spark, str(tmp_path / "in")) if from_files else frame(spark, own)
+    tables, times = extract.read_tables(s), extract.Times()
+    extract.write_audio(extract.audio_files(s, tables, times=times), str(tmp_path / "out"), times)
+    extract.write_audio(extract.audio_files(s, tables), str(tmp_path / "plain"))
+    files = {p.name: p.read_bytes() for p in (tmp_path / "out" / "disc").iterdir()}
+    assert files == {p.name: p.read_bytes() for p in (tmp_path / "plain" / "disc").iterdir()}
+    got = sorted(extract.track_times(times).collect(), key=lambda r: r.track_no)
+    assert [r.track_no for r in got] == [1, 2, 3] and [r.bytes for r in got] == [len(x) for x in samples]
+    for r in got:
+        assert r.file_bytes == len(files[r.file]) and r.frames > 0 and r.parse_s > 0 and r.write_s > 0 and r.decode_s == 0
+        assert (r.read_s > 0) == from_files
+        total = r.read_s + r.parse_s + r.decode_s + r.write_s
+        assert r.frames_per_s == pytest.approx(r.frames / total) and r.mb_per_s == pytest.approx(r.file_bytes / 1e6 / total)
+
+
+def test_times_are_shared_by_the_frames_that_took_them(spark):
+    frames = spark.createDataFrame([(i, 2, bytes([i])) for i in range(20)], "n long, channels int, raw binary").coalesce(1)
+    got = pcm.decode(frames, slowly(), spent="took").collect()
+    assert [r.raw for r in got] == [bytes([i]) for i in range(20)] and all(5e6 <= r.took < 1e8 for r in got)
+
+
+def test_times_of_compressed_tracks(spark, tmp_path):
+    own, samples = image(frame_format=0)
+    s, times = frame(spark, own), extract.Times()
+    extract.write_audio(extract.audio_files(s, extract.read_tables(s), decoder=slowly(), times=times), str(tmp_path), times)
+    got = sorted(extract.track_times(times).collect(), key=lambda r: r.track_no)
+    assert [(r.frames, r.bytes) for r in got] == [(6, len(x)) for x in samples]
+    assert all(r.decode_s >= 0.03 and r.parse_s > 0 and r.write_s > 0 and r.read_s == 0 for r in got)
