@@ -12,6 +12,8 @@ from discloom.llm.support import cut
 
 #: Edges that one task joins by itself before it passes a forest on.
 FOREST_EDGES = 1_000_000
+#: Edges of all forests that one task joins to the end; more are joined in distributed rounds.
+LAST_EDGES = 1 << 18
 
 
 class UnionFind:
@@ -56,18 +58,27 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield emit(sets)
 
 
+def _placed(stars: DataFrame) -> DataFrame:
+    """``node, root`` of edges ``u, v`` that lead from each other node to its root."""
+    return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).union(stars.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node long, root long`` of every node of ``edges (u long, v long)``.
 
     ``root`` is the smallest node that can be reached.  Tasks first reduce their
-    edges to forests by union-find; the forests are then joined by alternating
-    large-star and small-star steps, which take a logarithmic number of rounds.
+    edges to forests by union-find.  Forests of ``LAST_EDGES`` edges or fewer are
+    joined by one more task, in one job instead of some forty exchanges; larger
+    ones by alternating large-star and small-star steps, which take a logarithmic
+    number of rounds.
     Loops and repeated edges do no harm; no edges give no rows.  Least neighbours
     are written before they are joined: Spark can then split the many neighbours
     of one node.
     """
     edges = edges.select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v")).filter("u <> v")
     edges = cut(edges.mapInArrow(_forest, "u long, v long").distinct())
+    if edges.count() <= LAST_EDGES:
+        return _placed(cut(edges.coalesce(1).mapInArrow(_forest, "u long, v long")))
     before = None
     while True:
         # Each node hands its larger neighbours over to the smallest one around it.
@@ -80,7 +91,5 @@ def components(edges: DataFrame) -> DataFrame:
         edges = cut(small.union(least.select("u", F.col("m").alias("v"))).distinct())
         after = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if after == before:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
-                edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-            )
+            return _placed(edges)
         before = after

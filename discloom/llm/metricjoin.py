@@ -34,6 +34,7 @@ from discloom.llm.components import components
 from discloom.llm.neardup import BLOCK, grouped, shingle_sets, tile_links
 from discloom.llm.support import bit_of, cut, filter_bits, has_bit
 from discloom.llm.wordcode import U64, mix64
+from discloom.shared import sent
 
 #: Cells of the sketch, least and most; two bits for each are sent to tasks.  Bytes of text for each cell.
 LEAST_CELLS, MOST_CELLS, CELL_BYTES = 1 << 22, 1 << 27, 4
@@ -230,14 +231,15 @@ def _round(firsts: DataFrame, sets: DataFrame, window: int, percent: int) -> tup
     degrees = cut(pairs.groupBy("pivot").agg(turns.alias("turns")))
     members = pairs.join(degrees, "pivot").select("pivot", F.pmod(F.xxhash64("cls"), F.col("turns")).alias("turn"), F.lit(1).alias("member"), "cls")
     middles = degrees.select("pivot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("turns") - 1)).alias("turn"), F.lit(0).alias("member"), F.col("pivot").alias("cls"))
-    rows = members.unionByName(middles).join(sets.select("cls", "codes"), "cls").select("pivot", "turn", "member", "cls", "codes")
+    # Few numbers are sent to the sets, so that a round moves only the sets that it compares.
+    rows = sets.select("cls", "codes").join(sent(members.unionByName(middles)), "cls").select("pivot", "turn", "member", "cls", "codes")
     rows = rows.repartition("pivot", "turn").sortWithinPartitions("pivot", "turn", "member")
     return pivots, cut(rows.mapInArrow(_distances(window, percent), "pivot long, cls long, distance double, linked boolean"))
 
 
 def _tiles(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links of ``rows (key, x, y, side, cls, comp)``, tile by tile."""
-    rows = rows.join(sets.select("cls", "codes"), "cls").select("key", "x", "y", "side", "cls", "comp", "codes")
+    rows = sets.select("cls", "codes").join(sent(rows), "cls").select("key", "x", "y", "side", "cls", "comp", "codes")
     rows = rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
     return cut(rows.mapInArrow(tile_links(percent), "u long, v long").distinct())
 

@@ -157,3 +157,16 @@ def test_words_of_the_known_collision_stay_apart(spark):
     rows += [(2 + i, "".join("xy"[b ^ i] for b in bits)) for i in (0, 1)]
     found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), width=2)
     assert sorted(r.component_id for r in found.collect()) == [0, 1, 2, 3]
+
+
+@pytest.mark.parametrize("last", [0, 1 << 18])
+def test_small_graphs_take_few_jobs(spark, monkeypatch, last):
+    """One more task joins small forests; rounds, which larger ones take, give the same components."""
+    monkeypatch.setattr(components, "LAST_EDGES", last)
+    tracker, group = spark.sparkContext.statusTracker(), f"components-{last}"
+    edges = spark.createDataFrame([(i, i + 1) for i in range(0, 300) if i % 50] + [(7, 7), (900, 3), (900, 3)], "u long, v long").repartition(4)
+    spark.sparkContext.setJobGroup(group, "test")
+    found = sorted((r.node, r.root) for r in components.components(edges).collect())
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert found == sorted([(i, 50 * ((i - 1) // 50) + 1) for i in range(1, 301)] + [(900, 1)])
+    assert (len(tracker.getJobIdsForGroup(group)) <= 12) == (last > 0)
