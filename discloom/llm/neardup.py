@@ -138,21 +138,25 @@ def _lists(values: pa.Array, first: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), values)
 
 
+def _set_prints(code: np.ndarray, first: np.ndarray) -> list[pa.Array]:
+    """Size of each set and two prints of it."""
+    prints = [pa.array(np.diff(first))]
+    for salt in (1, 2):
+        total = np.zeros(len(code) + 1, U64)
+        np.cumsum(mix64(code ^ U64(salt * 0xA0761D6478BD642F % (1 << 64))), out=total[1:])
+        prints.append(_signed(total[first[1:]] - total[first[:-1]]))
+    return prints
+
+
 def _signatures(width: int, slots: int, band: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for low, high, code, first in shingle_sets(b.column(2), width):
-                count = np.diff(first)
-                prints = []
-                for salt in (1, 2):
-                    total = np.zeros(len(code) + 1, U64)
-                    np.cumsum(mix64(code ^ U64(salt * 0xA0761D6478BD642F % (1 << 64))), out=total[1:])
-                    prints.append(_signed(total[first[1:]] - total[first[:-1]]))
-                some = count > 0
+                some = np.diff(first) > 0
                 keys = band_keys(super_minhash(code, first, slots)[some], band)
                 at = np.concatenate([[0], np.cumsum(some)]) * (slots // band)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(low, high - low), b.column(1).slice(low, high - low), pa.array(count), *prints, _lists(_signed(keys.ravel()), at)],
+                    [b.column(0).slice(low, high - low), b.column(1).slice(low, high - low), *_set_prints(code, first), _lists(_signed(keys.ravel()), at)],
                     ["id", "t", "n", "p1", "p2", "bands"],
                 )
 
@@ -160,12 +164,14 @@ def _signatures(width: int, slots: int, band: int):
 
 
 def _sets(width: int, bits: bytes):
+    """Sets of the rows whose bit is in a filter, with their prints, by which their classes are known."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            b = b.filter(pa.array(has_bit(bits, b.column(3).to_numpy())))
+            b = b.filter(pa.array(has_bit(bits, b.column(1).to_numpy())))
             if b.num_rows:
-                for low, high, code, first in shingle_sets(b.column(2), width):
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(low, high - low), b.column(1).slice(low, high - low), _lists(_signed(code), first)], ["id", "t", "codes"])
+                for *_, code, first in shingle_sets(b.column(0), width):
+                    yield pa.RecordBatch.from_arrays([*_set_prints(code, first), _lists(_signed(code), first)], ["n", "p1", "p2", "codes"])
 
     return run
 
@@ -298,14 +304,12 @@ def links(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text"
     centres = cut(famed.groupBy("key").agg(F.min(F.struct(-F.col("fame"), F.col("cls").alias("cls")))["cls"].alias("centre")))
     pairs = cut(shared.join(centres, "key").filter("cls <> centre").select("centre", "cls").distinct())
 
-    involved = shared.select("cls").distinct().join(classes.select("cls", "rep.id", "rep.t"), "cls")
-    involved = cut(involved.select("cls", F.col("id").alias("_id"), F.col("t").alias("_t")))
-    # A filter of fixed size keeps most uninvolved documents out of the set table.
-    bits = filter_bits(involved, "_id", "_t")
-    texts = own.select("id", "t", "text", bit_of("id", "t").alias("bit"))
-    sets = texts.mapInArrow(_sets(width, bits), "id long, t long, codes array<long>")
-    sets = sets.join(involved, F.col("id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t")))
-    sets = cut(sets.groupBy("cls").agg(F.min("codes").alias("codes")).withColumnRenamed("cls", "id"))
+    involved = classes.join(shared.select("cls").distinct(), "cls", "left_semi").select("rep.id", "rep.t")
+    # A filter of fixed size keeps most uninvolved documents out of the set table; the few others meet nothing.
+    # Sets know their class by their own prints, so they are moved once to be one of each.
+    bits = filter_bits(involved, "id", "t")
+    sets = own.select("text", bit_of("id", "t").alias("bit")).mapInArrow(_sets(width, bits), "n long, p1 long, p2 long, codes array<long>")
+    sets = cut(sets.filter("n > 0").groupBy(F.xxhash64("n", "p1", "p2").alias("id")).agg(F.min("codes").alias("codes")))
 
     turns = F.expr(f"(degree + {BLOCK - 1}) div {BLOCK}")
     degrees = cut(pairs.groupBy("centre").agg(F.count("*").alias("degree")).select("centre", turns.alias("turns")))

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from discloom.llm import components, neardup
@@ -170,3 +171,13 @@ def test_small_graphs_take_few_jobs(spark, monkeypatch, last):
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert found == sorted([(i, 50 * ((i - 1) // 50) + 1) for i in range(1, 301)] + [(900, 1)])
     assert (len(tracker.getJobIdsForGroup(group)) <= 12) == (last > 0)
+
+
+def test_sets_know_their_classes():
+    """Sets carry the prints that rows of signatures have, so they find their class without a join."""
+    texts = pa.array(["a b c d", None, "a b", "", "x", "B b c a"])
+    rows = pa.RecordBatch.from_arrays([pa.array(range(6), pa.int64()), pa.array(range(6), pa.int64()), texts], ["id", "t", "text"])
+    (signed,) = neardup._signatures(2, 20, 5)([rows])
+    (sets,) = neardup._sets(2, bytes([0b111101]))([pa.RecordBatch.from_arrays([texts, pa.array(range(6), pa.int64())], ["text", "bit"])])
+    assert [sets.column(c).to_pylist() for c in ("n", "p1", "p2")] == [[x for i, x in enumerate(signed.column(c).to_pylist()) if i != 1] for c in ("n", "p1", "p2")]
+    assert [len(x) for x in sets.column("codes").to_pylist()] == [3, 1, 0, 1, 3]
