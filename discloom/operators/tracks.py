@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from discloom.functions.timecode import FRAMES_A_MINUTE, sectors_of_three_frames
+from discloom.shared import cut, sent
 
 #: Width of the buckets that turn range joins into equi-joins.
 LSN_BUCKET = 4096
@@ -46,6 +47,33 @@ def in_track_sectors(sectors: DataFrame, ranges: DataFrame, keys: list[str]) ->
     return s.join(r, [*keys, "_b"]).filter("lsn >= lsn_start AND lsn < lsn_end").drop("_b")
 
 
+def counted_sectors(sectors: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFrame:
+    """Tracks with the number and the first of the sectors in their range: adds ``sectors, first_lsn``.
+
+    The same as counting the rows of :func:`in_track_sectors` for each track,
+    tracks without sectors left out, but the work is that of the two tables, not
+    of their pairs: sectors are counted from each bucket's beginning, and what was
+    counted at a range's start is taken from what was counted at its end.
+    """
+    ends = ranges.filter("lsn_end > lsn_start")
+    places = sectors.select(*keys, "lsn", F.lit(1).alias("n"), F.lit(0).alias("is_end"))
+    places = places.unionByName(ends.select(*keys, F.explode(F.array("lsn_start", "lsn_end")).alias("lsn"), F.lit(0).alias("n"), F.lit(1).alias("is_end")))
+    places = places.filter("lsn IS NOT NULL").groupBy(*keys, "lsn").agg(F.sum("n").alias("n"), F.max("is_end").alias("is_end"))
+    places = cut(places.withColumns({"_b": F.expr(f"(lsn - pmod(lsn, {LSN_BUCKET})) div {LSN_BUCKET}"), "own": F.expr("CASE WHEN n > 0 THEN lsn END")}))
+    # A bucket has as many places as numbers at most; then buckets are added up, of which an image has few.
+    buckets = places.groupBy(*keys, "_b").agg(F.sum("n").alias("n"), F.min("own").alias("own"))
+    up, down = (Window.partitionBy(*keys).orderBy(x).rowsBetween(Window.unboundedPreceding, Window.currentRow) for x in (F.col("_b"), F.desc("_b")))
+    buckets = buckets.select(*keys, "_b", (F.sum("n").over(up) - F.col("n")).alias("earlier"), F.min("own").over(down).alias("own"))
+    buckets = buckets.withColumn("later", F.lead("own").over(Window.partitionBy(*keys).orderBy("_b"))).drop("own")
+    up, down = (Window.partitionBy(*keys, "_b").orderBy(x).rowsBetween(Window.unboundedPreceding, Window.currentRow) for x in (F.col("lsn"), F.desc("lsn")))
+    found = places.select(*keys, "_b", "lsn", "is_end", (F.sum("n").over(up) - F.col("n")).alias("before"), F.min("own").over(down).alias("next")).filter("is_end = 1")
+    found = cut(found.join(buckets, [*keys, "_b"]).select(*keys, "lsn", (F.col("before") + F.col("earlier")).alias("before"), F.coalesce("next", "later").alias("first_lsn")))
+    starts = found.select(*keys, F.col("lsn").alias("lsn_start"), F.col("before").alias("_before"), "first_lsn")
+    stops = found.select(*keys, F.col("lsn").alias("lsn_end"), F.col("before").alias("_until"))
+    counted = ends.join(starts, [*keys, "lsn_start"]).join(stops, [*keys, "lsn_end"]).withColumn("sectors", F.col("_until") - F.col("_before"))
+    return counted.filter("sectors > 0").select(*ranges.columns, "sectors", "first_lsn")
+
+
 def in_track_times(frames: DataFrame, ranges: DataFrame, keys: list[str], tc: str = "tc") -> DataFrame:
     """Frames joined with each track whose half-open timecode range holds them."""
     bucket = F.explode(F.expr(f"sequence(tc_start div {FRAMES_A_MINUTE}, (tc_end - 1) div {FRAMES_A_MINUTE})"))
