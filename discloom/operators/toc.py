@@ -22,6 +22,9 @@ from discloom.sources.sectors import Images
 #: Encodings of the character sets that texts may be in.
 CHARSETS = {0: "ascii", 1: "ascii", 2: "latin-1", 3: "shift_jis_2004", 4: "euc_kr", 5: "gb2312", 6: "big5", 7: "latin-1"}
 
+#: Contents whose tracks, up to 255 of each, are held as rows at once.
+HELD_CONTENTS = 16
+
 
 def _sector(sectors: DataFrame, lsn: int, signature: bytes) -> DataFrame:
     return sectors.filter((F.col("lsn") == lsn) & (part(F.col("data"), 0, 8) == F.lit(signature)))
@@ -213,7 +216,8 @@ def tracks(contents: DataFrame, charsets: bool = False) -> DataFrame:
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # The items of a track's texts follow one another at lengths that only reading tells, so all of a content is read in one go.
-        for b in batches:
+        # Spark's batches have thousands of contents; only some at a time become Python values.
+        for b in (whole.slice(low, HELD_CONTENTS) for whole in batches for low in range(0, whole.num_rows, HELD_CONTENTS)):
             of, rows = [], []
             for n, (area, data) in enumerate(zip(b.column("area").to_pylist(), b.column("data").to_pylist(), strict=True)):
                 lists = {"times": _list_at(data, L.TRACK_TIMES), "sectors": _list_at(data, L.TRACK_SECTORS), "codes": _list_at(data, L.TRACK_CODES)}

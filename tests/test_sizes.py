@@ -1,9 +1,24 @@
 """Steps whose work or memory must follow the size of their tables."""
 
 import random
+from types import SimpleNamespace
 
+import pyarrow as pa
 
-from discloom.operators import tracks
+from discloom.operators import toc, tracks
+from discloom.plans import synthesis
+
+
+def test_few_contents_are_rows_at_once(spark, monkeypatch):
+    one = synthesis.area_toc(b"TWOCHTOC", [{"start": 75 * i, "duration": 75} for i in range(200)], {})
+    contents = spark.createDataFrame([(f"i{n:02d}", "stereo", one) for n in range(40)], "image string, area string, data binary").coalesce(1)
+    kept = []
+    fake = SimpleNamespace(schema=contents.schema, select=lambda *_: SimpleNamespace(mapInArrow=lambda f, _: kept.append(f)))
+    toc.tracks(fake)
+    batch = pa.RecordBatch.from_pydict({"image": [f"i{n:02d}" for n in range(40)], "area": ["stereo"] * 40, "data": [one] * 40})
+    found = list(kept[0]([batch]))
+    assert len(found) > 1 and max(b.num_rows for b in found) <= 200 * toc.HELD_CONTENTS
+    assert [x for b in found for x in b.column("image").to_pylist()] == [f"i{n:02d}" for n in range(40) for _ in range(200)]
 
 
 def test_counted_sectors_are_those_of_pairs(spark):
