@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: Rows of a table of tracks or segments that are sent to every task: some tens of MB.
 SENT_ROWS = 1 << 18
 
+#: Rows of a task that sorts a table's rows by group.
+DEALT_ROWS = 1 << 19
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, also for checkpoints.
@@ -45,3 +48,12 @@ def sent(df: DataFrame, most: int = SENT_ROWS) -> DataFrame:
     """``df`` with its lineage cut, marked for broadcast if it has up to ``most`` rows."""
     held = cut(df)
     return F.broadcast(held) if held.count() <= most else held
+
+
+def dealt(table: DataFrame, *keys: str, rows: int = DEALT_ROWS) -> DataFrame:
+    """``table`` dealt by ``keys``, to as many partitions as hold about ``rows`` rows each, but no fewer than the session's.
+
+    Where the session's number of partitions is fixed, tasks that sort groups would grow with the table.  Rows are counted, which reads no column of Parquet.
+    """
+    least = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return table.repartition(max(least, -(-table.count() // rows)), *keys)

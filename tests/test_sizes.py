@@ -7,6 +7,12 @@ import pyarrow as pa
 
 from discloom.operators import toc, tracks
 from discloom.plans import synthesis
+from discloom.shared import dealt
+
+
+def test_dealt_rows_grow_in_number_of_partitions(spark):
+    for n in (0, 100, 1000):
+        assert dealt(spark.range(n), "id", rows=50).rdd.getNumPartitions() == max(4, n // 50)
 
 
 def test_few_contents_are_rows_at_once(spark, monkeypatch):
