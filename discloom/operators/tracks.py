@@ -100,15 +100,20 @@ def selected_numbers(selection: str) -> list[int]:
 
 
 def select_tracks(tracks: DataFrame, selection: str | None, keys: list[str]) -> DataFrame:
-    """The selected tracks, all without a selection; a number that an area lacks is an error in its rows."""
+    """The selected tracks, all without a selection; a number that an area lacks is an error in its rows.
+
+    The greatest numbers are found beforehand and joined, so that rows of one area, however many, stay where they are.
+    """
     if not selection:
         return tracks
     numbers = F.array(*map(F.lit, selected_numbers(selection)))
-    most = F.max("track_no").over(Window.partitionBy(*keys))
+    own = [f"_key{i}" for i in range(len(keys))]
+    greatest = sent(tracks.groupBy(*(F.col(k).alias(o) for k, o in zip(keys, own, strict=True))).agg(F.max("track_no").alias("_most")))
+    most, same = F.col("_most"), [tracks[k].eqNullSafe(F.col(o)) for k, o in zip(keys, own, strict=True)]
     checked = F.when(F.array_max(numbers) > most, F.raise_error(F.concat(F.lit("no track "), F.array_max(numbers).cast("string"))).cast("boolean")).otherwise(
         F.array_contains(numbers, F.col("track_no"))
     )
-    return tracks.withColumn("_own", checked).filter("_own").drop("_own")
+    return tracks.join(greatest, same).withColumn("_own", checked).filter("_own").select(*(tracks[c] for c in tracks.columns))
 
 
 def gapless(lengths: DataFrame, keys: list[str], last: str = "track_count", block: int = 4096, carry: bool = True) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 from types import SimpleNamespace
 
 import pyarrow as pa
+import pytest
 
 from discloom.operators import toc, tracks
 from discloom.plans import synthesis
@@ -36,3 +37,12 @@ def test_counted_sectors_are_those_of_pairs(spark):
     found = {r.t: (r.sectors, r.first_lsn) for r in tracks.counted_sectors(sectors, ranges, ["image"]).collect()}
     held = {t: [x for i, x in rows if i == k and x is not None and a <= x < b] for t, k, a, b in spans if k is not None}
     assert found == {t: (len(x), min(x)) for t, x in held.items() if x}
+
+
+def test_selection_moves_no_rows(spark):
+    df = spark.createDataFrame([(k, i, "x") for k in ("a", None) for i in (1, 2, 3)], "image string, track_no int, title string")
+    chosen = tracks.select_tracks(df, "1,3", ["image"])
+    assert chosen.columns == df.columns and sorted((r.image or "", r.track_no) for r in chosen.collect()) == [("", 1), ("", 3), ("a", 1), ("a", 3)]
+    assert "Window" not in chosen._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(Exception, match="no track 4"):
+        tracks.select_tracks(df.union(spark.createDataFrame([("b", 4, "x")], df.schema)), "4", ["image"]).collect()
