@@ -17,7 +17,10 @@ union; it is a metric.  Sets at a distance of ``r`` or less are linked.
    with members that are at least ``d - r`` away from the pivot.
 4. Classes in no region are joined with each other in the same way, with pivots
    of their own.  What is left after some rounds is compared bucket by bucket, in
-   tiles of bounded size, so no link is lost.
+   tiles of bounded size, so no link is lost.  Tiles of regions and buckets are
+   read twice: first with parities of hashed codes, about a bit for each code, which
+   bound how many codes two sets don't share.  Whole sets are moved only of rows
+   that may be linked with another row of their tile.
 5. Components of the links are found by distributed union-find.
 """
 
@@ -31,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from discloom.llm.components import components
-from discloom.llm.neardup import BLOCK, grouped, shingle_sets, tile_links
+from discloom.llm.neardup import BLOCK, _rows, grouped, shingle_sets, tile_links
 from discloom.llm.support import bit_of, cut, filter_bits, has_bit
 from discloom.llm.wordcode import U64, mix64
 from discloom.shared import sent
@@ -131,6 +134,69 @@ def _prints(code: np.ndarray, bounds: np.ndarray) -> list[pa.Array]:
     return found
 
 
+def _marks(code: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Of each set its size, and parities of how many of its codes fall on each of ``2 ** k`` bits, of which there are as many as codes or up to twice as many, 64 at least."""
+    size = np.diff(bounds)
+    words = np.array([1 << max(0, (n - 1) >> 6).bit_length() for n in size.tolist()], np.int64)
+    begin = np.concatenate([[0], np.cumsum(words)])
+    at = (mix64(code ^ U64(0xE7037ED1A0B428DB)) & np.repeat(64 * words - 1, size).astype(U64)).astype(np.int64)
+    odd = np.bincount(np.repeat(64 * begin[:-1], size) + at, minlength=64 * begin[-1]).astype(np.uint8) & 1
+    bits = np.packbits(odd, bitorder="little").view(U64)
+    return _lists(np.insert(bits, begin[:-1], size.astype(U64)), begin + np.arange(len(begin)))
+
+
+def may_link(sizes: np.ndarray, marks: list[np.ndarray], meets: np.ndarray, percent: int) -> np.ndarray:
+    """Which sets may overlap by ``percent`` of the union with another one that they meet.
+
+    Bits in which the parities of two sets differ are no more than the codes that only one of them has.
+    Parities of twice as many bits are folded to be compared: sets that can be linked differ by no more.
+    """
+    order = np.lexsort((list(map(len, marks)), sizes))
+    size, may = sizes[order], np.zeros(len(sizes), bool)
+    length = np.array([len(marks[i]) for i in order])
+    low = {int(n): int(np.searchsorted(length, n)) for n in np.unique(length)}
+    whole = {n: np.stack([marks[i] for i in order[length == n]]) for n in low}
+    half = {n: x[:, : n // 2] ^ x[:, n // 2 :] for n, x in whole.items() if n > 1}
+    last = np.searchsorted(size, size * 100 // percent, "right")
+    for i in range(len(order)):
+        n = int(length[i])
+        mine = whole[n][i - low[n]]
+        others = [whole[n][i + 1 - low[n] : last[i] - low[n]]]
+        if 2 * n in low:
+            others.append(half[2 * n][: max(0, last[i] - low[2 * n])])
+        apart = np.concatenate([np.bitwise_count(x ^ mine).sum(1, dtype=np.int64) for x in others])
+        j = np.arange(i + 1, i + 1 + len(apart))
+        both = (size[i] + size[j] - apart) // 2
+        found = j[meets[order[i], order[j]] & (100 * both >= percent * (size[i] + size[j] - both))]
+        if len(found):
+            may[order[i]] = may[order[found]] = True
+    return may
+
+
+def _hopeful(percent: int):
+    """Of rows ``key, x, y, side, cls, comp, marks`` sorted by tile those that may be linked with another one of their tile."""
+
+    def made(tile: list[tuple]) -> pa.RecordBatch:
+        side, comp = (np.array([r[i] for r in tile]) for i in (3, 5))
+        meets = ((side[:, None] != side) | (side == 2)) & (comp[:, None] != comp)
+        may = may_link(np.array([int(r[6][0]) for r in tile]), [r[6][1:] for r in tile], meets, percent)
+        columns = zip(*(r[:6] for r, keep in zip(tile, may.tolist(), strict=True) if keep), strict=True)
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(columns) or [()] * 6, kinds, strict=True)], ["key", "x", "y", "side", "cls", "comp"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile: list[tuple] = []
+        for row in _rows(batches):
+            if tile and tile[0][:3] != row[:3]:
+                yield made(tile)
+                tile = []
+            tile.append((*row[:6], row[6].copy()))
+        if tile:
+            yield made(tile)
+
+    return run
+
+
 def _described(width: int, percent: int, levels):
     """Each row's set: its size, two prints and its first codes."""
 
@@ -153,7 +219,7 @@ def _sets(width: int, percent: int, levels, bits: bytes):
             b = b.filter(pa.array(has_bit(bits, b.column(3).to_numpy())))
             for low, high, code, bounds in shingle_sets(b.column(2), width) if b.num_rows else ():
                 first, begin, ahead = order.first(code, bounds, percent)
-                yield pa.RecordBatch.from_arrays([*_prints(code, bounds), pa.array(ahead), _lists(first, begin), _lists(code, bounds)], ["n", "p1", "p2", "ahead", "first", "codes"])
+                yield pa.RecordBatch.from_arrays([*_prints(code, bounds), pa.array(ahead), _lists(first, begin), _marks(code, bounds), _lists(code, bounds)], ["n", "p1", "p2", "ahead", "first", "marks", "codes"])
 
     return run
 
@@ -238,9 +304,14 @@ def _round(firsts: DataFrame, sets: DataFrame, window: int, percent: int) -> tup
 
 
 def _tiles(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links of ``rows (key, x, y, side, cls, comp)``, tile by tile."""
-    rows = sets.select("cls", "codes").join(sent(rows), "cls").select("key", "x", "y", "side", "cls", "comp", "codes")
-    rows = rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+    """Links of ``rows (key, x, y, side, cls, comp)``, tile by tile; whole sets are moved of rows that may have some."""
+
+    def tiled(rows: DataFrame, part: str) -> DataFrame:
+        rows = sets.select("cls", part).join(sent(rows), "cls").select("key", "x", "y", "side", "cls", "comp", part)
+        return rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+
+    rows = tiled(rows, "marks").mapInArrow(_hopeful(percent), "key long, x long, y long, side int, cls long, comp long")
+    rows = tiled(rows, "codes")
     return cut(rows.mapInArrow(tile_links(percent), "u long, v long").distinct())
 
 
@@ -325,8 +396,8 @@ def links(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text"
     involved = cut(fame.join(classes.drop("first"), "cls"))
     bits = filter_bits(involved.select(F.col("rep.id").alias("id"), F.col("rep.t").alias("t")), "id", "t")
     texts = own.select("id", "t", "text", bit_of("id", "t").alias("bit"))
-    sets = texts.mapInArrow(_sets(width, window, levels, bits), "n long, p1 long, p2 long, ahead long, first array<long>, codes array<long>")
-    sets = sets.groupBy("n", "p1", "p2").agg(F.min("ahead").alias("ahead"), F.min("first").alias("first"), F.min("codes").alias("codes"))
+    sets = texts.mapInArrow(_sets(width, window, levels, bits), "n long, p1 long, p2 long, ahead long, first array<long>, marks array<long>, codes array<long>")
+    sets = sets.groupBy("n", "p1", "p2").agg(F.min("ahead").alias("ahead"), F.min("first").alias("first"), F.min("marks").alias("marks"), F.min("codes").alias("codes"))
     sets = cut(sets.join(involved.drop("rep"), ["n", "p1", "p2"]).drop("p1", "p2"))
 
     # Joins by window need more first codes than those by link.

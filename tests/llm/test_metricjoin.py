@@ -53,6 +53,63 @@ def test_first_codes_meet_all_that_overlap():
                 assert len(np.intersect1d(codes[: bounds[1]], codes[bounds[1] :]))
 
 
+def test_parities_pass_all_links_and_stop_what_is_far_apart():
+    rng = np.random.default_rng(5)
+    for n in (1, 3, 40, 63, 64, 65, 200, 1000, 3000):
+        base, sets = rng.integers(0, 1 << 62, n), []
+        for lost in (0, 1, n // 20, n // 12, n // 10, n // 9, n // 5):  # several are at the very limit
+            for more in (0, n // 9, n // 4):
+                sets.append(np.unique(np.concatenate([base[lost:], rng.integers(0, 1 << 62, more)])))
+        far = [np.unique(rng.integers(0, 1 << 62, m)) for m in (n, n + n // 5)]
+        every = [x.astype(U64) for x in sets + far if len(x)]
+        size = np.array(list(map(len, every)))
+        marks = metricjoin._marks(np.concatenate(every), np.concatenate([[0], np.cumsum(size)]))
+        marks = [np.array(x.as_py(), np.int64).view(U64) for x in marks]
+        assert [int(x[0]) for x in marks] == size.tolist() and all(max(64, m) <= 64 * (len(x) - 1) < max(65, 2 * m) for m, x in zip(size.tolist(), marks, strict=True))
+        shared = np.array([[len(np.intersect1d(a, b)) for b in every] for a in every])
+        for percent in (60, 80, 100):
+            linked = (100 * shared >= percent * (size[:, None] + size - shared)) & ~np.eye(len(every), dtype=bool)
+            for i in range(len(every)):  # each with each alone, then all at once
+                for j in range(i):
+                    may = metricjoin.may_link(size[[i, j]], [marks[i][1:], marks[j][1:]], np.array([[False, True], [True, False]]), percent)
+                    assert may.all() or not (may.any() or linked[i, j])
+                    assert not may.any() or n < 200 or i < len(every) - 2 or percent < 80
+            may = metricjoin.may_link(size, [x[1:] for x in marks], np.ones((len(every),) * 2, bool), percent)
+            assert may[linked.any(1)].all()
+
+
+def test_leaves_move_no_sets_of_rows_that_cannot_link(spark, monkeypatch):
+    """Texts that share one phrase each with the next, and no more: their sets met in tiles, though none are near each other."""
+    rng = random.Random(11)
+    words = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    phrases = [words(8) for _ in range(201)]
+    rows = [(i, " ".join(phrases[i] + words(150) + phrases[i + 1])) for i in range(200)]
+    near = rows[7][1].split()
+    near[80] = "changed"
+    rows.append((900, " ".join(near)))
+    read = spark.sparkContext.accumulator(0)
+    plain = metricjoin.tile_links
+
+    def counting(percent):
+        run = plain(percent)
+
+        def counted(batches):
+            def seen():
+                for b in batches:
+                    read.add(b.num_rows)
+                    yield b
+
+            return run(seen())
+
+        return counted
+
+    monkeypatch.setattr(metricjoin, "tile_links", counting)
+    found = metricjoin.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), rounds=1)
+    expected = {i: x[:2] for i, x in brute(rows, 5, 80).items()}
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == expected
+    assert expected[900][1] == 7 and read.value <= 4
+
+
 def test_odd_rows(spark):
     text = "one two three four five six seven eight nine ten"
     rows = [(None, text), (None, text.upper()), (3, text + " eleven"), (3, "other words"), (3, "other words"), (4, None), (4, ""), (None, "alone here"), (5, "a b c d e f g h i j " * 20_000)]
