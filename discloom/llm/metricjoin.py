@@ -19,13 +19,15 @@ union; it is a metric.  Sets at a distance of ``r`` or less are linked.
    of their own.  What is left after some rounds is compared bucket by bucket, in
    tiles of bounded size, so no link is lost.  Tiles of regions and buckets are
    read twice: first with parities of hashed codes, about a bit for each code, which
-   bound how many codes two sets don't share.  Whole sets are moved only of rows
-   that may be linked with another row of their tile.
+   bound how many codes two sets don't share.  Whole sets are moved only of groups
+   of rows that may be linked with each other, and once of a group that several
+   tiles have.
 5. Components of the links are found by distributed union-find.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from discloom.llm.components import components
+from discloom.llm.components import UnionFind, components
 from discloom.llm.neardup import BLOCK, _rows, grouped, shingle_sets, tile_links
 from discloom.llm.support import bit_of, cut, filter_bits, has_bit
 from discloom.llm.wordcode import U64, mix64
@@ -146,13 +148,13 @@ def _marks(code: np.ndarray, bounds: np.ndarray) -> pa.Array:
 
 
 def may_link(sizes: np.ndarray, marks: list[np.ndarray], meets: np.ndarray, percent: int) -> np.ndarray:
-    """Which sets may overlap by ``percent`` of the union with another one that they meet.
+    """Groups of sets that may overlap by ``percent`` of the union with another one that they meet: the least place of each set's group, -1 for sets of none.
 
     Bits in which the parities of two sets differ are no more than the codes that only one of them has.
     Parities of twice as many bits are folded to be compared: sets that can be linked differ by no more.
     """
     order = np.lexsort((list(map(len, marks)), sizes))
-    size, may = sizes[order], np.zeros(len(sizes), bool)
+    size, groups, some = sizes[order], UnionFind(), np.zeros(len(sizes), bool)
     length = np.array([len(marks[i]) for i in order])
     low = {int(n): int(np.searchsorted(length, n)) for n in np.unique(length)}
     whole = {n: np.stack([marks[i] for i in order[length == n]]) for n in low}
@@ -169,20 +171,30 @@ def may_link(sizes: np.ndarray, marks: list[np.ndarray], meets: np.ndarray, perc
         both = (size[i] + size[j] - apart) // 2
         found = j[meets[order[i], order[j]] & (100 * both >= percent * (size[i] + size[j] - both))]
         if len(found):
-            may[order[i]] = may[order[found]] = True
-    return may
+            some[order[i]] = some[order[found]] = True
+        for k in order[found].tolist():
+            groups.union(int(order[i]), k)
+    return np.array([groups.find(i) if x else -1 for i, x in enumerate(some.tolist())], np.int64)
 
 
 def _hopeful(percent: int):
-    """Of rows ``key, x, y, side, cls, comp, marks`` sorted by tile those that may be linked with another one of their tile."""
+    """Of rows ``key, x, y, side, cls, comp, marks`` sorted by tile those that may be linked with another one of their tile.
+
+    Each group of them is a tile of its own, whose key is made of its rows: equal groups are equal rows.
+    """
 
     def made(tile: list[tuple]) -> pa.RecordBatch:
         side, comp = (np.array([r[i] for r in tile]) for i in (3, 5))
         meets = ((side[:, None] != side) | (side == 2)) & (comp[:, None] != comp)
-        may = may_link(np.array([int(r[6][0]) for r in tile]), [r[6][1:] for r in tile], meets, percent)
-        columns = zip(*(r[:6] for r, keep in zip(tile, may.tolist(), strict=True) if keep), strict=True)
+        group = may_link(np.array([int(r[6][0]) for r in tile]), [r[6][1:] for r in tile], meets, percent)
+        found = []
+        for g in np.unique(group[group >= 0]).tolist():
+            rows = sorted((r[4], r[3], r[5]) for r, own in zip(tile, group.tolist(), strict=True) if own == g)
+            x, y = np.frombuffer(hashlib.blake2b(np.array([r[:2] for r in rows], np.int64).tobytes(), digest_size=16).digest(), np.int64).tolist()
+            found += [(len(rows), x, y, side, cls, comp) for cls, side, comp in rows]
+        columns = list(zip(*found, strict=True)) or [()] * 6
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(columns) or [()] * 6, kinds, strict=True)], ["key", "x", "y", "side", "cls", "comp"])
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["key", "x", "y", "side", "cls", "comp"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tile: list[tuple] = []
@@ -310,7 +322,7 @@ def _tiles(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         rows = sets.select("cls", part).join(sent(rows), "cls").select("key", "x", "y", "side", "cls", "comp", part)
         return rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
 
-    rows = tiled(rows, "marks").mapInArrow(_hopeful(percent), "key long, x long, y long, side int, cls long, comp long")
+    rows = tiled(rows, "marks").mapInArrow(_hopeful(percent), "key long, x long, y long, side int, cls long, comp long").distinct()
     rows = tiled(rows, "codes")
     return cut(rows.mapInArrow(tile_links(percent), "u long, v long").distinct())
 
