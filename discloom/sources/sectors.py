@@ -86,7 +86,7 @@ def _read_file(partition: Span) -> Iterator[pa.RecordBatch]:
             want = (min(low + BATCH_SECTORS, partition.high) - low) * SECTOR
             data = f.read(want)
             if len(data) < want:
-                raise OSError(f"{partition.image} ends in sector {low + len(data) // SECTOR}")
+                raise OSError(f"{partition.image} ends in sector {os.fstat(f.fileno()).st_size // SECTOR}")
             yield _batch(partition.image, low, data)
 
 
