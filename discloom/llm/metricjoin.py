@@ -7,7 +7,9 @@ union; it is a metric.  Sets at a distance of ``r`` or less are linked.
    sketch of their counts that is merged in Spark.  Two classes within a distance
    have a shingle that is among the first of both (how many those are follows from
    the distance and the set's size), so all classes near a pivot are met under its
-   first shingles.  Those that the sketch counts once meet nothing and are left out.
+   first shingles.  Those that the sketch counts once meet nothing and are left out,
+   as are, after a look at each bucket, classes too different in size from all others
+   there, or whose shingle comes too late in the order, for a link.
 2. Pivots are classes that come first in all their buckets, so that no bucket has
    two.  Every class gets its exact distance to each pivot that it meets.
 3. A class within ``r`` of pivots is in the Voronoi region of the nearest one and
@@ -47,6 +49,10 @@ LEAST_CELLS, MOST_CELLS, CELL_BYTES = 1 << 22, 1 << 27, 4
 SLICE, LEVELS = 1 << 16, (2, 8, 64)
 #: Shingles of a task that are sorted by cell at once.
 HELD = 2_000_000
+#: Members of a bucket that are looked through for partners at once; those of larger buckets all stay.
+MET = 1 << 12
+#: Codes of sets of which first ones are taken at once.
+TAKEN = 1 << 19
 #: Rounds of pivots before what is left is compared bucket by bucket.
 ROUNDS = 3
 #: Windows in which the members of a region are kept, from 0 to ``r``.
@@ -57,15 +63,32 @@ def _cells(codes: np.ndarray, cells: int) -> np.ndarray:
     return (mix64(codes ^ U64(0x9E3779B97F4A7C15)) & U64(cells - 1)).astype(np.int64)
 
 
+def packed(gaps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers below 2^21 in bytes of 7 bits, low ones first, of which all but a number's last have the eighth bit; and where each number ends."""
+    some = np.stack([np.ones(len(gaps), bool), gaps >= 1 << 7, gaps >= 1 << 14], 1)
+    parts = np.stack([gaps & 127, gaps >> 7 & 127, gaps >> 14], 1).astype(np.uint8)
+    parts[:, :2] |= some[:, 1:].astype(np.uint8) << 7
+    return parts[some], np.cumsum(some.sum(1))
+
+
+def unpacked(data: np.ndarray) -> np.ndarray:
+    """The numbers of :func:`packed`."""
+    begin = np.flatnonzero(np.append(True, data < 128)[: len(data)])
+    place = np.arange(len(data)) - np.repeat(begin, np.diff(begin, append=len(data)))
+    return np.add.reduceat((data & 127).astype(np.int64) << 7 * place, begin) if len(data) else np.empty(0, np.int64)
+
+
 def _sketch(width: int, cells: int):
-    """The cells of all shingles of the task: for each slice, places in it, as often as they occur."""
+    """The cells of all shingles of the task: for each slice, gaps between places in it, as often as they occur."""
 
     def flush(seen: list[np.ndarray]) -> pa.RecordBatch:
         cell = np.sort(np.concatenate(seen or [np.empty(0, np.int64)]))
         number = cell // SLICE
         low = np.flatnonzero(np.append(True, np.diff(number) != 0)[: len(cell)])
-        place = (cell % SLICE).astype(np.uint16)
-        return pa.RecordBatch.from_arrays([pa.array(number[low].astype(np.int32)), pa.array([x.tobytes() for x in np.split(place, low[1:])][: len(low)], pa.binary())], ["slice", "places"])
+        gap = np.diff(cell, prepend=0)
+        gap[low] = cell[low] % SLICE
+        data, end = packed(gap)
+        return pa.RecordBatch.from_arrays([pa.array(number[low].astype(np.int32)), pa.array([x.tobytes() for x in np.split(data, end[low[1:] - 1])][: len(low)], pa.binary())], ["slice", "gaps"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, held = [], 0
@@ -85,8 +108,8 @@ def _merge(k: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Itera
     """Levels of one slice, two bits a cell."""
     counts = np.zeros(SLICE, np.int64)
     for b in batches:
-        for places in b.column(1):
-            counts += np.bincount(np.frombuffer(places.as_buffer(), np.uint16), minlength=SLICE)
+        for gaps in b.column(1):
+            counts += np.bincount(np.cumsum(unpacked(np.frombuffer(gaps.as_buffer(), np.uint8))), minlength=SLICE)
     level = np.searchsorted(LEVELS, counts, "right").astype(np.uint8).reshape(-1, 4)
     packed = level[:, 0] | level[:, 1] << 2 | level[:, 2] << 4 | level[:, 3] << 6
     yield pa.RecordBatch.from_arrays([pa.array([k[0].as_py()], pa.int32()), pa.array([packed.tobytes()])], ["slice", "levels"])
@@ -210,28 +233,95 @@ def _hopeful(percent: int):
 
 
 def _described(width: int, percent: int, levels):
-    """Each row's set: its size, two prints and its first codes."""
+    """Each row's set: its size, two prints, its first codes and how many are ahead of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = Order(levels.value)
         for b in batches:
             for low, high, code, bounds in shingle_sets(b.column(2), width):
                 ids = [b.column(i).slice(low, high - low) for i in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*ids, *_prints(code, bounds), _lists(*order.first(code, bounds, percent)[:2])], ["id", "t", "n", "p1", "p2", "first"])
+                first, begin, ahead = order.first(code, bounds, percent)
+                yield pa.RecordBatch.from_arrays([*ids, *_prints(code, bounds), pa.array(ahead), _lists(first, begin)], ["id", "t", "n", "p1", "p2", "ahead", "first"])
+
+    return run
+
+
+def partnered(group: np.ndarray, n: np.ndarray, rest: np.ndarray, percent: int) -> np.ndarray:
+    """Which rows, sorted by group and size ``n``, may be linked with another one of their group, if the group's code is the first that both have.
+
+    They have no more codes in common than ``rest``, how many of either set are not
+    before that code, so neither is larger than the other's ``most``.
+    """
+    most = rest * (100 + percent) // percent - n
+    at, step = np.arange(len(n)), max(int(n.max(initial=0)), int(most.max(initial=0))) + 1
+    begin = np.searchsorted(group, group)
+    end = np.searchsorted(group * step + n, group * step + most, "right")
+    greatest = [most]  # of 1, 2, 4, ... rows from each on
+    while (half := 1 << len(greatest) - 1) * 2 <= len(n):
+        greatest.append(np.maximum(greatest[-1][:-half], greatest[-1][half:]))
+    found = np.zeros(len(n), bool)
+    for low, high in ((begin, np.minimum(at, end)), (at + 1, end)):
+        for k, x in enumerate(greatest):
+            i = np.flatnonzero((high - low >= 1 << k) & (high - low < 2 << k))
+            found[i] |= np.maximum(x[low[i]], x[high[i] - (1 << k)]) >= n[i]
+    return found
+
+
+def _partners(percent: int):
+    """Of rows ``code, turn, n, rest, cls, members`` sorted by code, turn and size those that may be linked with another one under the code."""
+
+    def kept(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.concat_batches(held)
+        code, turn, n, rest, members = (rows.column(x).to_numpy() for x in ("code", "turn", "n", "rest", "members"))
+        group = np.cumsum(np.append(False, (code[1:] != code[:-1]) | (turn[1:] != turn[:-1])))
+        return rows.select(["code", "cls", "members"]).filter(pa.array(partnered(group, n, rest, percent) | (members > MET)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if b.num_rows:
+                # The last group may go on in the next batch.
+                code, turn = b.column(0).to_numpy(), b.column(1).to_numpy()
+                last = int(np.flatnonzero((code != code[-1]) | (turn != turn[-1])).max(initial=-1)) + 1
+                if last:
+                    held.append(b.slice(0, last))
+                if held and (last or (held[-1].column(0)[-1], held[-1].column(1)[-1]) != (b.column(0)[0], b.column(1)[0])):
+                    yield kept(held)
+                    held = []
+                held.append(b.slice(last))
+        if held:
+            yield kept(held)
+
+    return run
+
+
+def _sets(width: int, bits: bytes):
+    """Sets of the rows whose bit is in a filter, with their prints, by which their classes are known."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            b = b.filter(pa.array(has_bit(bits, b.column(1).to_numpy())))
+            for *_, code, bounds in shingle_sets(b.column(0), width) if b.num_rows else ():
+                yield pa.RecordBatch.from_arrays([*_prints(code, bounds), _lists(code, bounds)], ["n", "p1", "p2", "codes"])
 
     return run
 
 
-def _sets(width: int, percent: int, levels, bits: bytes):
-    """Sets of the rows whose bit is in a filter, with their codes, and the first of these."""
+def _firsts(percent: int, levels):
+    """Adds to rows ``cls, n, fame, codes`` the first codes of their sets, and marks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = Order(levels.value)
         for b in batches:
-            b = b.filter(pa.array(has_bit(bits, b.column(3).to_numpy())))
-            for low, high, code, bounds in shingle_sets(b.column(2), width) if b.num_rows else ():
+            ends = np.cumsum(b.column(1).to_numpy()) // TAKEN
+            cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), b.num_rows]
+            for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+                part = b.slice(low, high - low)
+                lists = part.column(3)
+                code, bounds = lists.flatten().to_numpy().view(U64), lists.offsets.to_numpy().astype(np.int64)
+                bounds = bounds - bounds[0]
                 first, begin, ahead = order.first(code, bounds, percent)
-                yield pa.RecordBatch.from_arrays([*_prints(code, bounds), pa.array(ahead), _lists(first, begin), _marks(code, bounds), _lists(code, bounds)], ["n", "p1", "p2", "ahead", "first", "marks", "codes"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(ahead), _lists(first, begin), _marks(code, bounds), lists], ["cls", "n", "fame", "ahead", "first", "marks", "codes"])
 
     return run
 
@@ -389,28 +479,32 @@ def links(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text"
     texts = own.select("text")
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     cells = min(MOST_CELLS, max(LEAST_CELLS, 1 << (size // CELL_BYTES).bit_length()))
-    merged = texts.mapInArrow(_sketch(width, cells), "slice int, places binary").groupBy("slice").applyInArrow(_merge, "slice int, levels binary")
+    merged = texts.mapInArrow(_sketch(width, cells), "slice int, gaps binary").groupBy("slice").applyInArrow(_merge, "slice int, levels binary")
     sketch = bytearray(cells // 4)
     for r in merged.toLocalIterator():  # a bounded number of slices of a fixed size
         sketch[r["slice"] * SLICE // 4 : (r["slice"] + 1) * SLICE // 4] = r["levels"]
     levels = docs.sparkSession.sparkContext.broadcast(sketch)
 
-    described = cut(own.mapInArrow(_described(width, percent, levels), "id long, t long, n long, p1 long, p2 long, first array<long>"))
+    described = cut(own.mapInArrow(_described(width, percent, levels), "id long, t long, n long, p1 long, p2 long, ahead long, first array<long>"))
     stands = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "t"))
-    classes = cut(described.filter("n > 0").groupBy("n", "p1", "p2").agg(stands.alias("rep"), F.first("first").alias("first")))
+    classes = cut(described.filter("n > 0").groupBy("n", "p1", "p2").agg(stands.alias("rep"), F.first("ahead").alias("ahead"), F.first("first").alias("first")))
     classes = classes.withColumn("cls", F.monotonically_increasing_id())  # of a written table: always the same
-    posted = classes.select("cls", F.explode("first").alias("code"))
+    posted = classes.select("cls", "n", "ahead", F.posexplode("first").alias("at", "code"))
+    posted = posted.select("code", "cls", "n", (F.col("n") - F.col("ahead") - F.col("at")).alias("rest"))
     several = cut(posted.groupBy("code").agg(F.count("*").alias("members")).filter("members > 1"))
-    posted = cut(posted.join(several, "code"))
+    turn = F.pmod(F.xxhash64("cls"), F.expr(f"(members + {MET - 1}) div {MET}"))
+    posted = posted.join(several, "code").select("code", turn.alias("turn"), "n", "rest", "cls", "members")
+    posted = posted.repartition("code", "turn").sortWithinPartitions("code", "turn", "n")
+    posted = cut(posted.mapInArrow(_partners(percent), "code long, cls long, members long"))
     fame = cut(posted.groupBy("cls").agg(F.sum("members").alias("fame")))
 
-    # Only classes that share a first code can be linked; their sets are made again from the texts.
-    involved = cut(fame.join(classes.drop("first"), "cls"))
+    # Only classes that have a partner under a first code can be linked; their sets are made again from the texts.
+    involved = cut(fame.join(classes.drop("ahead", "first"), "cls"))
     bits = filter_bits(involved.select(F.col("rep.id").alias("id"), F.col("rep.t").alias("t")), "id", "t")
-    texts = own.select("id", "t", "text", bit_of("id", "t").alias("bit"))
-    sets = texts.mapInArrow(_sets(width, window, levels, bits), "n long, p1 long, p2 long, ahead long, first array<long>, marks array<long>, codes array<long>")
-    sets = sets.groupBy("n", "p1", "p2").agg(F.min("ahead").alias("ahead"), F.min("first").alias("first"), F.min("marks").alias("marks"), F.min("codes").alias("codes"))
-    sets = cut(sets.join(involved.drop("rep"), ["n", "p1", "p2"]).drop("p1", "p2"))
+    sets = own.select("text", bit_of("id", "t").alias("bit")).mapInArrow(_sets(width, bits), "n long, p1 long, p2 long, codes array<long>")
+    sets = sets.groupBy("n", "p1", "p2").agg(F.min("codes").alias("codes")).join(involved.drop("rep"), ["n", "p1", "p2"])
+    sets = sets.select("cls", "n", "fame", "codes").mapInArrow(_firsts(window, levels), "cls long, n long, fame long, ahead long, first array<long>, marks array<long>, codes array<long>")
+    sets = cut(sets)
 
     # Joins by window need more first codes than those by link.
     firsts, nears = sets.select("cls", "n", "ahead", "fame", "first", F.transform("first", lambda c: bit_of(c)).alias("bits")), []

@@ -120,3 +120,51 @@ def test_odd_rows(spark):
     assert metricjoin.jaccard_join(df.filter("doc_id < 0")).collect() == []
     with pytest.raises(ValueError, match="percent"):
         metricjoin.jaccard_join(df, percent=50)
+
+
+def test_gaps_are_packed_and_unpacked():
+    gaps = np.array([0, 1, 127, 128, 0, 16383, 16384, 65535, 5], np.int64)
+    data, end = metricjoin.packed(gaps)
+    assert len(data) == end[-1] == 3 * 1 + 2 + 1 + 2 + 3 + 3 + 1 and metricjoin.unpacked(data).tolist() == gaps.tolist()
+    assert metricjoin.unpacked(data[end[3] : end[6]]).tolist() == gaps[4:7].tolist()
+    assert metricjoin.unpacked(data[:0]).tolist() == []
+
+
+def test_partners_are_those_of_all_pairs():
+    rng = np.random.default_rng(9)
+    for percent in (60, 80, 100):
+        group = np.sort(rng.integers(0, 60, 300))
+        n = rng.integers(1, 60, 300)
+        n = n[np.lexsort((n, group))]
+        rest = n - (n * rng.random(300) * (100 - percent) / 100).astype(np.int64)
+        pair = (100 + percent) * np.minimum(rest[:, None], rest) >= percent * (n[:, None] + n)
+        pair &= (group[:, None] == group) & ~np.eye(300, dtype=bool)
+        found = metricjoin.partnered(group, n, rest, percent)
+        assert found.tolist() == pair.any(1).tolist() and found.any() and not found.all()
+    assert metricjoin.partnered(group[:0], n[:0], rest[:0], 80).tolist() == []
+
+
+@pytest.mark.parametrize("met", [1 << 12, 5])
+def test_sets_are_made_of_rows_with_a_partner_only(spark, monkeypatch, met):
+    """Long texts that begin like short ones, in groups of ten, share first codes; of 121 only two can be linked by size."""
+    monkeypatch.setattr(metricjoin, "MET", met)  # larger buckets than that keep all their rows
+    rng, rows = random.Random(12), []
+    for g in range(12):
+        base = [f"g{g}w{j}" for j in range(800)]
+        rows += [(10 * g + i, " ".join(base[: int(20 * 1.45**i)])) for i in range(10)]
+    near = rows[57][1].split()
+    near[rng.randrange(20, 60)] = "changed"
+    rows.append((900, " ".join(near)))
+    made, plain = [], metricjoin.cut
+
+    def cut(df):
+        df = plain(df)
+        if "codes" in df.columns:
+            made.append(df.count())
+        return df
+
+    monkeypatch.setattr(metricjoin, "cut", cut)
+    found = metricjoin.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    expected = {i: x[:2] for i, x in brute(rows, 5, 80).items()}
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == expected
+    assert expected[900][1] == 57 and len(made) == 1 and (made[0] == 2 or met == 5)
