@@ -9,7 +9,9 @@ union; it is a metric.  Sets at a distance of ``r`` or less are linked.
    the distance and the set's size), so all classes near a pivot are met under its
    first shingles.  Those that the sketch counts once meet nothing and are left out,
    as are, after a look at each bucket, classes too different in size from all others
-   there, or whose shingle comes too late in the order, for a link.
+   there, or whose shingle comes too late in the order, for a link.  Buckets of the
+   same classes become one, and parities of hashed codes, about a bit for each code,
+   which bound how many codes two sets don't share, tell which of these can't link.
 2. Pivots are classes that come first in all their buckets, so that no bucket has
    two.  Every class gets its exact distance to each pivot that it meets.
 3. A class within ``r`` of pivots is in the Voronoi region of the nearest one and
@@ -20,10 +22,9 @@ union; it is a metric.  Sets at a distance of ``r`` or less are linked.
 4. Classes in no region are joined with each other in the same way, with pivots
    of their own.  What is left after some rounds is compared bucket by bucket, in
    tiles of bounded size, so no link is lost.  Tiles of regions and buckets are
-   read twice: first with parities of hashed codes, about a bit for each code, which
-   bound how many codes two sets don't share.  Whole sets are moved only of groups
-   of rows that may be linked with each other, and once of a group that several
-   tiles have.
+   read twice: first with these parities.  Whole sets are moved only of groups of
+   rows that may be linked with each other, and once of a group that several tiles
+   have.
 5. Components of the links are found by distributed union-find.
 """
 
@@ -268,13 +269,24 @@ def partnered(group: np.ndarray, n: np.ndarray, rest: np.ndarray, percent: int)
 
 
 def _partners(percent: int):
-    """Of rows ``code, turn, n, rest, cls, members`` sorted by code, turn and size those that may be linked with another one under the code."""
+    """Of rows ``code, turn, n, rest, cls, members`` sorted by code, turn and size those that may be linked with another one under the code.
+
+    Their key is made of the group's classes: codes with the same ones have one key.
+    ``whole`` tells that all members were looked through, of which ``kept`` stay.
+    """
 
     def kept(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         rows = pa.concat_batches(held)
         code, turn, n, rest, members = (rows.column(x).to_numpy() for x in ("code", "turn", "n", "rest", "members"))
         group = np.cumsum(np.append(False, (code[1:] != code[:-1]) | (turn[1:] != turn[:-1])))
-        return rows.select(["code", "cls", "members"]).filter(pa.array(partnered(group, n, rest, percent) | (members > MET)))
+        stay = partnered(group, n, rest, percent) | (members > MET)
+        group, cls, members = group[stay], rows.column("cls").to_numpy()[stay], members[stay]
+        begin = np.flatnonzero(np.append(True, group[1:] != group[:-1])[: len(group)])
+        count = np.diff(begin, append=len(group))
+        sums = [np.add.reduceat(mix64(cls.view(U64) ^ U64(salt * 0xA0761D6478BD642F % (1 << 64))), begin) if len(begin) else np.empty(0, U64) for salt in (1, 2)]
+        key = np.where(members[begin] > MET, mix64(code[stay][begin].view(U64)), mix64(sums[0] ^ mix64(sums[1])))
+        columns = [_signed(np.repeat(key, count)), pa.array(cls), pa.array(members), pa.array(np.repeat(count, count)), pa.array(members <= MET)]
+        return pa.RecordBatch.from_arrays(columns, ["key", "cls", "members", "kept", "whole"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -295,14 +307,15 @@ def _partners(percent: int):
     return run
 
 
-def _sets(width: int, bits: bytes):
-    """Sets of the rows whose bit is in a filter, with their prints, by which their classes are known."""
+def _sets(width: int, bits: bytes, what: str):
+    """``codes`` or ``marks`` of sets of the rows whose bit is in a filter, with their prints, by which their classes are known."""
+    made = {"codes": _lists, "marks": _marks}[what]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             b = b.filter(pa.array(has_bit(bits, b.column(1).to_numpy())))
             for *_, code, bounds in shingle_sets(b.column(0), width) if b.num_rows else ():
-                yield pa.RecordBatch.from_arrays([*_prints(code, bounds), _lists(code, bounds)], ["n", "p1", "p2", "codes"])
+                yield pa.RecordBatch.from_arrays([*_prints(code, bounds), made(code, bounds)], ["n", "p1", "p2", what])
 
     return run
 
@@ -405,15 +418,19 @@ def _round(firsts: DataFrame, sets: DataFrame, window: int, percent: int) -> tup
     return pivots, cut(rows.mapInArrow(_distances(window, percent), "pivot long, cls long, distance double, linked boolean"))
 
 
+def _tiled(rows: DataFrame, sets: DataFrame, part: str) -> DataFrame:
+    rows = sets.select("cls", part).join(sent(rows), "cls").select("key", "x", "y", "side", "cls", "comp", part)
+    return rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+
+
+def _hoped(rows: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    return _tiled(rows, marks, "marks").mapInArrow(_hopeful(percent), "key long, x long, y long, side int, cls long, comp long")
+
+
 def _tiles(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links of ``rows (key, x, y, side, cls, comp)``, tile by tile; whole sets are moved of rows that may have some."""
 
-    def tiled(rows: DataFrame, part: str) -> DataFrame:
-        rows = sets.select("cls", part).join(sent(rows), "cls").select("key", "x", "y", "side", "cls", "comp", part)
-        return rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
-
-    rows = tiled(rows, "marks").mapInArrow(_hopeful(percent), "key long, x long, y long, side int, cls long, comp long").distinct()
-    rows = tiled(rows, "codes")
+    rows = _tiled(_hoped(rows, sets, percent).distinct(), sets, "codes")
     return cut(rows.mapInArrow(tile_links(percent), "u long, v long").distinct())
 
 
@@ -453,14 +470,14 @@ def _regions(near: DataFrame, comps: DataFrame, sets: DataFrame, percent: int) -
 
 
 def _leaves(posted: DataFrame, comps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links of classes of different components that share one of their first codes, all compared."""
-    placed = posted.join(comps, F.col("cls") == F.col("node"), "left").select("code", "cls", F.coalesce("root", "cls").alias("comp"))
-    held = placed.groupBy("code").agg(F.count("*").alias("n"), (F.min("comp") != F.max("comp")).alias("apart"))
-    held = cut(held.filter("apart").select("code", _count("n").alias("blocks")))
+    """Links of classes of different components that share a key of first codes, all compared."""
+    placed = posted.join(comps, F.col("cls") == F.col("node"), "left").select("key", "cls", F.coalesce("root", "cls").alias("comp"))
+    held = placed.groupBy("key").agg(F.count("*").alias("n"), (F.min("comp") != F.max("comp")).alias("apart"))
+    held = cut(held.filter("apart").select("key", _count("n").alias("blocks")))
     block = F.pmod(F.xxhash64("cls"), F.col("blocks"))
-    rows = placed.join(held, "code").withColumn("block", block).select("code", "cls", "comp", "block", _upto("blocks").alias("other"))
+    rows = placed.join(held, "key").withColumn("block", block).select("key", "cls", "comp", "block", _upto("blocks").alias("other"))
     side = F.expr("case when other = block then 2 when other > block then 0 else 1 end")
-    return _tiles(rows.select(F.col("code").alias("key"), F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), side.alias("side"), "cls", "comp"), sets, percent)
+    return _tiles(rows.select("key", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), side.alias("side"), "cls", "comp"), sets, percent)
 
 
 def links(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", id_col: str = "doc_id", rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -495,14 +512,26 @@ def links(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text"
     turn = F.pmod(F.xxhash64("cls"), F.expr(f"(members + {MET - 1}) div {MET}"))
     posted = posted.join(several, "code").select("code", turn.alias("turn"), "n", "rest", "cls", "members")
     posted = posted.repartition("code", "turn").sortWithinPartitions("code", "turn", "n")
-    posted = cut(posted.mapInArrow(_partners(percent), "code long, cls long, members long"))
-    fame = cut(posted.groupBy("cls").agg(F.sum("members").alias("fame")))
+    posted = posted.mapInArrow(_partners(percent), "key long, cls long, members long, kept long, whole boolean")
+    # Buckets of the same classes are one from here on.
+    posted = cut(posted.groupBy("key", "cls", "kept", "whole").agg(F.sum("members").alias("members")))
+    fame = cut(posted.groupBy("cls").agg(F.sum("members").alias("fame"), F.max(~F.col("whole") | (F.col("kept") > BLOCK)).alias("stays")))
 
-    # Only classes that have a partner under a first code can be linked; their sets are made again from the texts.
+    # Only classes that have a partner under a first code can be linked; what tells of their sets is made again from the texts.
     involved = cut(fame.join(classes.drop("ahead", "first"), "cls"))
-    bits = filter_bits(involved.select(F.col("rep.id").alias("id"), F.col("rep.t").alias("t")), "id", "t")
-    sets = own.select("text", bit_of("id", "t").alias("bit")).mapInArrow(_sets(width, bits), "n long, p1 long, p2 long, codes array<long>")
-    sets = sets.groupBy("n", "p1", "p2").agg(F.min("codes").alias("codes")).join(involved.drop("rep"), ["n", "p1", "p2"])
+
+    def made(involved: DataFrame, what: str) -> DataFrame:
+        bits = filter_bits(involved.select(F.col("rep.id").alias("id"), F.col("rep.t").alias("t")), "id", "t")
+        rows = own.select("text", bit_of("id", "t").alias("bit")).mapInArrow(_sets(width, bits, what), f"n long, p1 long, p2 long, {what} array<long>")
+        return rows.groupBy("n", "p1", "p2").agg(F.min(what).alias(what)).join(involved.drop("rep"), ["n", "p1", "p2"])
+
+    # Groups that fit in one tile are compared by marks before sets are made; classes of larger ones all stay.
+    marks = made(involved, "marks").select("cls", "marks")
+    tiles = posted.filter(f"whole AND kept <= {BLOCK}").select("key", F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"), F.lit(2).alias("side"), "cls", F.col("cls").alias("comp"))
+    hopeful = _hoped(tiles, cut(marks), percent).select("cls")
+    hopeful = cut(hopeful.union(fame.filter("stays").select("cls")).distinct())
+    involved, posted = cut(involved.join(hopeful, "cls")), cut(posted.join(hopeful, "cls").select("key", "cls"))
+    sets = made(involved, "codes")
     sets = sets.select("cls", "n", "fame", "codes").mapInArrow(_firsts(window, levels), "cls long, n long, fame long, ahead long, first array<long>, marks array<long>, codes array<long>")
     sets = cut(sets)
 
@@ -519,7 +548,7 @@ def links(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text"
         firsts = cut(firsts.join(done, "cls", "left_anti"))
         if firsts.isEmpty():
             break
-    narrow = posted.select("code", "cls").join(settled, "cls", "left_anti")
+    narrow = posted.join(settled, "cls", "left_anti")
     near = nears[0]
     for more in nears[1:]:
         near = near.union(more)
